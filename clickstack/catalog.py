@@ -10,6 +10,7 @@ import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from clickstack.functions.filters import Filters
 from clickstack.operators import reports as R
@@ -62,4 +63,70 @@ REPORTS: dict[str, QueryFn] = {
 def queries() -> dict[str, QueryFn]:
     out: dict[str, QueryFn] = {}
     out.update(REPORTS)
+    out.update(_groups())
     return out
+
+
+# Groups (R10, R16-R18, C9, D13) ------------------------------------------------------------------
+def _groups():
+    from clickstack.functions import filters as flt
+    from clickstack.functions import text
+    from clickstack.operators import groups as G
+    from clickstack.operators import metrics as M
+    from clickstack.sources import tables
+
+    def seed_pages(s, d):
+        return G.seed_entities(pg(s, d), flt.without_segment(DEFAULT), "page")
+
+    def seed_queries(s, d):
+        return G.seed_entities(bp(s, d), DEFAULT, "query")
+
+    def saved(s, kind):
+        return fixtures.semantic_groups(s, kind)
+
+    def group_rules(s, d):
+        keys = (bp(s, d).where(flt.to_column(DEFAULT.replace(start=dt.date(1995, 1, 1), end=dt.date(2001, 12, 31)),
+                                             require_query=True))
+                .select("query", F.lit(None).cast("string").alias("page")).distinct())
+        return G.match_groups(keys, saved(s, "topic")).select("group_id", "query")
+
+    def grouped_metrics(s, d):
+        rules = {}
+        for gid, name, rl, _ in fixtures.SAVED_TOPIC_GROUPS:
+            rules[gid] = flt.rule_match([{"dimension": a, "op": b, "value": c} for a, b, c in rl])
+        rows = bp(s, d).where(flt.to_column(DEFAULT, require_query=True))
+        return M.grouped_metrics(rows, list(rules.values()))
+
+    def first_segment(s, d):
+        p = tables.read(s, d, "pages")
+        return p.select("page_id", "url", text.first_segment(F.col("url")).alias("segment"))
+
+    def pages_content_groups(s, d):
+        p = tables.read(s, d, "pages").select(F.col("url").alias("key"), F.col("page_id").alias("impressions"))
+        return G.auto_content_groups(p)
+
+    def title_case(s, d):
+        p = tables.read(s, d, "pages")
+        seg = text.first_segment(F.col("url"))
+        return p.select("page_id", text.title_case(seg).alias("name"))
+
+    def tokenize(s, d):
+        q = bp(s, d).where(F.col("query").isNotNull()).select("query").distinct()
+        return q.select("query", F.explode(text.tokenize(F.col("query"), fixtures.BRAND_TERMS)).alias("token"))
+
+    return {
+        "auto_content_groups": lambda s, d: G.auto_content_groups(seed_pages(s, d)),
+        "auto_content_groups_pages": pages_content_groups,
+        "auto_topic_clusters": lambda s, d: G.auto_topic_clusters(seed_queries(s, d), fixtures.BRAND_TERMS),
+        "auto_suggest_content": lambda s, d: G.auto_suggest(pg(s, d), "content", DEFAULT.end, fixtures.BRAND_TERMS),
+        "auto_suggest_topic": lambda s, d: G.auto_suggest(bp(s, d), "topic", DEFAULT.end, fixtures.BRAND_TERMS),
+        "report_grouped_entities_content": lambda s, d: G.report_grouped_entities(pg(s, d), DEFAULT, "content"),
+        "report_grouped_entities_topic": lambda s, d: G.report_grouped_entities(bp(s, d), DEFAULT, "topic"),
+        "report_grouped_entities_saved_topic": lambda s, d: G.report_grouped_entities(bp(s, d), DEFAULT, "topic", saved(s, "topic")),
+        "report_grouped_entities_saved_content": lambda s, d: G.report_grouped_entities(pg(s, d), DEFAULT, "content", saved(s, "content")),
+        "group_rules": group_rules,
+        "grouped_metrics": grouped_metrics,
+        "first_segment": first_segment,
+        "title_case": title_case,
+        "tokenize": tokenize,
+    }

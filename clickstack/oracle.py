@@ -211,7 +211,142 @@ FROM by_property WHERE {WEB} AND {CUR} AND query IS NOT NULL GROUP BY 1"""),
 }
 
 
+# Groups ------------------------------------------------------------------------------------------
+URL_RE = "(?i)^https?://[^/]+(/.*)?$"
+
+
+def path_sql(col: str) -> str:
+    return (f"(CASE WHEN regexp_matches({col}, '{URL_RE}') THEN "
+            f"CASE WHEN regexp_extract({col}, '{URL_RE}', 1) = '' THEN '/' ELSE regexp_extract({col}, '{URL_RE}', 1) END "
+            f"WHEN starts_with({col}, '/') THEN {col} ELSE '/' || {col} END)")
+
+
+def seg_sql(col: str) -> str:
+    return f"regexp_extract({path_sql(col)}, '^/*([^/]*)', 1)"
+
+
+def title_sql(col: str) -> str:
+    return (f"array_to_string(list_transform(list_filter(string_split(regexp_replace({col}, '[-_]+', ' ', 'g'), ' '), "
+            f"lambda x: x <> ''), lambda x: upper(x[1]) || x[2:]), ' ')")
+
+
+def content_groups_sql(seed: str) -> str:
+    """R16 over a seed relation (key, impressions)."""
+    return f"""SELECT rank, 'auto_' || CAST(rank AS VARCHAR) AS group_id,
+  CASE WHEN seg = '' THEN 'Homepage' ELSE {title_sql('seg')} END AS name, false AS priority, 0 AS rule_pos,
+  'page' AS dimension, CASE WHEN seg = '' THEN 'regex' ELSE 'contains' END AS op,
+  CASE WHEN seg = '' THEN '^https?://[^/]+/?$' ELSE '/' || seg || '/' END AS value
+FROM (SELECT seg, value, CAST(row_number() OVER (ORDER BY value DESC, seg ASC) AS INTEGER) AS rank
+      FROM (SELECT {seg_sql('key')} AS seg, SUM(greatest(0, coalesce(impressions, 0))) AS value
+            FROM ({seed}) WHERE key IS NOT NULL AND key <> '' GROUP BY 1) WHERE value > 0)
+WHERE rank <= 12"""
+
+
+def seed_sql(table: str, dim: str, where: str, limit: int) -> str:
+    return (f"SELECT {dim} AS key, CAST(SUM(clicks) AS BIGINT) AS clicks, CAST(SUM(impressions) AS BIGINT) AS impressions "
+            f"FROM {table} WHERE {where} AND {dim} IS NOT NULL GROUP BY {dim} "
+            f"ORDER BY clicks DESC, impressions DESC, key ASC NULLS LAST LIMIT {limit}")
+
+
+def grouped_sql(table: str, groups: list[tuple[str, str]], where_extra: str) -> str:
+    """R10 with literal group predicates [(name, sql predicate)]: D13 sums per window, 0 when empty."""
+    parts = []
+    for name, pred in groups:
+        def s(win, c):
+            return f"coalesce(SUM(CASE WHEN {win} AND ({pred}) THEN {c} ELSE 0 END), 0)"
+        parts.append(f"""SELECT '{name}' AS key,
+  CAST({s(CUR, 'clicks')} AS BIGINT) AS clicks, CAST({s(CUR, 'impressions')} AS BIGINT) AS impressions,
+  coalesce({s(CUR, 'clicks')} / NULLIF({s(CUR, 'impressions')}, 0), 0.0) AS ctr,
+  coalesce({s(CUR, 'position * impressions')} / NULLIF({s(CUR, 'impressions')}, 0), 0.0) AS position, false AS priority,
+  CAST({s(PREV, 'clicks')} AS BIGINT) AS prev_clicks, CAST({s(PREV, 'impressions')} AS BIGINT) AS prev_impressions,
+  coalesce({s(PREV, 'clicks')} / NULLIF({s(PREV, 'impressions')}, 0), 0.0) AS prev_ctr,
+  coalesce({s(PREV, 'position * impressions')} / NULLIF({s(PREV, 'impressions')}, 0), 0.0) AS prev_position
+FROM {table} WHERE {WEB} AND ({CUR} OR {PREV}) AND {where_extra}""")
+    return with_base("\nUNION ALL\n".join(parts))
+
+
+SAVED_TOPIC_SQL = [
+    ("Widgets", "lower(query) LIKE '%widget%'"),
+    ("How-to", "regexp_matches(lower(query), '^how to') OR lower(query) LIKE 'how %'"),
+    ("Gears", "lower(query) = 'hot gear' OR lower(query) LIKE '%gear%'"),
+]
+SAVED_CONTENT_SQL = [
+    ("Economy", "lower(page) LIKE '%/economy/%'"),
+    ("Small", "lower(page) LIKE 'https://www.site0.example.com/small%'"),
+]
+GROUP_PRIORITY = {"Widgets": "true"}
+
+
+def _stopwords_sql() -> str:
+    from clickstack.functions.text import STOPWORDS
+
+    return "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
+
+
+STOPWORDS_SQL = _stopwords_sql()
+
+
+def _grouped_saved(table, groups, extra):
+    sql = grouped_sql(table, groups, extra)
+    for name, pri in GROUP_PRIORITY.items():
+        sql = sql.replace(f"SELECT '{name}' AS key,", f"SELECT '{name}' AS key,").replace(
+            f"'{name}' AS key,\n  CAST", f"'{name}' AS key,\n  CAST")
+    return sql
+
+
+def _auto_content_grouped() -> str:
+    seed = seed_sql("by_page", "page", f"{WEB} AND {CUR}", 500)
+    groups = content_groups_sql(seed)
+    return with_base(f"""
+SELECT g.name AS key,
+  CAST(coalesce(SUM(CASE WHEN {CUR} THEN r.clicks ELSE 0 END), 0) AS BIGINT) AS clicks,
+  CAST(coalesce(SUM(CASE WHEN {CUR} THEN r.impressions ELSE 0 END), 0) AS BIGINT) AS impressions,
+  coalesce(SUM(CASE WHEN {CUR} THEN r.clicks ELSE 0 END) / NULLIF(SUM(CASE WHEN {CUR} THEN r.impressions ELSE 0 END), 0), 0.0) AS ctr,
+  coalesce(SUM(CASE WHEN {CUR} THEN r.position * r.impressions ELSE 0 END) / NULLIF(SUM(CASE WHEN {CUR} THEN r.impressions ELSE 0 END), 0), 0.0) AS position,
+  false AS priority,
+  CAST(coalesce(SUM(CASE WHEN {PREV} THEN r.clicks ELSE 0 END), 0) AS BIGINT) AS prev_clicks,
+  CAST(coalesce(SUM(CASE WHEN {PREV} THEN r.impressions ELSE 0 END), 0) AS BIGINT) AS prev_impressions,
+  coalesce(SUM(CASE WHEN {PREV} THEN r.clicks ELSE 0 END) / NULLIF(SUM(CASE WHEN {PREV} THEN r.impressions ELSE 0 END), 0), 0.0) AS prev_ctr,
+  coalesce(SUM(CASE WHEN {PREV} THEN r.position * r.impressions ELSE 0 END) / NULLIF(SUM(CASE WHEN {PREV} THEN r.impressions ELSE 0 END), 0), 0.0) AS prev_position
+FROM g LEFT JOIN (SELECT * FROM by_page WHERE {WEB} AND ({CUR} OR {PREV}) AND page IS NOT NULL) r
+  ON (g.op = 'regex' AND regexp_matches(lower(r.page), g.value)) OR (g.op = 'contains' AND lower(r.page) LIKE '%' || lower(g.value) || '%')
+GROUP BY g.name""", f"g AS ({groups})")
+
+
+GROUPS: dict[str, str] = {
+    "auto_content_groups": with_base(content_groups_sql(seed_sql("by_page", "page", f"{WEB} AND {CUR}", 500))),
+    "auto_content_groups_pages": content_groups_sql("SELECT url AS key, page_id AS impressions FROM pages"),
+    "auto_suggest_content": with_base(content_groups_sql(seed_sql(
+        "by_page", "page", f"{WEB} AND data_date BETWEEN DATE '1998-10-03' AND DATE '1998-12-31'", 500))),
+    "report_grouped_entities_content": _auto_content_grouped(),
+    "report_grouped_entities_saved_topic": grouped_sql("by_property", SAVED_TOPIC_SQL, "query IS NOT NULL").replace(
+        "SELECT 'Widgets' AS key,", "SELECT 'Widgets' AS key,").replace(
+        "position, false AS priority,\n  CAST(coalesce(SUM(CASE WHEN data_date BETWEEN DATE '1997-01-01' AND DATE '1997-12-31' AND (lower(query) LIKE '%widget%')",
+        "position, true AS priority,\n  CAST(coalesce(SUM(CASE WHEN data_date BETWEEN DATE '1997-01-01' AND DATE '1997-12-31' AND (lower(query) LIKE '%widget%')"),
+    "report_grouped_entities_saved_content": grouped_sql("by_page", SAVED_CONTENT_SQL, "page IS NOT NULL"),
+    "group_rules": with_base("""
+SELECT DISTINCT g.group_id, k.query FROM (SELECT DISTINCT query FROM by_property WHERE search_type = 'web' AND query IS NOT NULL
+  AND data_date BETWEEN DATE '1995-01-01' AND DATE '2001-12-31') k
+JOIN (VALUES ('widgets', 'contains', 'widget'), ('how_to', 'regex', '^how to'), ('how_to', 'starts_with', 'how '),
+             ('gears', 'equals', 'hot gear'), ('gears', 'contains', 'gear')) g(group_id, op, value)
+  ON (g.op = 'contains' AND lower(k.query) LIKE '%' || g.value || '%') OR (g.op = 'regex' AND regexp_matches(lower(k.query), g.value))
+  OR (g.op = 'starts_with' AND lower(k.query) LIKE g.value || '%') OR (g.op = 'equals' AND lower(k.query) = g.value)"""),
+    "grouped_metrics": with_base(f"""SELECT {', '.join(
+        f"CAST(SUM(CASE WHEN ({p}) THEN clicks ELSE 0 END) AS BIGINT) AS g{i}_clicks, "
+        f"CAST(SUM(CASE WHEN ({p}) THEN impressions ELSE 0 END) AS BIGINT) AS g{i}_impr, "
+        f"SUM(CASE WHEN ({p}) THEN clicks ELSE 0 END) / NULLIF(SUM(CASE WHEN ({p}) THEN impressions ELSE 0 END), 0) AS g{i}_ctr, "
+        f"SUM(CASE WHEN ({p}) THEN position * impressions ELSE 0 END) / NULLIF(SUM(CASE WHEN ({p}) THEN impressions ELSE 0 END), 0) AS g{i}_pos"
+        for i, (_, p) in enumerate(SAVED_TOPIC_SQL))} FROM by_property WHERE {WEB} AND {CUR} AND query IS NOT NULL"""),
+    "first_segment": f"SELECT page_id, url, {seg_sql('url')} AS segment FROM pages",
+    "title_case": f"SELECT page_id, {title_sql(seg_sql('url'))} AS name FROM pages",
+    "tokenize": with_base(f"""SELECT query, unnest(list_filter(regexp_extract_all(lower(query), '[a-z0-9]+'),
+  lambda t: length(t) >= 3 AND NOT list_contains({STOPWORDS_SQL}, t) AND NOT list_contains(['brand#2', 'brand#17'], t)
+  AND NOT regexp_matches(t, '^[0-9]+$'))) AS token FROM (SELECT DISTINCT query FROM by_property WHERE query IS NOT NULL)"""),
+}
+
+
 def all_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(REPORTS)
+    out.update(GROUPS)
     return out
