@@ -64,6 +64,7 @@ def queries() -> dict[str, QueryFn]:
     out: dict[str, QueryFn] = {}
     out.update(REPORTS)
     out.update(_groups())
+    out.update(_ledger_queries())
     return out
 
 
@@ -130,3 +131,242 @@ def _groups():
         "title_case": title_case,
         "tokenize": tokenize,
     }
+
+
+# Control plane: attempts, ledger, registry, accounts ----------------------------------------------
+LEDGER_AS_OF = dt.date(2024, 2, 1)                 # reconcile / coverage day
+OPS_AS_OF = dt.datetime(2024, 1, 30, 12, 0, 0)     # instant for usage, activity and alert jobs
+FACT_AS_OF = dt.date(1998, 12, 31)                 # precompute and home movers day
+
+
+def _ts_text(c):
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+
+
+def attempts(s, d):
+    return fixtures.attempts(s, d)
+
+
+def ledger_df(s, d):
+    from clickstack.operators import ledger as L
+
+    return L.latest_state(attempts(s, d))
+
+
+def registry_df(s, d):
+    return fixtures.registry(s, d)
+
+
+def _ledger_queries():
+    from clickstack.functions import dates, keys, status, text
+    from clickstack.operators import ledger as L
+    from clickstack.operators import ops as O
+    from clickstack.sources import tables
+
+    def reg_out(r):
+        return r.select("property_id", "site_url", "property_type", "source", "included",
+                        F.array_join("account_ids", ",").alias("account_ids"), "preferred_account_id",
+                        _ts_text(F.col("discovered_at")).alias("discovered_at"),
+                        _ts_text(F.col("last_seen_at")).alias("last_seen_at"))
+
+    def ledger_out(lg):
+        return lg.select("task_id", "property_id", "search_type", "aggregation", "data_date", "status", "attempts",
+                         "account_id")
+
+    def members(s, d):
+        return fixtures.group_members(s, d)
+
+    def assignment(s, d):
+        return L.client_assign(registry_df(s, d), members(s, d))
+
+    def pstatus(s, d):
+        return L.property_status(registry_df(s, d), attempts(s, d))
+
+    def accts(s, d):
+        return L.accounts(attempts(s, d))
+
+    def usage(s, d):
+        return O.api_usage(attempts(s, d), OPS_AS_OF)
+
+    def planned(s, d):
+        return L.reconcile(registry_df(s, d), ledger_df(s, d), LEDGER_AS_OF)
+
+    def billing(s, d):
+        return O.billing_export(tables.read(s, d, "events"))
+
+    def dedup(s, d):
+        return O.row_hash_invariant({"by_property": bp(s, d), "by_page": pg(s, d), "totals": tot(s, d)})
+
+    def page_urls(s, d):
+        return tables.read(s, d, "pages").select("url")
+
+    def url_keys(s, d):
+        u = page_urls(s, d).unionByName(registry_df(s, d).select(F.col("site_url").alias("url"))).distinct()
+        return u.select("url", keys.property_key(F.col("url")).alias("property_key"),
+                        keys.property_key_disambiguated(F.col("url")).alias("property_key_disambiguated"),
+                        keys.property_type(F.col("url")).alias("property_type"),
+                        text.client_name(F.col("url")).alias("client_name"))
+
+    def iso_dates(s, d):
+        ev = tables.read(s, d, "events")
+        txt = F.concat(F.lit("2024-"), F.lpad(((F.col("event_id") % 14)).cast("string"), 2, "0"), F.lit("-"),
+                       F.lpad(((F.col("user_id") % 33)).cast("string"), 2, "0"))
+        return ev.select("event_id", txt.alias("text"), dates.valid_iso_date(txt).alias("valid"))
+
+    def cells(s, d):
+        r = registry_df(s, d)
+        return (r.select("property_id", F.explode("config.types").alias("search_type"))
+                .select("property_id", "search_type", F.explode(F.array(*[F.lit(a) for a in
+                        ["byProperty", "byPage", "totals"]])).alias("aggregation")))
+
+    def combos(s, d):
+        c = cells(s, d)
+        return c.select("property_id", "search_type", "aggregation",
+                        status.valid_combo(F.col("search_type"), F.col("aggregation")).alias("valid"),
+                        F.array_join(status.dims_for(F.col("aggregation"), F.col("search_type")), ",").alias("dims"))
+
+    def classified(s, d):
+        a = attempts(s, d).where(F.col("status") == "error")
+        return a.select("event_id", "error_message",
+                        status.retryable_error(F.col("error_message")).alias("retryable"),
+                        status.token_error_class(F.col("error_message")).alias("token_class"),
+                        status.dead_letter(F.col("error_message"), F.col("attempt")).alias("next_status"))
+
+    def finality(s, d):
+        a = attempts(s, d).where(F.col("status").startswith("collected_"))
+        fi = F.date_sub(F.lit(LEDGER_AS_OF), 3)
+        fin = status.day_final(F.col("data_date"), fi, F.lit(LEDGER_AS_OF))
+        return a.select("event_id", "data_date", fin.alias("is_final"),
+                        status.collect_status(fin, F.col("row_count")).alias("collect_status"))
+
+    def pacific(s, d):
+        return attempts(s, d).select("event_id", dates.pacific_day(F.col("logged_at")).alias("pt_day"))
+
+    def windows(s, d):
+        r = registry_df(s, d)
+        oldest, newest = dates.collection_window(F.lit(LEDGER_AS_OF), F.col("config.offset_days"),
+                                                 F.col("config.backfill_months"))
+        return r.select("property_id", oldest.alias("oldest"), newest.alias("newest"))
+
+    def days(s, d):
+        w = windows(s, d)
+        rev = w.select("property_id", F.col("newest").alias("oldest"), F.col("oldest").alias("newest"))
+        both = w.withColumn("reversed", F.lit(False)).unionByName(rev.withColumn("reversed", F.lit(True)))
+        return both.select("property_id", "reversed", F.explode_outer(dates.days_in_range("oldest", "newest")).alias("day"))
+
+    def months(s, d):
+        return bp(s, d).select("data_month").distinct()
+
+    def compare_windows(s, d):
+        m = months(s, d).select(F.col("data_month").alias("start"), F.last_day("data_month").alias("end"))
+        out = []
+        for mode, mw in (("previous", False), ("yoy", False), ("yoy", True), ("prev_month", False)):
+            cs, ce = dates.compare_window_cols(F.col("start"), F.col("end"), mode, mw)
+            out.append(m.select("start", "end", F.lit(mode + ("_weekday" if mw else "")).alias("mode"),
+                                cs.alias("compare_start"), ce.alias("compare_end")))
+        res = out[0]
+        for o in out[1:]:
+            res = res.unionByName(o)
+        return res
+
+    def task_ids(s, d):
+        a = attempts(s, d)
+        return a.select("event_id", keys.task_id(keys.property_key(F.col("property")), F.col("search_type"),
+                                                 F.col("aggregation"), F.col("data_date")).alias("task_id"))
+
+    return {
+        # registry / ledger
+        "registry_merge": lambda s, d: reg_out(registry_df(s, d)),
+        "latest_state": lambda s, d: ledger_out(ledger_df(s, d)),
+        "property_status": lambda s, d: pstatus(s, d).select(
+            "property_id", "kind", "last_collected_date", "data_state", "last_error",
+            _ts_text(F.col("last_error_at")).alias("last_error_at")),
+        "client_assign": assignment,
+        "client_kinds": lambda s, d: L.client_kinds(registry_df(s, d), assignment(s, d)),
+        "reconcile": planned,
+        "plan_missing": lambda s, d: L.missing_days(
+            L.expected_cells(registry_df(s, d), LEDGER_AS_OF).where(F.col("aggregation") == "byProperty"),
+            ledger_df(s, d).where(F.col("status").isin("collected_with_data", "collected_no_data")),
+            ["property_id", "search_type", "aggregation", "data_date"]).select(
+                "property_id", "search_type", "aggregation", "data_date"),
+        "totals_gate": lambda s, d: planned(s, d).where(F.col("aggregation") == "totals").select(
+            "property_id", "search_type", "data_date"),
+        "set_difference": lambda s, d: L.missing_days(
+            L.expected_cells(registry_df(s, d), LEDGER_AS_OF).where(
+                (F.col("aggregation") == "byProperty") & (F.col("search_type") == "web")).select("property_id", "data_date"),
+            ledger_df(s, d).where(F.col("status").isin("collected_with_data", "collected_no_data")),
+            ["property_id", "data_date"]),
+        "coverage_grid": lambda s, d: L.coverage_grid(registry_df(s, d), ledger_df(s, d), LEDGER_AS_OF),
+        "requeue_errors": lambda s, d: ledger_out(L.requeue_errors(ledger_df(s, d))),
+        "recollect_cell": lambda s, d: L.recollect_cell(
+            ledger_out(ledger_df(s, d)),
+            ledger_out(ledger_df(s, d)).where(F.col("status") == "collected_fresh")),
+        "purge_account": lambda s, d: ledger_out(L.purge_account(ledger_df(s, d), "acct1")),
+        "group_pending_by_account": lambda s, d: L.group_pending_by_account(planned(s, d)),
+        "freshness": lambda s, d: L.freshness(ledger_df(s, d)),
+        "status_mix": lambda s, d: L.status_mix(pstatus(s, d)),
+        "double_count": lambda s, d: L.double_count(members(s, d)),
+        "existing_members": lambda s, d: L.existing_members(members(s, d), bp(s, d)).select("group_id", "property"),
+        "account_property_counts": lambda s, d: L.account_property_counts(registry_df(s, d), accts(s, d)),
+        "tasks_by_status": lambda s, d: ledger_out(ledger_df(s, d)).where(F.col("status") == "error")
+            .orderBy("task_id").limit(2000),
+        "tasks_by_property": lambda s, d: ledger_out(ledger_df(s, d)).where(
+            F.col("property_id") == "urlp_www_site0_example_com"),
+        "attempts_search": lambda s, d: attempts(s, d).where(F.col("task_id").startswith("urlp_www_site3_example_com__"))
+            .orderBy(F.col("logged_at").desc(), F.col("event_id").desc()).limit(200)
+            .select("task_id", "property", "search_type", "aggregation", "data_date", "status", "row_count",
+                    "error_message", _ts_text(F.col("logged_at")).alias("logged_at")),
+        "registry_filter": lambda s, d: reg_out(registry_df(s, d)).where(
+            F.col("included") & F.col("site_url").contains("site") & F.array_contains(F.split("account_ids", ","), "acct1"))
+            .orderBy("site_url"),
+        # ops
+        "api_usage": usage,
+        "collection_activity": lambda s, d: O.collection_activity(attempts(s, d), OPS_AS_OF, 14),
+        "quota_by_account": lambda s, d: O.quota_by_account(usage(s, d), accts(s, d), registry_df(s, d)),
+        "capacity": lambda s, d: O.capacity(usage(s, d), registry_df(s, d)),
+        "row_ceiling": lambda s, d: O.row_ceiling(attempts(s, d), OPS_AS_OF),
+        "recent_attempts": lambda s, d: O.recent_attempts(attempts(s, d), OPS_AS_OF),
+        "billing_scan": lambda s, d: O.billing_scan(billing(s, d), OPS_AS_OF).select(
+            F.col("service.description").alias("service"), "currency", "cost",
+            _ts_text(F.col("usage_start_time")).alias("usage_start_time")),
+        "billing_by_service": lambda s, d: O.billing_by_service(billing(s, d), OPS_AS_OF),
+        "billing_status": lambda s, d: O.billing_status(billing(s, d), OPS_AS_OF),
+        "table_name_collisions": lambda s, d: O.table_name_collisions(page_urls(s, d)).select(
+            "name", "urls", F.array_join("members", " | ").alias("members")),
+        "ops_alerts": lambda s, d: O.ops_alerts(attempts(s, d), dedup(s, d), OPS_AS_OF),
+        "error_bursts": lambda s, d: O.error_bursts(attempts(s, d)).select(
+            _ts_text(F.col("window_start")).alias("window_start"), "errors"),
+        "health_checks": lambda s, d: _health(s, d),
+        "overview": lambda s, d: O.overview(accts(s, d), registry_df(s, d), pstatus(s, d), ledger_df(s, d),
+                                            [bp(s, d), pg(s, d), tot(s, d)], usage(s, d)),
+        "row_hash_invariant": dedup,
+        # functions over the control data
+        "property_key": url_keys,
+        "valid_iso_date": iso_dates,
+        "valid_combo": combos,
+        "dims_for": combos,
+        "retryable_error": classified,
+        "token_error_class": classified,
+        "dead_letter": classified,
+        "day_final": finality,
+        "collect_status": finality,
+        "pacific_day": pacific,
+        "collection_window": windows,
+        "days_in_range": days,
+        "compare_window": compare_windows,
+        "task_id": task_ids,
+        "distinct": lambda s, d: attempts(s, d).where(F.col("account_id").isNotNull()).select("account_id").distinct(),
+    }
+
+
+def _health(s, d):
+    from clickstack.operators import ledger as L
+    from clickstack.operators import ops as O
+    from clickstack.sources import native, tables
+
+    a = attempts(s, d)
+    return O.health_checks(
+        O.row_hash_invariant({"by_property": bp(s, d), "by_page": pg(s, d), "totals": tot(s, d)}),
+        O.table_name_collisions(tables.read(s, d, "pages").select("url")),
+        O.row_ceiling(a, OPS_AS_OF), O.recent_attempts(a, OPS_AS_OF),
+        native.export_latest_date(native.export_log(s, d)), L.accounts(a))

@@ -96,3 +96,19 @@ def valid_iso_date(c) -> Column:
     parsed = F.try_to_date(x, "yyyy-MM-dd")
     return (x.rlike(r"^\d{4}-\d{2}-\d{2}$") & parsed.isNotNull()
             & (F.date_format(parsed, "yyyy-MM-dd") == x))
+
+
+def compare_window_cols(start, end, mode: str = "previous", match_weekdays: bool = False):
+    """H8 over date columns (every row its own window): (compare_start, compare_end)."""
+    s = F.col(start) if isinstance(start, str) else start
+    e = F.col(end) if isinstance(end, str) else end
+    if mode == "none":
+        return F.lit(None).cast("date"), F.lit(None).cast("date")
+    if mode == "yoy":
+        k = 364 if match_weekdays else 365
+        return F.date_sub(s, k), F.date_sub(e, k)
+    if mode == "prev_month":
+        return F.add_months(s, -1), F.add_months(e, -1)
+    days = F.datediff(e, s)
+    prev_end = F.date_sub(s, 1)
+    return F.date_sub(prev_end, days), prev_end

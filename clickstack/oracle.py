@@ -345,8 +345,281 @@ JOIN (VALUES ('widgets', 'contains', 'widget'), ('how_to', 'regex', '^how to'),
 }
 
 
+# Control plane ----------------------------------------------------------------------------------
+def pk(col: str) -> str:
+    """property_key (H3) in SQL."""
+    raw = f"CASE WHEN starts_with({col}, 'sc-domain:') THEN substr({col}, 11) ELSE regexp_replace({col}, '(?i)^https?://', '') END"
+    body = f"regexp_replace(regexp_replace(lower({raw}), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')"
+    return f"substr(CASE WHEN starts_with({col}, 'sc-domain:') THEN 'domain' ELSE 'urlp' END || '_' || {body}, 1, 1024)"
+
+
+def site_of(col: str) -> str:
+    n = f"CAST(regexp_extract({col}, 'site([0-9]+)\\.example\\.com', 1) AS INTEGER)"
+    return f"(CASE WHEN starts_with({col}, 'sc-domain:') THEN {n} + 6 ELSE {n} END)"
+
+
+PT = "CAST((({c}) AT TIME ZONE 'UTC') AT TIME ZONE 'America/Los_Angeles' AS DATE)"
+AS_OF = "TIMESTAMP '2024-01-30 12:00:00'"
+
+CONTROL = f"""
+att0 AS (SELECT *, CASE WHEN user_id % 8 < 6 THEN concat('https://www.site', CAST(user_id % 8 AS VARCHAR), '.example.com/')
+       ELSE concat('sc-domain:site', CAST(user_id % 8 - 6 AS VARCHAR), '.example.com') END AS url,
+  CAST(DATE '2024-01-30' - CAST(event_id % 50 AS INTEGER) AS DATE) AS dd FROM events),
+attempts AS (SELECT event_id, {pk('url')} || '__web__byProperty__' || strftime(dd, '%Y%m%d') AS task_id,
+  url AS property, 'web' AS search_type, 'byProperty' AS aggregation, dd AS data_date,
+  CASE WHEN user_id % 7 = 6 THEN NULL ELSE concat('acct', CAST(user_id % 7 AS VARCHAR)) END AS account_id,
+  CASE event_type WHEN 'purchase' THEN 'collected_with_data' WHEN 'signup' THEN 'collected_no_data'
+       WHEN 'view' THEN 'collected_fresh' WHEN 'click' THEN 'queued' ELSE 'error' END AS status,
+  1 + event_id % 9 AS attempt,
+  CASE WHEN event_type = 'purchase' THEN CAST(floor(value) AS BIGINT) * 150 END AS row_count,
+  CASE WHEN user_id % 10 = 0 THEN NULL ELSE event_id % 4 + 1 END AS api_calls,
+  CASE WHEN event_type <> 'error' THEN NULL WHEN event_id % 4 = 0 THEN 'quotaExceeded: try again'
+       WHEN event_id % 4 = 1 THEN 'invalid_grant'
+       WHEN event_id % 4 = 2 THEN 'Requests for Discover cannot be grouped by device' ELSE 'backendError' END AS error_message,
+  CAST(ts AS TIMESTAMP) AS logged_at FROM att0),
+ledger AS (SELECT task_id, {pk('arg_max_null(property, logged_at)')} AS property_id,
+  arg_max_null(search_type, logged_at) AS search_type, arg_max_null(aggregation, logged_at) AS aggregation,
+  arg_max_null(data_date, logged_at) AS data_date, arg_max_null(status, logged_at) AS status,
+  arg_max_null(attempt, logged_at) AS attempts, arg_max_null(account_id, logged_at) AS account_id
+  FROM attempts GROUP BY task_id),
+registry AS (SELECT {pk('property')} AS property_id, property AS site_url,
+  CASE WHEN starts_with(property, 'sc-domain:') THEN 'domain' ELSE 'url_prefix' END AS property_type,
+  CASE WHEN site = 5 THEN 'native_export' ELSE 'api' END AS source, (site = 5 OR site <> 7) AS included,
+  coalesce(array_to_string(list_sort(list(DISTINCT account_id) FILTER (WHERE account_id IS NOT NULL)), ','), '') AS account_ids,
+  arg_min(account_id, logged_at) FILTER (WHERE account_id IS NOT NULL) AS preferred_account_id,
+  strftime(min(logged_at), '%Y-%m-%d %H:%M:%S') AS discovered_at, strftime(max(logged_at), '%Y-%m-%d %H:%M:%S') AS last_seen_at,
+  site
+  FROM (SELECT *, {site_of('property')} AS site FROM attempts) GROUP BY property, site),
+members AS (SELECT d.group_id, d.name, d.materialize, d.group_pos, d.member_pos, r.site_url AS property
+  FROM (VALUES ('grp_a', 'Group A', true, 0, 0, 0), ('grp_a', 'Group A', true, 0, 1, 1), ('grp_a', 'Group A', true, 0, 2, 2),
+               ('grp_b', 'Group B', false, 1, 0, 2), ('grp_b', 'Group B', false, 1, 1, 3), ('grp_b', 'Group B', false, 1, 2, 4),
+               ('grp_c', 'Group C', true, 2, 0, 0), ('grp_c', 'Group C', true, 2, 1, 6))
+       d(group_id, name, materialize, group_pos, member_pos, site) JOIN registry r ON r.site = d.site),
+assign AS (
+  SELECT r.property_id, 'g_' || m.group_id AS client_id, m.name AS client_name
+  FROM registry r JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY property ORDER BY group_pos, member_pos) AS rn
+                                      FROM members) WHERE rn = 1) m ON r.site_url = m.property
+  UNION ALL
+  SELECT property_id, 'p_' || property_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(site_url,
+         '^sc-domain:', ''), '^https?://', ''), '/+$', ''), '^www\\.', '')
+  FROM registry WHERE (included OR source = 'native_export')
+    AND site_url NOT IN (SELECT property FROM members)),
+pstatus AS (
+  SELECT r.property_id, r.included, r.source, s.last_collected_date, s.data_state, s.last_collected_at, s.last_error, s.last_error_at,
+   CASE WHEN r.source = 'native_export' THEN 'imported'
+        WHEN s.last_error_at IS NOT NULL AND (s.last_collected_at IS NULL OR s.last_error_at > s.last_collected_at) THEN 'error'
+        WHEN s.last_collected_date IS NOT NULL THEN CASE WHEN s.data_state = 'fresh' THEN 'fresh' ELSE 'final' END
+        WHEN r.included THEN 'collecting' ELSE 'untracked' END AS kind
+  FROM registry r LEFT JOIN (
+    SELECT property,
+     max(data_date) FILTER (WHERE status LIKE 'collected_%') AS last_collected_date,
+     arg_max(CASE WHEN status = 'collected_fresh' THEN 'fresh' ELSE 'final' END,
+             strftime(data_date, '%Y-%m-%d') || strftime(logged_at, '%Y-%m-%d %H:%M:%S.%f')) FILTER (WHERE status LIKE 'collected_%') AS data_state,
+     max(logged_at) FILTER (WHERE status LIKE 'collected_%') AS last_collected_at,
+     arg_max(error_message, logged_at) FILTER (WHERE status = 'error') AS last_error,
+     max(logged_at) FILTER (WHERE status = 'error') AS last_error_at
+    FROM attempts GROUP BY property) s ON r.site_url = s.property),
+accounts AS (SELECT account_id, 'Account ' || regexp_extract(account_id, '([0-9]+)$', 1) AS display_name,
+   CASE WHEN regexp_matches(coalesce(arg_max_null(error_message, logged_at), ''), '{'(?i)invalid_grant|token has been expired or revoked|revoked|account.*deleted'}')
+        THEN 'revoked' ELSE 'valid' END AS token_health
+  FROM attempts WHERE account_id IS NOT NULL GROUP BY account_id),
+usage AS (SELECT account_id,
+   CAST(SUM(CASE WHEN {PT.format(c='logged_at')} = {PT.format(c=AS_OF)} THEN coalesce(api_calls, 0) ELSE 0 END) AS BIGINT) AS calls_today,
+   CAST(SUM(coalesce(api_calls, 0)) AS BIGINT) AS calls_7d,
+   CAST(count(DISTINCT CASE WHEN {PT.format(c='logged_at')} = {PT.format(c=AS_OF)} THEN task_id END) AS BIGINT) AS tasks_today
+  FROM attempts WHERE logged_at >= {AS_OF} - INTERVAL 7 DAY GROUP BY account_id),
+cells AS (SELECT r.property_id, r.preferred_account_id AS account_id, a.aggregation, t.search_type, CAST(d.day AS DATE) AS data_date
+  FROM registry r, (VALUES ('byProperty'), ('byPage'), ('totals')) a(aggregation),
+       (VALUES ('web'), ('image'), ('news'), ('discover')) t(search_type),
+       generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-29', INTERVAL 1 DAY) d(day)
+  WHERE r.included AND r.source <> 'native_export' AND r.preferred_account_id IS NOT NULL
+    AND NOT (t.search_type IN ('discover', 'googleNews') AND a.aggregation IN ('byProperty', 'totals'))),
+terminal AS (SELECT property_id, search_type, aggregation, data_date FROM ledger WHERE status IN ('collected_with_data', 'collected_no_data')),
+missing AS (SELECT c.* FROM cells c WHERE NOT EXISTS (SELECT 1 FROM terminal t WHERE t.property_id = c.property_id
+  AND t.search_type = c.search_type AND t.aggregation = c.aggregation AND t.data_date = c.data_date)),
+planned AS (SELECT * FROM missing WHERE aggregation <> 'totals'
+  UNION ALL SELECT m.* FROM missing m WHERE m.aggregation = 'totals' AND EXISTS (SELECT 1 FROM terminal t
+  WHERE t.aggregation = 'byProperty' AND t.property_id = m.property_id AND t.search_type = m.search_type AND t.data_date = m.data_date)),
+reconcile AS (SELECT * FROM (SELECT property_id || '__' || search_type || '__' || aggregation || '__' || strftime(data_date, '%Y%m%d') AS task_id,
+  property_id, search_type, aggregation, data_date, 'pending' AS status, CAST(0 AS BIGINT) AS attempts, account_id FROM planned) x
+  WHERE x.task_id NOT IN (SELECT task_id FROM ledger WHERE status IN ('pending', 'queued'))),
+billing AS (SELECT CASE event_type WHEN 'purchase' THEN 'BigQuery' WHEN 'view' THEN 'Cloud Run' WHEN 'click' THEN 'Cloud Tasks'
+       WHEN 'signup' THEN 'Firestore' ELSE 'Cloud Storage' END AS service,
+  CASE WHEN user_id % 5 = 0 THEN 'EUR' ELSE 'USD' END AS currency, value AS cost, CAST(ts AS TIMESTAMP) AS usage_start_time FROM events),
+hashes AS (
+  SELECT 'by_property' AS view, sha256(concat_ws('|', property, strftime(data_date, '%Y-%m-%d'), search_type, 'byProperty',
+     coalesce(query, ''), '', coalesce(country, ''), coalesce(device, ''), '', CASE WHEN is_anonymized THEN 'true' ELSE 'false' END)) AS h FROM by_property
+  UNION ALL SELECT 'by_page', sha256(concat_ws('|', property, strftime(data_date, '%Y-%m-%d'), search_type, 'byPage',
+     coalesce(query, ''), coalesce(page, ''), coalesce(country, ''), coalesce(device, ''), '', CASE WHEN is_anonymized THEN 'true' ELSE 'false' END)) FROM by_page
+  UNION ALL SELECT 'totals', sha256(concat_ws('|', property, strftime(data_date, '%Y-%m-%d'), search_type, 'totals',
+     '', '', '', '', '', CASE WHEN is_anonymized THEN 'true' ELSE 'false' END)) FROM totals),
+dedup AS (SELECT v.view, CAST(coalesce(d.n, 0) AS BIGINT) AS duplicates FROM (VALUES ('by_property'), ('by_page'), ('totals')) v(view)
+  LEFT JOIN (SELECT view, count(*) AS n FROM (SELECT view, h FROM hashes GROUP BY view, h HAVING count(*) > 1) GROUP BY view) d ON v.view = d.view),
+urls AS (SELECT DISTINCT url FROM (SELECT url FROM pages UNION ALL SELECT site_url FROM registry)),
+collisions AS (SELECT name, CAST(count(*) AS BIGINT) AS urls, array_to_string(list_sort(list(url)), ' | ') AS members
+  FROM (SELECT DISTINCT {pk('url')} AS name, url FROM pages) GROUP BY name HAVING count(*) > 1)"""
+
+
+def with_control(body: str, extra: str = "") -> str:
+    return f"WITH {BASE},{CONTROL}{(',' + extra) if extra else ''}\n{body}"
+
+
+LEDGER_COLS = "task_id, property_id, search_type, aggregation, data_date, status, attempts, account_id"
+REG_COLS = "property_id, site_url, property_type, source, included, account_ids, preferred_account_id, discovered_at, last_seen_at"
+CLS = """regexp_matches(coalesce(error_message, ''), '(?i)quotaExceeded|rateLimitExceeded|userRateLimitExceeded|backendError|try again')"""
+FINAL = "(NOT (data_date >= DATE '2024-02-01' - 14) OR data_date < DATE '2024-01-29')"
+ISO = ("'2024-' || lpad(CAST(event_id % 14 AS VARCHAR), 2, '0') || '-' || lpad(CAST(user_id % 33 AS VARCHAR), 2, '0')")
+
+CONTROL_SQL: dict[str, str] = {
+    "registry_merge": with_control(f"SELECT {REG_COLS} FROM registry"),
+    "latest_state": with_control(f"SELECT {LEDGER_COLS} FROM ledger"),
+    "property_status": with_control("""SELECT property_id, kind, last_collected_date, data_state, last_error,
+  strftime(last_error_at, '%Y-%m-%d %H:%M:%S') AS last_error_at FROM pstatus"""),
+    "client_assign": with_control("SELECT * FROM assign"),
+    "client_kinds": with_control("""SELECT client_id, client_name, CAST(count(*) AS BIGINT) AS property_count,
+  CASE WHEN bool_and(r.source = 'native_export') THEN 'export' WHEN count(*) > 1 THEN 'rollup' ELSE 'property' END AS kind
+  FROM assign a JOIN registry r USING (property_id) GROUP BY client_id, client_name"""),
+    "reconcile": with_control("SELECT * FROM reconcile"),
+    "plan_missing": with_control("SELECT property_id, search_type, aggregation, data_date FROM missing WHERE aggregation = 'byProperty'"),
+    "totals_gate": with_control("SELECT property_id, search_type, data_date FROM reconcile WHERE aggregation = 'totals'"),
+    "set_difference": with_control("""SELECT property_id, data_date FROM cells c WHERE aggregation = 'byProperty' AND search_type = 'web'
+  AND NOT EXISTS (SELECT 1 FROM terminal t WHERE t.property_id = c.property_id AND t.data_date = c.data_date)"""),
+    "coverage_grid": with_control("""SELECT g.property_id, g.search_type, g.aggregation, g.data_date, coalesce(l.status, 'not_planned') AS state
+  FROM (SELECT r.property_id, a.aggregation, t.search_type, CAST(d.day AS DATE) AS data_date FROM registry r,
+        (VALUES ('byProperty'), ('byPage'), ('totals')) a(aggregation), (VALUES ('web'), ('image'), ('news'), ('discover')) t(search_type),
+        generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-29', INTERVAL 1 DAY) d(day)) g
+  LEFT JOIN ledger l ON l.property_id = g.property_id AND l.search_type = g.search_type AND l.aggregation = g.aggregation
+   AND l.data_date = g.data_date"""),
+    "requeue_errors": with_control("""SELECT task_id, property_id, search_type, aggregation, data_date,
+  CASE WHEN status = 'error' THEN 'pending' ELSE status END AS status,
+  CASE WHEN status = 'error' THEN CAST(0 AS BIGINT) ELSE attempts END AS attempts, account_id FROM ledger"""),
+    "recollect_cell": with_control(f"""SELECT {LEDGER_COLS} FROM ledger WHERE status <> 'collected_fresh'
+  UNION ALL SELECT task_id, property_id, search_type, aggregation, data_date, 'pending', CAST(0 AS BIGINT), account_id
+  FROM ledger WHERE status = 'collected_fresh'"""),
+    "purge_account": with_control(f"""SELECT {LEDGER_COLS} FROM ledger WHERE account_id IS NULL OR NOT (account_id = 'acct1'
+  AND status NOT IN ('collected_with_data', 'collected_no_data', 'skipped'))"""),
+    "group_pending_by_account": with_control("""SELECT account_id, CAST(count(*) AS BIGINT) AS pending FROM reconcile
+  WHERE account_id IS NOT NULL GROUP BY account_id"""),
+    "freshness": with_control("""SELECT property_id, max(data_date) FILTER (WHERE status = 'collected_with_data') AS freshness
+  FROM ledger GROUP BY property_id"""),
+    "status_mix": with_control("SELECT kind, CAST(count(*) AS BIGINT) AS properties FROM pstatus WHERE included GROUP BY kind"),
+    "double_count": with_control("""SELECT g.group_id, coalesce(x.hit, false) AS double_count FROM (SELECT DISTINCT group_id FROM members) g
+  LEFT JOIN (SELECT DISTINCT h.group_id, true AS hit FROM
+     (SELECT group_id, lower(regexp_extract(property, '^https?://([^/:?#]+)', 1)) AS host FROM members WHERE NOT starts_with(property, 'sc-domain:')) h
+     JOIN (SELECT group_id, lower(regexp_replace(property, '^sc-domain:', '')) AS d FROM members WHERE starts_with(property, 'sc-domain:')) m
+     ON h.group_id = m.group_id AND (h.host = m.d OR ends_with(h.host, '.' || m.d))) x ON g.group_id = x.group_id"""),
+    "existing_members": with_control("""SELECT group_id, property FROM members
+  WHERE property IN (SELECT DISTINCT property FROM by_property)"""),
+    "account_property_counts": with_control("""SELECT a.account_id, a.display_name, CAST(coalesce(c.n, 0) AS BIGINT) AS property_count
+  FROM accounts a LEFT JOIN (SELECT acct AS account_id, count(*) AS n FROM registry, unnest(string_split(account_ids, ',')) u(acct)
+  WHERE account_ids <> '' GROUP BY acct) c ON a.account_id = c.account_id"""),
+    "tasks_by_status": with_control(f"SELECT {LEDGER_COLS} FROM ledger WHERE status = 'error' ORDER BY task_id LIMIT 2000"),
+    "tasks_by_property": with_control(f"SELECT {LEDGER_COLS} FROM ledger WHERE property_id = 'urlp_www_site0_example_com'"),
+    "attempts_search": with_control("""SELECT task_id, property, search_type, aggregation, data_date, status, row_count, error_message,
+  strftime(logged_at, '%Y-%m-%d %H:%M:%S') AS logged_at FROM attempts WHERE starts_with(task_id, 'urlp_www_site3_example_com__')
+  ORDER BY attempts.logged_at DESC, event_id DESC LIMIT 200"""),
+    "registry_filter": with_control(f"""SELECT {REG_COLS} FROM registry WHERE included AND site_url LIKE '%site%'
+  AND list_contains(string_split(account_ids, ','), 'acct1')"""),
+    "api_usage": with_control("SELECT * FROM usage"),
+    "collection_activity": with_control(f"""SELECT strftime({PT.format(c='logged_at')}, '%Y-%m-%d') AS day,
+  CAST(count(DISTINCT task_id) AS BIGINT) AS tasks, CAST(coalesce(SUM(row_count), 0) AS BIGINT) AS n_rows
+  FROM attempts WHERE logged_at >= {AS_OF} - INTERVAL 14 DAY GROUP BY 1"""),
+    "quota_by_account": with_control("""SELECT u.account_id,
+  CASE WHEN u.account_id IS NULL THEN 'unattributed' ELSE coalesce(a.display_name, u.account_id) END AS display_name,
+  CAST(CASE WHEN u.account_id IS NULL THEN 0 ELSE coalesce(p.n, 0) END AS BIGINT) AS properties,
+  u.calls_today, u.calls_7d, u.tasks_today
+  FROM usage u LEFT JOIN accounts a ON u.account_id = a.account_id
+  LEFT JOIN (SELECT preferred_account_id AS account_id, count(*) AS n FROM registry WHERE included AND preferred_account_id IS NOT NULL
+             GROUP BY 1) p ON u.account_id = p.account_id"""),
+    "capacity": with_control("""SELECT today_calls, active, round(today_calls / greatest(1, active), 2) AS avg_calls_per_property,
+  round(today_calls / 30000000 * 100, 4) AS project_qpd_used_pct,
+  CASE WHEN today_calls / greatest(1, active) > 0 THEN CAST(floor(greatest(0, 30000000 - today_calls) / (today_calls / greatest(1, active))) AS BIGINT) END
+    AS est_more_properties
+  FROM (SELECT CAST(coalesce(SUM(calls_today), 0) AS BIGINT) AS today_calls FROM usage),
+       (SELECT CAST(count(*) AS BIGINT) AS active FROM registry WHERE included)"""),
+    "row_ceiling": with_control(f"SELECT DISTINCT property FROM attempts WHERE row_count >= 50000 AND logged_at > {AS_OF} - INTERVAL 30 DAY"),
+    "recent_attempts": with_control(f"SELECT CAST(count(*) AS BIGINT) AS n FROM attempts WHERE logged_at > {AS_OF} - INTERVAL 7 DAY"),
+    "billing_scan": with_control(f"""SELECT service, currency, cost, strftime(usage_start_time, '%Y-%m-%d %H:%M:%S') AS usage_start_time
+  FROM billing WHERE usage_start_time >= {AS_OF} - INTERVAL 30 DAY"""),
+    "billing_by_service": with_control(f"""SELECT coalesce(service, 'unknown') AS service, currency, round(SUM(cost), 2) AS cost
+  FROM billing WHERE usage_start_time >= {AS_OF} - INTERVAL 30 DAY GROUP BY 1, 2"""),
+    "billing_status": with_control(f"""SELECT CAST(count(*) AS BIGINT) AS n_rows, max(CAST(usage_start_time AS DATE)) AS latest_day
+  FROM billing WHERE usage_start_time >= {AS_OF} - INTERVAL 45 DAY"""),
+    "table_name_collisions": with_control("SELECT * FROM collisions"),
+    "error_bursts": with_control("""SELECT strftime(time_bucket(INTERVAL 1 HOUR, logged_at), '%Y-%m-%d %H:%M:%S') AS window_start,
+  CAST(count(*) AS BIGINT) AS errors FROM attempts WHERE status = 'error' GROUP BY 1 HAVING count(*) > 20"""),
+    "ops_alerts": with_control(f"""
+SELECT 'collector_errors' AS alert, count(*) > 0 AS firing, CAST(count(*) AS VARCHAR) || ' hour(s) over threshold' AS detail
+  FROM (SELECT time_bucket(INTERVAL 1 HOUR, logged_at) FROM attempts WHERE status = 'error' GROUP BY 1 HAVING count(*) > 20)
+UNION ALL
+SELECT 'no_collection', t IS NULL OR t < {AS_OF} - INTERVAL 23 HOUR,
+  'last success ' || coalesce(strftime(t, '%Y-%m-%d %H:%M:%S'), 'never')
+  FROM (SELECT max(logged_at) AS t FROM attempts WHERE status LIKE 'collected_%' AND logged_at <= {AS_OF})
+UNION ALL
+SELECT 'dedup_violation', SUM(duplicates) > 0, CAST(SUM(duplicates) AS VARCHAR) || ' duplicate hash(es)' FROM dedup"""),
+    "health_checks": with_control(f"""
+SELECT 'Dedup invariant (row_hash)' AS "check", SUM(duplicates) = 0 AS ok, CAST(SUM(duplicates) AS VARCHAR) || ' duplicate hash(es)' AS detail FROM dedup
+UNION ALL SELECT 'Table-name collisions', count(*) = 0, CAST(count(*) AS VARCHAR) || ' colliding name(s)' FROM collisions
+UNION ALL SELECT 'API row ceiling', true, CAST(count(*) AS VARCHAR) || ' propert(ies) at the 50K/day limit'
+  FROM (SELECT DISTINCT property FROM attempts WHERE row_count >= 50000 AND logged_at > {AS_OF} - INTERVAL 30 DAY)
+UNION ALL SELECT 'Recent collection', count(*) > 0, CAST(count(*) AS VARCHAR) || ' attempts in 7d' FROM attempts WHERE logged_at > {AS_OF} - INTERVAL 7 DAY
+UNION ALL SELECT 'Export readable', true, 'latest export ' || coalesce(CAST(max(data_date) AS VARCHAR), 'none') FROM search_raw
+UNION ALL SELECT 'Accounts connected', SUM(CASE WHEN token_health = 'valid' THEN 1 ELSE 0 END) > 0, CAST(count(*) AS VARCHAR) || ' account(s)' FROM accounts"""),
+    "overview": with_control("""SELECT * , total_properties - tracking AS available FROM
+  (SELECT CAST(count(*) AS BIGINT) AS accounts, CAST(SUM(CASE WHEN token_health = 'valid' THEN 1 ELSE 0 END) AS BIGINT) AS healthy_accounts FROM accounts),
+  (SELECT CAST(SUM(CASE WHEN included THEN 1 ELSE 0 END) AS BIGINT) AS tracking, CAST(count(*) AS BIGINT) AS total_properties FROM registry),
+  (SELECT CAST((SELECT count(*) FROM by_property) + (SELECT count(*) FROM by_page) + (SELECT count(*) FROM totals) AS BIGINT) AS rows),
+  (SELECT CAST(coalesce(SUM(calls_today), 0) AS BIGINT) AS api_calls_today FROM usage),
+  (SELECT CAST(SUM(CASE WHEN status = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS open_errors FROM ledger),
+  (SELECT max(last_collected_date) FILTER (WHERE data_state = 'final') AS latest_final_date FROM pstatus)"""),
+    "row_hash_invariant": with_control("SELECT * FROM dedup"),
+    "property_key": with_control(f"""SELECT url, {pk('url')} AS property_key,
+  substr({pk('url')} || '_' || substr(sha256(url), 1, 8), 1, 1024) AS property_key_disambiguated,
+  CASE WHEN starts_with(url, 'sc-domain:') THEN 'domain' ELSE 'url_prefix' END AS property_type,
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '^sc-domain:', ''), '^https?://', ''), '/+$', ''), '^www\\.', '') AS client_name
+  FROM urls"""),
+    "valid_iso_date": f"""SELECT event_id, {ISO} AS text,
+  regexp_full_match({ISO}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND try_strptime({ISO}, '%Y-%m-%d') IS NOT NULL
+  AND strftime(try_strptime({ISO}, '%Y-%m-%d'), '%Y-%m-%d') = {ISO} AS valid FROM events""",
+    "valid_combo": with_control("""SELECT r.property_id, t.search_type, a.aggregation,
+  NOT (t.search_type IN ('discover', 'googleNews') AND a.aggregation IN ('byProperty', 'totals')) AS valid,
+  CASE WHEN a.aggregation = 'totals' THEN ''
+       WHEN t.search_type IN ('discover', 'googleNews') AND a.aggregation IN ('byProperty', 'totals') THEN NULL
+       WHEN t.search_type IN ('discover', 'googleNews') THEN 'page,country'
+       WHEN a.aggregation = 'byPage' THEN 'query,page,country,device' ELSE 'query,country,device' END AS dims
+  FROM registry r, (VALUES ('web'), ('image'), ('news'), ('discover')) t(search_type),
+       (VALUES ('byProperty'), ('byPage'), ('totals')) a(aggregation)"""),
+    "retryable_error": with_control(f"""SELECT event_id, error_message, {CLS} AS retryable,
+  CASE WHEN regexp_matches(coalesce(error_message, ''), '(?i)invalid_grant|token has been expired or revoked|revoked|account.*deleted')
+       THEN 'revoked' ELSE 'broken' END AS token_class,
+  CASE WHEN NOT {CLS} OR attempt >= 8 THEN 'error' ELSE 'queued' END AS next_status FROM attempts WHERE status = 'error'"""),
+    "day_final": with_control(f"""SELECT event_id, data_date, {FINAL} AS is_final,
+  CASE WHEN NOT {FINAL} THEN 'collected_fresh' WHEN coalesce(row_count, 0) > 0 THEN 'collected_with_data' ELSE 'collected_no_data' END
+    AS collect_status FROM attempts WHERE status LIKE 'collected_%'"""),
+    "pacific_day": with_control(f"SELECT event_id, {PT.format(c='logged_at')} AS pt_day FROM attempts"),
+    "collection_window": with_control("SELECT property_id, DATE '2024-01-01' AS oldest, DATE '2024-01-29' AS newest FROM registry"),
+    "days_in_range": with_control("""SELECT property_id, false AS reversed, CAST(d.day AS DATE) AS day FROM registry,
+  generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-29', INTERVAL 1 DAY) d(day)
+  UNION ALL SELECT property_id, true, CAST(NULL AS DATE) FROM registry"""),
+    "compare_window": with_base("""SELECT start, "end", mode, CAST(cs AS DATE) AS compare_start, CAST(ce AS DATE) AS compare_end FROM (
+  SELECT m AS start, CAST(last_day(m) AS DATE) AS "end", 'previous' AS mode,
+         m - CAST(1 + (CAST(last_day(m) AS DATE) - m) AS INTEGER) AS cs, m - 1 AS ce FROM (SELECT DISTINCT CAST(date_trunc('month', data_date) AS DATE) AS m FROM by_property)
+  UNION ALL SELECT m, CAST(last_day(m) AS DATE), 'yoy', m - 365, CAST(last_day(m) AS DATE) - 365 FROM (SELECT DISTINCT CAST(date_trunc('month', data_date) AS DATE) AS m FROM by_property)
+  UNION ALL SELECT m, CAST(last_day(m) AS DATE), 'yoy_weekday', m - 364, CAST(last_day(m) AS DATE) - 364 FROM (SELECT DISTINCT CAST(date_trunc('month', data_date) AS DATE) AS m FROM by_property)
+  UNION ALL SELECT m, CAST(last_day(m) AS DATE), 'prev_month', CAST(m - INTERVAL 1 MONTH AS DATE), CAST(CAST(last_day(m) AS DATE) - INTERVAL 1 MONTH AS DATE)
+   FROM (SELECT DISTINCT CAST(date_trunc('month', data_date) AS DATE) AS m FROM by_property))"""),
+    "task_id": with_control("SELECT event_id, task_id FROM attempts"),
+    "distinct": with_control("SELECT DISTINCT account_id FROM attempts WHERE account_id IS NOT NULL"),
+}
+CONTROL_SQL["dims_for"] = CONTROL_SQL["valid_combo"]
+CONTROL_SQL["token_error_class"] = CONTROL_SQL["retryable_error"]
+CONTROL_SQL["dead_letter"] = CONTROL_SQL["retryable_error"]
+CONTROL_SQL["collect_status"] = CONTROL_SQL["day_final"]
+
+
 def all_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(REPORTS)
     out.update(GROUPS)
+    out.update(CONTROL_SQL)
     return out

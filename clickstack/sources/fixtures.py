@@ -100,10 +100,12 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Fixed configuration: legacy groups (group A = sites 0-2, group B = sites 2-4, so site 2 is in
-# both and "first group wins" applies), and the property settings applied to every property.
+# both and "first group wins" applies; group C holds site 0 and its domain property, a
+# double-count risk), and the property settings applied to every property.
 GROUPS = [
     ("grp_a", "Group A", [0, 1, 2], True),
     ("grp_b", "Group B", [2, 3, 4], False),
+    ("grp_c", "Group C", [0, 6], True),
 ]
 NATIVE_SITES = [5]        # site indexes read from a bulk export rather than collected
 UNTRACKED_SITES = [7]     # discovered but not tracked
@@ -129,8 +131,10 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 def group_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(group_id, name, materialize, member_pos, property) for the declared groups, resolved
     against the registry."""
-    rows = [(g, n, m, pos, idx) for g, n, members, m in GROUPS for pos, idx in enumerate(members)]
-    decl = spark.createDataFrame(rows, "group_id string, name string, materialize boolean, member_pos int, site int")
+    rows = [(g, n, m, gpos, pos, idx) for gpos, (g, n, members, m) in enumerate(GROUPS)
+            for pos, idx in enumerate(members)]
+    decl = spark.createDataFrame(rows, "group_id string, name string, materialize boolean, group_pos int, "
+                                       "member_pos int, site int")
     reg = registry(spark, sf_dir).select("property", site_index(F.col("property")).alias("site"))
     return decl.join(reg, "site").drop("site")
 
