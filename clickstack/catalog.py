@@ -65,6 +65,7 @@ def queries() -> dict[str, QueryFn]:
     out.update(REPORTS)
     out.update(_groups())
     out.update(_ledger_queries())
+    out.update(_fact_queries())
     return out
 
 
@@ -370,3 +371,262 @@ def _health(s, d):
         O.table_name_collisions(tables.read(s, d, "pages").select("url")),
         O.row_ceiling(a, OPS_AS_OF), O.recent_attempts(a, OPS_AS_OF),
         native.export_latest_date(native.export_log(s, d)), L.accounts(a))
+
+
+# Fact plane: scans, filters, aggregations, top-k, ingest, targets ---------------------------------
+WHOLE = Filters(start=dt.date(1995, 1, 1), end=dt.date(2001, 12, 31), brand_terms=fixtures.BRAND_TERMS)
+SITE0 = "https://www.site0.example.com/"
+
+
+def _fact_queries():
+    from clickstack.functions import filters as flt
+    from clickstack.functions import keys, status
+    from clickstack.operators import groups as G
+    from clickstack.operators import ledger as L
+    from clickstack.operators import metrics as M
+    from clickstack.operators import ops as O
+    from clickstack.operators import topk as K
+    from clickstack.plans import precompute as P
+    from clickstack.sources import ingest, native
+
+    def per_property(rows):
+        return M.kpis(rows, ["property"])
+
+    def filt(table, f, **kw):
+        return lambda s, d: per_property(table(s, d).where(flt.to_column(f, **kw)))
+
+    def members(s, d):
+        return fixtures.group_members(s, d)
+
+    def native_sites(s, d):
+        return registry_df(s, d).where(F.col("source") == "native_export").select("site_url")
+
+    def site_adapter(s, d):
+        return native.native_site_adapter(native.site_export(s, d), native_sites(s, d))
+
+    def url_adapter(s, d):
+        return native.native_url_adapter(native.url_export(s, d), native_sites(s, d))
+
+    adapter_cols = ["data_date", "property", "property_type", "search_type", "aggregation", "query", "page", "country",
+                    "device", "clicks", "impressions", "ctr", "position", "is_anonymized", "row_hash", "data_state"]
+
+    def wildcard(s, d):
+        return native.wildcard_all(bp(s, d), site_adapter(s, d), native_sites(s, d))
+
+    def per_source(df):
+        return df.groupBy("source_table").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("clicks").alias("clicks"),
+                                              F.sum("impressions").alias("impressions"))
+
+    def responses_path(s, d):
+        from clickstack.sources.warehouse import Warehouse, _exists
+
+        w = Warehouse(s, d).ensure()
+        path = w.path("responses")
+        if not _exists(s, path + "/_SUCCESS"):
+            ingest.to_responses(bp(s, d)).write.mode("overwrite").json(path)
+        return path
+
+    def ingested(s, d):
+        rows = ingest.map_response_rows(ingest.read_responses(s, responses_path(s, d)), fixtures.COLLECTED_AT)
+        return ingest.with_row_hash(rows)
+
+    def state_summary(df):
+        return df.groupBy("property", "search_type", "data_state").agg(
+            F.count(F.lit(1)).alias("n_rows"), F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"))
+
+    def restated(s, d):
+        fresh = bp(s, d).where((F.col("data_state") == "fresh") & (F.col("search_type") == "web"))
+        return ingest.merge_slices(bp(s, d), fresh.withColumn("clicks", F.col("clicks") + 1))
+
+    def written_ndjson(s, d):
+        path = ingest.scratch(s, "stage")
+        rows = bp(s, d).where(F.col("data_state") == "fresh").drop("data_month", "collected_at")
+        ingest.stage_ndjson(rows, path)
+        return s.read.json(path).groupBy("property").count()
+
+    def appended(s, d):
+        path = ingest.scratch(s, "attempts")
+        p = L.reconcile(registry_df(s, d), ledger_df(s, d), LEDGER_AS_OF)
+        log = p.select("task_id", "property_id", "search_type", "aggregation", "data_date", "account_id", "status",
+                       F.lit(1).cast("long").alias("attempt"), F.lit(OPS_AS_OF).cast("timestamp").alias("logged_at"))
+        ingest.append_attempt(log, path)
+        ingest.append_attempt(log.limit(0), path)
+        return s.read.parquet(path).groupBy("status").count()
+
+    def old_new(s, d):
+        old = bp(s, d).drop("search_appearance", "row_hash")
+        new = pg(s, d)
+        u = ingest.reconcile_columns(old, new)
+        return u.groupBy("aggregation").agg(F.count(F.lit(1)).alias("n_rows"),
+                                            F.sum(F.col("row_hash").isNull().cast("long")).alias("missing_hash"),
+                                            F.sum(F.col("page").isNull().cast("long")).alias("missing_page"))
+
+    def ceiling(s, d):
+        r = ingest.pagination_ceiling(pg(s, d), ("property", "data_date", "search_type"))
+        cells = r.groupBy("property", "data_date", "search_type").agg(F.count(F.lit(1)).alias("n"),
+                                                                        F.max("hit_ceiling").alias("hit"))
+        return cells.groupBy("search_type").agg(F.count(F.lit(1)).alias("cells"), F.sum("n").alias("n_rows"),
+                                                F.sum(F.col("hit").cast("long")).alias("hit_cells"))
+
+    def movers_all(s, d):
+        return R.report_movers(bp(s, d), DEFAULT, "query", limit=None, ends=50)
+
+    def assignment(s, d):
+        return L.client_assign(registry_df(s, d), members(s, d))
+
+    def targets(s, d):
+        return P.membership(registry_df(s, d), members(s, d), assignment(s, d))
+
+    def pre(report):
+        return lambda s, d: P.precompute(bp(s, d), targets(s, d), report, FACT_AS_OF)
+
+    def breakdown_country(s, d):
+        return R.report_breakdown(bp(s, d), WHOLE, "country")
+
+    def top_queries(s, d):
+        return R.report_top_queries(bp(s, d), DEFAULT)
+
+    def trend(s, d):
+        cur = R.report_timeseries(bp(s, d), DEFAULT, "day")
+        cmp_ = R.report_timeseries(bp(s, d), DEFAULT, "day", series="compare")
+        return R.trend_overlay(cur, cmp_)
+
+    def storage(s, d):
+        from clickstack.sources.warehouse import FACT_TABLES, Warehouse
+
+        w = Warehouse(s, d).ensure()
+        return O.storage_summary(s, {t: w.path(t) for t in FACT_TABLES})
+
+    def discover_export(s, d):
+        obs = native.export_sites(native.site_export(s, d)).select(
+            F.col("site_url").alias("property"), F.lit("export0").alias("account_id"),
+            F.lit(OPS_AS_OF).cast("timestamp").alias("logged_at"))
+        reg = L.registry_merge(obs)
+        known = registry_df(s, d).where(F.col("source") == "native_export").select("site_url")
+        return reg.join(known, "site_url", "left_semi").select("property_id", "site_url", "property_type", "source",
+                                                               F.array_join("account_ids", ",").alias("account_ids"))
+
+    def purge_native(s, d):
+        w = wildcard(s, d)
+        gone = native_sites(s, d).select(F.col("site_url").alias("property"))
+        return per_source(w.join(gone, "property", "left_anti"))
+
+    def region_movers(s, d):
+        region = F.when(fixtures.site_index(F.col("site_url")).isin(fixtures.NATIVE_SITES), "EU").otherwise("US")
+        return O.region_movers(bp(s, d), registry_df(s, d), region,
+                               (dt.date(1998, 1, 1), dt.date(1998, 12, 31)), (dt.date(1997, 1, 1), dt.date(1997, 12, 31)))
+
+    return {
+        # scans and sources
+        "scan_property": lambda s, d: bp(s, d).where(F.col("property") == SITE0).select(
+            "data_date", "property", "search_type", "query", "country", "device", "clicks", "impressions", "position",
+            "row_hash"),
+        "union_members": lambda s, d: per_property(bp(s, d).join(
+            members(s, d).where(F.col("group_id") == "grp_b").select("property"), "property", "left_semi")),
+        "wildcard_all": lambda s, d: per_source(wildcard(s, d)),
+        "union_all": lambda s, d: per_source(wildcard(s, d)),
+        "native_site_adapter": lambda s, d: site_adapter(s, d).select(*adapter_cols),
+        "native_url_adapter": lambda s, d: url_adapter(s, d).select(*adapter_cols),
+        "export_sites": lambda s, d: native.export_sites(native.site_export(s, d)),
+        "export_latest_date": lambda s, d: native.export_latest_date(native.export_log(s, d)),
+        "norm_search_type": lambda s, d: native.url_export(s, d).select(
+            F.col("search_type").alias("export_type"), keys.norm_search_type(F.col("search_type")).alias("search_type")).distinct(),
+        "ingest_response_rows": lambda s, d: state_summary(ingested(s, d)),
+        "replace_slice": lambda s, d: restated(s, d).groupBy("data_state", "search_type").agg(
+            F.count(F.lit(1)).alias("n_rows"), F.sum("clicks").alias("clicks")),
+        "stage_ndjson": written_ndjson,
+        "append_attempt": appended,
+        "reconcile_columns": old_new,
+        "pagination_ceiling": ceiling,
+        "materialize_group": lambda s, d: P.materialize_groups(bp(s, d), members(s, d)),
+        "group_view": lambda s, d: per_property(P.group_view(s, bp(s, d), members(s, d), "grp_b")),
+        "group_union_agg": lambda s, d: M.group_union_agg(bp(s, d).join(
+            members(s, d).where(F.col("group_id") == "grp_b").select("property"), "property", "left_semi")),
+        "purge_native_account": purge_native,
+        "discover_export": discover_export,
+        "storage_summary": storage,
+        # filters, one clause each (metrics per property over the whole table)
+        "f_search_type": filt(bp, WHOLE.replace(search_type="image")),
+        "f_date_range": filt(bp, Filters(start=dt.date(1998, 3, 1), end=dt.date(1998, 3, 31))),
+        "f_final_only": filt(bp, WHOLE.replace(final_only=True)),
+        "f_device_in": filt(bp, WHOLE.replace(device=("MOBILE", "TABLET"))),
+        "f_country_in": filt(bp, WHOLE.replace(country=("nation_1", "nation_7"))),
+        "f_position_range": filt(bp, WHOLE.replace(position_min=5, position_max=15)),
+        "f_query_contains": filt(bp, WHOLE.replace(query="gear, widget")),
+        "f_page_contains": filt(pg, WHOLE.replace(page="/economy/, /small")),
+        "f_brand_exclude": filt(bp, WHOLE.replace(brand_exclude=("brand#2",))),
+        "f_brand_segment": filt(bp, WHOLE.replace(segment="brand")),
+        "f_brand_segment_nonbrand": filt(bp, WHOLE.replace(segment="nonbrand")),
+        "f_preset_paa": filt(bp, WHOLE.replace(presets=("paa",))),
+        "f_preset_longtail": filt(bp, WHOLE.replace(presets=("longtail",))),
+        "f_require_query": filt(pg, WHOLE, require_query=True),
+        "f_require_page": filt(pg, WHOLE, require_page=True),
+        "brand_match": lambda s, d: bp(s, d).where(F.col("query").isNotNull()).select("query").distinct().select(
+            "query", flt.brand_match(fixtures.BRAND_TERMS).alias("is_brand")),
+        "rule_match": lambda s, d: G.match_groups(
+            pg(s, d).where(F.col("search_type") == "web").select("query", "page").distinct(),
+            fixtures.semantic_groups(s, "content")).select("group_id", "query", "page"),
+        "without_segment": lambda s, d: R.report_top_pages(pg(s, d), DEFAULT.replace(segment="brand")),
+        # aggregations over the whole table
+        "metrics4": lambda s, d: M.kpis(bp(s, d), ["property", "search_type"]),
+        "kpis": lambda s, d: M.kpis(bp(s, d).where(flt.to_column(WHOLE))),
+        "timeseries": lambda s, d: M.timeseries(bp(s, d).where(flt.to_column(WHOLE)), "month"),
+        "top_entity": lambda s, d: M.top_entity(bp(s, d).where(flt.to_column(WHOLE, require_query=True)), "query"),
+        "breakdown": breakdown_country,
+        "position_buckets": lambda s, d: M.position_buckets(bp(s, d).where(flt.to_column(WHOLE))),
+        "ctr_scatter": lambda s, d: M.ctr_scatter(bp(s, d).where(flt.to_column(WHOLE, require_query=True))),
+        "ctr_curve": lambda s, d: M.ctr_curve(bp(s, d).where(flt.to_column(WHOLE, require_query=True))),
+        "ctr_bench_rows": lambda s, d: M.ctr_bench_rows(bp(s, d).where(flt.to_column(WHOLE, require_query=True))),
+        "query_page_pairs": lambda s, d: M.query_page_pairs(
+            pg(s, d).where(flt.to_column(WHOLE, require_query=True, require_page=True))),
+        "striking_distance": lambda s, d: M.striking_distance(bp(s, d).where(flt.to_column(WHOLE, require_query=True))),
+        "brand_split": lambda s, d: M.brand_split(bp(s, d).where(flt.to_column(WHOLE)), fixtures.BRAND_TERMS),
+        "brand_timeseries": lambda s, d: M.brand_timeseries(bp(s, d).where(flt.to_column(WHOLE)), fixtures.BRAND_TERMS,
+                                                            "month"),
+        "brand_share": lambda s, d: R.brand_share(M.brand_split(bp(s, d).where(flt.to_column(WHOLE)),
+                                                                fixtures.BRAND_TERMS)),
+        "period_pivot_sum": lambda s, d: O.period_pivot_sum(
+            bp(s, d), (dt.date(1998, 1, 1), dt.date(1998, 12, 31)), (dt.date(1997, 1, 1), dt.date(1997, 12, 31))),
+        "region_movers": region_movers,
+        "anomaly_pct": lambda s, d: O.anomaly_pct(tot(s, d)),
+        "totals_delta": lambda s, d: O.totals_delta(tot(s, d), bp(s, d)),
+        "home_movers": lambda s, d: O.home_movers(bp(s, d), registry_df(s, d), assignment(s, d), FACT_AS_OF),
+        "cannibalization": lambda s, d: R.report_cannibalization(pg(s, d), WHOLE, pairs_limit=None),
+        "trend_overlay": trend,
+        # top-k over the whole table
+        "topk_entities": lambda s, d: K.topk_entities(
+            M.top_entity(bp(s, d).where(flt.to_column(WHOLE, require_query=True)), "query"), 100),
+        "topk_scatter": lambda s, d: K.topk_scatter(M.ctr_scatter(bp(s, d).where(flt.to_column(WHOLE, require_query=True))), 500),
+        "topk_bench": lambda s, d: K.topk_bench(M.ctr_bench_rows(bp(s, d).where(flt.to_column(WHOLE, require_query=True))), 200),
+        "topk_pairs": lambda s, d: K.topk_pairs(M.query_page_pairs(
+            pg(s, d).where(flt.to_column(WHOLE, require_query=True, require_page=True))), 5000),
+        "topk_striking": lambda s, d: K.topk_striking(
+            M.striking_distance(bp(s, d).where(flt.to_column(WHOLE, require_query=True))), 100),
+        "movers_two_ended": movers_all,
+        "gainers_losers": lambda s, d: K.gainers_losers(movers_all(s, d), 15),
+        "topn_other": lambda s, d: K.topn_other(breakdown_country(s, d), "key", "clicks", 6),
+        "breakdown_top": lambda s, d: K.breakdown_top(breakdown_country(s, d), "clicks", 8),
+        "sorted_page": lambda s, d: K.sorted_page(top_queries(s, d), "impressions", True, 1, 10),
+        # functions over fact rows
+        "row_hash": lambda s, d: bp(s, d).select("property", "data_date", "search_type", "query", "country", "device",
+                                                 keys.row_hash().alias("row_hash")),
+        "row_hash_native": lambda s, d: site_adapter(s, d).select("property", "data_date", "search_type", "query",
+                                                                  "country", "device", "is_anonymized", "row_hash"),
+        "pct_delta": lambda s, d: top_queries(s, d).select(
+            "key", status.pct_value(F.col("clicks"), F.col("prev_clicks")).alias("clicks_pct"),
+            status.pct_delta(F.col("clicks"), F.col("prev_clicks"), "clicks").alias("clicks_chip"),
+            status.pct_delta(F.col("position"), F.col("prev_position"), "position").alias("position_chip")),
+        "group_trend": lambda s, d: G.group_trend(G.report_grouped_entities(
+            bp(s, d), DEFAULT, "topic", fixtures.semantic_groups(s, "topic")), "clicks", "growing").select("key", "change"),
+        # targets
+        "resolve_target": lambda s, d: per_property(P.resolve_target(bp(s, d), targets(s, d), "client:g_grp_a")),
+        "precompute_kpis": pre("kpis"),
+        "precompute_timeseries": pre("timeseries"),
+        "precompute_top_queries": pre("top-queries"),
+        "precompute_breakdown": pre("breakdown"),
+        "precompute_breakdown_country": pre("breakdown-country"),
+        "precompute_position_buckets": pre("position-buckets"),
+        "precompute_ctr_scatter": pre("ctr-scatter"),
+        "precompute_striking_distance": pre("striking-distance"),
+        "precompute_movers": pre("movers"),
+    }

@@ -617,9 +617,285 @@ CONTROL_SQL["dead_letter"] = CONTROL_SQL["retryable_error"]
 CONTROL_SQL["collect_status"] = CONTROL_SQL["day_final"]
 
 
+# Fact plane -------------------------------------------------------------------------------------
+WHOLE = "data_date BETWEEN DATE '1995-01-01' AND DATE '2001-12-31'"
+SITE5 = "https://www.site5.example.com/"
+NORM = ("CASE upper(search_type) WHEN 'WEB' THEN 'web' WHEN 'IMAGE' THEN 'image' WHEN 'VIDEO' THEN 'video' "
+        "WHEN 'NEWS' THEN 'news' WHEN 'DISCOVER' THEN 'discover' WHEN 'GOOGLE_NEWS' THEN 'googleNews' ELSE lower(search_type) END")
+
+
+def hash_sql(agg: str, page: str = "''", anon: str = "is_anonymized", st: str = "search_type", q: str = "coalesce(query, '')",
+             prop: str = "property") -> str:
+    return (f"sha256(concat_ws('|', {prop}, strftime(data_date, '%Y-%m-%d'), {st}, '{agg}', {q}, {page}, "
+            f"coalesce(country, ''), coalesce(device, ''), '', CASE WHEN {anon} THEN 'true' WHEN NOT {anon} THEN 'false' END))")
+
+
+FACT_CTES = f"""
+site_export AS (SELECT data_date, property AS site_url, CASE WHEN is_anonymized THEN '' ELSE query END AS query, country, device,
+  upper(search_type) AS search_type, clicks, impressions, (position - 1) * impressions AS sum_top_position,
+  is_anonymized AS is_anonymized_query FROM search_raw WHERE search_type <> 'discover'),
+url_export AS (SELECT data_date, property AS site_url, page AS url, CASE WHEN is_anonymized THEN '' ELSE query END AS query, country,
+  device, upper(search_type) AS search_type, clicks, impressions, (position - 1) * impressions AS sum_position,
+  is_anonymized AND search_type <> 'discover' AS is_anonymized_query, is_anonymized AND search_type = 'discover' AS is_anonymized_discover
+  FROM search_raw),
+site_adapter AS (SELECT data_date, site_url AS property, 'url_prefix' AS property_type, {NORM} AS search_type, 'byProperty' AS aggregation,
+  NULLIF(query, '') AS query, CAST(NULL AS VARCHAR) AS page, country, device, clicks, impressions,
+  clicks / NULLIF(impressions, 0) AS ctr, sum_top_position / NULLIF(impressions, 0) + 1 AS position,
+  is_anonymized_query AS is_anonymized,
+  {hash_sql('byProperty', anon='is_anonymized_query', st=NORM, prop='site_url')} AS row_hash, 'final' AS data_state
+  FROM site_export WHERE site_url = '{SITE5}'),
+url_adapter AS (SELECT data_date, site_url AS property, 'url_prefix' AS property_type, {NORM} AS search_type, 'byPage' AS aggregation,
+  NULLIF(query, '') AS query, url AS page, country, device, clicks, impressions,
+  clicks / NULLIF(impressions, 0) AS ctr, sum_position / NULLIF(impressions, 0) + 1 AS position,
+  (is_anonymized_query OR is_anonymized_discover) AS is_anonymized,
+  {hash_sql('byPage', page="coalesce(url, '')", anon='(is_anonymized_query OR is_anonymized_discover)', st=NORM, prop='site_url')} AS row_hash,
+  'final' AS data_state FROM url_export WHERE site_url = '{SITE5}'),
+wildcard AS (SELECT property, clicks, impressions FROM by_property WHERE property <> '{SITE5}'
+  UNION ALL SELECT property, clicks, impressions FROM site_adapter),
+targets AS (SELECT 'property:' || property_id AS target_id, site_url AS property FROM registry
+  UNION ALL SELECT 'group:' || group_id, property FROM members
+  UNION ALL SELECT 'client:' || a.client_id, r.site_url FROM assign a JOIN registry r USING (property_id)),
+tw AS (SELECT t.target_id, b.* FROM by_property b JOIN targets t ON b.property = t.property
+  WHERE b.search_type = 'web' AND b.data_date BETWEEN DATE '1998-11-06' AND DATE '1998-12-31'),
+country_bd AS (SELECT country AS key, {M4} FROM by_property WHERE {WEB} AND {WHOLE} GROUP BY country),
+movers_all AS (SELECT coalesce(c.key, p.key) AS key, CAST(coalesce(c.clicks, 0) AS BIGINT) AS clicks,
+  CAST(coalesce(p.clicks, 0) AS BIGINT) AS prev_clicks, CAST(coalesce(c.clicks, 0) - coalesce(p.clicks, 0) AS BIGINT) AS delta,
+  (c.key IS NOT NULL AND p.key IS NULL) AS is_new
+  FROM (SELECT query AS key, SUM(clicks) AS clicks FROM by_property WHERE {WEB} AND {CUR} AND query IS NOT NULL GROUP BY query) c
+  FULL OUTER JOIN (SELECT query AS key, SUM(clicks) AS clicks FROM by_property WHERE {WEB} AND {PREV} AND query IS NOT NULL GROUP BY query) p
+  ON c.key = p.key),
+movers_two AS (SELECT key, clicks, prev_clicks, delta, is_new FROM (SELECT *, row_number() OVER (ORDER BY delta DESC, key ASC NULLS LAST) AS a,
+  row_number() OVER (ORDER BY delta ASC, key DESC NULLS FIRST) AS b FROM movers_all) WHERE a <= 50 OR b <= 50)"""
+
+
+def with_fact(body: str, extra: str = "") -> str:
+    return f"WITH {BASE},{CONTROL},{FACT_CTES}{(',' + extra) if extra else ''}\n{body}"
+
+
+def per_prop(table: str, where: str) -> str:
+    return with_fact(f"SELECT property, {M4} FROM {table} WHERE {where} GROUP BY property")
+
+
+TOPQ = f"""topq AS (SELECT c.key, c.clicks, c.impressions, c.ctr, c.position,
+       p.clicks AS prev_clicks, p.impressions AS prev_impressions, p.ctr AS prev_ctr, p.position AS prev_position
+FROM (SELECT query AS key, {M4} FROM by_property WHERE {WEB} AND {CUR} AND query IS NOT NULL GROUP BY query
+      ORDER BY clicks DESC, impressions DESC, key ASC NULLS LAST LIMIT 200) c
+LEFT JOIN (SELECT query AS key, {M4} FROM by_property WHERE {WEB} AND {PREV} AND query IS NOT NULL GROUP BY query
+      ORDER BY clicks DESC, impressions DESC, key ASC NULLS LAST LIMIT 200) p ON c.key = p.key)"""
+
+PCUR = "data_date BETWEEN DATE '1998-12-04' AND DATE '1998-12-31'"
+PPREV = "data_date BETWEEN DATE '1998-11-06' AND DATE '1998-12-03'"
+
+
+def pq(where_extra: str = "TRUE") -> str:
+    return (f"SELECT target_id, query AS key, SUM(position * impressions) / NULLIF(SUM(impressions), 0) AS position, "
+            f"SUM(clicks) / NULLIF(SUM(impressions), 0) AS ctr, CAST(SUM(impressions) AS BIGINT) AS impressions, "
+            f"CAST(SUM(clicks) AS BIGINT) AS clicks FROM tw WHERE {PCUR} AND query IS NOT NULL AND {where_extra} GROUP BY target_id, query")
+
+
+def top_per_target(inner: str, order: str, n: int) -> str:
+    return (f"SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY {order}) AS rn "
+            f"FROM ({inner})) WHERE rn <= {n}")
+
+
+FACT_SQL: dict[str, str] = {
+    "scan_property": with_fact(f"""SELECT data_date, property, search_type, query, country, device, clicks, impressions, position,
+  {hash_sql('byProperty')} AS row_hash FROM by_property WHERE property = 'https://www.site0.example.com/'"""),
+    "union_members": with_fact(f"""SELECT property, {M4} FROM by_property
+  WHERE property IN (SELECT property FROM members WHERE group_id = 'grp_b') GROUP BY property"""),
+    "wildcard_all": with_fact(f"""SELECT {pk('property')} AS source_table, CAST(count(*) AS BIGINT) AS n_rows,
+  CAST(SUM(clicks) AS BIGINT) AS clicks, CAST(SUM(impressions) AS BIGINT) AS impressions FROM wildcard GROUP BY 1"""),
+    "native_site_adapter": with_fact("SELECT * FROM site_adapter"),
+    "native_url_adapter": with_fact("SELECT * FROM url_adapter"),
+    "export_sites": with_fact("SELECT DISTINCT site_url FROM site_export"),
+    "export_latest_date": with_fact("SELECT max(data_date) AS latest FROM search_raw"),
+    "norm_search_type": with_fact(f"SELECT DISTINCT search_type AS export_type, {NORM} AS search_type FROM url_export"),
+    "ingest_response_rows": with_fact("""SELECT property, search_type, data_state, CAST(count(*) AS BIGINT) AS n_rows,
+  CAST(SUM(clicks) AS BIGINT) AS clicks, CAST(SUM(impressions) AS BIGINT) AS impressions FROM by_property
+  GROUP BY property, search_type, data_state"""),
+    "replace_slice": with_fact("""SELECT data_state, search_type, CAST(count(*) AS BIGINT) AS n_rows, CAST(SUM(clicks) AS BIGINT) AS clicks FROM (
+  SELECT data_state, search_type, clicks FROM by_property WHERE NOT (data_state = 'fresh' AND search_type = 'web')
+  UNION ALL SELECT data_state, search_type, clicks + 1 FROM by_property WHERE data_state = 'fresh' AND search_type = 'web')
+  GROUP BY data_state, search_type"""),
+    "reconcile_columns": with_fact("""SELECT 'byProperty' AS aggregation, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) AS BIGINT) AS missing_hash,
+  CAST(count(*) AS BIGINT) AS missing_page FROM by_property
+  UNION ALL SELECT 'byPage', CAST(count(*) AS BIGINT), CAST(0 AS BIGINT), CAST(SUM(CASE WHEN page IS NULL THEN 1 ELSE 0 END) AS BIGINT) FROM by_page"""),
+    "pagination_ceiling": with_fact("""SELECT search_type, CAST(count(*) AS BIGINT) AS cells, CAST(SUM(n) AS BIGINT) AS n_rows,
+  CAST(SUM(CASE WHEN n >= 50000 THEN 1 ELSE 0 END) AS BIGINT) AS hit_cells
+  FROM (SELECT property, data_date, search_type, least(count(*), 50000) AS n FROM by_page GROUP BY 1, 2, 3) GROUP BY search_type"""),
+    "materialize_group": with_fact(f"""SELECT m.group_id, b.data_date, b.query, b.country, b.device,
+  CAST(SUM(b.clicks) AS BIGINT) AS clicks, CAST(SUM(b.impressions) AS BIGINT) AS impressions,
+  SUM(b.clicks) / NULLIF(SUM(b.impressions), 0) AS ctr, SUM(b.position * b.impressions) / NULLIF(SUM(b.impressions), 0) AS position
+  FROM by_property b JOIN members m ON b.property = m.property WHERE m.materialize GROUP BY 1, 2, 3, 4, 5"""),
+    "group_view": with_fact(f"""SELECT property, {M4} FROM by_property
+  WHERE property IN (SELECT property FROM members WHERE group_id = 'grp_b') GROUP BY property"""),
+    "group_union_agg": with_fact(f"""SELECT data_date, query, country, device, {M4} FROM by_property
+  WHERE property IN (SELECT property FROM members WHERE group_id = 'grp_b') GROUP BY 1, 2, 3, 4"""),
+    "purge_native_account": with_fact(f"""SELECT {pk('property')} AS source_table, CAST(count(*) AS BIGINT) AS n_rows,
+  CAST(SUM(clicks) AS BIGINT) AS clicks, CAST(SUM(impressions) AS BIGINT) AS impressions FROM wildcard
+  WHERE property <> '{SITE5}' GROUP BY 1"""),
+    "discover_export": with_fact(f"""SELECT {pk('site_url')} AS property_id, site_url, 'url_prefix' AS property_type,
+  'native_export' AS source, 'export0' AS account_ids FROM (SELECT DISTINCT site_url FROM site_export) WHERE site_url = '{SITE5}'"""),
+    "f_search_type": per_prop("by_property", f"search_type = 'image' AND {WHOLE}"),
+    "f_date_range": per_prop("by_property", f"{WEB} AND data_date BETWEEN DATE '1998-03-01' AND DATE '1998-03-31'"),
+    "f_final_only": per_prop("by_property", f"{WEB} AND {WHOLE} AND data_state = 'final'"),
+    "f_device_in": per_prop("by_property", f"{WEB} AND {WHOLE} AND device IN ('MOBILE', 'TABLET')"),
+    "f_country_in": per_prop("by_property", f"{WEB} AND {WHOLE} AND country IN ('nation_1', 'nation_7')"),
+    "f_position_range": per_prop("by_property", f"{WEB} AND {WHOLE} AND position >= 5 AND position <= 15"),
+    "f_query_contains": per_prop("by_property", f"{WEB} AND {WHOLE} AND (lower(query) LIKE '%gear%' OR lower(query) LIKE '%widget%')"),
+    "f_page_contains": per_prop("by_page", f"{WEB} AND {WHOLE} AND (lower(page) LIKE '%/economy/%' OR lower(page) LIKE '%/small%')"),
+    "f_brand_exclude": per_prop("by_property", f"{WEB} AND {WHOLE} AND lower(query) NOT LIKE '%brand#2%'"),
+    "f_brand_segment": per_prop("by_property", f"{WEB} AND {WHOLE} AND {BRAND}"),
+    "f_brand_segment_nonbrand": per_prop("by_property", f"{WEB} AND {WHOLE} AND query IS NOT NULL AND NOT {BRAND}"),
+    "f_preset_paa": per_prop("by_property", f"""{WEB} AND {WHOLE} AND regexp_matches(lower(query),
+  '^(who|what|when|where|why|how|is|are|can|could|does|do|did|will|would|should|which)\\b')"""),
+    "f_preset_longtail": per_prop("by_property", f"{WEB} AND {WHOLE} AND len(string_split(trim(query), ' ')) >= 4"),
+    "f_require_query": per_prop("by_page", f"{WEB} AND {WHOLE} AND query IS NOT NULL"),
+    "f_require_page": per_prop("by_page", f"{WEB} AND {WHOLE} AND page IS NOT NULL"),
+    "brand_match": with_fact(f"SELECT DISTINCT query, {BRAND} AS is_brand FROM by_property WHERE query IS NOT NULL"),
+    "rule_match": with_fact("""SELECT DISTINCT g.group_id, k.query, k.page FROM (SELECT DISTINCT query, page FROM by_page WHERE search_type = 'web') k
+  JOIN (VALUES ('economy', 'contains', '/economy/'), ('small', 'starts_with', 'https://www.site0.example.com/small')) g(group_id, op, value)
+  ON (g.op = 'contains' AND lower(k.page) LIKE '%' || g.value || '%') OR (g.op = 'starts_with' AND lower(k.page) LIKE g.value || '%')"""),
+    "without_segment": REPORTS["report_top_pages"],
+    "metrics4": with_fact(f"SELECT property, search_type, {M4} FROM by_property GROUP BY property, search_type"),
+    "kpis": with_fact(f"SELECT {M4} FROM by_property WHERE {WEB} AND {WHOLE}"),
+    "timeseries": ts("month", f"{WEB} AND {WHOLE}"),
+    "top_entity": with_fact(f"SELECT query AS key, {M4} FROM by_property WHERE {WEB} AND {WHOLE} AND query IS NOT NULL GROUP BY query"),
+    "breakdown": with_fact("SELECT * FROM country_bd"),
+    "position_buckets": REPORTS["report_position_buckets"].replace(CUR, WHOLE),
+    "ctr_scatter": with_fact(f"SELECT * FROM ({per_query(f'{WEB} AND {WHOLE} AND query IS NOT NULL')}) WHERE impressions > 0"),
+    "ctr_curve": REPORTS["report_ctr_curve"].replace(CUR, WHOLE),
+    "ctr_bench_rows": with_fact(f"SELECT * FROM ({per_query(f'{WEB} AND {WHOLE} AND query IS NOT NULL')}) WHERE position <= 10 AND impressions > 0"),
+    "query_page_pairs": with_fact(f"""SELECT query AS q, page AS p, CAST(SUM(clicks) AS BIGINT) AS clicks, CAST(SUM(impressions) AS BIGINT) AS impressions,
+  SUM(position * impressions) / NULLIF(SUM(impressions), 0) AS position FROM by_page
+  WHERE {WEB} AND {WHOLE} AND query IS NOT NULL AND page IS NOT NULL GROUP BY query, page"""),
+    "striking_distance": with_fact(f"SELECT * FROM ({per_query(f'{WEB} AND {WHOLE} AND query IS NOT NULL')}) WHERE position >= 11 AND position <= 20"),
+    "brand_split": REPORTS["report_brand_split"].replace(CUR, WHOLE),
+    "brand_timeseries": with_fact(f"""SELECT strftime(CAST(date_trunc('month', data_date) AS DATE), '%Y-%m-%d') AS date,
+ CAST(SUM(CASE WHEN {BRAND} THEN clicks ELSE 0 END) AS BIGINT) AS brand,
+ CAST(SUM(CASE WHEN NOT {BRAND} THEN clicks ELSE 0 END) AS BIGINT) AS nonbrand,
+ CAST(SUM(CASE WHEN {BRAND} THEN impressions ELSE 0 END) AS BIGINT) AS brandImpr,
+ CAST(SUM(CASE WHEN NOT {BRAND} THEN impressions ELSE 0 END) AS BIGINT) AS nonbrandImpr
+FROM by_property WHERE {WEB} AND {WHOLE} AND query IS NOT NULL GROUP BY 1"""),
+    "brand_share": with_fact(f"""SELECT CAST(b AS BIGINT) AS brand_clicks, CAST(n AS BIGINT) AS nonbrand_clicks,
+  coalesce(b * 100.0 / NULLIF(b + n, 0), 0.0) AS brand_share FROM (
+  SELECT SUM(CASE WHEN {BRAND} THEN clicks ELSE 0 END) AS b, SUM(CASE WHEN NOT {BRAND} THEN clicks ELSE 0 END) AS n
+  FROM by_property WHERE {WEB} AND {WHOLE} AND query IS NOT NULL)"""),
+    "period_pivot_sum": with_fact(f"""SELECT {pk('property')} AS source_table,
+  CAST(SUM(CASE WHEN {CUR} THEN clicks ELSE 0 END) AS BIGINT) AS clicks, CAST(SUM(CASE WHEN {PREV} THEN clicks ELSE 0 END) AS BIGINT) AS prev_clicks
+  FROM by_property WHERE {WEB} AND data_date BETWEEN DATE '1997-01-01' AND DATE '1998-12-31' GROUP BY 1"""),
+    "region_movers": with_fact(f"""SELECT CASE WHEN r.site = 5 THEN 'EU' ELSE 'US' END AS region, x.* FROM (
+  SELECT {pk('property')} AS source_table, CAST(SUM(CASE WHEN {CUR} THEN clicks ELSE 0 END) AS BIGINT) AS clicks,
+  CAST(SUM(CASE WHEN {PREV} THEN clicks ELSE 0 END) AS BIGINT) AS prev_clicks
+  FROM by_property WHERE {WEB} AND data_date BETWEEN DATE '1997-01-01' AND DATE '1998-12-31' GROUP BY 1) x
+  JOIN registry r ON r.property_id = x.source_table"""),
+    "anomaly_pct": with_fact("""SELECT property, SUM(CASE WHEN is_anonymized THEN impressions ELSE 0 END) / NULLIF(SUM(impressions), 0) AS anomaly_pct
+  FROM totals GROUP BY property"""),
+    "totals_delta": with_fact("""SELECT t.property, t.data_date, t.search_type, CAST(greatest(0, t.clicks - coalesce(b.c, 0)) AS BIGINT) AS delta_clicks,
+  CAST(greatest(0, t.impressions - coalesce(b.i, 0)) AS BIGINT) AS delta_impressions FROM totals t
+  LEFT JOIN (SELECT property, data_date, search_type, SUM(clicks) AS c, SUM(impressions) AS i FROM by_property GROUP BY 1, 2, 3) b
+  ON t.property = b.property AND t.data_date = b.data_date AND t.search_type = b.search_type WHERE NOT t.is_anonymized"""),
+    "home_movers": with_fact(f"""SELECT 'client' AS type, a.client_id AS id, a.client_name AS name, CAST(SUM(x.clicks) AS BIGINT) AS clicks,
+  CAST(SUM(x.prev_clicks) AS BIGINT) AS prev_clicks, CAST(SUM(x.clicks) - SUM(x.prev_clicks) AS BIGINT) AS delta,
+  CASE WHEN SUM(x.prev_clicks) > 0 THEN (SUM(x.clicks) - SUM(x.prev_clicks)) / SUM(x.prev_clicks) * 100 END AS delta_pct
+  FROM (SELECT {pk('property')} AS source_table,
+    SUM(CASE WHEN data_date BETWEEN DATE '1998-12-01' AND DATE '1998-12-28' THEN clicks ELSE 0 END) AS clicks,
+    SUM(CASE WHEN data_date BETWEEN DATE '1998-11-03' AND DATE '1998-11-30' THEN clicks ELSE 0 END) AS prev_clicks
+    FROM by_property WHERE {WEB} AND data_date BETWEEN DATE '1998-11-03' AND DATE '1998-12-28' GROUP BY 1) x
+  JOIN registry r ON r.property_id = x.source_table AND r.included JOIN assign a ON a.property_id = x.source_table
+  GROUP BY a.client_id, a.client_name"""),
+    "cannibalization": with_fact("""
+SELECT q.key, q.pages, q.clicks, q.impressions, r.rank, r.page, r.page_clicks, r.page_impressions, r.page_position
+FROM q JOIN (SELECT q AS key, row_number() OVER (PARTITION BY q ORDER BY impressions DESC, p ASC) AS rank, p AS page,
+                    clicks AS page_clicks, impressions AS page_impressions, position AS page_position FROM pairs) r
+  ON q.key = r.key WHERE r.rank <= 8""", f"""
+pairs AS (SELECT query AS q, page AS p, CAST(SUM(clicks) AS BIGINT) AS clicks, CAST(SUM(impressions) AS BIGINT) AS impressions,
+   SUM(position * impressions) / NULLIF(SUM(impressions), 0) AS position
+   FROM by_page WHERE {WEB} AND {WHOLE} AND query IS NOT NULL AND page IS NOT NULL GROUP BY query, page),
+q AS (SELECT q AS key, CAST(count(*) AS BIGINT) AS pages, CAST(SUM(clicks) AS BIGINT) AS clicks,
+   CAST(SUM(impressions) AS BIGINT) AS impressions FROM pairs GROUP BY q
+   HAVING count(*) >= 2 AND SUM(impressions) >= 10 ORDER BY impressions DESC, key ASC LIMIT 200)"""),
+    "trend_overlay": with_fact("""SELECT c.date, c.value, p.value AS compare FROM
+  (SELECT strftime(data_date, '%Y-%m-%d') AS date, CAST(SUM(clicks) AS BIGINT) AS value, row_number() OVER (ORDER BY data_date) AS i
+   FROM by_property WHERE search_type = 'web' AND data_date BETWEEN DATE '1998-01-01' AND DATE '1998-12-31' GROUP BY data_date) c
+  LEFT JOIN (SELECT CAST(SUM(clicks) AS BIGINT) AS value, row_number() OVER (ORDER BY data_date) AS i
+   FROM by_property WHERE search_type = 'web' AND data_date BETWEEN DATE '1997-01-01' AND DATE '1997-12-31' GROUP BY data_date) p
+  ON c.i = p.i"""),
+    "topk_entities": with_fact(f"""SELECT query AS key, {M4} FROM by_property WHERE {WEB} AND {WHOLE} AND query IS NOT NULL GROUP BY query
+  ORDER BY clicks DESC, impressions DESC, key ASC LIMIT 100"""),
+    "topk_scatter": with_fact(f"SELECT * FROM ({per_query(f'{WEB} AND {WHOLE} AND query IS NOT NULL')}) WHERE impressions > 0 ORDER BY impressions DESC, key LIMIT 500"),
+    "topk_bench": with_fact(f"""SELECT * FROM ({per_query(f'{WEB} AND {WHOLE} AND query IS NOT NULL')}) WHERE position <= 10 AND impressions > 0
+  ORDER BY impressions DESC, key LIMIT 200"""),
+    "topk_pairs": with_fact(f"""SELECT query AS q, page AS p, CAST(SUM(clicks) AS BIGINT) AS clicks, CAST(SUM(impressions) AS BIGINT) AS impressions,
+  SUM(position * impressions) / NULLIF(SUM(impressions), 0) AS position FROM by_page
+  WHERE {WEB} AND {WHOLE} AND query IS NOT NULL AND page IS NOT NULL GROUP BY query, page ORDER BY impressions DESC, q, p LIMIT 5000"""),
+    "topk_striking": with_fact(f"""SELECT * FROM ({per_query(f'{WEB} AND {WHOLE} AND query IS NOT NULL')}) WHERE position >= 11 AND position <= 20
+  ORDER BY impressions DESC, key LIMIT 100"""),
+    "movers_two_ended": with_fact("SELECT * FROM movers_two"),
+    "gainers_losers": with_fact("""SELECT key, clicks, prev_clicks, delta, is_new, 'gainer' AS side FROM movers_two WHERE delta > 0
+  ORDER BY delta DESC, key LIMIT 15""").replace("ORDER BY delta DESC, key LIMIT 15", """QUALIFY row_number() OVER (ORDER BY delta DESC, key) <= 15
+  UNION ALL SELECT key, clicks, prev_clicks, delta, is_new, 'loser' FROM movers_two WHERE delta < 0
+  QUALIFY row_number() OVER (ORDER BY delta ASC, key) <= 15"""),
+    "topn_other": with_fact("""SELECT key, slot, clicks, clicks * 100.0 / SUM(clicks) OVER () AS share FROM (
+  SELECT CASE WHEN rn <= 6 THEN key ELSE 'Other' END AS key, CASE WHEN rn <= 6 THEN rn ELSE 7 END AS slot, CAST(SUM(clicks) AS BIGINT) AS clicks
+  FROM (SELECT key, clicks, row_number() OVER (ORDER BY clicks DESC, key ASC) AS rn FROM country_bd WHERE clicks > 0) GROUP BY 1, 2)"""),
+    "breakdown_top": with_fact("""SELECT *, abs(clicks) / greatest(max(abs(clicks)) OVER (), 1.0) AS bar FROM (
+  SELECT *, row_number() OVER (ORDER BY clicks DESC, key ASC) AS rank FROM country_bd WHERE key IS NOT NULL AND key <> '')
+  WHERE rank <= 8"""),
+    "sorted_page": with_fact("SELECT * FROM topq ORDER BY impressions DESC, key LIMIT 10 OFFSET 10", TOPQ),
+    "row_hash": with_fact(f"SELECT property, data_date, search_type, query, country, device, {hash_sql('byProperty')} AS row_hash FROM by_property"),
+    "row_hash_native": with_fact("SELECT property, data_date, search_type, query, country, device, is_anonymized, row_hash FROM site_adapter"),
+    "pct_delta": with_fact("""SELECT key,
+  CASE WHEN prev_clicks IS NULL OR prev_clicks = 0 OR clicks IS NULL THEN NULL ELSE (clicks - prev_clicks) / abs(prev_clicks) * 100 END AS clicks_pct,
+  CASE WHEN clicks IS NULL OR prev_clicks IS NULL THEN NULL WHEN prev_clicks = 0 THEN CASE WHEN clicks > 0 THEN 'new' END
+       WHEN abs((clicks - prev_clicks) / abs(prev_clicks) * 100) < 0.05 THEN 'flat'
+       WHEN (clicks - prev_clicks) / abs(prev_clicks) * 100 > 0 THEN 'good' ELSE 'bad' END AS clicks_chip,
+  CASE WHEN position IS NULL OR prev_position IS NULL THEN NULL WHEN prev_position = 0 THEN NULL
+       WHEN abs((position - prev_position) / abs(prev_position) * 100) < 0.05 THEN 'flat'
+       WHEN (position - prev_position) / abs(prev_position) * 100 > 0 THEN 'bad' ELSE 'good' END AS position_chip
+  FROM topq""", TOPQ),
+    "resolve_target": with_fact(f"""SELECT property, {M4} FROM by_property WHERE property IN
+  (SELECT property FROM targets WHERE target_id = 'client:g_grp_a') GROUP BY property"""),
+    "precompute_kpis": with_fact(f"""SELECT target_id, {m4('', PCUR)}, {m4('prev_', PPREV)} FROM tw GROUP BY target_id"""),
+    "precompute_timeseries": with_fact(f"""SELECT target_id, strftime(data_date, '%Y-%m-%d') AS date, {M4} FROM tw WHERE {PCUR}
+  GROUP BY target_id, data_date"""),
+    "precompute_breakdown": with_fact(f"SELECT target_id, device AS key, {M4} FROM tw WHERE {PCUR} GROUP BY target_id, device"),
+    "precompute_breakdown_country": with_fact(f"SELECT target_id, country AS key, {M4} FROM tw WHERE {PCUR} GROUP BY target_id, country"),
+    "precompute_position_buckets": with_fact(f"""SELECT target_id, strftime(data_date, '%Y-%m-%d') AS date,
+ CAST(SUM(CASE WHEN position <= 3 THEN impressions ELSE 0 END) AS BIGINT) AS top3,
+ CAST(SUM(CASE WHEN position > 3 AND position <= 10 THEN impressions ELSE 0 END) AS BIGINT) AS p4_10,
+ CAST(SUM(CASE WHEN position > 10 AND position <= 20 THEN impressions ELSE 0 END) AS BIGINT) AS p11_20,
+ CAST(SUM(CASE WHEN position > 20 AND position <= 50 THEN impressions ELSE 0 END) AS BIGINT) AS p21_50,
+ CAST(SUM(CASE WHEN position > 50 THEN impressions ELSE 0 END) AS BIGINT) AS p50plus
+ FROM tw WHERE {PCUR} GROUP BY target_id, data_date"""),
+    "precompute_ctr_scatter": with_fact(top_per_target(f"SELECT * FROM ({pq()}) WHERE impressions > 0", "impressions DESC, key ASC", 500)),
+    "precompute_striking_distance": with_fact(top_per_target(f"SELECT * FROM ({pq()}) WHERE position >= 11 AND position <= 20",
+                                                             "impressions DESC, key ASC", 100)),
+    "precompute_top_queries": with_fact("""SELECT c.target_id, c.key, c.clicks, c.impressions, c.ctr, c.position,
+  p.clicks AS prev_clicks, p.impressions AS prev_impressions, p.ctr AS prev_ctr, p.position AS prev_position
+  FROM c LEFT JOIN p ON c.target_id = p.target_id AND c.key = p.key""", f"""
+c AS ({top_per_target(f"SELECT target_id, query AS key, {M4} FROM tw WHERE {PCUR} AND query IS NOT NULL GROUP BY target_id, query",
+                      "clicks DESC, impressions DESC, key ASC", 200)}),
+p AS ({top_per_target(f"SELECT target_id, query AS key, {M4} FROM tw WHERE {PPREV} AND query IS NOT NULL GROUP BY target_id, query",
+                      "clicks DESC, impressions DESC, key ASC", 200)})"""),
+    "precompute_movers": with_fact("""SELECT target_id, key, clicks, prev_clicks, delta, is_new FROM (
+  SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY delta DESC, key ASC) AS a,
+            row_number() OVER (PARTITION BY target_id ORDER BY delta ASC, key DESC) AS b FROM m) WHERE a <= 50 OR b <= 50""", f"""
+c AS ({top_per_target(f"SELECT target_id, query AS key, {M4} FROM tw WHERE {PCUR} AND query IS NOT NULL GROUP BY target_id, query",
+                      "clicks DESC, impressions DESC, key ASC", 1000)}),
+p AS ({top_per_target(f"SELECT target_id, query AS key, {M4} FROM tw WHERE {PPREV} AND query IS NOT NULL GROUP BY target_id, query",
+                      "clicks DESC, impressions DESC, key ASC", 1000)}),
+m AS (SELECT coalesce(c.target_id, p.target_id) AS target_id, coalesce(c.key, p.key) AS key, CAST(coalesce(c.clicks, 0) AS BIGINT) AS clicks,
+  CAST(coalesce(p.clicks, 0) AS BIGINT) AS prev_clicks, CAST(coalesce(c.clicks, 0) - coalesce(p.clicks, 0) AS BIGINT) AS delta,
+  (c.key IS NOT NULL AND p.key IS NULL) AS is_new FROM c FULL OUTER JOIN p ON c.target_id = p.target_id AND c.key = p.key)"""),
+}
+FACT_SQL["union_all"] = FACT_SQL["wildcard_all"]
+
+
 def all_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(REPORTS)
     out.update(GROUPS)
     out.update(CONTROL_SQL)
+    out.update(FACT_SQL)
     return out
