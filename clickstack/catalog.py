@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from clickstack.functions.filters import Filters
 from clickstack.operators import reports as R
 from clickstack.sources import fixtures
-from clickstack.sources.warehouse import fact
+from clickstack.sources.warehouse import control, fact
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -66,6 +66,7 @@ def queries() -> dict[str, QueryFn]:
     out.update(_groups())
     out.update(_ledger_queries())
     out.update(_fact_queries())
+    out.update(_streaming_queries())
     return out
 
 
@@ -145,17 +146,15 @@ def _ts_text(c):
 
 
 def attempts(s, d):
-    return fixtures.attempts(s, d)
+    return control(s, d, "attempts")
 
 
 def ledger_df(s, d):
-    from clickstack.operators import ledger as L
-
-    return L.latest_state(attempts(s, d))
+    return control(s, d, "ledger")
 
 
 def registry_df(s, d):
-    return fixtures.registry(s, d)
+    return control(s, d, "registry")
 
 
 def _ledger_queries():
@@ -175,16 +174,16 @@ def _ledger_queries():
                          "account_id")
 
     def members(s, d):
-        return fixtures.group_members(s, d)
+        return control(s, d, "members")
 
     def assignment(s, d):
-        return L.client_assign(registry_df(s, d), members(s, d))
+        return control(s, d, "assignment")
 
     def pstatus(s, d):
         return L.property_status(registry_df(s, d), attempts(s, d))
 
     def accts(s, d):
-        return L.accounts(attempts(s, d))
+        return control(s, d, "accounts")
 
     def usage(s, d):
         return O.api_usage(attempts(s, d), OPS_AS_OF)
@@ -277,12 +276,12 @@ def _ledger_queries():
 
     return {
         # registry / ledger
-        "registry_merge": lambda s, d: reg_out(registry_df(s, d)),
-        "latest_state": lambda s, d: ledger_out(ledger_df(s, d)),
+        "registry_merge": lambda s, d: reg_out(L.registry_merge(attempts(s, d))),
+        "latest_state": lambda s, d: ledger_out(L.latest_state(attempts(s, d))),
         "property_status": lambda s, d: pstatus(s, d).select(
             "property_id", "kind", "last_collected_date", "data_state", "last_error",
             _ts_text(F.col("last_error_at")).alias("last_error_at")),
-        "client_assign": assignment,
+        "client_assign": lambda s, d: L.client_assign(registry_df(s, d), members(s, d)),
         "client_kinds": lambda s, d: L.client_kinds(registry_df(s, d), assignment(s, d)),
         "reconcile": planned,
         "plan_missing": lambda s, d: L.missing_days(
@@ -370,7 +369,7 @@ def _health(s, d):
         O.row_hash_invariant({"by_property": bp(s, d), "by_page": pg(s, d), "totals": tot(s, d)}),
         O.table_name_collisions(tables.read(s, d, "pages").select("url")),
         O.row_ceiling(a, OPS_AS_OF), O.recent_attempts(a, OPS_AS_OF),
-        native.export_latest_date(native.export_log(s, d)), L.accounts(a))
+        native.export_latest_date(native.export_log(s, d)), control(s, d, "accounts"))
 
 
 # Fact plane: scans, filters, aggregations, top-k, ingest, targets ---------------------------------
@@ -396,7 +395,7 @@ def _fact_queries():
         return lambda s, d: per_property(table(s, d).where(flt.to_column(f, **kw)))
 
     def members(s, d):
-        return fixtures.group_members(s, d)
+        return control(s, d, "members")
 
     def native_sites(s, d):
         return registry_df(s, d).where(F.col("source") == "native_export").select("site_url")
@@ -472,10 +471,10 @@ def _fact_queries():
         return R.report_movers(bp(s, d), DEFAULT, "query", limit=None, ends=50)
 
     def assignment(s, d):
-        return L.client_assign(registry_df(s, d), members(s, d))
+        return control(s, d, "assignment")
 
     def targets(s, d):
-        return P.membership(registry_df(s, d), members(s, d), assignment(s, d))
+        return control(s, d, "targets")
 
     def pre(report):
         return lambda s, d: P.precompute(bp(s, d), targets(s, d), report, FACT_AS_OF)
@@ -630,3 +629,39 @@ def _fact_queries():
         "precompute_striking_distance": pre("striking-distance"),
         "precompute_movers": pre("movers"),
     }
+
+
+# Streaming (S1, S2) -------------------------------------------------------------------------------
+def _streaming_queries():
+    from clickstack.schema import ATTEMPT
+    from clickstack.sources import ingest
+    from clickstack.sources.warehouse import Warehouse, _exists
+    from clickstack.streaming import ingest_stream, ops_stream
+
+    def responses(s, d):
+        w = Warehouse(s, d).ensure()
+        path = w.path("responses")
+        if not _exists(s, path + "/_SUCCESS"):
+            ingest.to_responses(bp(s, d)).write.mode("overwrite").json(path)
+        return path
+
+    def attempt_files(s, d):
+        w = Warehouse(s, d).ensure()
+        path = w.path("attempt_log")
+        if not _exists(s, path + "/_SUCCESS"):
+            (attempts(s, d).select(*[f.name for f in ATTEMPT.fields])
+             .repartitionByRange(16, "logged_at").write.mode("overwrite").parquet(path))
+        return path
+
+    def stream_ingest(s, d):
+        run = ingest.scratch(s, "stream-ingest")
+        t = ingest_stream.run_available(s, responses(s, d), run + "/table", run + "/checkpoint", fixtures.COLLECTED_AT)
+        return t.groupBy("property", "search_type", "data_state").agg(
+            F.count(F.lit(1)).alias("n_rows"), F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"))
+
+    def stream_ops(s, d):
+        run = ingest.scratch(s, "stream-ops")
+        out = ops_stream.run_available(s, attempt_files(s, d), run + "/sink", run + "/checkpoint")
+        return out.select(_ts_text(F.col("window_start")).alias("window_start"), "errors", "alert")
+
+    return {"stream_ingest": stream_ingest, "stream_ops": stream_ops}

@@ -890,6 +890,10 @@ m AS (SELECT coalesce(c.target_id, p.target_id) AS target_id, coalesce(c.key, p.
   (c.key IS NOT NULL AND p.key IS NULL) AS is_new FROM c FULL OUTER JOIN p ON c.target_id = p.target_id AND c.key = p.key)"""),
 }
 FACT_SQL["union_all"] = FACT_SQL["wildcard_all"]
+FACT_SQL["stream_ingest"] = FACT_SQL["ingest_response_rows"]
+FACT_SQL["group_trend"] = with_fact("""SELECT key, (clicks - prev_clicks) / abs(prev_clicks) * 100 AS change FROM g
+  WHERE prev_clicks IS NOT NULL AND prev_clicks <> 0 AND (clicks - prev_clicks) / abs(prev_clicks) * 100 > 0""",
+  "g AS (" + GROUPS["report_grouped_entities_saved_topic"].split(BASE, 1)[1].lstrip(",\n").replace("WITH ", "", 1) + ")")
 
 
 def all_sql() -> dict[str, str]:

@@ -128,14 +128,15 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.registry_merge(attempts(spark, sf_dir))
 
 
-def group_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(group_id, name, materialize, member_pos, property) for the declared groups, resolved
-    against the registry."""
+def group_members(spark: SparkSession, sf_dir: str, registry_df: DataFrame | None = None) -> DataFrame:
+    """(group_id, name, materialize, group_pos, member_pos, property) for the declared groups,
+    resolved against the registry."""
     rows = [(g, n, m, gpos, pos, idx) for gpos, (g, n, members, m) in enumerate(GROUPS)
             for pos, idx in enumerate(members)]
     decl = spark.createDataFrame(rows, "group_id string, name string, materialize boolean, group_pos int, "
                                        "member_pos int, site int")
-    reg = registry(spark, sf_dir).select("property", site_index(F.col("property")).alias("site"))
+    reg = (registry_df if registry_df is not None else registry(spark, sf_dir))
+    reg = reg.select("property", site_index(F.col("property")).alias("site"))
     return decl.join(reg, "site").drop("site")
 
 
