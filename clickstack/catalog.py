@@ -67,6 +67,9 @@ def queries() -> dict[str, QueryFn]:
     out.update(_ledger_queries())
     out.update(_fact_queries())
     out.update(_streaming_queries())
+    out.update(_more_queries())
+    for alias, target in ALIASES.items():
+        out[alias] = out[target]
     return out
 
 
@@ -665,3 +668,46 @@ def _streaming_queries():
         return out.select(_ts_text(F.col("window_start")).alias("window_start"), "errors", "alert")
 
     return {"stream_ingest": stream_ingest, "stream_ops": stream_ops}
+
+
+# Remaining inventory entries and names that stand for a part of a larger query --------------------
+def _more_queries():
+    from clickstack.functions import dates
+    from clickstack.functions import filters as flt
+    from clickstack.operators import groups as G
+    from clickstack.operators import ledger as L
+    from clickstack.operators import ops as O
+    from clickstack.sources import tables
+
+    def new_suggestions(s, d):
+        seed = G.seed_entities(pg(s, d), flt.without_segment(DEFAULT), "page")
+        suggested = G.auto_content_groups(seed)
+        saved = fixtures.semantic_groups(s, "content").select("name").distinct()
+        return L.new_suggestions(suggested, saved)
+
+    def movers_windows(s, d):
+        m = bp(s, d).select("data_month").distinct().select(F.col("data_month").alias("start"),
+                                                             F.last_day("data_month").alias("end"))
+        parts = []
+        for mode in ("none", "custom", "yoy"):
+            cs, ce = dates.movers_window_cols(F.col("start"), F.col("end"), mode)
+            parts.append(m.select("start", "end", F.lit(mode).alias("mode"), cs.alias("compare_start"),
+                                  ce.alias("compare_end")))
+        return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+    def billing_total(s, d):
+        return O.billing_total(O.billing_by_service(O.billing_export(tables.read(s, d, "events")), OPS_AS_OF))
+
+    return {"new_suggestions": new_suggestions, "movers_window": movers_windows, "billing_total": billing_total}
+
+
+# Inventory names whose operator is computed inside another registered query (same result).
+ALIASES = {
+    "top_with_prev": "report_top_queries",          # C1
+    "movers": "report_movers",                      # C2
+    "content_decay": "report_content_decay",        # C3
+    "ctr_benchmark": "report_ctr_benchmark",        # C4
+    "property_key_disambiguated": "property_key",   # H4
+    "property_type": "property_key",                # H5
+    "client_name": "property_key",                  # H25
+}

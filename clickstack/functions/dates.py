@@ -112,3 +112,12 @@ def compare_window_cols(start, end, mode: str = "previous", match_weekdays: bool
     days = F.datediff(e, s)
     prev_end = F.date_sub(s, 1)
     return F.date_sub(prev_end, days), prev_end
+
+
+def movers_window_cols(start, end, mode: str | None = None, match_weekdays: bool = False, custom_complete: bool = False):
+    """H9 over date columns: like H8, but 'none' (and a custom window without both dates)
+    falls back to 'previous'."""
+    m = "previous" if (not mode or mode == "none" or (mode == "custom" and not custom_complete)) else mode
+    if m == "custom":
+        raise ValueError("a complete custom window is given as literal dates, not computed")
+    return compare_window_cols(start, end, m, match_weekdays)

@@ -891,6 +891,16 @@ m AS (SELECT coalesce(c.target_id, p.target_id) AS target_id, coalesce(c.key, p.
 }
 FACT_SQL["union_all"] = FACT_SQL["wildcard_all"]
 FACT_SQL["stream_ingest"] = FACT_SQL["ingest_response_rows"]
+FACT_SQL["new_suggestions"] = with_fact("""SELECT * FROM (""" + content_groups_sql(seed_sql("by_page", "page", f"{WEB} AND {CUR}", 500))
+                                        + """) WHERE lower(name) NOT IN ('economy', 'small')""")
+FACT_SQL["movers_window"] = with_base("""SELECT start, "end", mode, CAST(cs AS DATE) AS compare_start, CAST(ce AS DATE) AS compare_end FROM (
+  SELECT m AS start, CAST(last_day(m) AS DATE) AS "end", md AS mode,
+         m - CAST(1 + (CAST(last_day(m) AS DATE) - m) AS INTEGER) AS cs, m - 1 AS ce
+  FROM (SELECT DISTINCT CAST(date_trunc('month', data_date) AS DATE) AS m FROM by_property), (VALUES ('none'), ('custom')) v(md)
+  UNION ALL SELECT m, CAST(last_day(m) AS DATE), 'yoy', m - 365, CAST(last_day(m) AS DATE) - 365
+  FROM (SELECT DISTINCT CAST(date_trunc('month', data_date) AS DATE) AS m FROM by_property))""")
+FACT_SQL["billing_total"] = with_control(f"""SELECT round(SUM(cost), 2) AS total FROM (SELECT round(SUM(cost), 2) AS cost FROM billing
+  WHERE usage_start_time >= {AS_OF} - INTERVAL 30 DAY GROUP BY coalesce(service, 'unknown'), currency)""")
 FACT_SQL["group_trend"] = with_fact("""SELECT key, (clicks - prev_clicks) / abs(prev_clicks) * 100 AS change FROM g
   WHERE prev_clicks IS NOT NULL AND prev_clicks <> 0 AND (clicks - prev_clicks) / abs(prev_clicks) * 100 > 0""",
   "g AS (" + GROUPS["report_grouped_entities_saved_topic"].split(BASE, 1)[1].lstrip(",\n").replace("WITH ", "", 1) + ")")
@@ -902,4 +912,9 @@ def all_sql() -> dict[str, str]:
     out.update(GROUPS)
     out.update(CONTROL_SQL)
     out.update(FACT_SQL)
+    from clickstack.catalog import ALIASES
+
+    for alias, target in ALIASES.items():
+        if target in out:
+            out[alias] = out[target]
     return out

@@ -100,3 +100,13 @@ def test_client_assign_first_group_wins(spark):
     assert a["urlp_www_site5_example_com"] == "p_urlp_www_site5_example_com"
     assert "domain_site1_example_com" not in a                  # untracked, not native
     assert fixtures.GROUPS[0][0] == "grp_a"
+
+
+def test_daily_run(spark, tmp_path):
+    from clickstack.catalog import FACT_AS_OF, LEDGER_AS_OF
+    from clickstack.plans import daily
+    from tests.conftest import SF_SMALL
+
+    steps = {r.step: r.rows for r in daily.run(spark, SF_SMALL, str(tmp_path), FACT_AS_OF, LEDGER_AS_OF).collect()}
+    assert steps["discover"] == 8 and steps["reconcile"] > 0 and steps["precompute"] > 0
+    assert steps["dedup_duplicates"] == 0
