@@ -123,7 +123,8 @@ def _groups():
     return {
         "auto_content_groups": lambda s, d: G.auto_content_groups(seed_pages(s, d)),
         "auto_content_groups_pages": pages_content_groups,
-        "auto_topic_clusters": lambda s, d: G.auto_topic_clusters(seed_queries(s, d), fixtures.BRAND_TERMS),
+        "auto_topic_clusters": lambda s, d: G.auto_topic_clusters(seed_queries(s, d), fixtures.BRAND_TERMS, bounded=True),
+        "auto_topic_clusters_exact": lambda s, d: G.auto_topic_clusters(seed_queries(s, d), fixtures.BRAND_TERMS),
         "auto_suggest_content": lambda s, d: G.auto_suggest(pg(s, d), "content", DEFAULT.end, fixtures.BRAND_TERMS),
         "auto_suggest_topic": lambda s, d: G.auto_suggest(bp(s, d), "topic", DEFAULT.end, fixtures.BRAND_TERMS),
         "report_grouped_entities_content": lambda s, d: G.report_grouped_entities(pg(s, d), DEFAULT, "content"),

@@ -906,12 +906,62 @@ FACT_SQL["group_trend"] = with_fact("""SELECT key, (clicks - prev_clicks) / abs(
   "g AS (" + GROUPS["report_grouped_entities_saved_topic"].split(BASE, 1)[1].lstrip(",\n").replace("WITH ", "", 1) + ")")
 
 
+# The greedy topic cover (R17) as a recursive CTE: after round r the unclaimed queries are exactly
+# those containing none of the terms chosen so far.
+def topic_ctes(seed: str) -> str:
+    return f"""
+docs AS (SELECT key AS doc, greatest(0, coalesce(impressions, 0)) AS w,
+  list_distinct(list_filter(regexp_extract_all(lower(key), '[a-z0-9]+'), lambda t: length(t) >= 3
+     AND NOT list_contains({STOPWORDS_SQL}, t) AND NOT list_contains(['brand#2', 'brand#17'], t)
+     AND NOT regexp_matches(t, '^[0-9]+$'))) AS terms FROM ({seed}) WHERE key IS NOT NULL AND key <> ''),
+dterms AS (SELECT doc, w, terms, unnest(terms) AS term FROM docs),
+picks(r, chosen) AS (SELECT 0, CAST([] AS VARCHAR[])
+  UNION ALL SELECT p.r + 1, list_append(p.chosen, b.term) FROM picks p,
+  LATERAL (SELECT term FROM dterms WHERE NOT list_has_any(dterms.terms, p.chosen) GROUP BY term
+           ORDER BY SUM(w + 1) DESC, term LIMIT 1) b WHERE p.r < 12),
+clusters AS (SELECT CAST(r AS INTEGER) AS rank, 'auto_' || CAST(r AS VARCHAR) AS group_id, chosen[r] AS name, false AS priority,
+  0 AS rule_pos, 'query' AS dimension, 'contains' AS op, chosen[r] AS value FROM picks WHERE r > 0)"""
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _topic_grouped() -> str:
+    seed = seed_sql("by_property", "query", f"{WEB} AND {CUR}", 1000)
+    s = lambda win, c: f"SUM(CASE WHEN {win} THEN r.{c} ELSE 0 END)"
+    body = f"""
+SELECT g.name AS key, CAST(coalesce({s(CUR, 'clicks')}, 0) AS BIGINT) AS clicks,
+  CAST(coalesce({s(CUR, 'impressions')}, 0) AS BIGINT) AS impressions,
+  coalesce({s(CUR, 'clicks')} / NULLIF({s(CUR, 'impressions')}, 0), 0.0) AS ctr,
+  coalesce(SUM(CASE WHEN {CUR} THEN r.position * r.impressions ELSE 0 END) / NULLIF({s(CUR, 'impressions')}, 0), 0.0) AS position,
+  false AS priority,
+  CAST(coalesce({s(PREV, 'clicks')}, 0) AS BIGINT) AS prev_clicks,
+  CAST(coalesce({s(PREV, 'impressions')}, 0) AS BIGINT) AS prev_impressions,
+  coalesce({s(PREV, 'clicks')} / NULLIF({s(PREV, 'impressions')}, 0), 0.0) AS prev_ctr,
+  coalesce(SUM(CASE WHEN {PREV} THEN r.position * r.impressions ELSE 0 END) / NULLIF({s(PREV, 'impressions')}, 0), 0.0) AS prev_position
+FROM clusters g LEFT JOIN (SELECT * FROM by_property WHERE {WEB} AND ({CUR} OR {PREV}) AND query IS NOT NULL) r
+  ON lower(r.query) LIKE '%' || lower(g.value) || '%'
+GROUP BY g.name"""
+    return recursive(with_base(body, topic_ctes(seed)))
+
+
+TOPIC_SQL = {
+    "auto_topic_clusters_exact": recursive(with_base("SELECT * FROM clusters", topic_ctes(seed_sql("by_property", "query", f"{WEB} AND {CUR}", 1000)))),
+    "auto_topic_clusters": recursive(with_base("SELECT * FROM clusters", topic_ctes(seed_sql("by_property", "query", f"{WEB} AND {CUR}", 1000)))),
+    "auto_suggest_topic": recursive(with_base("SELECT * FROM clusters", topic_ctes(seed_sql(
+        "by_property", "query", f"{WEB} AND data_date BETWEEN DATE '1998-10-03' AND DATE '1998-12-31'", 1000)))),
+    "report_grouped_entities_topic": _topic_grouped(),
+}
+
+
 def all_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(REPORTS)
     out.update(GROUPS)
     out.update(CONTROL_SQL)
     out.update(FACT_SQL)
+    out.update(TOPIC_SQL)
     from clickstack.catalog import ALIASES
 
     for alias, target in ALIASES.items():

@@ -66,3 +66,15 @@ def storage_root(spark: SparkSession) -> str:
     root = checkpoint_root(spark)
     parent = root.rsplit("/", 1)[0] if "/" in root else root
     return parent + "/clickstack-tables"
+
+
+def cut_lineage(df):
+    """Reliable checkpoint into the shared checkpoint folder, computing ``df`` once: it is
+    persisted first so the checkpoint write reads the cached blocks instead of re-running the plan."""
+    from pyspark import StorageLevel
+
+    checkpoint_root(df.sparkSession)
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = df.checkpoint(eager=True)
+    df.unpersist()
+    return out

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from clickstack.functions import keys, status
 from clickstack.schema import API_RESPONSE, FACT_COLUMNS
-from clickstack.session import storage_root
+from clickstack.session import cut_lineage, storage_root
 
 ROWS_PER_PAGE = 25_000   # fixed value: rows per API page
 MAX_ROWS_PER_DAY = 50_000  # fixed value: API ceiling per property, day and type
@@ -119,7 +119,7 @@ def replace_slices(spark: SparkSession, path: str, new_rows: DataFrame, slice_ke
         return
     months = new_rows.select("data_month").distinct()
     cur = spark.read.parquet(path).join(F.broadcast(months), "data_month", "left_semi")
-    merged = merge_slices(cur, new_rows.select(*cur.columns), slice_keys).checkpoint()
+    merged = cut_lineage(merge_slices(cur, new_rows.select(*cur.columns), slice_keys))
     (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("data_month").parquet(path))
 
