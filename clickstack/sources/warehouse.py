@@ -214,5 +214,15 @@ def fact(spark: SparkSession, sf_dir: str, name: str = "by_property") -> DataFra
     return Warehouse(spark, sf_dir).table(name)
 
 
+def fact_inline(spark: SparkSession, sf_dir: str, name: str = "by_property") -> DataFrame:
+    """The same fact table as a plan over the raw tables, without writing anything (for a one-off
+    query on a small input, e.g. the smoke check)."""
+    stage = fixtures.search_raw(spark, sf_dir)
+    if name == "by_page":
+        return build_by_page(stage)
+    bp = build_by_property(stage)
+    return bp if name == "by_property" else build_totals(stage, bp)
+
+
 def control(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return Warehouse(spark, sf_dir).control(name)
