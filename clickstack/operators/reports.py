@@ -2,9 +2,11 @@
 
 Each report is ``report_x(fact, filters, by=(), ...) -> DataFrame``. ``fact`` is already resolved
 to a target (R20) or carries a ``target_id`` column named in ``by`` so one job answers every
-target (R19). Current and prior periods are read in ONE scan: the WHERE clause keeps rows of
-either window (both prune partitions) and conditional sums split them; sums of a period with no
-rows are null, exactly like a separate query over an empty window.
+target (R19). Where both periods end in ONE aggregate (KPIs, grouped metrics) they are read in
+one scan: the WHERE clause keeps rows of either window (both prune partitions) and conditional
+sums split them; sums of a period with no rows are null, exactly like a separate query over an
+empty window. Where each period is ranked on its own (C1-C3), each period is its own scan of its
+own partitions, so no row is read twice.
 """
 
 from __future__ import annotations
@@ -68,26 +70,26 @@ def report_timeseries(fact: DataFrame, f: Filters, rollup: str = "day", series:
 
 
 # C1 / R3 / R4 -----------------------------------------------------------------------------------
+def period_entities(fact: DataFrame, f: Filters, window, dim: str, by: Sequence[str] = ()) -> DataFrame:
+    """D5 for one window: metrics by ``dim`` over rows of that window only (its own partitions)."""
+    g = f.shifted(window)
+    rows = fact.where(flt.to_column(g, require_query=dim == "query", require_page=dim == "page"))
+    return M.top_entity(rows, dim, by)
+
+
 def top_with_prev(fact: DataFrame, f: Filters, dim: str, limit: int = 200, by: Sequence[str] = ()) -> DataFrame:
     """The current top-``limit`` entities, each with its metrics in the prior top-``limit``
-    list (null when absent). One scan and one shuffle: both periods aggregate together, and the
-    two ranked lists reuse that exchange."""
-    rq, rp = dim == "query", dim == "page"
+    list (null when absent). Each period is its own pruned scan and aggregate; only the two
+    ranked lists (≤ ``limit`` rows per target) meet in the join."""
     win = f.compare()
-    agg = (two_period_scan(fact, f, win, rq, rp)
-           .groupBy(*by, F.col(dim).alias("key")).agg(*period_metrics(f, win)))
-    cur = topk.topk_entities(agg.where(F.col("clicks").isNotNull())
-                             .select(*by, "key", "clicks", "impressions", "ctr", "position"), limit, by)
+    cur = topk.topk_entities(period_entities(fact, f, (f.start, f.end), dim, by), limit, by)
     if win is None:
         return cur.select(*by, "key", "clicks", "impressions", "ctr", "position",
                           *[F.lit(None).cast(t).alias("prev_" + n) for n, t in
                             (("clicks", "long"), ("impressions", "long"), ("ctr", "double"), ("position", "double"))])
-    prev = agg.where(F.col("prev_clicks").isNotNull()).select(
-        *by, "key", F.col("prev_clicks").alias("clicks"), F.col("prev_impressions").alias("impressions"),
-        "prev_ctr", "prev_position")
-    prev = topk.topk_entities(prev, limit, by).select(
+    prev = topk.topk_entities(period_entities(fact, f, win, dim, by), limit, by).select(
         *by, "key", F.col("clicks").alias("prev_clicks"), F.col("impressions").alias("prev_impressions"),
-        "prev_ctr", "prev_position")
+        F.col("ctr").alias("prev_ctr"), F.col("position").alias("prev_position"))
     return cur.join(prev, [*by, "key"], "left")
 
 
@@ -132,13 +134,10 @@ def report_movers(fact: DataFrame, f: Filters, dim: str = "query", limit: int |
     if dim == "page":
         f = flt.without_segment(f)
     win = f.movers()
-    agg = (two_period_scan(fact, f, win, dim == "query", dim == "page")
-           .groupBy(*by, F.col(dim).alias("key")).agg(*period_metrics(f, win)))
-    cur = topk.topk_entities(agg.where(F.col("clicks").isNotNull()).select(*by, "key", "clicks", "impressions"),
-                             limit, by) if limit else agg.where(F.col("clicks").isNotNull())
-    prev = agg.where(F.col("prev_clicks").isNotNull()).select(
-        *by, "key", F.col("prev_clicks").alias("clicks"), F.col("prev_impressions").alias("impressions"))
-    prev = topk.topk_entities(prev, limit, by) if limit else prev
+    cur = period_entities(fact, f, (f.start, f.end), dim, by)
+    prev = period_entities(fact, f, win, dim, by)
+    if limit:
+        cur, prev = topk.topk_entities(cur, limit, by), topk.topk_entities(prev, limit, by)
     joined = (cur.select(*by, "key", F.col("clicks").alias("c"), F.lit(True).alias("in_cur"))
               .join(prev.select(*by, "key", F.col("clicks").alias("pc"), F.lit(True).alias("in_prev")),
                     [*by, "key"], "full"))
@@ -211,11 +210,8 @@ def report_content_decay(fact_page: DataFrame, f: Filters, limit: int | None = 5
     join, C3); delta ascending. ``decay_only`` keeps delta_pct ≤ −20 like the opportunities view."""
     f = flt.without_segment(f)
     win = f.movers()
-    agg = (two_period_scan(fact_page, f, win, require_page=True)
-           .groupBy(*by, F.col("page").alias("key")).agg(*period_metrics(f, win)))
-    cur = agg.where(F.col("clicks").isNotNull()).select(*by, "key", "clicks", "impressions")
-    prev = agg.where(F.col("prev_clicks").isNotNull()).select(
-        *by, "key", F.col("prev_clicks").alias("clicks"), F.col("prev_impressions").alias("impressions"))
+    cur = period_entities(fact_page, f, (f.start, f.end), "page", by)
+    prev = period_entities(fact_page, f, win, "page", by)
     if limit:
         cur, prev = topk.topk_entities(cur, limit, by), topk.topk_entities(prev, limit, by)
     j = cur.select(*by, "key", "clicks").join(

@@ -71,18 +71,14 @@ def topk_striking(df: DataFrame, limit=100, by: Sequence[str] = ()) -> DataFrame
 
 def two_ended(df: DataFrame, n: int = 50, by: Sequence[str] = ()) -> DataFrame:
     """the top ``n`` and bottom ``n`` rows by delta, no row twice. The bottom end is the
-    reverse of the same total order (delta ↓, key ↑)."""
+    reverse of the same total order (delta ↓, key ↑). Each end is its own top-k (partial limit
+    before any shuffle, per target with ``by``); the bottom drops rows already in the top."""
     desc = [F.col("delta").desc(), F.col("key").asc_nulls_last()]
     asc = [F.col("delta").asc(), F.col("key").desc_nulls_first()]
-    if not by:
-        top = df.orderBy(*desc).limit(n)
-        bottom = df.orderBy(*asc).limit(n)
-        k = [c for c in df.columns if c in ("key",)]
-        return top.unionByName(bottom.join(top.select(*k), k, "left_anti"))
-    w1 = Window.partitionBy(*by).orderBy(*desc)
-    w2 = Window.partitionBy(*by).orderBy(*asc)
-    return (df.withColumn("_a", F.row_number().over(w1)).withColumn("_b", F.row_number().over(w2))
-            .where((F.col("_a") <= n) | (F.col("_b") <= n)).drop("_a", "_b"))
+    top = top_n(df, desc, n, by)
+    bottom = top_n(df, asc, n, by)
+    k = [*by, "key"]
+    return top.unionByName(bottom.join(top.select(*k), k, "left_anti"))
 
 
 def gainers_losers(df: DataFrame, n: int = 15, by: Sequence[str] = ()) -> DataFrame:

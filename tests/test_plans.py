@@ -34,7 +34,16 @@ def test_single_target_top_k_is_take_ordered(spark):
     assert "TakeOrderedAndProject" in df._jdf.queryExecution().sparkPlan().toString()
 
 
-def test_two_periods_share_one_scan(spark):
+def test_each_ranked_period_reads_only_its_partitions(spark):
     df = catalog.queries()["report_top_queries"](spark, SF_SMALL)
     p = df._jdf.queryExecution().sparkPlan().toString()
-    assert p.count("FileScan parquet") <= 2   # one scan (reused for both ranked lists)
+    scans = [line for line in p.split("\n") if "FileScan parquet" in line]
+    assert len(scans) == 2
+    for line in scans:
+        pf = line.split("PartitionFilters: [", 1)[1].split("], PushedFilters", 1)[0]
+        assert ("1997-" in pf) != ("1998-" in pf)      # each branch prunes to its own year
+
+
+def test_kpis_one_scan_for_both_periods(spark):
+    df = catalog.queries()["report_kpis"](spark, SF_SMALL)
+    assert df._jdf.queryExecution().sparkPlan().toString().count("FileScan parquet") == 1
