@@ -180,7 +180,7 @@ SELECT * FROM (SELECT CAST(round(position) AS BIGINT) AS pos, SUM(clicks) / NULL
  FROM by_property WHERE {WEB} AND {CUR} AND query IS NOT NULL GROUP BY 1) WHERE pos BETWEEN 1 AND 10"""),
     "report_cannibalization": with_base("""
 SELECT q.key, q.pages, q.clicks, q.impressions, r.rank, r.page, r.page_clicks, r.page_impressions, r.page_position
-FROM q JOIN (SELECT q AS key, row_number() OVER (PARTITION BY q ORDER BY impressions DESC, p ASC) AS rank, p AS page,
+FROM q JOIN (SELECT q AS key, CAST(row_number() OVER (PARTITION BY q ORDER BY impressions DESC, p ASC) AS INTEGER) AS rank, p AS page,
                     clicks AS page_clicks, impressions AS page_impressions, position AS page_position FROM pairs) r
   ON q.key = r.key WHERE r.rank <= 8""", f"""
 pairs AS (SELECT query AS q, page AS p, CAST(SUM(clicks) AS BIGINT) AS clicks, CAST(SUM(impressions) AS BIGINT) AS impressions,
@@ -806,7 +806,7 @@ FROM by_property WHERE {WEB} AND {WHOLE} AND query IS NOT NULL GROUP BY 1"""),
   GROUP BY a.client_id, a.client_name"""),
     "cannibalization": with_fact("""
 SELECT q.key, q.pages, q.clicks, q.impressions, r.rank, r.page, r.page_clicks, r.page_impressions, r.page_position
-FROM q JOIN (SELECT q AS key, row_number() OVER (PARTITION BY q ORDER BY impressions DESC, p ASC) AS rank, p AS page,
+FROM q JOIN (SELECT q AS key, CAST(row_number() OVER (PARTITION BY q ORDER BY impressions DESC, p ASC) AS INTEGER) AS rank, p AS page,
                     clicks AS page_clicks, impressions AS page_impressions, position AS page_position FROM pairs) r
   ON q.key = r.key WHERE r.rank <= 8""", f"""
 pairs AS (SELECT query AS q, page AS p, CAST(SUM(clicks) AS BIGINT) AS clicks, CAST(SUM(impressions) AS BIGINT) AS impressions,
@@ -837,10 +837,10 @@ q AS (SELECT q AS key, CAST(count(*) AS BIGINT) AS pages, CAST(SUM(clicks) AS BI
   UNION ALL SELECT key, clicks, prev_clicks, delta, is_new, 'loser' FROM movers_two WHERE delta < 0
   QUALIFY row_number() OVER (ORDER BY delta ASC, key) <= 15"""),
     "topn_other": with_fact("""SELECT key, slot, clicks, clicks * 100.0 / SUM(clicks) OVER () AS share FROM (
-  SELECT CASE WHEN rn <= 6 THEN key ELSE 'Other' END AS key, CASE WHEN rn <= 6 THEN rn ELSE 7 END AS slot, CAST(SUM(clicks) AS BIGINT) AS clicks
+  SELECT CASE WHEN rn <= 6 THEN key ELSE 'Other' END AS key, CAST(CASE WHEN rn <= 6 THEN rn ELSE 7 END AS INTEGER) AS slot, CAST(SUM(clicks) AS BIGINT) AS clicks
   FROM (SELECT key, clicks, row_number() OVER (ORDER BY clicks DESC, key ASC) AS rn FROM country_bd WHERE clicks > 0) GROUP BY 1, 2)"""),
     "breakdown_top": with_fact("""SELECT *, abs(clicks) / greatest(max(abs(clicks)) OVER (), 1.0) AS bar FROM (
-  SELECT *, row_number() OVER (ORDER BY clicks DESC, key ASC) AS rank FROM country_bd WHERE key IS NOT NULL AND key <> '')
+  SELECT *, CAST(row_number() OVER (ORDER BY clicks DESC, key ASC) AS INTEGER) AS rank FROM country_bd WHERE key IS NOT NULL AND key <> '')
   WHERE rank <= 8"""),
     "sorted_page": with_fact("SELECT * FROM topq ORDER BY impressions DESC, key LIMIT 10 OFFSET 10", TOPQ),
     "row_hash": with_fact(f"SELECT property, data_date, search_type, query, country, device, {hash_sql('byProperty')} AS row_hash FROM by_property"),

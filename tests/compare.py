@@ -57,6 +57,23 @@ def rows_key(cols, rows):
     return sorted(out, key=lambda t: tuple((x is None, str(x)) for x in t))
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+                 "date": "DATE", "timestamp": "TIMESTAMP", "float": "FLOAT", "smallint": "SMALLINT", "tinyint": "TINYINT"}
+
+
+def type_mismatches(sdf, res) -> list:
+    """(column, spark type, duckdb type) for columns whose types differ."""
+    d_types = {d[0]: str(d[1]).upper() for d in res.description}
+    out = []
+    for f in sdf.schema.fields:
+        st = f.dataType.simpleString()
+        want = SPARK_TO_DUCK.get(st, st.upper())
+        got = d_types.get(f.name)
+        if got is not None and got != want:
+            out.append((f.name, st, got))
+    return out
+
+
 def compare_one(spark, con, sf_dir, name, fn, sql):
     t0 = time.time()
     sdf = fn(spark, sf_dir)
@@ -66,12 +83,13 @@ def compare_one(spark, con, sf_dir, name, fn, sql):
     res = con.execute(sql)
     d_cols = [d[0] for d in res.description]
     d_rows = res.fetchall()
+    types = type_mismatches(sdf, res)
     ok_cols = sorted(s_cols) == sorted(d_cols)
     ok_n = len(s_rows) == len(d_rows)
     ok_v = ok_cols and ok_n and rows_key(s_cols, s_rows) == rows_key(d_cols, d_rows)
     return {"name": name, "cols": ok_cols, "rows": ok_n, "values": ok_v, "n_spark": len(s_rows),
             "n_duck": len(d_rows), "spark_cols": s_cols, "duck_cols": d_cols, "sec": round(t1 - t0, 2),
-            "s_sample": rows_key(s_cols, s_rows)[:3], "d_sample": rows_key(d_cols, d_rows)[:3]}
+            "s_sample": rows_key(s_cols, s_rows)[:3], "d_sample": rows_key(d_cols, d_rows)[:3], "types": types}
 
 
 def main(argv):
@@ -99,6 +117,8 @@ def main(argv):
         ok = r["values"]
         bad += 0 if ok else 1
         print(f"{'OK  ' if ok else 'FAIL'} {name}: spark={r['n_spark']} duck={r['n_duck']} {r['sec']}s")
+        if r["types"]:
+            print("   TYPES", r["types"])
         if not ok:
             print("   cols", r["spark_cols"], r["duck_cols"])
             print("   spark", r["s_sample"])
