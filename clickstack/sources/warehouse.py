@@ -116,11 +116,28 @@ def write_fact(df: DataFrame, path: str) -> None:
        .partitionBy("data_month").parquet(path))
 
 
+def _code_version() -> str:
+    """Hash of the modules that derive stored tables: a changed derivation never reuses old files."""
+    import hashlib
+
+    here = os.path.dirname(os.path.abspath(__file__))
+    pkg = os.path.dirname(here)
+    h = hashlib.sha256()
+    for rel in ("sources/fixtures.py", "sources/warehouse.py", "operators/ledger.py", "plans/precompute.py",
+                "functions/keys.py", "functions/dates.py", "functions/text.py", "schema.py"):
+        with open(os.path.join(pkg, rel), "rb") as fh:
+            h.update(fh.read())
+    return h.hexdigest()[:8]
+
+
+_VERSION = _code_version()
+
+
 class Warehouse:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
-        self.root = f"{storage_root(spark)}/wh-{tables.fingerprint(sf_dir)}"
+        self.root = f"{storage_root(spark)}/wh-{tables.fingerprint(sf_dir)}-{_VERSION}"
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
