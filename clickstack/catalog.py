@@ -314,6 +314,7 @@ def _ledger_queries():
         "account_property_counts": lambda s, d: L.account_property_counts(registry_df(s, d), accts(s, d)),
         "tasks_by_status": lambda s, d: ledger_out(ledger_df(s, d)).where(F.col("status") == "error")
             .orderBy("task_id").limit(2000),
+        "tasks_recent": lambda s, d: ledger_out(ledger_df(s, d)).orderBy("task_id").limit(500),
         "tasks_by_property": lambda s, d: ledger_out(ledger_df(s, d)).where(
             F.col("property_id") == "urlp_www_site0_example_com"),
         "attempts_search": lambda s, d: attempts(s, d).where(F.col("task_id").startswith("urlp_www_site3_example_com__"))

@@ -515,6 +515,7 @@ CONTROL_SQL: dict[str, str] = {
   WHERE account_ids <> '' GROUP BY acct) c ON a.account_id = c.account_id"""),
     "tasks_by_status": with_control(f"SELECT {LEDGER_COLS} FROM ledger WHERE status = 'error' ORDER BY task_id LIMIT 2000"),
     "tasks_by_property": with_control(f"SELECT {LEDGER_COLS} FROM ledger WHERE property_id = 'urlp_www_site0_example_com'"),
+    "tasks_recent": with_control(f"SELECT {LEDGER_COLS} FROM ledger ORDER BY task_id LIMIT 500"),
     "attempts_search": with_control("""SELECT task_id, property, search_type, aggregation, data_date, status, row_count, error_message,
   strftime(logged_at, '%Y-%m-%d %H:%M:%S') AS logged_at FROM attempts WHERE starts_with(task_id, 'urlp_www_site3_example_com__')
   ORDER BY attempts.logged_at DESC, event_id DESC LIMIT 200"""),
