@@ -189,7 +189,7 @@ def billing_scan(billing: DataFrame, as_of, days: int = 30) -> DataFrame:
 
 def billing_by_service(billing: DataFrame, as_of) -> DataFrame:
     """Cost per service and currency over 30 days, rounded to cents (per-currency rows;
-    a grand total across currencies is what the reference shows, see ``billing_total``)."""
+    a grand total across currencies is what the source system shows, see ``billing_total``)."""
     b = billing_scan(billing, as_of)
     return (b.groupBy(F.coalesce(F.col("service.description"), F.lit("unknown")).alias("service"), "currency")
             .agg(F.round(F.sum("cost"), 2).alias("cost")))
