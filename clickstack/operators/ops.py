@@ -25,6 +25,15 @@ def _ts(x) -> F.Column:
     return F.lit(x).cast("timestamp")
 
 
+def one_row(parts: Sequence[DataFrame]) -> DataFrame:
+    """Side-by-side combination of one-row aggregates with distinct columns: union them (missing
+    columns null) and take each column's only non-null value in one global aggregate."""
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p, allowMissingColumns=True)
+    return u.agg(*[F.max(c).alias(c) for c in u.columns])
+
+
 # D16 / D17 / C5 ---------------------------------------------------------------------------------
 def period_pivot_sum(fact: DataFrame, cur, prev, key: str = "property_key", search_type: str = "web") -> DataFrame:
     """Current and prior clicks per source table in one scan (web)."""
@@ -102,7 +111,7 @@ def capacity(usage: DataFrame, registry: DataFrame) -> DataFrame:
     many more properties fit at that average."""
     today = usage.agg(F.coalesce(F.sum("calls_today"), F.lit(0)).alias("today_calls"))
     active = registry.where(F.col("included")).agg(F.count(F.lit(1)).alias("active"))
-    j = today.crossJoin(active)  # two one-row aggregates
+    j = one_row([today, active])
     avg = F.col("today_calls") / F.greatest(F.lit(1), F.col("active"))
     headroom = F.greatest(F.lit(0), F.lit(PROJECT_QPD) - F.col("today_calls"))
     return j.select("today_calls", "active",
@@ -223,7 +232,7 @@ def overview(accounts: DataFrame, registry: DataFrame, prop_status: DataFrame, l
     u = usage.agg(F.coalesce(F.sum("calls_today"), F.lit(0)).alias("api_calls_today"))
     e = ledger.agg(F.sum(F.when(F.col("status") == "error", 1).otherwise(0)).alias("open_errors"))
     lf = prop_status.agg(F.max(F.when(F.col("data_state") == "final", F.col("last_collected_date"))).alias("latest_final_date"))
-    out = a.crossJoin(p).crossJoin(r).crossJoin(u).crossJoin(e).crossJoin(lf)  # one-row aggregates only
+    out = one_row([a, p, r, u, e, lf])
     return out.withColumn("available", F.col("total_properties") - F.col("tracking"))
 
 
