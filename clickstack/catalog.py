@@ -324,6 +324,11 @@ def _ledger_queries():
         "registry_filter": lambda s, d: reg_out(registry_df(s, d)).where(
             F.col("included") & F.col("site_url").contains("site") & F.array_contains(F.split("account_ids", ","), "acct1"))
             .orderBy("site_url"),
+        "registry_filter_status": lambda s, d: registry_df(s, d).join(
+            pstatus(s, d).select("property_id", "kind", "last_collected_date"), "property_id")
+            .where(F.col("included") & F.lower("site_url").contains("site") & (F.col("kind") == "final"))
+            .orderBy(F.col("last_collected_date").desc_nulls_last(), "site_url")
+            .select("property_id", "site_url", "kind", "last_collected_date"),
         # ops
         "api_usage": usage,
         "collection_activity": lambda s, d: O.collection_activity(attempts(s, d), OPS_AS_OF, 14),

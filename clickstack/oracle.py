@@ -521,6 +521,8 @@ CONTROL_SQL: dict[str, str] = {
   ORDER BY attempts.logged_at DESC, event_id DESC LIMIT 200"""),
     "registry_filter": with_control(f"""SELECT {REG_COLS} FROM registry WHERE included AND site_url LIKE '%site%'
   AND list_contains(string_split(account_ids, ','), 'acct1')"""),
+    "registry_filter_status": with_control("""SELECT r.property_id, r.site_url, s.kind, s.last_collected_date
+  FROM registry r JOIN pstatus s USING (property_id) WHERE r.included AND lower(r.site_url) LIKE '%site%' AND s.kind = 'final'"""),
     "api_usage": with_control("SELECT * FROM usage"),
     "collection_activity": with_control(f"""SELECT strftime({PT.format(c='logged_at')}, '%Y-%m-%d') AS day,
   CAST(count(DISTINCT task_id) AS BIGINT) AS tasks, CAST(coalesce(SUM(row_count), 0) AS BIGINT) AS n_rows
