@@ -341,8 +341,7 @@ def _ledger_queries():
             _ts_text(F.col("usage_start_time")).alias("usage_start_time")),
         "billing_by_service": lambda s, d: O.billing_by_service(billing(s, d), OPS_AS_OF),
         "billing_status": lambda s, d: O.billing_status(billing(s, d), OPS_AS_OF),
-        "table_name_collisions": lambda s, d: O.table_name_collisions(page_urls(s, d)).select(
-            "name", "urls", F.array_join("members", " | ").alias("members")),
+        "table_name_collisions": lambda s, d: O.table_name_collisions(page_urls(s, d)),
         "ops_alerts": lambda s, d: O.ops_alerts(attempts(s, d), dedup(s, d), OPS_AS_OF),
         "error_bursts": lambda s, d: O.error_bursts(attempts(s, d)).select(
             _ts_text(F.col("window_start")).alias("window_start"), "errors"),

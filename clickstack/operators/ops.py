@@ -173,10 +173,11 @@ def storage_summary(spark, paths: dict[str, str]) -> DataFrame:
 
 
 def table_name_collisions(urls: DataFrame, url_col: str = "url") -> DataFrame:
-    """Sanitized names shared by more than one distinct URL."""
-    g = urls.select(keys.property_key(F.col(url_col)).alias("name"), F.col(url_col).alias("url")).distinct() \
-        .groupBy("name").agg(F.count(F.lit(1)).alias("urls"), F.array_sort(F.collect_list("url")).alias("members"))
-    return g.where(F.col("urls") > 1)
+    """Sanitized names shared by more than one distinct URL: one row per colliding URL with
+    the name's URL count (no per-name collection, however many URLs collide)."""
+    pairs = urls.select(keys.property_key(F.col(url_col)).alias("name"), F.col(url_col).alias("url")).distinct()
+    counts = pairs.groupBy("name").agg(F.count(F.lit(1)).alias("urls")).where(F.col("urls") > 1)
+    return pairs.join(counts, "name").select("name", "urls", "url")
 
 
 # A15 / D23 / D24 --------------------------------------------------------------------------------
@@ -254,7 +255,7 @@ def health_checks(dedup: DataFrame, collisions: DataFrame, ceiling: DataFrame, r
     c1 = dedup.agg(F.coalesce(F.sum("duplicates"), F.lit(0)).alias("d")).select(
         F.lit("Dedup invariant (row_hash)").alias("check"), (F.col("d") == 0).alias("ok"),
         F.concat(F.col("d").cast("string"), F.lit(" duplicate hash(es)")).alias("detail"))
-    c2 = collisions.agg(F.count(F.lit(1)).alias("n")).select(
+    c2 = collisions.select("name").distinct().agg(F.count(F.lit(1)).alias("n")).select(
         F.lit("Table-name collisions").alias("check"), (F.col("n") == 0).alias("ok"),
         F.concat(F.col("n").cast("string"), F.lit(" colliding name(s)")).alias("detail"))
     c3 = ceiling.agg(F.count(F.lit(1)).alias("n")).select(

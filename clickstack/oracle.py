@@ -456,8 +456,9 @@ hashes AS (
 dedup AS (SELECT v.view, CAST(coalesce(d.n, 0) AS BIGINT) AS duplicates FROM (VALUES ('by_property'), ('by_page'), ('totals')) v(view)
   LEFT JOIN (SELECT view, count(*) AS n FROM (SELECT view, h FROM hashes GROUP BY view, h HAVING count(*) > 1) GROUP BY view) d ON v.view = d.view),
 urls AS (SELECT DISTINCT url FROM (SELECT url FROM pages UNION ALL SELECT site_url FROM registry)),
-collisions AS (SELECT name, CAST(count(*) AS BIGINT) AS urls, array_to_string(list_sort(list(url)), ' | ') AS members
-  FROM (SELECT DISTINCT {pk('url')} AS name, url FROM pages) GROUP BY name HAVING count(*) > 1)"""
+collisions AS (SELECT p.name, c.urls, p.url FROM (SELECT DISTINCT {pk('url')} AS name, url FROM pages) p
+  JOIN (SELECT name, CAST(count(*) AS BIGINT) AS urls FROM (SELECT DISTINCT {pk('url')} AS name, url FROM pages)
+        GROUP BY name HAVING count(*) > 1) c ON p.name = c.name)"""
 
 
 def with_control(body: str, extra: str = "") -> str:
@@ -562,7 +563,7 @@ UNION ALL
 SELECT 'dedup_violation', SUM(duplicates) > 0, CAST(SUM(duplicates) AS VARCHAR) || ' duplicate hash(es)' FROM dedup"""),
     "health_checks": with_control(f"""
 SELECT 'Dedup invariant (row_hash)' AS "check", SUM(duplicates) = 0 AS ok, CAST(SUM(duplicates) AS VARCHAR) || ' duplicate hash(es)' AS detail FROM dedup
-UNION ALL SELECT 'Table-name collisions', count(*) = 0, CAST(count(*) AS VARCHAR) || ' colliding name(s)' FROM collisions
+UNION ALL SELECT 'Table-name collisions', count(DISTINCT name) = 0, CAST(count(DISTINCT name) AS VARCHAR) || ' colliding name(s)' FROM collisions
 UNION ALL SELECT 'API row ceiling', true, CAST(count(*) AS VARCHAR) || ' propert(ies) at the 50K/day limit'
   FROM (SELECT DISTINCT property FROM attempts WHERE row_count >= 50000 AND logged_at > {AS_OF} - INTERVAL 30 DAY)
 UNION ALL SELECT 'Recent collection', count(*) > 0, CAST(count(*) AS VARCHAR) || ' attempts in 7d' FROM attempts WHERE logged_at > {AS_OF} - INTERVAL 7 DAY

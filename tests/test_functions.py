@@ -146,3 +146,13 @@ def test_text_helpers(spark):
     assert [r.s for r in df.select(text.first_segment("p").alias("s")).collect()] == ["blog", "", "", "?p=2", "a"]
     df2 = spark.createDataFrame([("how-to_guides",), ("a--b",)], "s string")
     assert [r.t for r in df2.select(text.title_case("s").alias("t")).collect()] == ["How To Guides", "A B"]
+
+
+def test_table_name_collisions(spark):
+    from clickstack.operators import ops
+
+    u = spark.createDataFrame([("https://a.com/x-y",), ("http://a.com/x_y",), ("https://b.com/",), ("https://a.com/x.y",)],
+                              "url string")
+    got = sorted(map(tuple, ops.table_name_collisions(u).collect()))
+    assert got == [("urlp_a_com_x_y", 3, "http://a.com/x_y"), ("urlp_a_com_x_y", 3, "https://a.com/x-y"),
+                   ("urlp_a_com_x_y", 3, "https://a.com/x.y")]
