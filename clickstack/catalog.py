@@ -44,6 +44,7 @@ REPORTS: dict[str, QueryFn] = {
     "report_timeseries_compare": lambda s, d: R.report_timeseries(bp(s, d), DEFAULT, "day", series="compare"),
     "report_top_queries": lambda s, d: R.report_top_queries(bp(s, d), DEFAULT),
     "report_top_pages": lambda s, d: R.report_top_pages(pg(s, d), DEFAULT),
+    "top_with_prev_exact": lambda s, d: R.top_with_prev(bp(s, d), DEFAULT, "query", limit=None),
     "report_breakdown": lambda s, d: R.report_breakdown(bp(s, d), DEFAULT, "device"),
     "report_breakdown_country": lambda s, d: R.report_breakdown(bp(s, d), DEFAULT, "country"),
     "report_position_buckets": lambda s, d: R.report_position_buckets(bp(s, d), DEFAULT),

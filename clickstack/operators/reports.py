@@ -77,17 +77,18 @@ def period_entities(fact: DataFrame, f: Filters, window, dim: str, by: Sequence[
     return M.top_entity(rows, dim, by)
 
 
-def top_with_prev(fact: DataFrame, f: Filters, dim: str, limit: int = 200, by: Sequence[str] = ()) -> DataFrame:
+def top_with_prev(fact: DataFrame, f: Filters, dim: str, limit: int | None = 200, by: Sequence[str] = ()) -> DataFrame:
     """The current top-``limit`` entities, each with its metrics in the prior top-``limit``
-    list (null when absent). Each period is its own pruned scan and aggregate; only the two
+    list (null when absent); ``limit=None`` compares every entity (no truncation). Each period is its own pruned scan and aggregate; only the two
     ranked lists (≤ ``limit`` rows per target) meet in the join."""
     win = f.compare()
-    cur = topk.topk_entities(period_entities(fact, f, (f.start, f.end), dim, by), limit, by)
+    rank = (lambda df: topk.topk_entities(df, limit, by)) if limit else (lambda df: df)
+    cur = rank(period_entities(fact, f, (f.start, f.end), dim, by))
     if win is None:
         return cur.select(*by, "key", "clicks", "impressions", "ctr", "position",
                           *[F.lit(None).cast(t).alias("prev_" + n) for n, t in
                             (("clicks", "long"), ("impressions", "long"), ("ctr", "double"), ("position", "double"))])
-    prev = topk.topk_entities(period_entities(fact, f, win, dim, by), limit, by).select(
+    prev = rank(period_entities(fact, f, win, dim, by)).select(
         *by, "key", F.col("clicks").alias("prev_clicks"), F.col("impressions").alias("prev_impressions"),
         F.col("ctr").alias("prev_ctr"), F.col("position").alias("prev_position"))
     return cur.join(prev, [*by, "key"], "left")

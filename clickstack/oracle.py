@@ -148,6 +148,7 @@ SELECT * FROM (SELECT {M4} FROM by_property WHERE {WEB} AND {CUR}) c,
     "report_timeseries_compare": ts("day", f"{WEB} AND {PREV}"),
     "report_top_queries": top_with_prev("by_property", "query"),
     "report_top_pages": top_with_prev("by_page", "page"),
+    "top_with_prev_exact": top_with_prev("by_property", "query", 100000000),
     "report_breakdown": with_base(f"SELECT device AS key, {M4} FROM by_property WHERE {WEB} AND {CUR} GROUP BY device"),
     "report_breakdown_country": with_base(f"SELECT country AS key, {M4} FROM by_property WHERE {WEB} AND {CUR} GROUP BY country"),
     "report_position_buckets": with_base(f"""
