@@ -39,6 +39,27 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+TARGET_PARTITION_BYTES = 256 * 1024 * 1024
+
+
+def path_bytes(spark: SparkSession, path: str) -> int:
+    """Total size of the files under ``path`` (file-system metadata only)."""
+    if "://" not in path or path.startswith("file:"):
+        local = path.replace("file:", "", 1) if path.startswith("file:") else path
+        if os.path.isfile(local):
+            return os.path.getsize(local)
+        return sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(local) for f in fs)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return int(p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength())
+
+
+def partitions_for(spark: SparkSession, nbytes: int, expansion: float = 1.0) -> int:
+    """Partition count for ``nbytes`` of compressed input: ~256 MB per partition, never fewer than
+    the session's shuffle partitions."""
+    base = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(base, int(nbytes * expansion // TARGET_PARTITION_BYTES) + 1)
+
+
 def with_month(df: DataFrame) -> DataFrame:
     return df.withColumn("data_month", F.trunc("data_date", "month"))
 
@@ -107,10 +128,13 @@ def build_totals(stage: DataFrame, by_property: DataFrame) -> DataFrame:
     return finish_fact(both, "totals")
 
 
-def write_fact(df: DataFrame, path: str) -> None:
+def write_fact(df: DataFrame, path: str, partitions: int | None = None) -> None:
     """Range-partition on (data_date, property, query): even task sizes even when one property or
-    one day holds a third of the rows; AQE picks the partition count."""
-    (df.repartitionByRange("data_date", "property", "query")
+    one day holds a third of the rows. ``partitions`` is sized from the input bytes by the build
+    (~256 MB each); without it the session's shuffle partition count is used."""
+    rp = df.repartitionByRange(partitions, "data_date", "property", "query") if partitions else \
+        df.repartitionByRange("data_date", "property", "query")
+    (rp
        .sortWithinPartitions("data_date", "property", "query")
        .write.mode("overwrite").option("partitionOverwriteMode", "static")
        .partitionBy("data_month").parquet(path))
@@ -146,19 +170,30 @@ class Warehouse:
         return all(_exists(self.spark, self.path(t) + "/_SUCCESS") for t in FACT_TABLES)
 
     def build(self) -> None:
+        """Stage the raw rows, then the three fact tables. Shuffle sizes follow the input: the
+        joins and aggregations of the build run with ~256 MB per shuffle partition (restored
+        afterwards), and each fact write gets a range-partition count from the stage size."""
         spark = self.spark
-        stage_path = self.path("stage")
-        if not _exists(spark, stage_path + "/_SUCCESS"):
-            raw = fixtures.search_raw(spark, self.sf_dir)
-            raw.write.mode("overwrite").parquet(stage_path)
-        stage = spark.read.parquet(stage_path)
-        if not _exists(spark, self.path("by_page") + "/_SUCCESS"):
-            write_fact(build_by_page(stage), self.path("by_page"))
-        if not _exists(spark, self.path("by_property") + "/_SUCCESS"):
-            write_fact(build_by_property(stage), self.path("by_property"))
-        if not _exists(spark, self.path("totals") + "/_SUCCESS"):
-            bp = spark.read.parquet(self.path("by_property"))
-            write_fact(build_totals(stage, bp), self.path("totals"))
+        inputs = sum(path_bytes(spark, os.path.join(self.sf_dir, f"{t}.parquet"))
+                     for t in ("lineitem", "orders", "customer", "part"))
+        saved = spark.conf.get("spark.sql.shuffle.partitions", "200")
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions_for(spark, inputs, expansion=3.0)))
+        try:
+            stage_path = self.path("stage")
+            if not _exists(spark, stage_path + "/_SUCCESS"):
+                raw = fixtures.search_raw(spark, self.sf_dir)
+                raw.write.mode("overwrite").parquet(stage_path)
+            stage = spark.read.parquet(stage_path)
+            n = partitions_for(spark, path_bytes(spark, stage_path))
+            if not _exists(spark, self.path("by_page") + "/_SUCCESS"):
+                write_fact(build_by_page(stage), self.path("by_page"), n)
+            if not _exists(spark, self.path("by_property") + "/_SUCCESS"):
+                write_fact(build_by_property(stage), self.path("by_property"), n)
+            if not _exists(spark, self.path("totals") + "/_SUCCESS"):
+                bp = spark.read.parquet(self.path("by_property"))
+                write_fact(build_totals(stage, bp), self.path("totals"), n)
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", saved)
 
     def ensure(self) -> Warehouse:
         with _GLOBAL:
