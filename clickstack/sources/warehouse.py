@@ -220,8 +220,10 @@ def _control_builders():
     from clickstack.plans import precompute
 
     def attempts(w):
-        # The attempt log: range-partitioned and sorted on logged_at (time-range scans skip files).
-        return fixtures.attempts(w.spark, w.sf_dir).repartitionByRange("logged_at").sortWithinPartitions("logged_at")
+        # The attempt log: range-partitioned (sized from the events bytes) and sorted on
+        # logged_at, so time-range scans skip files.
+        n = partitions_for(w.spark, path_bytes(w.spark, os.path.join(w.sf_dir, "events.parquet")), expansion=2.0)
+        return fixtures.attempts(w.spark, w.sf_dir).repartitionByRange(n, "logged_at").sortWithinPartitions("logged_at")
 
     return {
         "attempts": (attempts, ()),
