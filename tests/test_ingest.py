@@ -73,8 +73,6 @@ def test_empty_result_keeps_slice(spark):
 
 
 def test_pagination_ceiling(spark):
-    from pyspark.sql import Window  # noqa: F401
-
     rows = spark.range(50_010).select(F.lit("p").alias("property"), F.lit(dt.date(2026, 6, 1)).alias("data_date"),
                                       F.lit("web").alias("search_type"), F.lit("byPage").alias("aggregation"),
                                       F.col("id").cast("string").alias("query"), F.lit(None).cast("string").alias("page"),
