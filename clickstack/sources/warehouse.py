@@ -53,11 +53,12 @@ def path_bytes(spark: SparkSession, path: str) -> int:
     return int(p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength())
 
 
-def partitions_for(spark: SparkSession, nbytes: int, expansion: float = 1.0) -> int:
-    """Partition count for ``nbytes`` of compressed input: ~256 MB per partition, never fewer than
-    the session's shuffle partitions."""
+def partitions_for(spark: SparkSession, nbytes: int, expansion: float = 1.0) -> int | None:
+    """Partition count for ``nbytes`` of compressed input at ~256 MB per partition, or None when
+    the session's shuffle partitions already suffice (then AQE sizes the shuffle itself)."""
     base = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(base, int(nbytes * expansion // TARGET_PARTITION_BYTES) + 1)
+    n = int(nbytes * expansion // TARGET_PARTITION_BYTES) + 1
+    return n if n > base else None
 
 
 def with_month(df: DataFrame) -> DataFrame:
@@ -177,7 +178,7 @@ class Warehouse:
         inputs = sum(path_bytes(spark, os.path.join(self.sf_dir, f"{t}.parquet"))
                      for t in ("lineitem", "orders", "customer", "part"))
         saved = spark.conf.get("spark.sql.shuffle.partitions", "200")
-        spark.conf.set("spark.sql.shuffle.partitions", str(partitions_for(spark, inputs, expansion=3.0)))
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions_for(spark, inputs, expansion=3.0) or saved))
         try:
             stage_path = self.path("stage")
             if not _exists(spark, stage_path + "/_SUCCESS"):
@@ -223,7 +224,9 @@ def _control_builders():
         # The attempt log: range-partitioned (sized from the events bytes) and sorted on
         # logged_at, so time-range scans skip files.
         n = partitions_for(w.spark, path_bytes(w.spark, os.path.join(w.sf_dir, "events.parquet")), expansion=2.0)
-        return fixtures.attempts(w.spark, w.sf_dir).repartitionByRange(n, "logged_at").sortWithinPartitions("logged_at")
+        a = fixtures.attempts(w.spark, w.sf_dir)
+        a = a.repartitionByRange(n, "logged_at") if n else a.repartitionByRange("logged_at")
+        return a.sortWithinPartitions("logged_at")
 
     return {
         "attempts": (attempts, ()),
