@@ -34,3 +34,9 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     rows = df.collect()
     assert len(rows) == 1 and "prev_clicks" in df.columns
+
+
+def test_entry_equals_stored_path(spark):
+    inline = [tuple(r) for r in E.entry(spark).collect()]
+    stored = [tuple(r) for r in QUERIES["report_kpis"](spark, SF_SMALL).collect()]
+    assert inline == stored
