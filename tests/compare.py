@@ -39,6 +39,8 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
+        if os.environ.get("COMPARE_EXACT"):
+            return repr(v)
         return float(f"{v:.9g}")
     if isinstance(v, decimal.Decimal):
         return float(f"{float(v):.9g}")
