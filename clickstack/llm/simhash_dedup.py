@@ -127,12 +127,18 @@ def links(prints: DataFrame, max_bits: int = 3, segments: int = 2) -> DataFrame:
     width = 64 // segments
     widths = [width + (64 - width * segments) * (j == segments - 1) for j in range(segments)]
     own, probes = [], []
+
+    def around(j: int, value, bits: int):
+        """Keys of segment ``j`` near ``value`` and above it."""
+        masks = F.array(*[F.lit(m).cast("long") for m in _ball(bits, max_bits // segments)])
+        above = F.filter(F.transform(masks, lambda m: value.bitwiseXOR(m)), lambda k: k > value)
+        return F.transform(above, lambda k: F.struct(F.lit(j).alias("j"), k.alias("key"), F.lit(0).alias("filed")))
+
     for j, bits in enumerate(widths):
         value = F.shiftrightunsigned("fp", j * width).bitwiseAND(F.lit((1 << bits) - 1 if bits < 64 else -1))
         own.append(F.struct(F.lit(j).alias("j"), value.alias("key"), F.lit(1).alias("filed")))
-        masks = F.array(*[F.lit(m).cast("long") for m in _ball(bits, max_bits // segments)])
-        around = F.filter(F.transform(masks, lambda m, v=value: v.bitwiseXOR(m)), lambda k, v=value: k > v)
-        probes.append(F.transform(around, lambda k, j=j: F.struct(F.lit(j).alias("j"), k.alias("key"), F.lit(0).alias("filed"))))
+        if max_bits // segments:
+            probes.append(around(j, value, bits))
     filed = F.concat(F.array(*own), *probes) if max_bits // segments else F.array(*own)
     rows = prints.select("fp", F.explode(filed).alias("t")).select("t.*", "fp")
     live = stash(

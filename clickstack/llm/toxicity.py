@@ -120,12 +120,11 @@ def marginals(emission: np.ndarray, first: np.ndarray, transition: np.ndarray, s
     return both[:, 1] / both.sum(axis=1)
 
 
-def weak_token_labels(vocab: list[str], bags: list[np.ndarray], toxic: np.ndarray, ratio: float = 20.0,
-                      support: float = 0.015) -> np.ndarray:
+def weak_token_labels(vocab: list[str], bags: list[np.ndarray], toxic: np.ndarray, ratio: float = 20.0) -> np.ndarray:
     """Which words of ``vocab`` mark toxicity: they, or one of their prefixes of at least four
     bytes, are ``ratio`` times as frequent among toxic documents as among clean ones. ``bags`` are
-    the documents' distinct word numbers. Found in less than a share ``support`` of the toxic
-    documents, or in fewer than three, a word or prefix marks nothing."""
+    the documents' distinct word numbers. A word or prefix must be found in so many toxic
+    documents that chance would not bring about one such case among all words."""
     size = 1 << 22
     words = Words([clean(w).encode("utf-8", "surrogatepass") for w in vocab])
     owner, bucket = joined([words.whole(1, size), *(words.prefixes(n, 10 + n, size) for n in PREFIXES if n > 3)])
@@ -137,7 +136,8 @@ def weak_token_labels(vocab: list[str], bags: list[np.ndarray], toxic: np.ndarra
         at = np.repeat(starts[types] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         seen[label][np.unique(bucket[at])] += 1
     n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
-    strong = (seen[1] >= max(3, support * n1)) & (seen[1] / n1 >= ratio * (seen[0] + 0.5) / n0)
+    support = max(3.0, np.log(max(2, (seen.sum(axis=0) > 0).sum())) / np.log((n1 + n0) / n1))
+    strong = (seen[1] >= support) & (seen[1] / n1 >= ratio * (seen[0] + 0.5) / n0)
     return np.bincount(owner, strong[bucket], len(vocab)) > 0
 
 
