@@ -4,14 +4,14 @@ Every byte covered by a string of ``length`` bytes that also starts in a documen
 removed. Strings are judged on the input.
 
 Documents are dealt over blocks by a hash. Which strings can repeat is narrowed down by anchors: of the
-``gram`` byte runs in every stretch of ``length`` bytes, the one whose hash is least is an anchor, so
-equal stretches have equal anchors. (1) Blocks report the hashes of their anchors; hashes found in
+``gram`` byte runs in every stretch of ``length`` bytes, the one whose hash is least is its anchor, so
+equal stretches have equal anchors. The window of an anchor is all stretches it stands for. (1) Blocks report the hashes of their anchors; hashes found in
 two blocks, or twice in one, come back. (2) Blocks send the windows around such anchors, each distinct one
-once with its least id. Windows of one anchor meet in one group; the suffix array of their concatenation,
-built by linear grouping, brings equal strings together, and the least id of each class goes back to the
-blocks. (3) Blocks remove what a smaller id has.
+once with its least id. Windows of one anchor meet in one group; those that differ too near the anchor from
+all others to share a string are settled. The suffix array of the others' concatenation, built by linear
+grouping, brings equal strings together, and the least id of each class goes back to the blocks. (3) Blocks remove what a smaller id has.
 
-A string of ``length`` bytes holds its anchor, and all of it lies in the window around the anchor, so no
+A string of ``length`` bytes lies whole in the window of its anchor, and its equals in windows of the same, so no
 repeat is missed and none across documents arises. The text is shuffled once; the three passes share it.
 Windows that are copies are folded per block before they are sent. An anchor that more than ``HOT`` blocks
 hold is not gathered: its windows are cut into their single strings of ``length`` bytes, and these meet by
@@ -36,8 +36,8 @@ GRAM = 24
 BLOCK_BYTES = 4 << 20
 BUCKET_ANCHORS = 1 << 18
 HOT = 4096
-#: Bytes that are put into one suffix array at a time, unless one group alone has more.
-BATCH_BYTES = 1 << 18
+#: Bytes that are put into one suffix array at a time, unless one group alone has more; few stay in the cache.
+BATCH_BYTES = 1 << 14
 LEAST_ID = -(2**63)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -53,48 +53,60 @@ class Block:
         self.starts = self.ends - self.sizes
         self.raw = b"".join(raw)
 
-    def anchors(self, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Positions, hashes and document numbers of the anchors."""
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    def anchors(self, length: int, gram: int) -> "Anchors":
+        found = [tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.int64, np.int64, np.int64))]
         n, a = len(self.sizes), 0
         while a < n:  # so many documents that the arrays stay in the processor's cache
             b = int(np.searchsorted(self.ends, self.starts[a] + (1 << 17), "right"))
             b = min(n, max(b, a + 1))
-            at, hashes = anchor_grams(self.raw[int(self.starts[a]) : int(self.ends[b - 1])], length, gram)
-            at = at + self.starts[a]
+            base = self.starts[a]
+            at, hashes, lo, hi = anchor_grams(self.raw[int(base) : int(self.ends[b - 1])], length, gram)
+            at, lo, hi = at + base, lo + base, hi + base
             doc = np.searchsorted(self.ends, at, "right")
-            whole = (at + gram <= self.ends[doc]) & (self.sizes[doc] >= length)
-            found.append((at[whole], hashes[whole], doc[whole]))
+            lo, hi = np.maximum(lo, self.starts[doc]), np.minimum(hi, self.ends[doc] - length)
+            own = lo <= hi
+            found.append((at[own], hashes[own], doc[own], lo[own], hi[own]))
             a = b
-        return tuple(np.concatenate(x) for x in zip(*found))
+        return Anchors(*(np.concatenate(x) for x in zip(*found)))
 
 
-def anchor_grams(raw: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start and hash of every run of ``gram`` bytes that is the least of some ``length`` bytes of ``raw``.
+class Anchors:
+    """Positions, hashes and document numbers of anchors; each is the anchor of the strings that start from
+    ``lo`` up to ``hi``, and its window reaches from ``lo`` to the end of the last of them."""
 
-    Least by a hash of its first eight bytes; all equally least ones are taken."""
+    def __init__(self, at, hashes, doc, lo, hi):
+        self.at, self.hashes, self.doc, self.lo, self.hi = at, hashes, doc, lo, hi
+
+    def where(self, mask) -> "Anchors":
+        return Anchors(self.at[mask], self.hashes[mask], self.doc[mask], self.lo[mask], self.hi[mask])
+
+
+def anchor_grams(raw: bytes, length: int, gram: int):
+    """Start and hash of the anchors of ``raw``, and the first and last start of the strings they stand for.
+
+    The anchor of a string of ``length`` bytes is the first of its runs of ``gram`` bytes with the least hash
+    of its first eight bytes."""
     n = len(raw) - gram + 1
     width = length - gram + 1
     if len(raw) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.int64, np.int64))
     words = np.ndarray((len(raw) - 7,), "<u8", raw, 0, (1,))
-    first = ((words[:n] ^ (words[:n] >> np.uint64(29))) * MIX >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-
-    def slid(x, pick):
-        step = 1
-        while step * 2 <= width:
-            x = pick(x[:-step], x[step:])
-            step *= 2
-        return pick(x[: len(x) - (width - step)], x[width - step :]) if step < width else x
-
-    least = slid(first, np.minimum)
-    edge = np.zeros(width - 1, np.uint32)
-    at = np.flatnonzero(first <= slid(np.concatenate([edge, least, edge]), np.maximum))
+    least = (words[:n] ^ (words[:n] >> np.uint64(29))) * MIX & ~np.uint64((1 << 32) - 1) | np.arange(n, dtype=np.uint64)
+    step = 1
+    while step * 2 <= width:
+        least = np.minimum(least[:-step], least[step:])
+        step *= 2
+    if step < width:
+        least = np.minimum(least[: len(least) - (width - step)], least[width - step :])
+    chosen = least.astype(np.uint32)  # the position, in the lower half
+    lo = np.flatnonzero(np.r_[True, chosen[1:] != chosen[:-1]])
+    hi = np.r_[lo[1:], len(chosen)] - 1
+    at = chosen[lo].astype(np.int64)
     h = words[at] * MIX
     for k in range(8, gram, 8):
         h = (h ^ (h >> np.uint64(31)) ^ words[at + min(k, gram - 8)]) * np.uint64(0xFF51AFD7ED558CCD)
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return at, h ^ (h >> np.uint64(29))
+    return at, h ^ (h >> np.uint64(29)), lo, hi
 
 
 class Keys:
@@ -128,23 +140,38 @@ def text_hash(window: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little")
 
 
-def windows_of(block: Block, chosen, length: int, gram: int, hot: np.ndarray, keys_of: Keys):
-    """(key, window start, window end, document) of the chosen anchors; hot ones as their single strings."""
-    at, keys, doc = chosen
-    lo = np.maximum(block.starts[doc], at - (length - gram))
-    hi = np.minimum(block.ends[doc], at + length)
+def windows_of(block: Block, found: Anchors, length: int, hot: np.ndarray, keys_of: Keys):
+    """(key, window start, window end, document, anchor's place) of anchors; hot ones as their single strings."""
+    keys = keys_of.of(found.hashes)
     cold = ~np.isin(keys, hot) if len(hot) else np.ones(len(keys), bool)
-    out = list(zip(keys[cold].tolist(), lo[cold].tolist(), hi[cold].tolist(), doc[cold].tolist()))
-    seen = set()
-    for a, b, d in zip(lo[~cold].tolist(), hi[~cold].tolist(), doc[~cold].tolist()):
-        for p in range(a, b - length + 1):
-            if p not in seen:
-                seen.add(p)
-                own = np.array([text_hash(block.raw[p : p + length])], np.uint64)
-                out.append((int(keys_of.of(own)[0]), p, p + length, d))
+    c, h = found.where(cold), found.where(~cold)
+    out = list(zip(keys[cold].tolist(), c.lo.tolist(), (c.hi + length).tolist(), c.doc.tolist(), (c.at - c.lo).tolist()))
+    for lo, hi, d, at in zip(h.lo.tolist(), h.hi.tolist(), h.doc.tolist(), h.at.tolist()):
+        for p in range(lo, hi + 1):
+            own = np.array([text_hash(block.raw[p : p + length])], np.uint64)
+            out.append((int(keys_of.of(own)[0]), p, p + length, d, at - p))
     return out
 
 
+def shared_start(a: bytes, b: bytes) -> int:
+    n = min(len(a), len(b))
+    return n - ((int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")).bit_length() + 7) // 8
+
+
+def may_repeat(group: list[tuple[int, bytes]], length: int, gram: int) -> list[bool]:
+    """Which windows (anchor's place, bytes) of one anchor can have a string in common with another: those
+    that agree with some other one far enough before and behind the anchor."""
+    before, behind = [0] * len(group), [0] * len(group)
+    ways = ((before, [w[:at][::-1] for at, w in group]), (behind, [w[at + gram :] for at, w in group]))
+    for far, texts in ways:
+        order = sorted(range(len(group)), key=texts.__getitem__)
+        for i, j in zip(order, order[1:]):
+            n = shared_start(texts[i], texts[j])
+            far[i], far[j] = max(far[i], n), max(far[j], n)
+    spare = length - gram
+    return [max(at + length - len(w), spare - r, 0) <= min(at, b) for (at, w), b, r in zip(group, before, behind)]
+
+
 def classes(windows: list[bytes], ids: list[int], length: int):
     """For the windows of one batch: (window number, offset, least id) of every string of ``length`` bytes, from
     the suffix array of the windows laid end to end with a lower mark behind each."""
@@ -187,11 +214,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     blocks = max(1, -(-total // BLOCK_BYTES))
     bits = min(24, max(0, (2 * total // (length - gram + 2) // BUCKET_ANCHORS).bit_length()))
     keys_of = Keys(bits)
+    size_kind = "<u1" if 2 * length - gram < 256 else "<u2"
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
 
     def report(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, hashes, doc = Block(pdf["doc_id"], pdf["text"]).anchors(length, gram)
-        keys = keys_of.of(hashes)
+        found = Block(pdf["doc_id"], pdf["text"]).anchors(length, gram)
+        keys, doc = keys_of.of(found.hashes), found.doc
         order = np.lexsort((doc, keys))
         keys, doc = keys[order], doc[order]
         new = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.zeros(0, bool)
@@ -215,39 +243,36 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         out = [(int(b), bucket, Keys.pack(k[m]), hot) for b, k, m in zip(pdf["block"], own, mine) if m.any()]
         return pd.DataFrame(out, columns=["block", "bucket", "keys", "hot"])
 
-    def chosen_windows(block: Block, known: pd.DataFrame):
-        keys, hot = all_keys(known, "keys"), all_keys(known, "hot")
-        at, hashes, doc = block.anchors(length, gram)
-        own = keys_of.of(hashes)
-        keys.sort()
+    def windows_at(block: Block, keys: np.ndarray, hot: np.ndarray):
+        """Windows of the block's anchors that are among ``keys``."""
+        found = block.anchors(length, gram)
+        own, keys = keys_of.of(found.hashes), np.unique(keys)
         place = np.minimum(np.searchsorted(keys, own), max(0, len(keys) - 1))
-        take = keys[place] == own if len(keys) else np.zeros(len(own), bool)
-        return windows_of(block, (at[take], own[take], doc[take]), length, gram, hot, keys_of)
+        return windows_of(block, found.where(keys[place] == own if len(keys) else np.zeros(len(own), bool)), length, hot, keys_of)
 
     def send(left: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         columns = ["bucket", "block", "keys", "sizes", "ids", "twice", "windows", "hot"]
         if not len(left) or not len(known):
             return pd.DataFrame([], columns=columns)
         block = Block(left["doc_id"], left["text"])
-        seen: dict[tuple[int, bytes], list] = {}
+        seen: dict[tuple[int, bytes, int], list] = {}
         raw, ids = block.raw, block.ids.tolist()
-        for key, a, b, d in chosen_windows(block, known):
-            one, doc_id = (key, raw[a:b]), ids[d]
+        for key, a, b, d, place in windows_at(block, all_keys(known, "keys"), all_keys(known, "hot")):
+            one, doc_id = (key, raw[a:b], place), ids[d]
             entry = seen.get(one)
             if entry is None:
                 seen[one] = [doc_id, False]
             elif entry[0] != doc_id:
                 entry[0], entry[1] = min(entry[0], doc_id), True
         items = sorted(seen.items())
-        found = np.array([k for (k, _), _ in items], np.uint64)
+        found = np.array([k for (k, _, _), _ in items], np.uint64)
         out = []
         for bucket, x, y in by_bucket(found):
             part = items[x:y]
             out.append((bucket, int(left["block"].iloc[0]), Keys.pack(found[x:y]),
-                        bytes(len(w) for (_, w), _ in part) if 2 * length - gram < 256 else
-                        np.array([len(w) for (_, w), _ in part], "<u2").tobytes(),
+                        np.array([(len(w), at) for (_, w, at), _ in part], size_kind).tobytes(),
                         np.array([e[0] for _, e in part], "<i8").tobytes(),
-                        np.packbits([e[1] for _, e in part]).tobytes(), b"".join(w for (_, w), _ in part), b""))
+                        np.packbits([e[1] for _, e in part]).tobytes(), b"".join(w for (_, w, _), _ in part), b""))
         # Hot anchors come back with the answers: the last pass has to cut the same strings.
         for bucket, hot in zip(known["bucket"], known["hot"]):
             if len(hot):
@@ -256,8 +281,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def compare(key, pdf: pd.DataFrame) -> pd.DataFrame:
         bucket = int(key[0])
-        size_kind = "<u1" if 2 * length - gram < 256 else "<u2"
-        groups: dict[int, dict[bytes, int]] = {}
+        groups: dict[int, dict[bytes, list[int]]] = {}
         senders = []  # per block: its keys, windows, ids and whether two documents hold them
         out = []
         for row in pdf.itertuples():
@@ -265,15 +289,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 out.append((int(row.block), bucket, b"", b"", b"", b"", b"", row.hot))
                 continue
             keys = Keys.unpack(row.keys, bucket).tolist()
-            sizes = np.frombuffer(row.sizes, size_kind).astype(np.int64)
+            sizes, places = np.frombuffer(row.sizes, size_kind).astype(np.int64).reshape(-1, 2).T
             ends = np.cumsum(sizes).tolist()
             windows = [row.windows[e - s : e] for e, s in zip(ends, sizes.tolist())]
             ids = np.frombuffer(row.ids, "<i8").tolist()
             twice = np.unpackbits(np.frombuffer(row.twice, np.uint8), count=len(keys)).tolist()
             senders.append((int(row.block), keys, windows, ids, twice))
-            for k, w, i in zip(keys, windows, ids):
-                group = groups.setdefault(k, {})
-                group[w] = min(i, group.get(w, i))
+            for k, w, i, at in zip(keys, windows, ids, places.tolist()):
+                entry = groups.setdefault(k, {}).setdefault(w, [i, at])
+                entry[0] = min(i, entry[0])
         runs: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
 
         def settle(batch):
@@ -289,15 +313,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         batch, held = [], 0
         for k, group in groups.items():
             if len(group) == 1:  # copies of one window: a single class per string
-                (w, i), = group.items()
-                if len(w) >= length:
-                    runs[k, w] = [(0, len(w) - length + 1, i)]
+                (w, (i, _)), = group.items()
+                runs[k, w] = [(0, len(w) - length + 1, i)]
                 continue
-            if held and held + sum(map(len, group)) > BATCH_BYTES:
+            alike = may_repeat([(at, w) for w, (_, at) in group.items()], length, gram)
+            part = []
+            for (w, (i, _)), may in zip(group.items(), alike):
+                if may:
+                    part.append((k, w, i))
+                else:  # its strings stand nowhere else but in copies of this window
+                    runs[k, w] = [(0, len(w) - length + 1, i)]
+            size = sum(len(w) for _, w, _ in part)
+            if held and held + size > BATCH_BYTES:
                 settle(batch)
                 batch, held = [], 0
-            batch.extend((k, w, i) for w, i in group.items())
-            held += sum(map(len, group))
+            batch.extend(part)
+            held += size
         if batch:
             settle(batch)
         for block, keys, windows, ids, twice in senders:
@@ -327,13 +358,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                                       np.frombuffer(n, "<u2").tolist(), np.frombuffer(least, "<i8").tolist()):
                     known.setdefault((k, h), []).append(run)
             hot = all_keys(told, "hot")
-            keys = np.unique(np.concatenate([np.array([k for k, _ in known], np.uint64), hot]))
-            at, hashes, doc = block.anchors(length, gram)
-            own = keys_of.of(hashes)
-            place = np.minimum(np.searchsorted(keys, own), max(0, len(keys) - 1))
-            take = keys[place] == own if len(keys) else np.zeros(len(own), bool)
-            chosen = (at[take], own[take], doc[take])
-            for key, a, b, d in windows_of(block, chosen, length, gram, hot, keys_of):
+            keys = np.concatenate([np.array([k for k, _ in known], np.uint64), hot])
+            for key, a, b, d, _ in windows_at(block, keys, hot):
                 for o, n, least in known.get((key, text_hash(raw[a:b]) & 0xFFFFFFFF), ()):
                     if least < ids[d]:
                         change[a + o] += 1
