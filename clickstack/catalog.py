@@ -478,7 +478,7 @@ def _fact_queries():
                                                 F.sum(F.col("hit").cast("long")).alias("hit_cells"))
 
     def movers_all(s, d):
-        return R.report_movers(bp(s, d), DEFAULT, "query", limit=None, ends=50)
+        return R.report_movers(bp(s, d), DEFAULT, "query", ends=50)
 
     def assignment(s, d):
         return control(s, d, "assignment")
@@ -600,7 +600,7 @@ def _fact_queries():
         "anomaly_pct": lambda s, d: O.anomaly_pct(tot(s, d)),
         "totals_delta": lambda s, d: O.totals_delta(tot(s, d), bp(s, d)),
         "home_movers": lambda s, d: O.home_movers(bp(s, d), registry_df(s, d), assignment(s, d), FACT_AS_OF),
-        "cannibalization": lambda s, d: R.report_cannibalization(pg(s, d), WHOLE, pairs_limit=None),
+        "cannibalization": lambda s, d: R.report_cannibalization(pg(s, d), WHOLE),
         "trend_overlay": trend,
         # top-k over the whole table
         "topk_entities": lambda s, d: K.topk_entities(

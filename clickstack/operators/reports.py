@@ -78,9 +78,8 @@ def period_entities(fact: DataFrame, f: Filters, window, dim: str, by: Sequence[
 
 
 def top_with_prev(fact: DataFrame, f: Filters, dim: str, limit: int | None = 200, by: Sequence[str] = ()) -> DataFrame:
-    """The current top-``limit`` entities, each with its metrics in the prior top-``limit``
-    list (null when absent); ``limit=None`` compares every entity (no truncation). Each period is its own pruned scan and aggregate; only the two
-    ranked lists (≤ ``limit`` rows per target) meet in the join."""
+    """The current top-``limit`` entities (all with ``limit=None``), each with its metrics in the whole
+    prior period (null when it had no rows then). Each period is its own pruned scan and aggregate."""
     win = f.compare()
     rank = (lambda df: topk.topk_entities(df, limit, by)) if limit else (lambda df: df)
     cur = rank(period_entities(fact, f, (f.start, f.end), dim, by))
@@ -88,7 +87,7 @@ def top_with_prev(fact: DataFrame, f: Filters, dim: str, limit: int | None = 200
         return cur.select(*by, "key", "clicks", "impressions", "ctr", "position",
                           *[F.lit(None).cast(t).alias("prev_" + n) for n, t in
                             (("clicks", "long"), ("impressions", "long"), ("ctr", "double"), ("position", "double"))])
-    prev = rank(period_entities(fact, f, win, dim, by)).select(
+    prev = period_entities(fact, f, win, dim, by).select(
         *by, "key", F.col("clicks").alias("prev_clicks"), F.col("impressions").alias("prev_impressions"),
         F.col("ctr").alias("prev_ctr"), F.col("position").alias("prev_position"))
     return cur.join(prev, [*by, "key"], "left")
@@ -127,18 +126,15 @@ def report_striking_distance(fact: DataFrame, f: Filters, limit: int = 100, by:
 
 
 # C2 / R9 ----------------------------------------------------------------------------------------
-def report_movers(fact: DataFrame, f: Filters, dim: str = "query", limit: int | None = 1000, ends: int = 50,
-                  by: Sequence[str] = ()) -> DataFrame:
-    """Current vs prior top-``limit`` by clicks, full outer join (C2), then the 50 largest
-    gains and 50 largest losses (F6). ``is_new`` = not in the prior list."""
+def report_movers(fact: DataFrame, f: Filters, dim: str = "query", ends: int = 50, by: Sequence[str] = ()) -> DataFrame:
+    """Every entity of either period, full outer join (C2), then the 50 largest gains and 50
+    largest losses (F6). ``is_new`` = no rows in the prior period."""
     dim = "page" if dim == "page" else "query"
     if dim == "page":
         f = flt.without_segment(f)
     win = f.movers()
     cur = period_entities(fact, f, (f.start, f.end), dim, by)
     prev = period_entities(fact, f, win, dim, by)
-    if limit:
-        cur, prev = topk.topk_entities(cur, limit, by), topk.topk_entities(prev, limit, by)
     joined = (cur.select(*by, "key", F.col("clicks").alias("c"), F.lit(True).alias("in_cur"))
               .join(prev.select(*by, "key", F.col("clicks").alias("pc"), F.lit(True).alias("in_prev")),
                     [*by, "key"], "full"))
@@ -173,16 +169,13 @@ def report_ctr_curve(fact: DataFrame, f: Filters, by: Sequence[str] = ()) -> Dat
 
 
 # E1 / R12 ---------------------------------------------------------------------------------------
-def report_cannibalization(fact_page: DataFrame, f: Filters, min_impressions: int = 10, pairs_limit: int | None = 5000,
-                           top: int = 200, competing: int = 8, by: Sequence[str] = ()) -> DataFrame:
-    """(query, page) pairs (D11, top ``pairs_limit`` by impressions: F4), grouped per query:
+def report_cannibalization(fact_page: DataFrame, f: Filters, min_impressions: int = 10, top: int = 200, competing: int = 8, by: Sequence[str] = ()) -> DataFrame:
+    """All (query, page) pairs (D11), grouped per query:
     page count, Σclicks, Σimpressions and the ``competing`` pages with most impressions (E1);
     queries on ≥ 2 pages with ≥ ``min_impressions``; the ``top`` queries by impressions.
     Returns one row per (query, competing page) with ``rank``."""
     f = flt.without_segment(f)
     pairs = M.query_page_pairs(fact_page.where(flt.to_column(f, require_query=True, require_page=True)), by)
-    if pairs_limit:
-        pairs = topk.topk_pairs(pairs, pairs_limit, by)
     per_q = (pairs.groupBy(*by, F.col("q").alias("key"))
              .agg(F.count(F.lit(1)).alias("pages"), F.sum("clicks").alias("clicks"),
                   F.sum("impressions").alias("impressions"))
@@ -205,16 +198,13 @@ def cannibalization_nested(flat: DataFrame, by: Sequence[str] = ()) -> DataFrame
 
 
 # C3 / R13 ---------------------------------------------------------------------------------------
-def report_content_decay(fact_page: DataFrame, f: Filters, limit: int | None = 500, decay_only: bool = False,
-                         by: Sequence[str] = ()) -> DataFrame:
-    """Current vs prior top-``limit`` pages; only pages with prior clicks > 0 (an inner
+def report_content_decay(fact_page: DataFrame, f: Filters, decay_only: bool = False, by: Sequence[str] = ()) -> DataFrame:
+    """Every page of both periods; only pages with prior clicks > 0 (an inner
     join, C3); delta ascending. ``decay_only`` keeps delta_pct ≤ −20 like the opportunities view."""
     f = flt.without_segment(f)
     win = f.movers()
     cur = period_entities(fact_page, f, (f.start, f.end), "page", by)
     prev = period_entities(fact_page, f, win, "page", by)
-    if limit:
-        cur, prev = topk.topk_entities(cur, limit, by), topk.topk_entities(prev, limit, by)
     j = cur.select(*by, "key", "clicks").join(
         prev.select(*by, "key", F.col("clicks").alias("prev_clicks")).where(F.col("prev_clicks") > 0), [*by, "key"])
     out = j.select(*by, "key", "clicks", "prev_clicks", (F.col("clicks") - F.col("prev_clicks")).alias("delta"),

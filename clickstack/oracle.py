@@ -105,8 +105,7 @@ SELECT c.key, c.clicks, c.impressions, c.ctr, c.position,
        p.clicks AS prev_clicks, p.impressions AS prev_impressions, p.ctr AS prev_ctr, p.position AS prev_position
 FROM (SELECT {dim} AS key, {M4} FROM {table} WHERE {where} AND {CUR} AND {dim} IS NOT NULL GROUP BY {dim}
       ORDER BY clicks DESC, impressions DESC, key ASC NULLS LAST LIMIT {limit}) c
-LEFT JOIN (SELECT {dim} AS key, {M4} FROM {table} WHERE {where} AND {PREV} AND {dim} IS NOT NULL GROUP BY {dim}
-      ORDER BY clicks DESC, impressions DESC, key ASC NULLS LAST LIMIT {limit}) p ON c.key = p.key""")
+LEFT JOIN (SELECT {dim} AS key, {M4} FROM {table} WHERE {where} AND {PREV} AND {dim} IS NOT NULL GROUP BY {dim}) p ON c.key = p.key""")
 
 
 def per_query(where: str) -> str:
@@ -115,15 +114,13 @@ def per_query(where: str) -> str:
   CAST(SUM(clicks) AS BIGINT) AS clicks FROM by_property WHERE {where} GROUP BY query"""
 
 
-def movers(table: str, dim: str, limit: int = 1000) -> str:
+def movers(table: str, dim: str) -> str:
     return with_base(f"""
 SELECT * FROM (SELECT *, row_number() OVER (ORDER BY delta DESC, key ASC NULLS LAST) AS a,
                          row_number() OVER (ORDER BY delta ASC, key DESC NULLS FIRST) AS b FROM m) WHERE a <= 50 OR b <= 50""",
                      f"""
-c AS (SELECT {dim} AS key, {M4} FROM {table} WHERE {WEB} AND {CUR} AND {dim} IS NOT NULL GROUP BY {dim}
-      ORDER BY clicks DESC, impressions DESC, key ASC NULLS LAST LIMIT {limit}),
-p AS (SELECT {dim} AS key, {M4} FROM {table} WHERE {WEB} AND {PREV} AND {dim} IS NOT NULL GROUP BY {dim}
-      ORDER BY clicks DESC, impressions DESC, key ASC NULLS LAST LIMIT {limit}),
+c AS (SELECT {dim} AS key, {M4} FROM {table} WHERE {WEB} AND {CUR} AND {dim} IS NOT NULL GROUP BY {dim}),
+p AS (SELECT {dim} AS key, {M4} FROM {table} WHERE {WEB} AND {PREV} AND {dim} IS NOT NULL GROUP BY {dim}),
 m AS (SELECT coalesce(c.key, p.key) AS key, CAST(coalesce(c.clicks, 0) AS BIGINT) AS clicks,
              CAST(coalesce(p.clicks, 0) AS BIGINT) AS prev_clicks,
              CAST(coalesce(c.clicks, 0) - coalesce(p.clicks, 0) AS BIGINT) AS delta,
@@ -186,8 +183,7 @@ FROM q JOIN (SELECT q AS key, CAST(row_number() OVER (PARTITION BY q ORDER BY im
   ON q.key = r.key WHERE r.rank <= 8""", f"""
 pairs AS (SELECT query AS q, page AS p, CAST(SUM(clicks) AS BIGINT) AS clicks, CAST(SUM(impressions) AS BIGINT) AS impressions,
    SUM(position * impressions) / NULLIF(SUM(impressions), 0) AS position
-   FROM by_page WHERE {WEB} AND {CUR} AND query IS NOT NULL AND page IS NOT NULL GROUP BY query, page
-   ORDER BY impressions DESC, q ASC, p ASC LIMIT 5000),
+   FROM by_page WHERE {WEB} AND {CUR} AND query IS NOT NULL AND page IS NOT NULL GROUP BY query, page),
 q AS (SELECT q AS key, CAST(count(*) AS BIGINT) AS pages, CAST(SUM(clicks) AS BIGINT) AS clicks,
    CAST(SUM(impressions) AS BIGINT) AS impressions FROM pairs GROUP BY q
    HAVING count(*) >= 2 AND SUM(impressions) >= 10 ORDER BY impressions DESC, key ASC LIMIT 200)"""),
@@ -195,10 +191,8 @@ q AS (SELECT q AS key, CAST(count(*) AS BIGINT) AS pages, CAST(SUM(clicks) AS BI
 SELECT c.key, c.clicks, p.clicks AS prev_clicks, CAST(c.clicks - p.clicks AS BIGINT) AS delta,
        (c.clicks - p.clicks) / p.clicks * 100 AS delta_pct
 FROM c JOIN p ON c.key = p.key WHERE p.clicks > 0""", f"""
-c AS (SELECT page AS key, {M4} FROM by_page WHERE {WEB} AND {CUR} AND page IS NOT NULL GROUP BY page
-      ORDER BY clicks DESC, impressions DESC, key ASC NULLS LAST LIMIT 500),
-p AS (SELECT page AS key, {M4} FROM by_page WHERE {WEB} AND {PREV} AND page IS NOT NULL GROUP BY page
-      ORDER BY clicks DESC, impressions DESC, key ASC NULLS LAST LIMIT 500)"""),
+c AS (SELECT page AS key, {M4} FROM by_page WHERE {WEB} AND {CUR} AND page IS NOT NULL GROUP BY page),
+p AS (SELECT page AS key, {M4} FROM by_page WHERE {WEB} AND {PREV} AND page IS NOT NULL GROUP BY page)"""),
     "report_brand_split": with_base(f"""
 SELECT CASE WHEN {BRAND} THEN 'brand' ELSE 'nonbrand' END AS segment, {M4}
 FROM by_property WHERE {WEB} AND {CUR} AND query IS NOT NULL GROUP BY 1"""),
@@ -685,8 +679,7 @@ TOPQ = f"""topq AS (SELECT c.key, c.clicks, c.impressions, c.ctr, c.position,
        p.clicks AS prev_clicks, p.impressions AS prev_impressions, p.ctr AS prev_ctr, p.position AS prev_position
 FROM (SELECT query AS key, {M4} FROM by_property WHERE {WEB} AND {CUR} AND query IS NOT NULL GROUP BY query
       ORDER BY clicks DESC, impressions DESC, key ASC NULLS LAST LIMIT 200) c
-LEFT JOIN (SELECT query AS key, {M4} FROM by_property WHERE {WEB} AND {PREV} AND query IS NOT NULL GROUP BY query
-      ORDER BY clicks DESC, impressions DESC, key ASC NULLS LAST LIMIT 200) p ON c.key = p.key)"""
+LEFT JOIN (SELECT query AS key, {M4} FROM by_property WHERE {WEB} AND {PREV} AND query IS NOT NULL GROUP BY query) p ON c.key = p.key)"""
 
 PCUR = "data_date BETWEEN DATE '1998-12-04' AND DATE '1998-12-31'"
 PPREV = "data_date BETWEEN DATE '1998-11-06' AND DATE '1998-12-03'"
@@ -727,7 +720,7 @@ FACT_SQL: dict[str, str] = {
   UNION ALL SELECT 'byPage', CAST(count(*) AS BIGINT), CAST(0 AS BIGINT), CAST(SUM(CASE WHEN page IS NULL THEN 1 ELSE 0 END) AS BIGINT) FROM by_page"""),
     "pagination_ceiling": with_fact("""SELECT search_type, CAST(count(*) AS BIGINT) AS cells, CAST(SUM(n) AS BIGINT) AS n_rows,
   CAST(SUM(CASE WHEN n >= 50000 THEN 1 ELSE 0 END) AS BIGINT) AS hit_cells
-  FROM (SELECT property, data_date, search_type, least(count(*), 50000) AS n FROM by_page GROUP BY 1, 2, 3) GROUP BY search_type"""),
+  FROM (SELECT property, data_date, search_type, count(*) AS n FROM by_page GROUP BY 1, 2, 3) GROUP BY search_type"""),
     "materialize_group": with_fact(f"""SELECT m.group_id, b.data_date, b.query, b.country, b.device,
   CAST(SUM(b.clicks) AS BIGINT) AS clicks, CAST(SUM(b.impressions) AS BIGINT) AS impressions,
   SUM(b.clicks) / NULLIF(SUM(b.impressions), 0) AS ctr, SUM(b.position * b.impressions) / NULLIF(SUM(b.impressions), 0) AS position
@@ -881,15 +874,12 @@ q AS (SELECT q AS key, CAST(count(*) AS BIGINT) AS pages, CAST(SUM(clicks) AS BI
   FROM c LEFT JOIN p ON c.target_id = p.target_id AND c.key = p.key""", f"""
 c AS ({top_per_target(f"SELECT target_id, query AS key, {M4} FROM tw WHERE {PCUR} AND query IS NOT NULL GROUP BY target_id, query",
                       "clicks DESC, impressions DESC, key ASC", 200)}),
-p AS ({top_per_target(f"SELECT target_id, query AS key, {M4} FROM tw WHERE {PPREV} AND query IS NOT NULL GROUP BY target_id, query",
-                      "clicks DESC, impressions DESC, key ASC", 200)})"""),
+p AS (SELECT target_id, query AS key, {M4} FROM tw WHERE {PPREV} AND query IS NOT NULL GROUP BY target_id, query)"""),
     "precompute_movers": with_fact("""SELECT target_id, key, clicks, prev_clicks, delta, is_new FROM (
   SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY delta DESC, key ASC) AS a,
             row_number() OVER (PARTITION BY target_id ORDER BY delta ASC, key DESC) AS b FROM m) WHERE a <= 50 OR b <= 50""", f"""
-c AS ({top_per_target(f"SELECT target_id, query AS key, {M4} FROM tw WHERE {PCUR} AND query IS NOT NULL GROUP BY target_id, query",
-                      "clicks DESC, impressions DESC, key ASC", 1000)}),
-p AS ({top_per_target(f"SELECT target_id, query AS key, {M4} FROM tw WHERE {PPREV} AND query IS NOT NULL GROUP BY target_id, query",
-                      "clicks DESC, impressions DESC, key ASC", 1000)}),
+c AS (SELECT target_id, query AS key, {M4} FROM tw WHERE {PCUR} AND query IS NOT NULL GROUP BY target_id, query),
+p AS (SELECT target_id, query AS key, {M4} FROM tw WHERE {PPREV} AND query IS NOT NULL GROUP BY target_id, query),
 m AS (SELECT coalesce(c.target_id, p.target_id) AS target_id, coalesce(c.key, p.key) AS key, CAST(coalesce(c.clicks, 0) AS BIGINT) AS clicks,
   CAST(coalesce(p.clicks, 0) AS BIGINT) AS prev_clicks, CAST(coalesce(c.clicks, 0) - coalesce(p.clicks, 0) AS BIGINT) AS delta,
   (c.key IS NOT NULL AND p.key IS NULL) AS is_new FROM c FULL OUTER JOIN p ON c.target_id = p.target_id AND c.key = p.key)"""),

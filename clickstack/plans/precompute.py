@@ -78,7 +78,7 @@ def precompute(fact: DataFrame, members: DataFrame, report: str, as_of) -> DataF
     if report == "striking-distance":
         return R.report_striking_distance(t, f, 100, BY)
     if report == "movers":
-        return R.report_movers(t, f, "query", 1000, 50, BY)
+        return R.report_movers(t, f, "query", 50, BY)
     raise ValueError(report)
 
 

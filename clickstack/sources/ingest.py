@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -63,15 +65,13 @@ def with_row_hash(rows: DataFrame) -> DataFrame:
             .withColumn("data_month", F.trunc("data_date", "month")))
 
 
-def pagination_ceiling(rows: DataFrame, slice_keys=("property", "data_date", "search_type", "aggregation"),
-                       order=("query", "page", "country", "device")) -> DataFrame:
-    """At most 50,000 rows per slice (what the API returns), with ``hit_ceiling`` on every
-    row of a slice that reached it. The per-slice window is a partial top-k, so a hot slice only
-    ships its first 50,000 rows through the shuffle."""
-    w = Window.partitionBy(*slice_keys).orderBy(*[F.col(c).asc_nulls_first() for c in order])
-    ranked = rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= MAX_ROWS_PER_DAY)
-    n = F.max("_rn").over(Window.partitionBy(*slice_keys))
-    return ranked.withColumn("hit_ceiling", n >= MAX_ROWS_PER_DAY).drop("_rn")
+def pagination_ceiling(rows: DataFrame, slice_keys=("property", "data_date", "search_type", "aggregation")) -> DataFrame:
+    """Every row, with ``hit_ceiling`` where its slice has as many rows as the API returns at most
+    (50,000) or more. Only counts per slice are aggregated; a hot slice is one partial count per task."""
+    full = rows.groupBy(*slice_keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= MAX_ROWS_PER_DAY)
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"f.{k}")) for k in slice_keys]
+    joined = rows.alias("r").join(full.alias("f"), reduce(and_, same), "left")
+    return joined.select("r.*", F.col("f._n").isNotNull().alias("hit_ceiling"))
 
 
 def to_responses(fact: DataFrame) -> DataFrame:

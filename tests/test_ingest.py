@@ -78,7 +78,7 @@ def test_pagination_ceiling(spark):
                                       F.col("id").cast("string").alias("query"), F.lit(None).cast("string").alias("page"),
                                       F.lit("usa").alias("country"), F.lit("MOBILE").alias("device"))
     out = ingest.pagination_ceiling(rows)
-    assert out.count() == 50_000
+    assert out.count() == 50_010
     assert out.where(~F.col("hit_ceiling")).count() == 0
 
 
