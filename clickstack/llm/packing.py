@@ -31,7 +31,7 @@ TOKENIZER = "word_bpe_49k.json"
 #: Pieces per partition on average, rounds of exchange at most, words a worker remembers.
 PARTITION_PIECES = 1 << 16
 ROUNDS = 4
-MEMORY = 400_000
+MEMORY = 1_000_000
 #: Characters of which one that no fresh word holds parts the words given to the tokenizer.
 PARTS = "~^_=+;:?#*@%&$!"
 
