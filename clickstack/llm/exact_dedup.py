@@ -87,8 +87,8 @@ def _filters_of(fingerprints: list[np.ndarray], shard_bits: int) -> pa.RecordBat
 
 def repeated_fingerprints(digest: DataFrame, fp_col: str = "fp") -> DataFrame:
     """``fp, n``: the fingerprints that occur more than once, by building and merging filters."""
-    shards = 1
-    while shards * SHARD_ROWS < digest.count():
+    shards, rows = 1, digest.count()
+    while shards * SHARD_ROWS < rows:
         shards *= 2
     shard_bits = shards.bit_length() - 1
 

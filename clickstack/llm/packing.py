@@ -13,6 +13,7 @@ by a hash of the piece and so spreads evenly.
 
 from __future__ import annotations
 
+import re
 from itertools import chain
 from zlib import crc32
 
@@ -34,6 +35,15 @@ ROUNDS = 4
 MEMORY = 1_000_000
 #: Characters of which one that no fresh word holds parts the words given to the tokenizer.
 PARTS = "~^_=+;:?#*@%&$!"
+#: Python's split() also parts at these four, which the tokenizer takes for symbols.
+SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
+
+
+def split_words(text: str) -> list[str]:
+    """The runs of anything but Unicode white space."""
+    if any(c in text for c in SEPARATORS):
+        return re.findall(r"(?:[\x1c-\x1f]|\S)+", text)
+    return text.split()
 
 
 class WordIds:
@@ -94,7 +104,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
             ids = batch.column(0).to_pylist()
             rows = []
             for at in range(0, len(ids), 500):
-                texts = [(t.as_py() or "").split() for t in batch.column(1)[at : at + 500]]
+                texts = [split_words(t.as_py() or "") for t in batch.column(1)[at : at + 500]]
                 for doc, raw in zip(ids[at : at + 500], cache["ids"].of(texts)):
                     raw += end
                     for k, a in enumerate(range(0, len(raw), step)):

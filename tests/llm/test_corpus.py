@@ -71,15 +71,15 @@ def test_chat_round_trip(spark):
     assert chat.format_conversations(rows.limit(0)).count() == 0
 
 
-def brute_pieces(rows):
+def brute_pieces(rows, length=2048):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     tokenizer, out = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), []
     for i, t in rows:
         ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
-        for k, a in enumerate(range(0, len(ids), 2048)):
-            part = ids[a : a + 2048]
+        for k, a in enumerate(range(0, len(ids), length)):
+            part = ids[a : a + length]
             out.append((i, k, a, len(part), zlib.crc32(np.array(part, "<u4").tobytes())))
     return out
 
@@ -101,6 +101,16 @@ def test_packing(docs, odd, nothing, monkeypatch, per_partition):
     assert packing.best_fit_packing(nothing).count() == 0
 
 
+def test_words_are_those_of_the_tokenizer(spark):
+    """Ids word by word equal ids of the whole text, whatever parts the words."""
+    rng = np.random.default_rng(9)
+    parts = [*"ab cZ1,.'~^=\t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2003\u2028\u2029\u202f\u3000\u200b\ufeff\u0301é\U0001f600中Σİ",
+             "<|endoftext|>", "'ll", "  "]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 30))) for _ in range(3000)]
+    got = packing.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), length=8).collect()
+    assert sorted(map(tuple, got)) == sorted(brute_pieces(list(enumerate(texts)), 8))
+
+
 def test_lower_bound_is_sound():
     rng = np.random.default_rng(4)
 
