@@ -88,6 +88,10 @@ def _groups():
     def seed_queries(s, d):
         return G.seed_entities(bp(s, d), DEFAULT, "query")
 
+    def topic_clusters_by_property(s, d):
+        seed = G.seed_entities(bp(s, d), DEFAULT, "query", by=["property"])
+        return G.auto_topic_clusters(seed, fixtures.BRAND_TERMS, ["property"]).select("property", "rank", "value")
+
     def saved(s, kind):
         return fixtures.semantic_groups(s, kind)
 
@@ -124,8 +128,8 @@ def _groups():
     return {
         "auto_content_groups": lambda s, d: G.auto_content_groups(seed_pages(s, d)),
         "auto_content_groups_pages": pages_content_groups,
-        "auto_topic_clusters": lambda s, d: G.auto_topic_clusters(seed_queries(s, d), fixtures.BRAND_TERMS, bounded=True),
-        "auto_topic_clusters_exact": lambda s, d: G.auto_topic_clusters(seed_queries(s, d), fixtures.BRAND_TERMS),
+        "auto_topic_clusters": lambda s, d: G.auto_topic_clusters(seed_queries(s, d), fixtures.BRAND_TERMS),
+        "auto_topic_clusters_by_property": topic_clusters_by_property,
         "auto_suggest_content": lambda s, d: G.auto_suggest(pg(s, d), "content", DEFAULT.end, fixtures.BRAND_TERMS),
         "auto_suggest_topic": lambda s, d: G.auto_suggest(bp(s, d), "topic", DEFAULT.end, fixtures.BRAND_TERMS),
         "report_grouped_entities_content": lambda s, d: G.report_grouped_entities(pg(s, d), DEFAULT, "content"),
@@ -281,7 +285,7 @@ def _ledger_queries():
 
     return {
         # registry / ledger
-        "registry_merge": lambda s, d: reg_out(L.registry_merge(attempts(s, d))),
+        "registry_merge": lambda s, d: reg_out(fixtures.merged(attempts(s, d))),
         "latest_state": lambda s, d: ledger_out(L.latest_state(attempts(s, d))),
         "property_status": lambda s, d: pstatus(s, d).select(
             "property_id", "kind", "last_collected_date", "data_state", "last_error",
@@ -510,7 +514,7 @@ def _fact_queries():
         obs = native.export_sites(native.site_export(s, d)).select(
             F.col("site_url").alias("property"), F.lit("export0").alias("account_id"),
             F.lit(OPS_AS_OF).cast("timestamp").alias("logged_at"))
-        reg = L.registry_merge(obs)
+        reg = fixtures.merged(obs)
         known = registry_df(s, d).where(F.col("source") == "native_export").select("site_url")
         return reg.join(known, "site_url", "left_semi").select("property_id", "site_url", "property_type", "source",
                                                                F.array_join("account_ids", ",").alias("account_ids"))
@@ -573,7 +577,7 @@ def _fact_queries():
         "brand_match": lambda s, d: bp(s, d).where(F.col("query").isNotNull()).select("query").distinct().select(
             "query", flt.brand_match(fixtures.BRAND_TERMS).alias("is_brand")),
         "rule_match": lambda s, d: G.match_groups(
-            pg(s, d).where(F.col("search_type") == "web").select("query", "page").distinct(),
+            pg(s, d).select("query", "page").distinct(),
             fixtures.semantic_groups(s, "content")).select("group_id", "query", "page"),
         "without_segment": lambda s, d: R.report_top_pages(pg(s, d), DEFAULT.replace(segment="brand")),
         # aggregations over the whole table
@@ -710,6 +714,7 @@ def _more_queries():
 
 # Inventory names whose operator is computed inside another registered query (same result).
 ALIASES = {
+    "auto_topic_clusters_exact": "auto_topic_clusters",  # R17: one path for any number of queries
     "top_with_prev": "report_top_queries",          # C1
     "movers": "report_movers",                      # C2
     "content_decay": "report_content_decay",        # C3

@@ -168,5 +168,5 @@ def rule_match_column(dimension: Column, op: Column, value: Column, page: Column
     return (F.length(v) > 0) & (
         F.when(op == "regex", F.regexp_like(target, v))
         .when(op == "equals", target == lv)
-        .when(op == "starts_with", F.like(target, F.concat(lv, F.lit("%"))))
-        .otherwise(F.like(target, F.concat(F.lit("%"), lv, F.lit("%")))))
+        .when(op == "starts_with", F.startswith(target, lv))
+        .otherwise(F.contains(target, lv)))

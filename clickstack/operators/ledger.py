@@ -15,58 +15,65 @@ from pyspark.sql import functions as F
 
 from clickstack.functions import dates, keys, status, text
 from clickstack.schema import TERMINAL_FINAL
-from clickstack.sources import fixtures
 
 IN_FLIGHT = ["pending", "queued"]
 KEEP_ON_PURGE = ["collected_with_data", "collected_no_data", "skipped"]
 
 
 # E3 ---------------------------------------------------------------------------------------------
-def registry_merge(observations: DataFrame) -> DataFrame:
-    """Many discovery observations (property, account_id, logged_at) → one registry row:
-    accounts unioned, the first observation's account kept as preferred, first sighting kept,
-    last sighting refreshed; settings from the declared configuration."""
+REGISTRY_CONFIG = "struct<types:array<string>,aggregations:array<string>,offset_days:int,backfill_months:int>"
+
+
+def registry_merge(observations: DataFrame, settings: DataFrame | None = None, existing: DataFrame | None = None) -> DataFrame:
+    """Many discovery observations (property, account_id, logged_at) → one registry row per property.
+
+    Accounts are unioned; the account of the first observation that has one is preferred; the first sighting is
+    kept, the last refreshed. ``settings(property, source, included, config, brand_terms)`` says how a new
+    property starts; without a row there it is an API property, included, without configuration. Rows of
+    ``existing`` (a registry) keep their preferred account, source, inclusion, configuration and brand terms,
+    and stay when nothing new was observed of them. Of observations at the same time the smaller account
+    counts as first."""
     obs = observations.select("property", "account_id", "logged_at")
-    accts = (obs.where(F.col("account_id").isNotNull()).select("property", "account_id").distinct()
-             .groupBy("property").agg(F.array_sort(F.collect_list("account_id")).alias("account_ids")))
-    first = obs.groupBy("property").agg(
-        F.min_by("account_id", F.when(F.col("account_id").isNotNull(), F.col("logged_at"))).alias("preferred_account_id"),
-        F.min("logged_at").alias("discovered_at"), F.max("logged_at").alias("last_seen_at"))
-    site = fixtures.site_index(F.col("property"))
-    cfg = fixtures.PROPERTY_CONFIG
-    reg = first.join(accts, "property", "left")
-    native = site.isin(fixtures.NATIVE_SITES)
-    return reg.select(
+    seen = obs.groupBy("property").agg(
+        F.array_sort(F.collect_set("account_id")).alias("new_accounts"),
+        F.min(F.when(F.col("account_id").isNotNull(), F.struct("logged_at", "account_id")))["account_id"].alias("first_account"),
+        F.min("logged_at").alias("first_seen"), F.max("logged_at").alias("last_seen"))
+    if settings is not None:
+        seen = seen.join(settings.select("property", "source", "included", "config", "brand_terms"), "property", "left")
+    else:
+        seen = seen.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (
+            ("source", "string"), ("included", "boolean"), ("config", REGISTRY_CONFIG), ("brand_terms", "array<string>"))])
+    accounts_, kept = F.col("new_accounts"), lambda c: F.col(c)
+    preferred, discovered, last = F.col("first_account"), F.col("first_seen"), F.col("last_seen")
+    if existing is not None:
+        old = existing.select("property", *[F.col(c).alias(f"old_{c}") for c in (
+            "account_ids", "preferred_account_id", "discovered_at", "last_seen_at", "source", "included", "config", "brand_terms")])
+        seen = seen.join(old, "property", "full_outer")
+        none = F.array().cast("array<string>")
+        accounts_ = F.array_sort(F.array_union(F.coalesce("old_account_ids", none), F.coalesce("new_accounts", none)))
+        kept = lambda c: F.coalesce(f"old_{c}", c)
+        preferred = F.coalesce("old_preferred_account_id", "first_account")
+        discovered, last = F.least("old_discovered_at", "first_seen"), F.greatest("old_last_seen_at", "last_seen")
+    return seen.select(
         keys.property_key(F.col("property")).alias("property_id"),
         F.col("property").alias("site_url"),
         keys.property_type(F.col("property")).alias("property_type"),
-        F.when(native, F.lit("native_export")).otherwise(F.lit("api")).alias("source"),
-        (native | ~site.isin(fixtures.UNTRACKED_SITES)).alias("included"),
-        F.coalesce(F.col("account_ids"), F.array().cast("array<string>")).alias("account_ids"),
-        "preferred_account_id", "discovered_at", "last_seen_at",
-        F.struct(F.array(*[F.lit(t) for t in cfg["types"]]).alias("types"),
-                 F.array(*[F.lit(a) for a in cfg["aggregations"]]).alias("aggregations"),
-                 F.lit(cfg["offset_days"]).alias("offset_days"),
-                 F.lit(cfg["backfill_months"]).alias("backfill_months")).alias("config"),
-        F.array(*[F.lit(b) for b in fixtures.BRAND_TERMS]).alias("brand_terms"),
-        F.col("property"),
-    )
+        F.coalesce(kept("source"), F.lit("api")).alias("source"),
+        F.coalesce(kept("included"), F.lit(True)).alias("included"),
+        accounts_.alias("account_ids"), preferred.alias("preferred_account_id"),
+        discovered.alias("discovered_at"), last.alias("last_seen_at"),
+        kept("config").alias("config"), kept("brand_terms").alias("brand_terms"), F.col("property"))
 
 
 # E5 ---------------------------------------------------------------------------------------------
 def latest_state(attempts: DataFrame) -> DataFrame:
-    """E5: the ledger: per task the state of its latest attempt (last write wins)."""
-    t = F.col("logged_at")
-    return attempts.groupBy("task_id").agg(
-        F.max_by("property", t).alias("property"),
-        F.max_by("search_type", t).alias("search_type"),
-        F.max_by("aggregation", t).alias("aggregation"),
-        F.max_by("data_date", t).alias("data_date"),
-        F.max_by("status", t).alias("status"),
-        F.max_by("attempt", t).alias("attempts"),
-        F.max_by("account_id", t).alias("account_id"),
-        F.max(t).alias("updated_at"),
-    ).withColumn("property_id", keys.property_key(F.col("property")))
+    """E5: the ledger: per task the state of its latest attempt (last write wins). All columns come from one
+    attempt; of attempts at the same time the one with the higher number, then the larger row, is the latest."""
+    state = F.struct("logged_at", "attempt", "status", "property", "search_type", "aggregation", "data_date", "account_id")
+    last = attempts.groupBy("task_id").agg(F.max(state).alias("s"))
+    return last.select(
+        "task_id", "s.property", "s.search_type", "s.aggregation", "s.data_date", "s.status", F.col("s.attempt").alias("attempts"),
+        "s.account_id", F.col("s.logged_at").alias("updated_at"), keys.property_key(F.col("s.property")).alias("property_id"))
 
 
 # E6 ---------------------------------------------------------------------------------------------
@@ -77,10 +84,10 @@ def property_status(registry: DataFrame, attempts: DataFrame) -> DataFrame:
     err = F.col("status") == "error"
     s = attempts.groupBy("property").agg(
         F.max(F.when(ok, F.col("data_date"))).alias("last_collected_date"),
-        F.max_by(F.when(ok, F.when(F.col("status") == "collected_fresh", "fresh").otherwise("final")),
-                 F.when(ok, F.struct("data_date", "logged_at"))).alias("data_state"),
+        F.max(F.when(ok, F.struct("data_date", "logged_at", F.when(F.col("status") == "collected_fresh", "fresh")
+                                  .otherwise("final").alias("state"))))["state"].alias("data_state"),
         F.max(F.when(ok, F.col("logged_at"))).alias("last_collected_at"),
-        F.max_by(F.when(err, F.col("error_message")), F.when(err, F.col("logged_at"))).alias("last_error"),
+        F.max(F.when(err, F.struct("logged_at", "error_message")))["error_message"].alias("last_error"),
         F.max(F.when(err, F.col("logged_at"))).alias("last_error_at"))
     j = registry.join(s, registry.site_url == s.property, "left").drop(s.property)
     errored = F.col("last_error_at").isNotNull() & (F.col("last_collected_at").isNull()
@@ -271,7 +278,7 @@ def accounts(attempts: DataFrame) -> DataFrame:
     a = attempts.where(F.col("account_id").isNotNull())
     ok = F.col("status").startswith("collected_")
     g = a.groupBy("account_id").agg(
-        F.max_by("error_message", "logged_at").alias("last_message"),
+        F.max(F.struct("logged_at", "error_message"))["error_message"].alias("last_message"),
         F.max(F.when(ok, F.col("logged_at"))).alias("last_success_at"))
     health = F.when(F.coalesce(F.col("last_message"), F.lit("")).rlike(status.REVOKED_MESSAGE),
                     status.token_error_class(F.col("last_message"))).otherwise(F.lit("valid"))

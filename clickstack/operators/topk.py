@@ -15,14 +15,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def clamp(n, lo: int, hi: int, default: int) -> int:
-    x = default if n is None else int(n)
-    return min(max(x, lo), hi)
-
-
 def top_n(df: DataFrame, order: Sequence[Column], n: int | None, by: Sequence[str] = (),
           rank_col: str | None = None) -> DataFrame:
     """The first ``n`` rows by ``order`` (per ``by`` group); ``n=None`` keeps all rows."""
+    if n is not None and n < 1:
+        raise ValueError(f"a top list holds at least one row, not {n}")
     if n is None and not rank_col:
         return df
     if not by and not rank_col:
@@ -44,29 +41,29 @@ def by_impressions(key: str = "key") -> list[Column]:
 
 
 def topk_entities(df: DataFrame, limit=100, by: Sequence[str] = ()) -> DataFrame:
-    """clicks ↓, impressions ↓, key ↑; limit clamped 1..5000 (default 100)."""
-    return top_n(df, by_clicks(), clamp(limit, 1, 5000, 100), by)
+    """clicks ↓, impressions ↓, key ↑; the first ``limit``; ``None`` keeps all."""
+    return top_n(df, by_clicks(), limit, by)
 
 
 def topk_scatter(df: DataFrame, limit=500, by: Sequence[str] = ()) -> DataFrame:
-    """impressions ↓; clamp 1..2000 (default 500)."""
-    return top_n(df, by_impressions(), clamp(limit, 1, 2000, 500), by)
+    """impressions ↓, the first ``limit``."""
+    return top_n(df, by_impressions(), limit, by)
 
 
 def topk_bench(df: DataFrame, limit=200, by: Sequence[str] = ()) -> DataFrame:
-    """impressions ↓; clamp 1..1000 (default 200)."""
-    return top_n(df, by_impressions(), clamp(limit, 1, 1000, 200), by)
+    """impressions ↓, the first ``limit``."""
+    return top_n(df, by_impressions(), limit, by)
 
 
 def topk_pairs(df: DataFrame, limit=5000, by: Sequence[str] = ()) -> DataFrame:
-    """(query, page) pairs by impressions ↓; clamp 1..20000 (default 5000)."""
+    """(query, page) pairs by impressions ↓, the first ``limit``."""
     order = [F.col("impressions").desc_nulls_last(), F.col("q").asc_nulls_last(), F.col("p").asc_nulls_last()]
-    return top_n(df, order, clamp(limit, 1, 20000, 5000), by)
+    return top_n(df, order, limit, by)
 
 
 def topk_striking(df: DataFrame, limit=100, by: Sequence[str] = ()) -> DataFrame:
-    """impressions ↓; clamp 1..1000 (default 100)."""
-    return top_n(df, by_impressions(), clamp(limit, 1, 1000, 100), by)
+    """impressions ↓, the first ``limit``."""
+    return top_n(df, by_impressions(), limit, by)
 
 
 def two_ended(df: DataFrame, n: int = 50, by: Sequence[str] = ()) -> DataFrame:

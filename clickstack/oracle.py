@@ -237,10 +237,9 @@ FROM (SELECT seg, value, CAST(row_number() OVER (ORDER BY value DESC, seg ASC) A
 WHERE rank <= 12"""
 
 
-def seed_sql(table: str, dim: str, where: str, limit: int) -> str:
+def seed_sql(table: str, dim: str, where: str) -> str:
     return (f"SELECT {dim} AS key, CAST(SUM(clicks) AS BIGINT) AS clicks, CAST(SUM(impressions) AS BIGINT) AS impressions "
-            f"FROM {table} WHERE {where} AND {dim} IS NOT NULL GROUP BY {dim} "
-            f"ORDER BY clicks DESC, impressions DESC, key ASC NULLS LAST LIMIT {limit}")
+            f"FROM {table} WHERE {where} AND {dim} IS NOT NULL GROUP BY {dim}")
 
 
 def grouped_sql(table: str, groups: list[tuple[str, str]], where_extra: str) -> str:
@@ -290,7 +289,7 @@ def _grouped_saved(table, groups, extra):
 
 
 def _auto_content_grouped() -> str:
-    seed = seed_sql("by_page", "page", f"{WEB} AND {CUR}", 500)
+    seed = seed_sql("by_page", "page", f"{WEB} AND {CUR}")
     groups = content_groups_sql(seed)
     return with_base(f"""
 SELECT g.name AS key,
@@ -309,10 +308,10 @@ GROUP BY g.name""", f"g AS ({groups})")
 
 
 GROUPS: dict[str, str] = {
-    "auto_content_groups": with_base(content_groups_sql(seed_sql("by_page", "page", f"{WEB} AND {CUR}", 500))),
+    "auto_content_groups": with_base(content_groups_sql(seed_sql("by_page", "page", f"{WEB} AND {CUR}"))),
     "auto_content_groups_pages": content_groups_sql("SELECT url AS key, page_id AS impressions FROM pages"),
     "auto_suggest_content": with_base(content_groups_sql(seed_sql(
-        "by_page", "page", f"{WEB} AND data_date BETWEEN DATE '1998-10-03' AND DATE '1998-12-31'", 500))),
+        "by_page", "page", f"{WEB} AND data_date BETWEEN DATE '1998-10-03' AND DATE '1998-12-31'"))),
     "report_grouped_entities_content": _auto_content_grouped(),
     "report_grouped_entities_saved_topic": grouped_sql("by_property", SAVED_TOPIC_SQL, "query IS NOT NULL").replace(
         "SELECT 'Widgets' AS key,", "SELECT 'Widgets' AS key,").replace(
@@ -751,7 +750,7 @@ FACT_SQL: dict[str, str] = {
     "f_require_query": per_prop("by_page", f"{WEB} AND {WHOLE} AND query IS NOT NULL"),
     "f_require_page": per_prop("by_page", f"{WEB} AND {WHOLE} AND page IS NOT NULL"),
     "brand_match": with_fact(f"SELECT DISTINCT query, {BRAND} AS is_brand FROM by_property WHERE query IS NOT NULL"),
-    "rule_match": with_fact("""SELECT DISTINCT g.group_id, k.query, k.page FROM (SELECT DISTINCT query, page FROM by_page WHERE search_type = 'web') k
+    "rule_match": with_fact("""SELECT DISTINCT g.group_id, k.query, k.page FROM (SELECT DISTINCT query, page FROM by_page) k
   JOIN (VALUES ('economy', 'contains', '/economy/'), ('small', 'starts_with', 'https://www.site0.example.com/small')) g(group_id, op, value)
   ON (g.op = 'contains' AND lower(k.page) LIKE '%' || g.value || '%') OR (g.op = 'starts_with' AND lower(k.page) LIKE g.value || '%')"""),
     "without_segment": REPORTS["report_top_pages"],
@@ -886,7 +885,7 @@ m AS (SELECT coalesce(c.target_id, p.target_id) AS target_id, coalesce(c.key, p.
 }
 FACT_SQL["union_all"] = FACT_SQL["wildcard_all"]
 FACT_SQL["stream_ingest"] = FACT_SQL["ingest_response_rows"]
-FACT_SQL["new_suggestions"] = with_fact("""SELECT * FROM (""" + content_groups_sql(seed_sql("by_page", "page", f"{WEB} AND {CUR}", 500))
+FACT_SQL["new_suggestions"] = with_fact("""SELECT * FROM (""" + content_groups_sql(seed_sql("by_page", "page", f"{WEB} AND {CUR}"))
                                         + """) WHERE lower(name) NOT IN ('economy', 'small')""")
 FACT_SQL["movers_window"] = with_base("""SELECT start, "end", mode, CAST(cs AS DATE) AS compare_start, CAST(ce AS DATE) AS compare_end FROM (
   SELECT m AS start, CAST(last_day(m) AS DATE) AS "end", md AS mode,
@@ -923,7 +922,7 @@ def recursive(sql: str) -> str:
 
 
 def _topic_grouped() -> str:
-    seed = seed_sql("by_property", "query", f"{WEB} AND {CUR}", 1000)
+    seed = seed_sql("by_property", "query", f"{WEB} AND {CUR}")
     s = lambda win, c: f"SUM(CASE WHEN {win} THEN r.{c} ELSE 0 END)"
     body = f"""
 SELECT g.name AS key, CAST(coalesce({s(CUR, 'clicks')}, 0) AS BIGINT) AS clicks,
@@ -941,11 +940,28 @@ GROUP BY g.name"""
     return recursive(with_base(body, topic_ctes(seed)))
 
 
+def topic_by_property_sql(rounds: int = 12) -> str:
+    seed = f"""SELECT property, query AS key, CAST(SUM(impressions) AS BIGINT) AS impressions FROM by_property
+  WHERE {WEB} AND {CUR} AND query IS NOT NULL GROUP BY property, query"""
+    docs = topic_ctes(seed).split("dterms AS", 1)[0].strip().rstrip(",").replace("SELECT key AS doc", "SELECT property, key AS doc", 1)
+    ctes, chosen = [docs], []
+    for r in range(1, rounds + 1):
+        left = "docs d" if r == 1 else (f"docs d LEFT JOIN c{r - 1} c USING (property)")
+        free = "" if r == 1 else "WHERE c.taken IS NULL OR NOT list_has_any(d.terms, c.taken)"
+        ctes.append(f"""p{r} AS MATERIALIZED (SELECT property, term FROM (
+  SELECT property, term, row_number() OVER (PARTITION BY property ORDER BY SUM(w + 1) DESC, term) AS n
+  FROM (SELECT property, w, unnest(d.terms) AS term FROM {left} {free}) GROUP BY property, term) WHERE n = 1)""")
+        chosen.append(f"SELECT property, {r} AS rank, term FROM p{r}")
+        ctes.append(f"c{r} AS MATERIALIZED (SELECT property, list(term) AS taken FROM ({' UNION ALL '.join(chosen)}) GROUP BY property)")
+    return with_base(f"SELECT property, CAST(rank AS INTEGER) AS rank, term AS value FROM ({' UNION ALL '.join(chosen)})", ",\n".join(ctes))
+
+
 TOPIC_SQL = {
-    "auto_topic_clusters_exact": recursive(with_base("SELECT * FROM clusters", topic_ctes(seed_sql("by_property", "query", f"{WEB} AND {CUR}", 1000)))),
-    "auto_topic_clusters": recursive(with_base("SELECT * FROM clusters", topic_ctes(seed_sql("by_property", "query", f"{WEB} AND {CUR}", 1000)))),
+    # Round by round and property: the best term over the queries with none of the terms chosen for their property.
+    "auto_topic_clusters_by_property": topic_by_property_sql(),
+    "auto_topic_clusters": recursive(with_base("SELECT * FROM clusters", topic_ctes(seed_sql("by_property", "query", f"{WEB} AND {CUR}")))),
     "auto_suggest_topic": recursive(with_base("SELECT * FROM clusters", topic_ctes(seed_sql(
-        "by_property", "query", f"{WEB} AND data_date BETWEEN DATE '1998-10-03' AND DATE '1998-12-31'", 1000)))),
+        "by_property", "query", f"{WEB} AND data_date BETWEEN DATE '1998-10-03' AND DATE '1998-12-31'")))),
     "report_grouped_entities_topic": _topic_grouped(),
 }
 

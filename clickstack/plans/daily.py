@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from clickstack.operators import ledger, ops
 from clickstack.plans import precompute as P
-from clickstack.sources import ingest, native
+from clickstack.sources import fixtures, ingest, native
 from clickstack.sources.warehouse import Warehouse
 
 
@@ -27,7 +27,8 @@ def run(spark: SparkSession, sf_dir: str, out_root: str, fact_as_of: dt.date, le
         F.col("site_url").alias("property"), F.lit(None).cast("string").alias("account_id"),
         F.lit(dt.datetime.combine(ledger_as_of, dt.time())).cast("timestamp").alias("logged_at"))
     attempts = w.control("attempts")
-    registry = ledger.registry_merge(attempts.select("property", "account_id", "logged_at").unionByName(exported))
+    seen = attempts.select("property", "account_id", "logged_at").unionByName(exported)
+    registry = fixtures.merged(seen, w.control("registry"))
     registry.write.mode("overwrite").parquet(f"{out_root}/registry")
     registry = spark.read.parquet(f"{out_root}/registry")
     steps.append(("discover", registry.count()))
@@ -39,7 +40,8 @@ def run(spark: SparkSession, sf_dir: str, out_root: str, fact_as_of: dt.date, le
 
     # 3. Ingest whatever responses are present (S1 in batch form: map → hash → replace slices).
     if responses_dir:
-        rows = ingest.with_row_hash(ingest.map_response_rows(ingest.read_responses(spark, responses_dir),
+        rows = ingest.with_row_hash(ingest.map_response_rows(
+            ingest.newest_loads(ingest.read_responses(spark, responses_dir)).where(F.col("aggregation") == "byProperty"),
                                                              dt.datetime.combine(ledger_as_of, dt.time())))
         ingest.replace_slices(spark, f"{out_root}/by_property", rows.drop("data_month"))
         steps.append(("ingest", spark.read.parquet(f"{out_root}/by_property").count()))

@@ -49,7 +49,7 @@ API_ROW = T.StructType([
     T.StructField("position", T.DoubleType(), True),
 ])
 
-# One response file: the request cell it answers plus its rows.
+# One response file: the request cell it answers, its rows and, where known, when the cell was loaded.
 API_RESPONSE = T.StructType([
     T.StructField("site_url", T.StringType(), False),
     T.StructField("data_date", T.StringType(), False),
@@ -57,6 +57,7 @@ API_RESPONSE = T.StructType([
     T.StructField("aggregation", T.StringType(), False),
     T.StructField("first_incomplete_date", T.StringType(), True),
     T.StructField("rows", T.ArrayType(API_ROW), True),
+    T.StructField("loaded_at", T.TimestampType(), True),
 ])
 
 RULE = T.StructType([

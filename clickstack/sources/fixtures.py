@@ -116,16 +116,35 @@ PROPERTY_CONFIG = {"types": ["web", "image", "news", "discover"],
 
 def site_index(url_col) -> F.Column:
     """Inverse of ``site_url`` for the fixture hosts."""
-    n = F.regexp_extract(url_col, r"site(\d+)\.example\.com", 1).cast("int")
+    n = F.regexp_extract(url_col, r"site(\d+)\.example\.com", 1).try_cast("int")
     return F.when(url_col.startswith("sc-domain:"), n + 6).otherwise(n)
 
 
+def settings(observations: DataFrame) -> DataFrame:
+    """How the fixture sites start in the registry: one row per observed property of the fixture."""
+    props = observations.select("property").distinct().withColumn("site", site_index(F.col("property"))).where("site is not null")
+    native, cfg = F.col("site").isin(NATIVE_SITES), PROPERTY_CONFIG
+    return props.select(
+        "property", F.when(native, F.lit("native_export")).otherwise(F.lit("api")).alias("source"),
+        (native | ~F.col("site").isin(UNTRACKED_SITES)).alias("included"),
+        F.struct(F.array(*[F.lit(t) for t in cfg["types"]]).alias("types"),
+                 F.array(*[F.lit(a) for a in cfg["aggregations"]]).alias("aggregations"),
+                 F.lit(cfg["offset_days"]).alias("offset_days"),
+                 F.lit(cfg["backfill_months"]).alias("backfill_months")).alias("config"),
+        F.array(*[F.lit(b) for b in BRAND_TERMS]).alias("brand_terms"))
+
+
+def merged(observations: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """The registry (E3) of ``observations`` with the fixture's settings."""
+    from clickstack.operators import ledger
+
+    return ledger.registry_merge(observations, settings(observations), existing)
+
+
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Property registry: one row per property seen in the attempt log (E3 shape), with its
     accounts, first/last sighting and configuration."""
-    from clickstack.operators import ledger
-
-    return ledger.registry_merge(attempts(spark, sf_dir))
+    return merged(attempts(spark, sf_dir))
 
 
 def group_members(spark: SparkSession, sf_dir: str, registry_df: DataFrame | None = None) -> DataFrame:

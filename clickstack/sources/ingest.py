@@ -23,12 +23,21 @@ from clickstack.session import cut_lineage, storage_root
 ROWS_PER_PAGE = 25_000   # fixed value: rows per API page
 MAX_ROWS_PER_DAY = 50_000  # fixed value: API ceiling per property, day and type
 SLICE = ["property", "data_date", "search_type"]
+CELL = ["site_url", "data_date", "search_type", "aggregation"]
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(API_RESPONSE).json(path)
 
 
+def newest_loads(responses: DataFrame) -> DataFrame:
+    """Of cells that were loaded more than once, the pages of the newest load only (``loaded_at``, null oldest);
+    pages of one load share its time."""
+    newest = responses.groupBy(*CELL).agg(F.max("loaded_at").alias("newest"))
+    same = [F.col(f"r.{c}") == F.col(f"n.{c}") for c in CELL] + [F.col("r.loaded_at").eqNullSafe(F.col("n.newest"))]
+    return responses.alias("r").join(newest.alias("n"), reduce(and_, same), "left_semi")
+
+
 def map_response_rows(responses: DataFrame, collected_at, today=None) -> DataFrame:
     """One fact row per API row: keys by position for the cell's dimensions, metrics null → 0,
     property type, collected_at, data_state from the cell's first incomplete day (H16), not
@@ -115,15 +124,21 @@ def replace_slices(spark: SparkSession, path: str, new_rows: DataFrame, slice_ke
 
     new_rows = new_rows.withColumn("data_month", F.trunc("data_date", "month"))
     if not _exists(spark, path):
-        new_rows.write.mode("overwrite").partitionBy("data_month").parquet(path)
+        _clustered(new_rows).write.mode("overwrite").partitionBy("data_month").parquet(path)
         return
     months = new_rows.select("data_month").distinct()
     cur = spark.read.parquet(path).join(F.broadcast(months), "data_month", "left_semi")
     merged = cut_lineage(merge_slices(cur, new_rows.select(*cur.columns), slice_keys))
-    (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (_clustered(merged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("data_month").parquet(path))
 
 
+def _clustered(rows: DataFrame) -> DataFrame:
+    """Files that span narrow day ranges, sorted like the fact tables."""
+    order = [c for c in ("data_date", "property", "query") if c in rows.columns]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
 def append_attempt(rows: DataFrame, path: str) -> None:
     """Append log rows."""
     rows.write.mode("append").parquet(path)

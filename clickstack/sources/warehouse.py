@@ -230,7 +230,7 @@ def _control_builders():
 
     return {
         "attempts": (attempts, ()),
-        "registry": (lambda w: ledger.registry_merge(w.control("attempts")), ("attempts",)),
+        "registry": (lambda w: fixtures.merged(w.control("attempts")), ("attempts",)),
         "ledger": (lambda w: ledger.latest_state(w.control("attempts")), ("attempts",)),
         "accounts": (lambda w: ledger.accounts(w.control("attempts")), ("attempts",)),
         "members": (lambda w: fixtures.group_members(w.spark, w.sf_dir, w.control("registry")), ("registry",)),

@@ -17,7 +17,10 @@ def _registry(spark, props):
     for url, _src, _inc, accts in props:
         for a in accts:
             obs.append((url, a, t))
-    reg = L.registry_merge(spark.createDataFrame(obs, "property string, account_id string, logged_at timestamp"))
+    seen = spark.createDataFrame(obs, "property string, account_id string, logged_at timestamp")
+    config = fixtures.settings(seen.limit(1).withColumn("property", F.lit("https://www.site0.example.com/"))).first()
+    reg = L.registry_merge(seen, spark.createDataFrame([(u, s, i, config.config, config.brand_terms) for u, s, i, _ in props], (
+        f"property string, source string, included boolean, config {L.REGISTRY_CONFIG}, brand_terms array<string>")))
     over = spark.createDataFrame([(u, s, i) for u, s, i, _ in props], "site_url string, src string, inc boolean")
     return (reg.join(over, "site_url").withColumn("source", F.col("src")).withColumn("included", F.col("inc"))
             .drop("src", "inc"))
@@ -72,6 +75,37 @@ def test_registry_merge(spark):
     assert r.discovered_at == dt.datetime(2026, 1, 1) and r.last_seen_at == dt.datetime(2026, 3, 1)
 
 
+def test_registry_merge_keeps_what_is_known(spark):
+    """Any host will do; a known row keeps its settings, gains accounts, and stays when it is not seen again."""
+    cols = "property string, account_id string, logged_at timestamp"
+    day = lambda n: dt.datetime(2026, 1, n)
+    first = L.registry_merge(spark.createDataFrame(
+        [("https://www.acme.com/", None, day(1)), ("https://www.acme.com/", "b", day(2)), ("https://www.acme.com/", "a", day(2)),
+         ("sc-domain:shop.org", "c", day(3))], cols))
+    acme = first.where("property like '%acme%'").first()
+    assert (acme.preferred_account_id, acme.account_ids, acme.source, acme.included) == ("a", ["a", "b"], "api", True)
+    known = first.withColumn("included", F.lit(False)).withColumn("source", F.lit("native_export"))
+    again = {r.property: r for r in L.registry_merge(spark.createDataFrame(
+        [("https://www.acme.com/", "z", day(9)), ("https://new.net/", "z", day(9))], cols), None, known).collect()}
+    acme = again["https://www.acme.com/"]
+    assert (acme.included, acme.source, acme.preferred_account_id, acme.account_ids) == (False, "native_export", "a", ["a", "b", "z"])
+    assert (acme.discovered_at, acme.last_seen_at) == (day(1), day(9))
+    assert again["sc-domain:shop.org"].account_ids == ["c"] and again["https://new.net/"].included is True
+
+
+def test_latest_state_of_equal_times(spark):
+    """Columns never mix attempts, and the row does not depend on the order of the log."""
+    from clickstack.schema import ATTEMPT
+
+    t, d = dt.datetime(2026, 1, 1), dt.date(2026, 1, 1)
+    rows = [("k", "https://a/", "web", "byPage", d, "acct9", "error", 1, None, None, "x", t),
+            ("k", "https://a/", "web", "byPage", d, None, "collected_with_data", 2, 5, 1, None, t),
+            ("k", "https://a/", "web", "byPage", d, "acct1", "queued", 3, None, None, None, t - dt.timedelta(hours=1))]
+    for order in (rows, rows[::-1]):
+        r = L.latest_state(spark.createDataFrame(order, ATTEMPT)).first()
+        assert (r.status, r.attempts, r.account_id) == ("collected_with_data", 2, None)
+
+
 def test_property_status(spark):
     reg = spark.createDataFrame([("p1", "https://www.site1.example.com/", True, "api"),
                                  ("p2", "https://www.site2.example.com/", True, "api"),

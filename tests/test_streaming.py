@@ -30,6 +30,31 @@ def test_stream_ingest_micro_batches_and_replay(spark, tmp_path):
     assert sorted(map(tuple, again.select(*COLS).collect()), key=str) == exp
 
 
+def test_stream_ingest_restated_and_mixed_cells(spark, tmp_path):
+    """A cell loaded twice in one batch counts once, and a page load leaves the property rows of its day alone."""
+    from clickstack.schema import API_RESPONSE
+
+    def cell(aggregation, keys, clicks, loaded, day="2026-05-01"):
+        at = dt.datetime(2026, 5, 3, loaded) if loaded is not None else None
+        return ("https://www.acme.com/", day, "web", aggregation, None, [(keys, clicks, 10.0, 0.1, 1.0)], at)
+
+    def load(name, cells):
+        spark.createDataFrame(cells, API_RESPONSE).write.json(str(tmp_path / "in" / name))
+
+    def table():
+        out = ingest_stream.run_available(spark, str(tmp_path / "in/*"), str(tmp_path / "table"), str(tmp_path / "ck"), COLLECTED)
+        return sorted((r.aggregation, str(r.data_date), r["query"], r.clicks) for r in out.collect())
+
+    load("a", [cell("byProperty", ["q", "usa", "MOBILE"], 1.0, None), cell("byProperty", ["q", "usa", "MOBILE"], 2.0, 5),
+               cell("byProperty", ["q", "usa", "MOBILE"], 3.0, 4), cell("byProperty", ["r", "usa", "MOBILE"], 4.0, 1, "2026-05-02")])
+    assert table() == [("byProperty", "2026-05-01", "q", 2), ("byProperty", "2026-05-02", "r", 4)]
+    load("b", [cell("byPage", ["q", "https://www.acme.com/x", "usa", "MOBILE"], 7.0, 6)])
+    load("c", [cell("byProperty", ["q", "usa", "MOBILE"], 9.0, 8)])
+    rows = table()
+    assert [r[0] for r in rows] == ["byPage", "byProperty", "byProperty"] and rows[0][3] == 7
+    assert rows[1:] == [("byProperty", "2026-05-01", "q", 9), ("byProperty", "2026-05-02", "r", 4)]
+
+
 def test_error_windows_watermark(spark, tmp_path):
     rows = [("t", "p", "web", "byProperty", dt.date(2024, 1, 1), None, "error", 1, None, None, "x", dt.datetime(2024, 1, 1, 10, m))
             for m in range(0, 50, 2)]
