@@ -252,6 +252,7 @@ def totals_delta(totals_raw: DataFrame, by_property: DataFrame) -> DataFrame:
 def health_checks(dedup: DataFrame, collisions: DataFrame, ceiling: DataFrame, recent: DataFrame,
                   latest_export: DataFrame, accounts: DataFrame) -> DataFrame:
     """One (check, ok, detail) row per check, each a one-row aggregate."""
+    # Check names and detail wording of the report.
     c1 = dedup.agg(F.coalesce(F.sum("duplicates"), F.lit(0)).alias("d")).select(
         F.lit("Dedup invariant (row_hash)").alias("check"), (F.col("d") == 0).alias("ok"),
         F.concat(F.col("d").cast("string"), F.lit(" duplicate hash(es)")).alias("detail"))

@@ -98,17 +98,17 @@ def test_norm_search_type(spark):
     assert [r.n for r in df.select(keys.norm_search_type("s").alias("n")).collect()] == ["web", "googleNews", "weird"]
 
 
-def test_filters_compile(spark):
-    rows = [("red shoes", "https://a/x", "web"), ("nike boots", "https://a/y", "web"), ("hat", "https://a/z", "web"),
-            (None, "https://a/w", "web"), ("adt alarm", "https://a/v", "web")]
-    df = spark.createDataFrame(rows, "query string, page string, search_type string") \
-        .withColumn("data_date", F.lit(D("2026-05-02"))).withColumn("data_month", F.lit(D("2026-05-01")))
-    f = Filters(start="2026-05-01", end="2026-05-28", query="shoes, boots", brand_exclude=("nike",))
-    assert [r.query for r in df.where(flt.to_column(f)).collect()] == ["red shoes"]
-    nb = Filters(start="2026-05-01", end="2026-05-28", brand_terms=("adt",), segment="nonbrand")
-    assert sorted(r.query for r in df.where(flt.to_column(nb)).collect()) == ["hat", "nike boots", "red shoes"]
-    b = nb.replace(segment="brand")
-    assert [r.query for r in df.where(flt.to_column(b)).collect()] == ["adt alarm"]
+def test_filters_select_rows(spark):
+    """A comma list means any of its words; excluded terms and brand segments cut whole queries; null queries fit no query filter."""
+    queries = ["oak table", "pine shelf", "oak shelf zumo", "Zumo", None, "lamp"]
+    df = spark.createDataFrame([(q, f"https://h/{i}", "web", D("2031-03-04"), D("2031-03-01")) for i, q in enumerate(queries)],
+                               "query string, page string, search_type string, data_date date, data_month date")
+    base = Filters(start="2031-03-01", end="2031-03-31", brand_terms=("zumo",))
+    pick = lambda f: sorted(r.query or "-" for r in df.where(flt.to_column(f)).collect())
+    assert pick(base.replace(query="table, shelf")) == ["oak shelf zumo", "oak table", "pine shelf"]
+    assert pick(base.replace(query="table, shelf", brand_exclude=("zumo",))) == ["oak table", "pine shelf"]
+    assert pick(base.replace(segment="brand")) == ["Zumo", "oak shelf zumo"]
+    assert pick(base.replace(segment="nonbrand")) == ["lamp", "oak table", "pine shelf"]
 
 
 def test_presets(spark):
