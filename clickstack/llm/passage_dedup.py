@@ -13,9 +13,11 @@ grouping, brings equal strings together, and the least id of each class goes bac
 
 A string of ``length`` bytes lies whole in the window of its anchor, and its equals in windows of the same, so no
 repeat is missed and none across documents arises. The text is shuffled once; the three passes share it.
-Windows that are copies are folded per block before they are sent. An anchor that more than ``HOT`` blocks
-hold is not gathered: its windows are cut into their single strings of ``length`` bytes, and these meet by
-their own hash.
+Windows that are copies are folded per block before they are sent. Blocks also report how many distinct windows
+an anchor has, and one byte of the hash of a single one, so that copies in many blocks count as one. An anchor
+with more than about ``HOT`` distinct windows is not gathered: its windows are cut into their single strings of
+``length`` bytes, and these meet by their own hash. So no group has more than that. Rows that are equal in id and
+text are folded to one with a count, per batch before the shuffle and again in the block.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,14 +35,17 @@ from clickstack.llm.suffix_array import suffix_array
 
 LENGTH = 50
 GRAM = 24
-#: Bytes of text per block, anchors per bucket, blocks that may share an anchor before it counts as hot.
+#: Bytes of text per block, anchors per bucket, distinct windows that one anchor may have before it counts as hot.
 BLOCK_BYTES = 4 << 20
 BUCKET_ANCHORS = 1 << 18
-HOT = 4096
+HOT = 256
 #: Bytes that are put into one suffix array at a time, unless one group alone has more; few stay in the cache.
 BATCH_BYTES = 1 << 14
 LEAST_ID = -(2**63)
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Base of the window hash and its inverse, modulo 2^64.
+BASE = 0xD1342543DE82EF95
+INVERSE = pow(BASE, -1, 1 << 64)
 
 
 class Block:
@@ -69,6 +75,22 @@ class Block:
             a = b
         return Anchors(*(np.concatenate(x) for x in zip(*found)))
 
+    def window_hashes(self, found: "Anchors", length: int) -> np.ndarray:
+        """A hash of all bytes of each anchor's window."""
+        out = np.zeros(len(found.lo), np.uint64)
+        flat = np.frombuffer(self.raw, np.uint8)
+        powers = inverses = np.ones(1, np.uint64)
+        for x in range(0, len(out), 1 << 13):
+            lo, end = found.lo[x : x + (1 << 13)], found.hi[x : x + (1 << 13)] + length
+            base = int(lo.min())
+            part = flat[base : int(end.max())]
+            if len(powers) <= len(part):
+                powers, inverses = (np.r_[np.uint64(1), np.cumprod(np.full(2 * len(part), b, np.uint64))] for b in (BASE, INVERSE))
+            sums = np.r_[np.uint64(0), np.cumsum((part + np.uint64(1)) * powers[: len(part)])]
+            h = (sums[end - base] - sums[lo - base]) * inverses[lo - base]
+            out[x : x + (1 << 13)] = (h ^ (h >> np.uint64(32))) * MIX
+        return out
+
 
 class Anchors:
     """Positions, hashes and document numbers of anchors; each is the anchor of the strings that start from
@@ -146,10 +168,9 @@ def windows_of(block: Block, found: Anchors, length: int, hot: np.ndarray, keys_
     cold = ~np.isin(keys, hot) if len(hot) else np.ones(len(keys), bool)
     c, h = found.where(cold), found.where(~cold)
     out = list(zip(keys[cold].tolist(), c.lo.tolist(), (c.hi + length).tolist(), c.doc.tolist(), (c.at - c.lo).tolist()))
+    shift, raw = int(keys_of.shift), block.raw
     for lo, hi, d, at in zip(h.lo.tolist(), h.hi.tolist(), h.doc.tolist(), h.at.tolist()):
-        for p in range(lo, hi + 1):
-            own = np.array([text_hash(block.raw[p : p + length])], np.uint64)
-            out.append((int(keys_of.of(own)[0]), p, p + length, d, at - p))
+        out.extend((text_hash(raw[p : p + length]) >> shift, p, p + length, d, at - p) for p in range(lo, hi + 1))
     return out
 
 
@@ -195,6 +216,35 @@ def classes(windows: list[bytes], ids: list[int], length: int):
     return who, order - np.array(starts, np.int64)[who], least[np.cumsum(new) - 1] if len(at) else least
 
 
+def fold(batches):
+    """Equal rows of a batch as one with their number."""
+    for batch in batches:
+        names = ["doc_id", "no_id", "text"]
+        one = pa.Table.from_batches([batch]).group_by(names).aggregate([([], "count_all")])
+        yield from one.select([*names, "count_all"]).rename_columns([*names, "n"]).to_batches()
+
+
+def folded(rows: pd.DataFrame) -> pd.DataFrame:
+    """Equal rows of a block as one with their number."""
+    if not rows.duplicated(["doc_id", "no_id"]).any():
+        return rows
+    return rows.groupby(["doc_id", "no_id", "text"], sort=False, as_index=False).agg(n=("n", "sum"), block=("block", "first"))
+
+
+def distinct_at_most(where: np.ndarray, n_keys: int, distinct: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Per key how many distinct windows its blocks hold together: those of the blocks summed, but blocks with a
+    single window that have the key's commonest mark hold the same one."""
+    n = np.bincount(where, distinct, n_keys).astype(np.int64)
+    large = np.flatnonzero(n > HOT)
+    if len(large):
+        number = np.full(n_keys, -1)
+        number[large] = np.arange(len(large))
+        own = (number[where] >= 0) & (distinct == 1)
+        same = np.bincount(number[where[own]] * 256 + marks[own], minlength=256 * len(large)).reshape(-1, 256).max(axis=1)
+        n[large] -= np.maximum(same - 1, 0)
+    return n
+
+
 def all_keys(rows: pd.DataFrame, column: str) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.uint64), *(Keys.unpack(k, b) for k, b in zip(rows[column], rows["bucket"]))])
 
@@ -215,21 +265,38 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bits = min(24, max(0, (2 * total // (length - gram + 2) // BUCKET_ANCHORS).bit_length()))
     keys_of = Keys(bits)
     size_kind = "<u1" if 2 * length - gram < 256 else "<u2"
+    rows = rows.mapInArrow(fold, "doc_id long, no_id boolean, text string, n long")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
 
     def report(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = Block(pdf["doc_id"], pdf["text"]).anchors(length, gram)
+        pdf = folded(pdf)
+        block = Block(pdf["doc_id"], pdf["text"])
+        found = block.anchors(length, gram)
         keys, doc = keys_of.of(found.hashes), found.doc
         order = np.lexsort((doc, keys))
+        hashes = block.window_hashes(found, length)[order]
         keys, doc = keys[order], doc[order]
         new = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.zeros(0, bool)
         at = np.flatnonzero(new)
         last = np.r_[at[1:], len(keys)] - 1 if len(at) else at
         twice = doc[at] != doc[last]
-        found = keys[at]
+        found, marks = keys[at], (hashes[at] >> np.uint64(56)).astype(np.uint8)
+        # Distinct windows of the anchors that the block holds more than once.
+        distinct = np.ones(len(at), np.int64)
+        group = np.cumsum(new) - 1
+        many = (last > at)[group] if len(at) else new
+        group, hashes = group[many], hashes[many]
+        by_hash = np.lexsort((hashes, group))
+        group, hashes = group[by_hash], hashes[by_hash]
+        other = (group[1:] == group[:-1]) & (hashes[1:] != hashes[:-1])
+        distinct += np.bincount(group[1:][other], minlength=len(at))
         block = int(pdf["block"].iloc[0])
-        out = [(b, block, Keys.pack(found[x:y]), np.packbits(twice[x:y]).tobytes()) for b, x, y in by_bucket(found)]
-        return pd.DataFrame(out, columns=["bucket", "block", "keys", "twice"])
+        out = []
+        for b, x, y in by_bucket(found):
+            more = np.flatnonzero(distinct[x:y] > 1)
+            out.append((b, block, Keys.pack(found[x:y]), np.packbits(twice[x:y]).tobytes(), marks[x:y].tobytes(),
+                        np.stack([more, distinct[x:y][more]]).astype("<u4").tobytes()))
+        return pd.DataFrame(out, columns=["bucket", "block", "keys", "twice", "marks", "more"])
 
     def repeated(key, pdf: pd.DataFrame) -> pd.DataFrame:
         bucket = int(key[0])
@@ -238,9 +305,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         keys, again = np.concatenate(own), np.concatenate(twice)
         found, where, n = np.unique(keys, return_inverse=True, return_counts=True)
         many = (n > 1) | (np.bincount(where, again, len(found)) > 0)
-        hot = Keys.pack(found[n > HOT])
-        mine = np.split(many[where], np.cumsum([len(k) for k in own])[:-1])
-        out = [(int(b), bucket, Keys.pack(k[m]), hot) for b, k, m in zip(pdf["block"], own, mine) if m.any()]
+        distinct, ends = np.ones(len(keys), np.int64), np.cumsum([len(k) for k in own])
+        for start, more in zip(ends - [len(k) for k in own], pdf["more"]):
+            place, count = np.frombuffer(more, "<u4").astype(np.int64).reshape(2, -1)
+            distinct[start + place] = count
+        marks = np.frombuffer(b"".join(pdf["marks"]), np.uint8)
+        hot = many & (distinct_at_most(where, len(found), distinct, marks) > HOT)
+        mine, hot = np.split(many[where], ends[:-1]), np.split(hot[where], ends[:-1])
+        out = [(int(b), bucket, Keys.pack(k[m]), Keys.pack(k[h])) for b, k, m, h in zip(pdf["block"], own, mine, hot) if m.any()]
         return pd.DataFrame(out, columns=["block", "bucket", "keys", "hot"])
 
     def windows_at(block: Block, keys: np.ndarray, hot: np.ndarray):
@@ -254,6 +326,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         columns = ["bucket", "block", "keys", "sizes", "ids", "twice", "windows", "hot"]
         if not len(left) or not len(known):
             return pd.DataFrame([], columns=columns)
+        left = folded(left)
         block = Block(left["doc_id"], left["text"])
         seen: dict[tuple[int, bytes, int], list] = {}
         raw, ids = block.raw, block.ids.tolist()
@@ -344,9 +417,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pd.DataFrame(out, columns=["block", "bucket", "keys", "hashes", "at", "n", "least", "hot"])
 
     def take_out(left: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        columns = ["doc_id", "no_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+        columns = ["doc_id", "no_id", "n", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
         if not len(left):
             return pd.DataFrame([], columns=columns)
+        left = folded(left)
         block = Block(left["doc_id"], left["text"])
         raw, ids = block.raw, block.ids.tolist()
         change = np.zeros(len(raw) + 1, np.int32)
@@ -367,22 +441,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         gone = np.cumsum(change[:-1]) > 0
         flat = np.frombuffer(raw, np.uint8)
         out = []
-        for (no_id, doc_id), a, b in zip(zip(left["no_id"], ids), block.starts.tolist(), block.ends.tolist()):
+        for (no_id, n, doc_id), a, b in zip(zip(left["no_id"], left["n"], ids), block.starts.tolist(), block.ends.tolist()):
             g = gone[a:b]
             kept = flat[a:b][~g].tobytes() if g.any() else raw[a:b]
             spans = int(g[:1].sum() + (g[1:] & ~g[:-1]).sum())
-            out.append((doc_id, no_id, b - a, int(g.sum()), spans, hashlib.sha256(kept).hexdigest(), kept if with_kept else None))
+            out.append((doc_id, no_id, n, b - a, int(g.sum()), spans, hashlib.sha256(kept).hexdigest(), kept if with_kept else None))
         return pd.DataFrame(out, columns=columns)
 
     by_block = rows.groupBy("block")
-    reports = by_block.applyInPandas(report, "bucket long, block long, keys binary, twice binary")
+    reports = by_block.applyInPandas(report, "bucket long, block long, keys binary, twice binary, marks binary, more binary")
     known = reports.groupBy("bucket").applyInPandas(repeated, "block long, bucket long, keys binary, hot binary")
     sent = by_block.cogroup(known.groupBy("block")).applyInPandas(
         send, "bucket long, block long, keys binary, sizes binary, ids binary, twice binary, windows binary, hot binary")
     told = sent.groupBy("bucket").applyInPandas(
         compare, "block long, bucket long, keys binary, hashes binary, at binary, n binary, least binary, hot binary")
     out = by_block.cogroup(told.groupBy("block")).applyInPandas(
-        take_out, "doc_id long, no_id boolean, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+        take_out, "doc_id long, no_id boolean, n long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
     return out.select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
 
 

@@ -143,6 +143,36 @@ def test_passages_brute_force(docs, monkeypatch, block, hot, anchors):
     assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_passages(rows)
 
 
+def test_passages_bounded_groups(spark, monkeypatch):
+    """A line that many documents share, each with own text around it, never makes one large group, also in a single
+    block; rows equal in id and text are worked on once and come back as often as they came."""
+    rng = np.random.default_rng(5)
+    own = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 120))
+    line = own()
+    rows = [(i, own() + line + own()) for i in range(300)]
+    rows += [(7, rows[7][1])] * 3 + [(None, rows[0][1])] * 2 + [(500, line)] * 4
+    may_repeat, block = passage_dedup.may_repeat, passage_dedup.Block
+
+    def bounded(group, *rest):
+        assert len(group) <= 20, len(group)
+        return may_repeat(group, *rest)
+
+    class Once(block):
+        def __init__(self, ids, texts):
+            assert len(set(zip(ids, texts))) == len(ids)
+            super().__init__(ids, texts)
+
+    monkeypatch.setattr(passage_dedup, "HOT", 20)
+    monkeypatch.setattr(passage_dedup, "may_repeat", bounded)
+    monkeypatch.setattr(passage_dedup, "Block", Once)
+    for size in (4 << 20, 8000):
+        monkeypatch.setattr(passage_dedup, "BLOCK_BYTES", size)
+        got = passage_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+        low = -(2**63)
+        assert sorted(((low if r.doc_id is None else r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)
+                      for r in got) == brute_passages(rows)
+
+
 def test_passages_odd_rows(odd, nothing, spark):
     rows = [(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()]
     low = -(2**63)
