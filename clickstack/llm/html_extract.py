@@ -4,7 +4,9 @@ A page becomes a sequence of words and tags. Words score positive, tags negative
 learned from labelled pages, per tag name and for words by whether they stand in a link. One linear scan
 finds the contiguous run of tokens with the greatest sum. The run is widened to the element that holds it,
 so that a short last paragraph is not lost to the tags around it, and its text is read block by block,
-leaving out what lies inside elements that never hold content.
+leaving out what lies inside elements that never hold content. A class or id that is a name of such parts
+leaves its element out as well, but never an article or main element nor one with most of the page's words;
+a name that is only a part of it lowers the scores, and leaves out lists of links.
 
 Extraction is one pass over the pages without a shuffle; a task holds one page at a time.
 """
@@ -38,6 +40,8 @@ NAMES = frozenset("ad ads adv advert adverts advertisement advertising banner br
                   "consent cookie cookies disqus dropdown footer gdpr header login masthead menu modal nav navbar navigation newsletter "
                   "notice notification pagination popup promo promotion related replies reply respond share sharing sidebar "
                   "signup skip social sponsor sponsored subscribe toolbar widget".split())
+#: First parts after which a name says what the page has or is filed under, and not what the element is.
+PREFIXES = frozenset("has with without no not hide category tag".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 MAIN = frozenset("article main".split())
 MAIN_NAMES = frozenset("article content entry main maincontent post story body".split())
@@ -45,43 +49,82 @@ ENDS_P = frozenset("address article aside blockquote details div dl fieldset fig
                    "nav ol p pre section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
             "th": {"td", "th"}, "option": {"option"}}
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*))?")
+#: Marks by names: none, by a part of a name, by a whole name.
+PART, WHOLE = 1, 2
 
 
 class Element:
-    __slots__ = ("name", "parent", "start", "end", "outside", "main")
+    __slots__ = ("name", "parent", "start", "end", "outside", "main", "doubt", "link", "words", "link_words")
 
-    def __init__(self, name, parent, start, outside, main):
+    def __init__(self, name, parent, start, outside, main, doubt=0):
         self.name, self.parent, self.start, self.end = name, parent, start, None
-        self.outside, self.main = outside, main
+        self.outside, self.main, self.doubt = outside, main, doubt
+        self.link = name == "a" or parent is not None and parent.link
+        self.words = self.link_words = 0
 
 
-def _marks(name: str, rest: str) -> tuple[bool, bool]:
-    """Whether an element's name and attributes put it outside the content, or mark it as the main part."""
-    outside, main = name in OUTSIDE, name in MAIN
+def _doubt(one: str, parts: list[str]) -> int:
+    """How far a class or id marks its element as no content."""
+    if one in NAMES or all(p in NAMES for p in parts):
+        return WHOLE
+    if parts[0] in PREFIXES or parts[0] in MAIN_NAMES and parts[-1] == "header":
+        return 0
+    return PART if parts[0] in NAMES or parts[-1] in NAMES else 0
+
+
+def _marks(name: str, rest: str) -> tuple[bool, bool, int]:
+    """Whether an element's name and attributes put it outside the content, or mark it as the main part, and how far
+    its class and id speak against it."""
+    outside, main, doubt = name in OUTSIDE, name in MAIN, 0
+    own = main
     if rest:
         for key, value in ATTRIBUTE.findall(rest):
             key, value = key.lower(), value.strip("\"'").lower()
             if key in ("class", "id"):
                 for one in value.split():
-                    parts = re.split(r"[-_]+", one)
-                    outside |= one in NAMES or parts[0] in NAMES or parts[-1] in NAMES
+                    parts = [p for p in re.split(r"[-_]+", one) if p] or [one]
+                    doubt = max(doubt, _doubt(one, parts))
                     main |= one in MAIN_NAMES or len(parts) > 1 and parts[-1] in ("content", "body", "article") and parts[0] in MAIN_NAMES
             elif key == "role":
                 outside |= value in ROLES
                 main |= value in ("main", "article")
+                own |= value in ("main", "article")
             elif key == "hidden" or key == "aria-hidden" and value == "true":
                 outside = True
             elif key == "style":
                 outside |= "display:none" in value.replace(" ", "")
-    return outside and name not in ("html", "body"), main and not outside
+    if name in ("html", "body"):
+        return False, main and not outside, 0
+    return outside, main and not outside, min(doubt, PART) if own else doubt
+
+
+def _settle(elements: list[Element], tokens: list[tuple[str, str, Element]]) -> None:
+    """Judge marks by names, where the words of each element are known. An element with most of the page's words has
+    none; a whole name, or a part of one on what is mostly links, puts other elements outside."""
+    for kind, value, element in tokens:
+        if kind == "text" and not element.outside:
+            n = len(value.split())
+            element.words += n
+            element.link_words += n * element.link
+    for e in reversed(elements[1:]):
+        e.parent.words += e.words
+        e.parent.link_words += e.link_words
+    total = elements[0].words
+    for e in elements[1:]:
+        if 2 * e.words > total:
+            e.doubt = 0
+        if e.doubt == WHOLE or e.doubt == PART and not e.main and 2 * e.link_words > e.words:
+            e.outside, e.main = True, False
+        e.outside |= e.parent.outside
+        e.doubt = max(e.doubt, e.parent.doubt)
 
 
 def parse(html: str) -> list[tuple[str, str, Element]]:
     """(kind, value, element) per token; kind is ``word run``, ``open`` or ``close``. Broken nesting is mended:
     an end tag closes what is open inside its element, an end tag without an element is a tag alone."""
     root = Element("", None, 0, False, False)
-    at, tokens = root, []
+    at, tokens, elements = root, [], [root]
 
     def leave(element):
         nonlocal at
@@ -124,27 +167,21 @@ def parse(html: str) -> list[tuple[str, str, Element]]:
         elif name in SIBLINGS:
             while at.name in SIBLINGS[name] or at.name == "p":
                 leave(at)
-        outside, main = _marks(name, m["rest"])
+        outside, main, doubt = _marks(name, m["rest"])
         if name in VOID or m["rest"].endswith("/") and name not in INLINE and name in ("svg", "path"):
             tokens.append(("open", name, at))
             continue
-        new = Element(name, at, len(tokens), outside or at.outside, main)
+        new = Element(name, at, len(tokens), outside or at.outside, main, doubt)
+        elements.append(new)
         tokens.append(("open", name, new))
         at = new
     while at is not root:
         leave(at)
     root.end = len(tokens)
+    _settle(elements, tokens)
     return tokens
 
 
-def _in_link(element: Element) -> bool:
-    while element is not None:
-        if element.name == "a":
-            return True
-        element = element.parent
-    return False
-
-
 class Weights:
     """Score of a word, of a word in a link, and of each tag; tags score at most ``-FLOOR``."""
 
@@ -167,7 +204,7 @@ def fit_weights(pages: list[str]) -> Weights:
         for (kind, value, element), pos in zip(parse(plain), place):
             seen = inside if a <= pos < b else outside
             if kind == "text":
-                seen["link" if _in_link(element) else "word"] += len(value.split())
+                seen["link" if element.link else "word"] += len(value.split())
             else:
                 seen[f"<{value}>"] += 1
     odds = lambda k: log((inside[k] + 0.5) / (outside[k] + 0.5))
@@ -215,7 +252,7 @@ def main_text(html: str | None, weights: Weights) -> str:
     for kind, value, element in tokens:
         if kind == "text":
             n = 0 if element.outside else len(unescape(value).split())
-            scores.append(n * (weights.link if n and _in_link(element) else weights.word))
+            scores.append(n * (weights.link if element.link else weights.word) / (2 if element.doubt else 1))
         else:
             scores.append(weights.tags.get(value, weights.other))
     a, b = best_region(scores)

@@ -90,3 +90,24 @@ def test_pages(spark):
     got = html_extract.extract_main_text(rows, weights).collect()
     assert sorted(r.n_chars for r in got) == [0, len(text(page)), len(text(page))]
     assert html_extract.extract_main_text(rows.limit(0), weights).count() == 0
+
+
+def test_names_do_not_lose_content():
+    """Names lower scores or leave small parts out, but never the main part; only whole attribute names count."""
+    weights = html_extract.fit_weights(labelled_pages.PAGES)
+    text = lambda h: html_extract.main_text(h, weights)
+    prose = "The longest of the rivers rises in the hills and crosses three plains before it meets the sea."
+    around = '<body><nav><a href="/">Home</a></nav>%s<div class="sidebar"><a href="/x">The well</a></div><footer>All rights</footer></body>'
+    for tag, attributes in (("article", "class='post has-comments'"), ("main", "class='with-sidebar'"), ("div", "class='content no-sidebar'"),
+                            ("article", "class='hentry category-social tag-newsletter'"), ("article", "class='widget'"),
+                            ("div", "role=main class=banner"), ("div", "id='page-widget'"), ("div", "class='menu'"),
+                            ("div", "data-title='Hidden treasures'"), ("div", "aria-label='the hidden valley'"), ("div", "data-hidden='false'"),
+                            ("div", "data-class='ad' title=hidden data-style='display:none'")):
+        assert text(around % f"<{tag} {attributes}><h1>Rivers</h1><p>{prose}</p></{tag}>") == f"Rivers {prose}", (tag, attributes)
+    article = "<article>%s<p>{}</p><p>{}</p></article>".format(prose, prose)
+    titled = around % (article % "<div class='article-header'><h1>Rivers</h1></div>")
+    assert text(titled) == f"Rivers {prose} {prose}"
+    for lost in ("<div class='ad'>Buy two boats now.</div>", "<ul class='post-share'><li><a href='#'>Share</a><li><a href='#'>Print</a></ul>",
+                 "<p hidden>Not yet</p>", "<p class=x HIDDEN=''>Not yet</p>", "<p title='>' aria-hidden=true>Not yet</p>",
+                 "<p style='color:red; display: none'>Not yet</p>", "<section class='cookie-notice'><p>We use cookies.</p></section>"):
+        assert text(around % (article % lost)) == f"{prose} {prose}", lost
