@@ -453,17 +453,17 @@ def _fact_queries():
 
     def written_ndjson(s, d):
         path = ingest.scratch(s, "stage")
-        rows = bp(s, d).where(F.col("data_state") == "fresh").drop("data_month", "collected_at")
-        ingest.stage_ndjson(rows, path)
+        ingest.stage_ndjson(bp(s, d), path)
         return s.read.json(path).groupBy("property").count()
 
     def appended(s, d):
         path = ingest.scratch(s, "attempts")
-        p = L.reconcile(registry_df(s, d), ledger_df(s, d), LEDGER_AS_OF)
-        log = p.select("task_id", "property_id", "search_type", "aggregation", "data_date", "account_id", "status",
-                       F.lit(1).cast("long").alias("attempt"), F.lit(OPS_AS_OF).cast("timestamp").alias("logged_at"))
-        ingest.append_attempt(log, path)
-        ingest.append_attempt(log.limit(0), path)
+        cols = ["task_id", "property_id", "search_type", "aggregation", "data_date", "account_id", "status", "attempt", "logged_at"]
+        log = attempts(s, d).withColumn("property_id", keys.property_key(F.col("property")))
+        planned = (L.reconcile(registry_df(s, d), ledger_df(s, d), LEDGER_AS_OF).withColumn("attempt", F.lit(1).cast("long"))
+                   .withColumn("logged_at", F.lit(OPS_AS_OF).cast("timestamp")))
+        ingest.append_attempt(log.select(*cols), path)
+        ingest.append_attempt(planned.select(*cols), path)
         return s.read.parquet(path).groupBy("status").count()
 
     def old_new(s, d):

@@ -887,6 +887,9 @@ FACT_SQL["union_all"] = FACT_SQL["wildcard_all"]
 FACT_SQL["stream_ingest"] = FACT_SQL["ingest_response_rows"]
 FACT_SQL["new_suggestions"] = with_fact("""SELECT * FROM (""" + content_groups_sql(seed_sql("by_page", "page", f"{WEB} AND {CUR}"))
                                         + """) WHERE lower(name) NOT IN ('economy', 'small')""")
+FACT_SQL["stage_ndjson"] = with_fact("SELECT property, CAST(count(*) AS BIGINT) AS count FROM by_property GROUP BY property")
+FACT_SQL["append_attempt"] = with_control("""SELECT status, CAST(count(*) AS BIGINT) AS count FROM (
+  SELECT status FROM attempts UNION ALL SELECT status FROM reconcile) GROUP BY status""")
 FACT_SQL["movers_window"] = with_base("""SELECT start, "end", mode, CAST(cs AS DATE) AS compare_start, CAST(ce AS DATE) AS compare_end FROM (
   SELECT m AS start, CAST(last_day(m) AS DATE) AS "end", md AS mode,
          m - CAST(1 + (CAST(last_day(m) AS DATE) - m) AS INTEGER) AS cs, m - 1 AS ce

@@ -90,3 +90,16 @@ def test_responses_round_trip(spark):
     back = ingest.map_response_rows(ingest.to_responses(fact), COLLECTED)
     cols = ["property", "data_date", "search_type", "query", "country", "device", "clicks", "impressions", "data_state"]
     assert sorted(map(tuple, fact.select(*cols).collect()), key=str) == sorted(map(tuple, back.select(*cols).collect()), key=str)
+
+
+def test_writers_write_everything(spark):
+    """The staging query stages the whole table, and the log holds both of two different batches."""
+    from clickstack import catalog
+    from tests.conftest import SF_SMALL
+
+    q = catalog.queries()
+    staged = {r.property: r["count"] for r in q["stage_ndjson"](spark, SF_SMALL).collect()}
+    assert staged == {r.property: r["count"] for r in catalog.bp(spark, SF_SMALL).groupBy("property").count().collect()}
+    logged = {r.status: r["count"] for r in q["append_attempt"](spark, SF_SMALL).collect()}
+    expected = {r.status: r["count"] for r in catalog.attempts(spark, SF_SMALL).groupBy("status").count().collect()}
+    assert logged == expected | {"pending": q["reconcile"](spark, SF_SMALL).count()}
