@@ -388,6 +388,7 @@ def _health(s, d):
 
 # Fact plane: scans, filters, aggregations, top-k, ingest, targets ---------------------------------
 WHOLE = Filters(start=dt.date(1995, 1, 1), end=dt.date(2001, 12, 31), brand_terms=fixtures.BRAND_TERMS)
+EXPORT_ACCOUNT = "export0"
 SITE0 = "https://www.site0.example.com/"
 
 
@@ -510,18 +511,20 @@ def _fact_queries():
         w = Warehouse(s, d).ensure()
         return O.storage_summary(s, {t: w.path(t) for t in FACT_TABLES})
 
+    def discovered(s, d):
+        return L.discover_export(native.export_sites(native.site_export(s, d)), EXPORT_ACCOUNT, OPS_AS_OF, registry_df(s, d))
+
     def discover_export(s, d):
-        obs = native.export_sites(native.site_export(s, d)).select(
-            F.col("site_url").alias("property"), F.lit("export0").alias("account_id"),
-            F.lit(OPS_AS_OF).cast("timestamp").alias("logged_at"))
-        reg = fixtures.merged(obs)
-        known = registry_df(s, d).where(F.col("source") == "native_export").select("site_url")
-        return reg.join(known, "site_url", "left_semi").select("property_id", "site_url", "property_type", "source",
-                                                               F.array_join("account_ids", ",").alias("account_ids"))
+        # Of the accounts only the one discovered: a native property may have others that see it.
+        own = F.array_intersect("account_ids", F.array(F.lit(EXPORT_ACCOUNT)))
+        return L.native_of_account(discovered(s, d), EXPORT_ACCOUNT).select(
+            "property_id", "site_url", "property_type", "source", F.array_join(own, ",").alias("account_ids"))
 
     def purge_native(s, d):
-        w = wildcard(s, d)
-        gone = native_sites(s, d).select(F.col("site_url").alias("property"))
+        before = discovered(s, d)
+        gone = L.native_of_account(before, EXPORT_ACCOUNT).select(F.col("site_url").alias("property"))
+        left = L.purge_native(before, EXPORT_ACCOUNT).where(F.col("source") == "native_export").select("site_url")
+        w = native.wildcard_all(bp(s, d), native.native_site_adapter(native.site_export(s, d), left), left)
         return per_source(w.join(gone, "property", "left_anti"))
 
     def region_movers(s, d):

@@ -65,6 +65,31 @@ def registry_merge(observations: DataFrame, settings: DataFrame | None = None, e
         kept("config").alias("config"), kept("brand_terms").alias("brand_terms"), F.col("property"))
 
 
+# L5, L6 -----------------------------------------------------------------------------------------
+def discover_export(sites: DataFrame, account_id: str, seen_at, existing: DataFrame) -> DataFrame:
+    """The registry with the sites (``site_url``) of an export account. A new site starts as an included native
+    property; a known one gains the account and keeps its settings, its source too."""
+    found = sites.select(F.col("site_url").alias("property")).distinct()
+    observations = found.select("property", F.lit(account_id).alias("account_id"), F.lit(seen_at).cast("timestamp").alias("logged_at"))
+    settings = found.select("property", F.lit("native_export").alias("source"), F.lit(True).alias("included"),
+                            F.lit(None).cast(REGISTRY_CONFIG).alias("config"), F.lit(None).cast("array<string>").alias("brand_terms"))
+    return registry_merge(observations, settings, existing)
+
+
+def _native_of(account_id: str):
+    return F.coalesce((F.col("source") == "native_export") & F.array_contains("account_ids", account_id), F.lit(False))
+
+
+def native_of_account(registry: DataFrame, account_id: str) -> DataFrame:
+    """The native properties of an export account."""
+    return registry.where(_native_of(account_id))
+
+
+def purge_native(registry: DataFrame, account_id: str) -> DataFrame:
+    """The registry without the account's native properties; those of other accounts stay."""
+    return registry.where(~_native_of(account_id))
+
+
 # E5 ---------------------------------------------------------------------------------------------
 def latest_state(attempts: DataFrame) -> DataFrame:
     """E5: the ledger: per task the state of its latest attempt (last write wins). All columns come from one

@@ -93,6 +93,40 @@ def test_registry_merge_keeps_what_is_known(spark):
     assert again["sc-domain:shop.org"].account_ids == ["c"] and again["https://new.net/"].included is True
 
 
+def test_export_discovery_and_purge(spark):
+    """Sites the registry lacks become native properties, known ones keep their source, and a purge takes one account's only."""
+    at = dt.datetime(2026, 1, 1)
+    api = L.registry_merge(spark.createDataFrame([("https://api.com/", "a", at)], "property string, account_id string, logged_at timestamp"))
+    sites = lambda *urls: spark.createDataFrame([(u,) for u in urls], "site_url string")
+    one = L.discover_export(sites("https://new.net/", "https://api.com/"), "export0", at, api)
+    both = L.discover_export(sites("https://other.org/", "https://other.org/"), "export1", at, one)
+    got = {r.site_url: (r.source, r.account_ids, r.included) for r in both.collect()}
+    assert got == {"https://api.com/": ("api", ["a", "export0"], True), "https://new.net/": ("native_export", ["export0"], True),
+                   "https://other.org/": ("native_export", ["export1"], True)}
+    assert [r.site_url for r in L.native_of_account(both, "export0").collect()] == ["https://new.net/"]
+    assert sorted(r.site_url for r in L.purge_native(both, "export0").collect()) == ["https://api.com/", "https://other.org/"]
+
+
+def test_export_queries_use_the_registry(spark, monkeypatch):
+    """A site of the export that the registry lacks is found, and a purge leaves the native site of another account."""
+    from clickstack import catalog
+    from clickstack.sources import native
+    from tests.conftest import SF_SMALL
+
+    site = lambda n: f"https://www.site{n}.example.com/"
+    registry, listed, q = catalog.registry_df, native.export_sites, catalog.queries()
+    monkeypatch.setattr(catalog, "registry_df", lambda s, d: registry(s, d).where(F.col("site_url") != site(1))
+                        .withColumn("source", F.when(F.col("site_url") == site(0), "native_export").otherwise(F.col("source"))))
+    found = {r.site_url: r.source for r in q["discover_export"](spark, SF_SMALL).collect()}
+    assert found == {site(n): "native_export" for n in (0, 1, 5)}
+    purged = {r.source_table for r in q["purge_native_account"](spark, SF_SMALL).collect()}
+    assert len(purged) == 5 and not any(f"site{n}_" in p and p.startswith("urlp") for p in purged for n in (0, 1, 5))
+    # Site 0 is exported by another account.
+    monkeypatch.setattr(native, "export_sites", lambda export: listed(export.where(F.col("site_url") != site(0))))
+    left = {r.source_table for r in q["purge_native_account"](spark, SF_SMALL).collect()}
+    assert len(left - purged) == 1 and "site0_" in min(left - purged)
+
+
 def test_latest_state_of_equal_times(spark):
     """Columns never mix attempts, and the row does not depend on the order of the log."""
     from clickstack.schema import ATTEMPT
