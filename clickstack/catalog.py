@@ -672,7 +672,8 @@ def _streaming_queries():
 
     def stream_ingest(s, d):
         run = ingest.scratch(s, "stream-ingest")
-        t = ingest_stream.run_available(s, responses(s, d), run + "/table", run + "/checkpoint", fixtures.COLLECTED_AT)
+        t = ingest_stream.run_available(s, responses(s, d), run + "/table", run + "/checkpoint", fixtures.COLLECTED_AT,
+                                        max_files_per_trigger=1)
         return t.groupBy("property", "search_type", "data_state").agg(
             F.count(F.lit(1)).alias("n_rows"), F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"))
 

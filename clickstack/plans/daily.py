@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from clickstack.operators import ledger, ops
 from clickstack.plans import precompute as P
+from clickstack.schema import AGGREGATIONS
 from clickstack.sources import fixtures, ingest, native
-from clickstack.sources.warehouse import Warehouse
+from clickstack.sources.warehouse import Warehouse, _exists
 
 
 def run(spark: SparkSession, sf_dir: str, out_root: str, fact_as_of: dt.date, ledger_as_of: dt.date,
@@ -38,13 +39,11 @@ def run(spark: SparkSession, sf_dir: str, out_root: str, fact_as_of: dt.date, le
     planned.write.mode("overwrite").parquet(f"{out_root}/planned")
     steps.append(("reconcile", spark.read.parquet(f"{out_root}/planned").count()))
 
-    # 3. Ingest whatever responses are present (S1 in batch form: map → hash → replace slices).
+    # 3. Ingest whatever responses are present (S1 in batch form: map → hash → merge cells), all aggregations.
     if responses_dir:
-        rows = ingest.with_row_hash(ingest.map_response_rows(
-            ingest.newest_loads(ingest.read_responses(spark, responses_dir)).where(F.col("aggregation") == "byProperty"),
-                                                             dt.datetime.combine(ledger_as_of, dt.time())))
-        ingest.replace_slices(spark, f"{out_root}/by_property", rows.drop("data_month"))
-        steps.append(("ingest", spark.read.parquet(f"{out_root}/by_property").count()))
+        paths = {a: f"{out_root}/{t}" for a, t in zip(AGGREGATIONS, ("by_property", "by_page", "totals"))}
+        ingest.store_responses(spark, ingest.read_responses(spark, responses_dir), paths, dt.datetime.combine(ledger_as_of, dt.time()))
+        steps.append(("ingest", sum(spark.read.parquet(p).count() for p in paths.values() if _exists(spark, p))))
 
     # 4. Materialized group snapshots (A13), all groups in one job.
     fact = w.table("by_property")

@@ -63,13 +63,14 @@ def map_response_rows(responses: DataFrame, collected_at, today=None) -> DataFra
         F.coalesce(F.col("r.position"), F.lit(0.0)).alias("position"),
         F.lit(False).alias("is_anonymized"),
         F.lit(collected_at).cast("timestamp").alias("collected_at"),
-        F.when(final, F.lit("final")).otherwise(F.lit("fresh")).alias("data_state"))
+        F.when(final, F.lit("final")).otherwise(F.lit("fresh")).alias("data_state"),
+        F.col("loaded_at") if "loaded_at" in responses.columns else F.lit(None).cast("timestamp").alias("loaded_at"))
 
 
 def with_row_hash(rows: DataFrame) -> DataFrame:
-    """H1 on mapped rows, plus the storage columns."""
+    """H1 on mapped rows, plus the storage columns and, where known, when the row was loaded."""
     return (rows.withColumn("row_hash", keys.row_hash())
-            .select(*FACT_COLUMNS)
+            .select(*FACT_COLUMNS, *[c for c in ("loaded_at",) if c in rows.columns])
             .withColumn("property_key", keys.property_key(F.col("property")))
             .withColumn("data_month", F.trunc("data_date", "month")))
 
@@ -133,6 +134,59 @@ def replace_slices(spark: SparkSession, path: str, new_rows: DataFrame, slice_ke
      .partitionBy("data_month").parquet(path))
 
 
+def merge_loads(existing: DataFrame | None, new_rows: DataFrame, slice_keys=SLICE) -> DataFrame:
+    """A9 for cells that arrive page by page, in any order: of each slice the rows of its newest load (``loaded_at``,
+    null oldest). Pages of one load add to each other; a row that comes again (by ``row_hash``) counts once."""
+    k = list(slice_keys)
+    touched = new_rows.select(*k).distinct()
+    loads = new_rows.select(*k, "loaded_at")
+    if existing is not None:
+        held = existing.join(touched, k, "left_semi")
+        loads = loads.unionByName(held.select(*k, "loaded_at"))
+    newest = loads.groupBy(*k).agg(F.max("loaded_at").alias("newest"))
+
+    def current(rows: DataFrame) -> DataFrame:
+        same = [F.col(f"r.{c}") == F.col(f"n.{c}") for c in k] + [F.col("r.loaded_at").eqNullSafe(F.col("n.newest"))]
+        return rows.alias("r").join(newest.alias("n"), reduce(and_, same), "left_semi")
+
+    own = [*k, "row_hash"]
+    again = Window.partitionBy(*own).orderBy(*[F.col(c).desc() for c in ("collected_at", "impressions", "clicks", "position")])
+    new = current(new_rows).withColumn("_rn", F.row_number().over(again)).where("_rn = 1").drop("_rn")
+    if existing is None:
+        return new
+    held = current(held).join(new.select(*own), own, "left_anti")
+    return existing.join(touched, k, "left_anti").unionByName(held).unionByName(new)
+
+
+def store_loads(spark: SparkSession, path: str, new_rows: DataFrame, slice_keys=SLICE) -> None:
+    """``merge_loads`` as a write to the table at ``path``: only the months of the new rows are rewritten."""
+    from clickstack.sources.warehouse import _exists
+
+    new_rows = new_rows.withColumn("data_month", F.trunc("data_date", "month"))
+    if not _exists(spark, path):
+        _clustered(merge_loads(None, new_rows, slice_keys)).write.mode("overwrite").partitionBy("data_month").parquet(path)
+        return
+    months = new_rows.select("data_month").distinct()
+    cur = spark.read.option("mergeSchema", True).parquet(path)
+    if "loaded_at" not in cur.columns:
+        cur = cur.withColumn("loaded_at", F.lit(None).cast("timestamp"))
+    cur = cur.join(F.broadcast(months), "data_month", "left_semi")
+    merged = cut_lineage(merge_loads(cur, new_rows.select(*cur.columns), slice_keys))
+    (_clustered(merged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("data_month").parquet(path))
+
+
+def store_responses(spark: SparkSession, responses: DataFrame, paths: dict[str, str], collected_at) -> None:
+    """Map responses (A8), hash the rows (H1) once and store them in the table of their aggregation (``paths``).
+    Responses without rows leave what is stored alone."""
+    mapped = map_response_rows(newest_loads(responses.where(F.size("rows") > 0)), collected_at)
+    rows = cut_lineage(with_row_hash(mapped).drop("data_month"))
+    for aggregation, path in paths.items():
+        part = rows.where(F.col("aggregation") == aggregation)
+        if not part.isEmpty():
+            store_loads(spark, path, part)
+
+
 def _clustered(rows: DataFrame) -> DataFrame:
     """Files that span narrow day ranges, sorted like the fact tables."""
     order = [c for c in ("data_date", "property", "query") if c in rows.columns]

@@ -1,10 +1,12 @@
 """Response files → fact table, as a Structured Streaming job.
 
 New response files are picked up by the file source; each micro-batch maps the rows (A8), hashes
-them (H1) once, and replaces the slices they cover (A9) in the table of their aggregation
-(folders ``aggregation=byProperty`` and so on below the target). Of a cell that a batch holds twice the newest load counts. Slice replacement is idempotent, so the
+them (H1) once, and merges the cells they cover (A9) into the table of their aggregation
+(folders ``aggregation=byProperty`` and so on below the target). Rows are stored with the time of their
+load: of a cell the newest load counts, its pages may come in different batches, and an older load that comes
+later is left out. The merge is idempotent, so the
 at-least-once delivery of ``foreachBatch`` after a failure gives the same table. Late or restated
-days simply arrive as new files and replace their slices until they are final; that is why
+days simply arrive as new files and replace their cells until they are final; that is why
 ``first_incomplete_date`` stays a data column (``data_state``) and not a Spark watermark: fresh
 rows must be stored and queryable at once.
 """
@@ -12,11 +14,8 @@ rows must be stored and queryable at once.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from clickstack.functions import keys
 from clickstack.schema import AGGREGATIONS, API_RESPONSE
-from clickstack.session import cut_lineage
 from clickstack.sources import ingest
 
 
@@ -28,12 +27,8 @@ def start(spark: SparkSession, source_dir: str, target_path: str, checkpoint: st
     responses = reader.json(source_dir)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        mapped = ingest.map_response_rows(ingest.newest_loads(batch), collected_at)
-        rows = cut_lineage(mapped.withColumn("row_hash", keys.row_hash()))
-        for aggregation in AGGREGATIONS:
-            part = ingest.with_row_hash(rows.where(F.col("aggregation") == aggregation)).drop("data_month")
-            if not part.isEmpty():
-                ingest.replace_slices(batch.sparkSession, f"{target_path}/aggregation={aggregation}", part)
+        paths = {a: f"{target_path}/aggregation={a}" for a in AGGREGATIONS}
+        ingest.store_responses(batch.sparkSession, batch, paths, collected_at)
 
     w = responses.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")

@@ -55,6 +55,47 @@ def test_stream_ingest_restated_and_mixed_cells(spark, tmp_path):
     assert rows[1:] == [("byProperty", "2026-05-01", "q", 9), ("byProperty", "2026-05-02", "r", 4)]
 
 
+def _cell(aggregation, rows, loaded):
+    at = dt.datetime(2026, 5, 3, loaded) if loaded is not None else None
+    return ("https://www.acme.com/", "2026-05-01", "web", aggregation, None, [(k, c, 10.0, 0.1, 1.0) for k, c in rows], at)
+
+
+def test_stream_ingest_pages_and_late_loads(spark, tmp_path):
+    """Pages of a load that come in different batches all stay, and an older load that comes later replaces nothing."""
+    from clickstack.schema import API_RESPONSE
+
+    def arrive(name, *cells):
+        spark.createDataFrame(list(cells), API_RESPONSE).coalesce(1).write.json(str(tmp_path / "in" / name))
+        out = ingest_stream.run_available(spark, str(tmp_path / "in/*"), str(tmp_path / "table"), str(tmp_path / "ck"), COLLECTED,
+                                          max_files_per_trigger=1)
+        return sorted((r["query"], r.clicks) for r in out.collect())
+
+    k = lambda q: [q, "usa", "MOBILE"]
+    assert arrive("a", _cell("byProperty", [(k("q"), 1.0)], None)) == [("q", 1)]
+    assert arrive("b", _cell("byProperty", [(k("r"), 2.0)], None)) == [("q", 1), ("r", 2)]
+    assert arrive("c", _cell("byProperty", [(k("q"), 3.0)], 5)) == [("q", 3)]
+    assert arrive("d", _cell("byProperty", [(k("s"), 4.0)], 5)) == [("q", 3), ("s", 4)]
+    assert arrive("e", _cell("byProperty", [(k("q"), 8.0), (k("t"), 8.0)], 4)) == [("q", 3), ("s", 4)]
+    assert arrive("f", _cell("byProperty", [], 7)) == [("q", 3), ("s", 4)]
+    assert arrive("g", _cell("byProperty", [(k("s"), 4.0)], 5)) == [("q", 3), ("s", 4)]
+    assert arrive("h", _cell("byProperty", [(k("u"), 9.0)], 6)) == [("u", 9)]
+
+
+def test_daily_ingests_all_aggregations(spark, tmp_path):
+    from clickstack.catalog import FACT_AS_OF, LEDGER_AS_OF
+    from clickstack.plans import daily
+    from clickstack.schema import API_RESPONSE
+    from tests.conftest import SF_SMALL
+
+    cells = [_cell("byProperty", [(["q", "usa", "MOBILE"], 1.0)], 5), _cell("totals", [([], 2.0)], 5),
+             _cell("byPage", [(["q", "https://www.acme.com/x", "usa", "MOBILE"], 3.0)], 5)]
+    spark.createDataFrame(cells, API_RESPONSE).write.json(str(tmp_path / "in"))
+    steps = {r.step: r.rows for r in daily.run(spark, SF_SMALL, str(tmp_path / "out"), FACT_AS_OF, LEDGER_AS_OF, str(tmp_path / "in")).collect()}
+    assert steps["ingest"] == 3
+    assert {t: spark.read.parquet(str(tmp_path / "out" / t)).first().clicks for t in ("by_property", "by_page", "totals")} == {
+        "by_property": 1, "by_page": 3, "totals": 2}
+
+
 def test_error_windows_watermark(spark, tmp_path):
     rows = [("t", "p", "web", "byProperty", dt.date(2024, 1, 1), None, "error", 1, None, None, "x", dt.datetime(2024, 1, 1, 10, m))
             for m in range(0, 50, 2)]
