@@ -28,5 +28,27 @@ FROM e GROUP BY conv_id
 """
 
 
+HARD_NEGATIVES = """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, a.label AS anchor_label, e.vec_id, e.label, list_dot_product(a.v, e.v)::BIGINT AS score
+  FROM e a, e WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, anchor_label, score AS positive_score FROM s
+  WHERE label = anchor_label AND vec_id <> anchor_id
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (
+  SELECT p.anchor_id, positive_id, s.vec_id AS negative_id, positive_score, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> p.anchor_label
+    AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+
 def all_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": EXACT_DEDUP, "op8_chat_formatting": CHAT}
+    return {"op2_exact_dedup": EXACT_DEDUP, "op8_chat_formatting": CHAT, "op12_hard_negatives": HARD_NEGATIVES}
