@@ -29,7 +29,7 @@ POSITIVES, NEGATIVES = 5, 5
 #: A negative's score is at least so many hundredths of the positive's, and at most the positive's.
 MARGIN = 80
 #: Rows and anchors of a block, on average.
-BLOCK_ROWS, BLOCK_ANCHORS = 4096, 256
+BLOCK_ROWS, BLOCK_ANCHORS = 4096, 1024
 
 _LONG = (1 << 63) - 1
 

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from clickstack.llm import (chat, exact_dedup, hard_negatives, html_extract, labelled_pages, mixing, packing, passage_dedup, quality,
-                            simhash_dedup, toxicity, weighted_sampling)
+from clickstack.llm import (alignment, chat, exact_dedup, hard_negatives, html_extract, labelled_pages, mixing, packing, passage_dedup,
+                            quality, simhash_dedup, toxicity, weighted_sampling)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passage_dedup.remove_repeats(_table(spark, sf_dir, "documents"), with_kept=False).drop("kept")
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokenizers(_table(spark, sf_dir, "documents"))
+
+
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     shifted = lambda vec_id, label: F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
     return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings"), relabel=shifted)
@@ -82,5 +86,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_html_extraction": op1, "op2_exact_dedup": op2, "op3_toxicity": op3, "op4_source_mixing": op4, "op5_quality": op5,
         "op6_weighted_fingerprints": op6, "op7_simhash_near_dedup": op7, "op8_chat_formatting": op8,
         "op9_best_fit_packing": op9, "op10_passage_dedup": op10,
-        "op12_hard_negatives": op12, "pipeline": corpus_pipeline.run,
+        "op11_tokenizer_alignment": op11, "op12_hard_negatives": op12, "pipeline": corpus_pipeline.run,
     }
