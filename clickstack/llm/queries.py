@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from clickstack.llm import (alignment, chat, exact_dedup, hard_negatives, html_extract, labelled_pages, mixing, packing, passage_dedup,
-                            quality, simhash_dedup, toxicity, weighted_sampling)
+                            personal_data, quality, simhash_dedup, toxicity, weighted_sampling)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,10 +81,16 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings"), relabel=shifted)
 
 
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return personal_data.find_personal_data(docs, personal_data.fit_tagger(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extraction": op1, "op2_exact_dedup": op2, "op3_toxicity": op3, "op4_source_mixing": op4, "op5_quality": op5,
         "op6_weighted_fingerprints": op6, "op7_simhash_near_dedup": op7, "op8_chat_formatting": op8,
         "op9_best_fit_packing": op9, "op10_passage_dedup": op10,
-        "op11_tokenizer_alignment": op11, "op12_hard_negatives": op12, "pipeline": corpus_pipeline.run,
+        "op11_tokenizer_alignment": op11, "op12_hard_negatives": op12,
+        "op13_personal_data": op13, "pipeline": corpus_pipeline.run,
     }
