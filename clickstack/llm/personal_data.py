@@ -31,8 +31,8 @@ WINDOW = 96
 #: Characters of a training line's window.
 TRAIN_WINDOW = 64
 #: Training bounds: written lines, windows of the corpus, code points of their texts read for them.
-TRAIN_LINES, TRAIN_ROWS, TRAIN_CHARS = 6000, 300, 1_500_000
-EMBED, HIDDEN, EPOCHS, BATCH, RATE = 16, 24, 14, 128, 0.015
+TRAIN_LINES, TRAIN_ROWS, TRAIN_CHARS = 4500, 300, 1_500_000
+EMBED, HIDDEN, EPOCHS, BATCH, RATE = 16, 24, 13, 128, 0.015
 #: Least mean marginal of a span that is added, and characters that a span of a kind has at least.
 CONFIDENCE = 0.9
 LEAST = {"email": 6, "ip": 7, "card": 14, "phone": 10}
