@@ -398,8 +398,11 @@ def corpus_windows(docs: DataFrame, id_col: str, text_col: str, rows: int = TRAI
     """Windows around the base spans, and around other digits, of at most ``rows`` texts with at most ``chars`` code points
     together, chosen by a hash of the id: a bounded sample. Texts that alone pass an even share are left to others."""
     share = max(1, chars // max(1, rows))
-    picked = docs.select(F.xxhash64(F.lit("spans"), F.col(id_col).cast("long")).alias("draw"), text_of(text_col).alias("text")).where(
-        (F.length("text") <= share) & F.col("text").rlike("[0-9]")).orderBy("draw", "text").limit(rows)
+    drawn = docs.select(F.xxhash64(F.lit("spans"), F.col(id_col).cast("long")).alias("draw"), text_of(text_col).alias("text")).where(
+        (F.length("text") <= share) & F.col("text").rlike("[0-9]"))
+    # First the draws alone, then the texts of those: no task sends more texts than are taken of it.
+    last = drawn.select("draw").orderBy("draw").limit(rows).agg(F.max("draw")).first()[0]
+    picked = drawn.where(F.col("draw") <= F.lit(last)).orderBy("draw", "text").limit(rows)
     out = []
     for r in picked.collect():
         spans = base_spans(r.text)
