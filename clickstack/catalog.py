@@ -402,6 +402,7 @@ def _fact_queries():
     from clickstack.operators import topk as K
     from clickstack.plans import precompute as P
     from clickstack.sources import ingest, native
+    from clickstack.sources.loads import FactStore
 
     def per_property(rows):
         return M.kpis(rows, ["property"])
@@ -432,11 +433,12 @@ def _fact_queries():
                                               F.sum("impressions").alias("impressions"))
 
     def responses_path(s, d):
-        from clickstack.sources.warehouse import Warehouse, _exists
+        from clickstack.sources.files import exists
+        from clickstack.sources.warehouse import Warehouse
 
         w = Warehouse(s, d).ensure()
         path = w.path("responses")
-        if not _exists(s, path + "/_SUCCESS"):
+        if not exists(s, path + "/_SUCCESS"):
             ingest.to_responses(bp(s, d)).write.mode("overwrite").json(path)
         return path
 
@@ -449,8 +451,12 @@ def _fact_queries():
             F.count(F.lit(1)).alias("n_rows"), F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"))
 
     def restated(s, d):
+        # The whole table as one load, then its fresh web days restated by a newer one.
+        store = FactStore(s, ingest.scratch(s, "replace-slice"))
+        store.store(bp(s, d))
         fresh = bp(s, d).where((F.col("data_state") == "fresh") & (F.col("search_type") == "web"))
-        return ingest.merge_slices(bp(s, d), fresh.withColumn("clicks", F.col("clicks") + 1))
+        store.store(fresh.withColumns({"clicks": F.col("clicks") + 1, "loaded_at": F.lit(fixtures.COLLECTED_AT).cast("timestamp")}))
+        return store.current()
 
     def written_ndjson(s, d):
         path = ingest.scratch(s, "stage")
@@ -652,20 +658,21 @@ def _fact_queries():
 def _streaming_queries():
     from clickstack.schema import ATTEMPT
     from clickstack.sources import ingest
-    from clickstack.sources.warehouse import Warehouse, _exists
+    from clickstack.sources.files import exists
+    from clickstack.sources.warehouse import Warehouse
     from clickstack.streaming import ingest_stream, ops_stream
 
     def responses(s, d):
         w = Warehouse(s, d).ensure()
         path = w.path("responses")
-        if not _exists(s, path + "/_SUCCESS"):
+        if not exists(s, path + "/_SUCCESS"):
             ingest.to_responses(bp(s, d)).write.mode("overwrite").json(path)
         return path
 
     def attempt_files(s, d):
         w = Warehouse(s, d).ensure()
         path = w.path("attempt_log")
-        if not _exists(s, path + "/_SUCCESS"):
+        if not exists(s, path + "/_SUCCESS"):
             (attempts(s, d).select(*[f.name for f in ATTEMPT.fields])
              .repartitionByRange(16, "logged_at").write.mode("overwrite").parquet(path))
         return path

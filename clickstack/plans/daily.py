@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from clickstack.operators import ledger, ops
 from clickstack.plans import precompute as P
-from clickstack.schema import AGGREGATIONS
 from clickstack.sources import fixtures, ingest, native
-from clickstack.sources.warehouse import Warehouse, _exists
+from clickstack.sources.loads import FactStore
+from clickstack.sources.warehouse import Warehouse
 
 
 def run(spark: SparkSession, sf_dir: str, out_root: str, fact_as_of: dt.date, ledger_as_of: dt.date,
@@ -41,9 +41,8 @@ def run(spark: SparkSession, sf_dir: str, out_root: str, fact_as_of: dt.date, le
 
     # 3. Ingest whatever responses are present (S1 in batch form: map → hash → merge cells), all aggregations.
     if responses_dir:
-        paths = {a: f"{out_root}/{t}" for a, t in zip(AGGREGATIONS, ("by_property", "by_page", "totals"))}
-        ingest.store_responses(spark, ingest.read_responses(spark, responses_dir), paths, dt.datetime.combine(ledger_as_of, dt.time()))
-        steps.append(("ingest", sum(spark.read.parquet(p).count() for p in paths.values() if _exists(spark, p))))
+        ingest.store_responses(spark, ingest.read_responses(spark, responses_dir), f"{out_root}/facts", dt.datetime.combine(ledger_as_of, dt.time()))
+        steps.append(("ingest", FactStore(spark, f"{out_root}/facts").current().count()))
 
     # 4. Materialized group snapshots (A13), all groups in one job.
     fact = w.table("by_property")

@@ -1,4 +1,4 @@
-"""Ingest: raw API response files → fact rows → idempotent slice replacement.
+"""Ingest: raw API response files → fact rows → appended loads.
 
 Response files are newline JSON, one object per API page of a cell:
 ``{site_url, data_date, search_type, aggregation, first_incomplete_date, rows: [{keys, clicks, ...}]}``.
@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 
 from clickstack.functions import keys, status
 from clickstack.schema import API_RESPONSE, FACT_COLUMNS
-from clickstack.session import cut_lineage, storage_root
+from clickstack.session import storage_root
+from clickstack.sources.loads import FactStore
 
 ROWS_PER_PAGE = 25_000   # fixed value: rows per API page
 MAX_ROWS_PER_DAY = 50_000  # fixed value: API ceiling per property, day and type
-SLICE = ["property", "data_date", "search_type"]
 CELL = ["site_url", "data_date", "search_type", "aggregation"]
 
 
@@ -110,87 +110,12 @@ def stage_ndjson(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
-def merge_slices(existing: DataFrame, new_rows: DataFrame, slice_keys=SLICE) -> DataFrame:
-    """A9 as a plan: rows of slices not being replaced, plus the new rows. A slice with no new
-    rows is left alone (an empty result never deletes)."""
-    touched = new_rows.select(*slice_keys).distinct()
-    return existing.join(touched, list(slice_keys), "left_anti").unionByName(new_rows, allowMissingColumns=True)
-
-
-def replace_slices(spark: SparkSession, path: str, new_rows: DataFrame, slice_keys=SLICE) -> None:
-    """A9 as a write: read the months the new rows touch, replace their slices, checkpoint the
-    result (cuts the read-after-write lineage), then overwrite only those month partitions
-    (dynamic partition overwrite). Replaying the same rows gives the same table."""
-    from clickstack.sources.warehouse import _exists
-
-    new_rows = new_rows.withColumn("data_month", F.trunc("data_date", "month"))
-    if not _exists(spark, path):
-        _clustered(new_rows).write.mode("overwrite").partitionBy("data_month").parquet(path)
-        return
-    months = new_rows.select("data_month").distinct()
-    cur = spark.read.parquet(path).join(F.broadcast(months), "data_month", "left_semi")
-    merged = cut_lineage(merge_slices(cur, new_rows.select(*cur.columns), slice_keys))
-    (_clustered(merged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("data_month").parquet(path))
-
-
-def merge_loads(existing: DataFrame | None, new_rows: DataFrame, slice_keys=SLICE) -> DataFrame:
-    """A9 for cells that arrive page by page, in any order: of each slice the rows of its newest load (``loaded_at``,
-    null oldest). Pages of one load add to each other; a row that comes again (by ``row_hash``) counts once."""
-    k = list(slice_keys)
-    touched = new_rows.select(*k).distinct()
-    loads = new_rows.select(*k, "loaded_at")
-    if existing is not None:
-        held = existing.join(touched, k, "left_semi")
-        loads = loads.unionByName(held.select(*k, "loaded_at"))
-    newest = loads.groupBy(*k).agg(F.max("loaded_at").alias("newest"))
-
-    def current(rows: DataFrame) -> DataFrame:
-        same = [F.col(f"r.{c}") == F.col(f"n.{c}") for c in k] + [F.col("r.loaded_at").eqNullSafe(F.col("n.newest"))]
-        return rows.alias("r").join(newest.alias("n"), reduce(and_, same), "left_semi")
-
-    own = [*k, "row_hash"]
-    again = Window.partitionBy(*own).orderBy(*[F.col(c).desc() for c in ("collected_at", "impressions", "clicks", "position")])
-    new = current(new_rows).withColumn("_rn", F.row_number().over(again)).where("_rn = 1").drop("_rn")
-    if existing is None:
-        return new
-    held = current(held).join(new.select(*own), own, "left_anti")
-    return existing.join(touched, k, "left_anti").unionByName(held).unionByName(new)
-
-
-def store_loads(spark: SparkSession, path: str, new_rows: DataFrame, slice_keys=SLICE) -> None:
-    """``merge_loads`` as a write to the table at ``path``: only the months of the new rows are rewritten."""
-    from clickstack.sources.warehouse import _exists
-
-    new_rows = new_rows.withColumn("data_month", F.trunc("data_date", "month"))
-    if not _exists(spark, path):
-        _clustered(merge_loads(None, new_rows, slice_keys)).write.mode("overwrite").partitionBy("data_month").parquet(path)
-        return
-    months = new_rows.select("data_month").distinct()
-    cur = spark.read.option("mergeSchema", True).parquet(path)
-    if "loaded_at" not in cur.columns:
-        cur = cur.withColumn("loaded_at", F.lit(None).cast("timestamp"))
-    cur = cur.join(F.broadcast(months), "data_month", "left_semi")
-    merged = cut_lineage(merge_loads(cur, new_rows.select(*cur.columns), slice_keys))
-    (_clustered(merged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("data_month").parquet(path))
-
-
-def store_responses(spark: SparkSession, responses: DataFrame, paths: dict[str, str], collected_at) -> None:
-    """Map responses (A8), hash the rows (H1) once and store them in the table of their aggregation (``paths``).
-    Responses without rows leave what is stored alone."""
-    mapped = map_response_rows(newest_loads(responses.where(F.size("rows") > 0)), collected_at)
-    rows = cut_lineage(with_row_hash(mapped).drop("data_month"))
-    for aggregation, path in paths.items():
-        part = rows.where(F.col("aggregation") == aggregation)
-        if not part.isEmpty():
-            store_loads(spark, path, part)
-
-
-def _clustered(rows: DataFrame) -> DataFrame:
-    """Files that span narrow day ranges, sorted like the fact tables."""
-    order = [c for c in ("data_date", "property", "query") if c in rows.columns]
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
+def store_responses(spark: SparkSession, responses: DataFrame, root: str, collected_at) -> str | None:
+    """Map responses (A8), hash the rows (H1) and store them in the fact store below ``root`` (A9); the load's id. Responses
+    without rows leave what is stored alone."""
+    held = newest_loads(responses.where(F.size("rows") > 0))
+    cells = held.select(F.col("site_url").alias("property"), F.to_date("data_date").alias("data_date"), "search_type", "aggregation", "loaded_at")
+    return FactStore(spark, root).store(with_row_hash(map_response_rows(held, collected_at)), cells)
 
 
 def append_attempt(rows: DataFrame, path: str) -> None:

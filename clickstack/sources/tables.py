@@ -7,6 +7,8 @@ import threading
 
 from pyspark.sql import DataFrame, SparkSession
 
+from clickstack.sources.files import stamp
+
 _CACHE: dict[tuple, DataFrame] = {}
 _LOCK = threading.Lock()
 
@@ -15,7 +17,7 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    key = (id(spark), os.path.abspath(sf_dir), name)
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir, name)
     with _LOCK:
         df = _CACHE.get(key)
         if df is None:
@@ -24,16 +26,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return df
 
 
-def fingerprint(sf_dir: str, names=("lineitem", "orders", "customer", "nation", "part", "events", "pages")) -> str:
-    """A stable token for the input files (path, size, mtime) so derived tables rebuild on change."""
+def fingerprint(spark: SparkSession, sf_dir: str, names=("lineitem", "orders", "customer", "nation", "part", "events", "pages")) -> str:
+    """A stable token for the input files (path, size, time) so derived tables rebuild on change."""
     import hashlib
 
-    h = hashlib.sha256(os.path.abspath(sf_dir).encode())
+    h = hashlib.sha256(sf_dir.encode())
     for n in names:
-        p = os.path.join(sf_dir, f"{n}.parquet")
-        try:
-            st = os.stat(p)
-            h.update(f"{n}:{st.st_size}:{int(st.st_mtime)}".encode())
-        except OSError:
-            h.update(f"{n}:missing".encode())
+        h.update(f"{n}:{stamp(spark, os.path.join(sf_dir, n + '.parquet'))}".encode())
     return h.hexdigest()[:16]

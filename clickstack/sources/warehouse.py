@@ -24,6 +24,7 @@ from clickstack.functions import keys
 from clickstack.schema import FACT_COLUMNS
 from clickstack.session import storage_root
 from clickstack.sources import fixtures, tables
+from clickstack.sources.files import exists, size_of
 
 FACT_TABLES = ("by_property", "by_page", "totals")
 _LOCKS: dict[str, threading.Lock] = {}
@@ -31,28 +32,9 @@ _GLOBAL = threading.Lock()
 _READ: dict[tuple, DataFrame] = {}
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    if "://" not in path or path.startswith("file:"):
-        return os.path.exists(path.replace("file:", "", 1) if path.startswith("file:") else path)
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 TARGET_PARTITION_BYTES = 256 * 1024 * 1024
 
 
-def path_bytes(spark: SparkSession, path: str) -> int:
-    """Total size of the files under ``path`` (file-system metadata only)."""
-    if "://" not in path or path.startswith("file:"):
-        local = path.replace("file:", "", 1) if path.startswith("file:") else path
-        if os.path.isfile(local):
-            return os.path.getsize(local)
-        return sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(local) for f in fs)
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return int(p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength())
-
-
 def partitions_for(spark: SparkSession, nbytes: int, expansion: float = 1.0) -> int | None:
     """Partition count for ``nbytes`` of compressed input at ~256 MB per partition, or None when
     the session's shuffle partitions already suffice (then AQE sizes the shuffle itself)."""
@@ -142,16 +124,16 @@ def write_fact(df: DataFrame, path: str, partitions: int | None = None) -> None:
 
 
 def _code_version() -> str:
-    """Hash of the modules that derive stored tables: a changed derivation never reuses old files."""
+    """Hash of the package's modules (its optional part aside): changed code never reuses stored tables."""
     import hashlib
+    from pathlib import Path
 
-    here = os.path.dirname(os.path.abspath(__file__))
-    pkg = os.path.dirname(here)
+    pkg = Path(__file__).resolve().parent.parent
     h = hashlib.sha256()
-    for rel in ("sources/fixtures.py", "sources/warehouse.py", "operators/ledger.py", "plans/precompute.py",
-                "functions/keys.py", "functions/dates.py", "functions/text.py", "schema.py"):
-        with open(os.path.join(pkg, rel), "rb") as fh:
-            h.update(fh.read())
+    for path in sorted(pkg.rglob("*.py")):
+        rel = path.relative_to(pkg)
+        if rel.parts[0] != "llm" and rel.name not in ("oracle.py", "catalog.py"):
+            h.update(str(rel).encode() + path.read_bytes())
     return h.hexdigest()[:8]
 
 
@@ -162,35 +144,35 @@ class Warehouse:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
-        self.root = f"{storage_root(spark)}/wh-{tables.fingerprint(sf_dir)}-{_VERSION}"
+        self.root = f"{storage_root(spark)}/wh-{tables.fingerprint(spark, sf_dir)}-{_VERSION}"
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def ready(self) -> bool:
-        return all(_exists(self.spark, self.path(t) + "/_SUCCESS") for t in FACT_TABLES)
+        return all(exists(self.spark, self.path(t) + "/_SUCCESS") for t in FACT_TABLES)
 
     def build(self) -> None:
         """Stage the raw rows, then the three fact tables. Shuffle sizes follow the input: the
         joins and aggregations of the build run with ~256 MB per shuffle partition (restored
         afterwards), and each fact write gets a range-partition count from the stage size."""
         spark = self.spark
-        inputs = sum(path_bytes(spark, os.path.join(self.sf_dir, f"{t}.parquet"))
+        inputs = sum(size_of(spark, os.path.join(self.sf_dir, f"{t}.parquet"))
                      for t in ("lineitem", "orders", "customer", "part"))
         saved = spark.conf.get("spark.sql.shuffle.partitions", "200")
         spark.conf.set("spark.sql.shuffle.partitions", str(partitions_for(spark, inputs, expansion=3.0) or saved))
         try:
             stage_path = self.path("stage")
-            if not _exists(spark, stage_path + "/_SUCCESS"):
+            if not exists(spark, stage_path + "/_SUCCESS"):
                 raw = fixtures.search_raw(spark, self.sf_dir)
                 raw.write.mode("overwrite").parquet(stage_path)
             stage = spark.read.parquet(stage_path)
-            n = partitions_for(spark, path_bytes(spark, stage_path))
-            if not _exists(spark, self.path("by_page") + "/_SUCCESS"):
+            n = partitions_for(spark, size_of(spark, stage_path))
+            if not exists(spark, self.path("by_page") + "/_SUCCESS"):
                 write_fact(build_by_page(stage), self.path("by_page"), n)
-            if not _exists(spark, self.path("by_property") + "/_SUCCESS"):
+            if not exists(spark, self.path("by_property") + "/_SUCCESS"):
                 write_fact(build_by_property(stage), self.path("by_property"), n)
-            if not _exists(spark, self.path("totals") + "/_SUCCESS"):
+            if not exists(spark, self.path("totals") + "/_SUCCESS"):
                 bp = spark.read.parquet(self.path("by_property"))
                 write_fact(build_totals(stage, bp), self.path("totals"), n)
         finally:
@@ -205,7 +187,7 @@ class Warehouse:
         return self
 
     def table(self, name: str) -> DataFrame:
-        key = (id(self.spark), self.root, name)
+        key = (self.spark.sparkContext.applicationId, id(self.spark), self.root, name)
         with _GLOBAL:
             df = _READ.get(key)
         if df is None:
@@ -223,7 +205,7 @@ def _control_builders():
     def attempts(w):
         # The attempt log: range-partitioned (sized from the events bytes) and sorted on
         # logged_at, so time-range scans skip files.
-        n = partitions_for(w.spark, path_bytes(w.spark, os.path.join(w.sf_dir, "events.parquet")), expansion=2.0)
+        n = partitions_for(w.spark, size_of(w.spark, os.path.join(w.sf_dir, "events.parquet")), expansion=2.0)
         a = fixtures.attempts(w.spark, w.sf_dir)
         a = a.repartitionByRange(n, "logged_at") if n else a.repartitionByRange("logged_at")
         return a.sortWithinPartitions("logged_at")
@@ -243,7 +225,7 @@ def _control_builders():
 def _control(self: Warehouse, name: str) -> DataFrame:
     """A stored control table (attempt log, registry, ledger, accounts, group members, client
     assignment, target membership), derived once from the input tables."""
-    key = (id(self.spark), self.root, "control/" + name)
+    key = (self.spark.sparkContext.applicationId, id(self.spark), self.root, "control/" + name)
     with _GLOBAL:
         df = _READ.get(key)
         lock = _LOCKS.setdefault(self.root + "/control/" + name, threading.Lock())
@@ -251,7 +233,7 @@ def _control(self: Warehouse, name: str) -> DataFrame:
         return df
     with lock:
         path = self.path("control/" + name)
-        if not _exists(self.spark, path + "/_SUCCESS"):
+        if not exists(self.spark, path + "/_SUCCESS"):
             build, _deps = _control_builders()[name]
             build(self).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
         df = self.spark.read.parquet(path)

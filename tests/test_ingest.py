@@ -2,9 +2,11 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from clickstack.sources import ingest
+from clickstack.sources.loads import FactStore
 
 COLLECTED = dt.datetime(2026, 6, 18, 12, 0)
 
@@ -37,39 +39,103 @@ def _rows(spark, day, clicks_by_query):
     return ingest.with_row_hash(ingest.map_response_rows(r, COLLECTED)).drop("data_month")
 
 
-def _table(spark, path):
-    return {(r.data_date.isoformat(), r.query): r.clicks for r in spark.read.parquet(path).collect()}
+def _table(store):
+    return {(r.data_date.isoformat(), r.query): r.clicks for r in store.current().collect()}
 
 
-def test_replace_slice_replay_overlap_crash(spark, tmp_path):
-    path = str(tmp_path / "t")
-    a = _rows(spark, "2026-06-14", [("a", 1), ("b", 2)])
-    b = _rows(spark, "2026-06-15", [("a", 5)])
-    ingest.replace_slices(spark, path, a)
-    ingest.replace_slices(spark, path, b)
-    first = _table(spark, path)
-    hashes = sorted(r.row_hash for r in spark.read.parquet(path).collect())
+def _at(rows, hour):
+    return rows.withColumn("loaded_at", F.lit(dt.datetime(2026, 6, 18, hour)).cast("timestamp"))
+
+
+def test_store_replay_overlap_crash(spark, tmp_path):
+    store = FactStore(spark, str(tmp_path / "t"))
+    a = _at(_rows(spark, "2026-06-14", [("a", 1), ("b", 2)]), 1)
+    b = _at(_rows(spark, "2026-06-15", [("a", 5)]), 1)
+    assert _table(store) == {}
+    store.store(a)
+    store.store(b)
+    first = _table(store)
+    hashes = sorted(r.row_hash for r in store.current().collect())
     # replay: same rows again → same table, no doubling
-    ingest.replace_slices(spark, path, b)
-    ingest.replace_slices(spark, path, a)
-    assert _table(spark, path) == first
-    assert sorted(r.row_hash for r in spark.read.parquet(path).collect()) == hashes
+    store.store(b)
+    store.store(a)
+    assert _table(store) == first
+    assert sorted(r.row_hash for r in store.current().collect()) == hashes
     # overlap: a restated day replaces only its own slice
-    ingest.replace_slices(spark, path, _rows(spark, "2026-06-15", [("a", 7), ("c", 1)]))
-    assert _table(spark, path) == {("2026-06-14", "a"): 1, ("2026-06-14", "b"): 2, ("2026-06-15", "a"): 7,
-                                   ("2026-06-15", "c"): 1}
+    store.store(_at(_rows(spark, "2026-06-15", [("a", 7), ("c", 1)]), 2))
+    assert _table(store) == {("2026-06-14", "a"): 1, ("2026-06-14", "b"): 2, ("2026-06-15", "a"): 7, ("2026-06-15", "c"): 1}
+    # an older load that comes later changes nothing and writes nothing
+    before = store.loads().count()
+    assert store.store(_at(_rows(spark, "2026-06-15", [("z", 9)]), 1)) is None and store.loads().count() == before
     # crash between two loads: re-running the whole batch converges to the same table
-    ingest.replace_slices(spark, path, _rows(spark, "2026-06-14", [("a", 9)]))
-    ingest.replace_slices(spark, path, _rows(spark, "2026-06-14", [("a", 9)]))
-    t = _table(spark, path)
+    store.store(_at(_rows(spark, "2026-06-14", [("a", 9)]), 3))
+    store.store(_at(_rows(spark, "2026-06-14", [("a", 9)]), 3))
+    t = _table(store)
     assert t[("2026-06-14", "a")] == 9 and ("2026-06-14", "b") not in t
     assert len(t) == 3
 
 
-def test_empty_result_keeps_slice(spark):
-    existing = _rows(spark, "2026-06-14", [("a", 1)])
-    empty = existing.limit(0)
-    assert ingest.merge_slices(existing, empty).count() == 1
+def test_store_half_written_load_is_not_seen(spark, tmp_path, monkeypatch):
+    """Rows whose load was not listed (a crash, or a write under way) do not exist for readers."""
+    store = FactStore(spark, str(tmp_path / "t"))
+    store.store(_at(_rows(spark, "2026-06-14", [("a", 1)]), 1))
+
+    def crash(self, cells, load_id):
+        assert _table(store) == {("2026-06-14", "a"): 1}
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(FactStore, "_list", crash)
+    with pytest.raises(RuntimeError):
+        store.store(_at(_rows(spark, "2026-06-14", [("a", 5), ("b", 5)]), 2))
+    monkeypatch.undo()
+    assert _table(store) == {("2026-06-14", "a"): 1}
+    store.store(_at(_rows(spark, "2026-06-14", [("a", 5), ("b", 5)]), 2))
+    assert _table(store) == {("2026-06-14", "a"): 5, ("2026-06-14", "b"): 5}
+    assert store.vacuum() == 2  # the replaced load and the lost one
+    assert _table(store) == {("2026-06-14", "a"): 5, ("2026-06-14", "b"): 5}
+
+
+def test_store_writes_own_rows_only_and_compacts(spark, tmp_path):
+    store = FactStore(spark, str(tmp_path / "t"))
+    rows = lambda: spark.read.parquet(store.rows_path).count()
+    days = [f"2026-06-{k:02d}" for k in range(1, 9)]
+    for k, day in enumerate(days):
+        store.store(_at(_rows(spark, day, [(f"q{i}", i + k) for i in range(20)]), 1))
+    assert rows() == 160
+    store.store(_at(_rows(spark, days[0], [("q0", 100)]), 2))
+    assert rows() == 161  # the month is not rewritten
+    store.store(_at(_rows(spark, "2026-07-01", [("q0", 7)]), 2))
+    want = _table(store)
+    assert len(want) == 142
+    assert store.compact() == 1 and _table(store) == want
+    assert store.vacuum() == 9 and _table(store) == want and rows() == 142
+    assert store.compact() == 0 and store.vacuum() == 0
+    # a compacted cell is replaced, and goes on, like any other
+    store.store(_at(_rows(spark, days[0], [("q1", 3)]), 2))
+    store.store(_at(_rows(spark, days[1], [("q1", 4)]), 3))
+    t = _table(store)
+    assert (t[(days[0], "q0")], t[(days[0], "q1")], t[(days[1], "q1")]) == (100, 3, 4) and (days[1], "q0") not in t
+
+
+def test_store_reads_older_files_with_the_new_schema(spark, tmp_path):
+    """Files written before a column was added read it as null."""
+    store = FactStore(spark, str(tmp_path / "t"))
+    store.store(_at(_rows(spark, "2026-06-14", [("a", 1)]), 1))
+    old = spark.read.parquet(store.rows_path).drop("search_appearance", "property_type")
+    other = FactStore(spark, str(tmp_path / "old"))
+    old.write.partitionBy("aggregation", "data_month", "load_id").parquet(other.rows_path)
+    store.loads().write.parquet(other.loads_path)
+    other.store(_at(_rows(spark, "2026-06-15", [("b", 2)]), 1))
+    got = {r.query: r.property_type for r in other.current().collect()}
+    assert got == {"a": None, "b": "domain"}
+
+
+def test_empty_result_keeps_slice(spark, tmp_path):
+    store = FactStore(spark, str(tmp_path / "t"))
+    store.store(_rows(spark, "2026-06-14", [("a", 1)]))
+    assert store.store(_rows(spark, "2026-06-14", [("a", 1)]).limit(0)) is None
+    assert ingest.store_responses(spark, _responses(spark, [], day="2026-06-14"), store.root, COLLECTED) is None
+    assert _table(store) == {("2026-06-14", "a"): 1}
 
 
 def test_pagination_ceiling(spark):

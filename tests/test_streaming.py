@@ -6,6 +6,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from clickstack.sources import ingest
+from clickstack.sources.loads import FactStore
 from clickstack.streaming import ingest_stream, ops_stream
 
 COLLECTED = dt.datetime(2001, 11, 5)
@@ -92,8 +93,8 @@ def test_daily_ingests_all_aggregations(spark, tmp_path):
     spark.createDataFrame(cells, API_RESPONSE).write.json(str(tmp_path / "in"))
     steps = {r.step: r.rows for r in daily.run(spark, SF_SMALL, str(tmp_path / "out"), FACT_AS_OF, LEDGER_AS_OF, str(tmp_path / "in")).collect()}
     assert steps["ingest"] == 3
-    assert {t: spark.read.parquet(str(tmp_path / "out" / t)).first().clicks for t in ("by_property", "by_page", "totals")} == {
-        "by_property": 1, "by_page": 3, "totals": 2}
+    stored = FactStore(spark, str(tmp_path / "out" / "facts")).current().collect()
+    assert {r.aggregation: r.clicks for r in stored} == {"byProperty": 1, "byPage": 3, "totals": 2}
 
 
 def test_error_windows_watermark(spark, tmp_path):
