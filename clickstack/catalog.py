@@ -147,7 +147,7 @@ def _groups():
 # Control plane: attempts, ledger, registry, accounts ----------------------------------------------
 LEDGER_AS_OF = dt.date(2024, 2, 1)                 # reconcile / coverage day
 OPS_AS_OF = dt.datetime(2024, 1, 30, 12, 0, 0)     # instant for usage, activity and alert jobs
-FACT_AS_OF = dt.date(1998, 12, 31)                 # precompute and home movers day
+FACT_AS_OF = fixtures.REPORT_DAY                 # precompute and home movers day
 
 
 def _ts_text(c):
@@ -498,7 +498,7 @@ def _fact_queries():
         return control(s, d, "targets")
 
     def pre(report):
-        return lambda s, d: P.precompute(bp(s, d), targets(s, d), report, FACT_AS_OF)
+        return lambda s, d: P.precompute(control(s, d, "report_sums"), report)
 
     def breakdown_country(s, d):
         return R.report_breakdown(bp(s, d), WHOLE, "country")

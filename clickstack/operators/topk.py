@@ -89,11 +89,16 @@ def gainers_losers(df: DataFrame, n: int = 15, by: Sequence[str] = ()) -> DataFr
 def topn_other(df: DataFrame, name: str, value: str, n: int = 6, by: Sequence[str] = ()) -> DataFrame:
     """F8: positive values ↓, the first ``n`` kept by name, the rest summed as 'Other';
     ``share`` = percent of the shown total."""
+    shown = df.where(F.col(value) > 0)
+    first = top_n(shown.select(*by, name, value), [F.col(value).desc(), F.col(name).asc_nulls_last()], n, by)
+    # At most n rows a group from here on: their slots, and by them what is left over.
     w = Window.partitionBy(*by).orderBy(F.col(value).desc(), F.col(name).asc_nulls_last())
-    ranked = df.where(F.col(value) > 0).withColumn("_rn", F.row_number().over(w))
-    label = F.when(F.col("_rn") <= n, F.col(name)).otherwise(F.lit("Other"))
-    slot = F.when(F.col("_rn") <= n, F.col("_rn")).otherwise(F.lit(n + 1))
-    out = ranked.groupBy(*by, label.alias(name), slot.alias("slot")).agg(F.sum(value).alias(value))
+    named = first.withColumn("slot", F.row_number().over(w))
+    taken = first.select(*[F.col(c).alias(f"_{c}") for c in (*by, name)])
+    left = shown.join(taken, [shown[c].eqNullSafe(taken[f"_{c}"]) for c in (*by, name)], "left_anti")
+    other = left.groupBy(*by).agg(F.sum(value).alias(value)).where(F.col(value).isNotNull()).select(
+        *by, F.lit("Other").alias(name), value, F.lit(n + 1).alias("slot"))
+    out = named.select(*by, name, value, "slot").unionByName(other)
     tot = Window.partitionBy(*by)
     return out.withColumn("share", F.col(value) * 100.0 / F.sum(value).over(tot))
 

@@ -654,7 +654,9 @@ targets AS (SELECT 'property:' || property_id AS target_id, site_url AS property
   UNION ALL SELECT 'group:' || group_id, property FROM members
   UNION ALL SELECT 'client:' || a.client_id, r.site_url FROM assign a JOIN registry r USING (property_id)),
 tw AS (SELECT t.target_id, b.* FROM by_property b JOIN targets t ON b.property = t.property
-  WHERE b.search_type = 'web' AND b.data_date BETWEEN DATE '1998-11-06' AND DATE '1998-12-31'),
+  WHERE b.search_type = 'web' AND b.data_date BETWEEN DATE '1998-11-06' AND DATE '1998-12-31'
+  AND (t.target_id IN ('group:grp_a', 'group:grp_b') OR (t.target_id LIKE 'property:%'
+       AND t.property NOT IN ('https://www.site4.example.com/', 'sc-domain:site1.example.com')))),
 country_bd AS (SELECT country AS key, {M4} FROM by_property WHERE {WEB} AND {WHOLE} GROUP BY country),
 movers_all AS (SELECT coalesce(c.key, p.key) AS key, CAST(coalesce(c.clicks, 0) AS BIGINT) AS clicks,
   CAST(coalesce(p.clicks, 0) AS BIGINT) AS prev_clicks, CAST(coalesce(c.clicks, 0) - coalesce(p.clicks, 0) AS BIGINT) AS delta,

@@ -1,9 +1,8 @@
 """Targets and multi-target jobs.
 
 A target is a property, a legacy group or a client; ``membership`` lists (target_id, property).
-R19 computes each default report for EVERY target in one job: the fact rows of the report window
-join the membership table (small: a few rows per property) and every aggregation groups by
-``target_id`` as well, so there is no per-target loop on the driver.
+R19 computes each default report for EVERY dashboard-enabled target from sums that one pass over the facts
+makes (``cube``); there is no per-target loop on the driver.
 """
 
 from __future__ import annotations
@@ -13,17 +12,14 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickstack.functions import filters as flt
 from clickstack.functions.filters import Filters
-from clickstack.operators import ledger
 from clickstack.operators import metrics as M
-from clickstack.operators import reports as R
+from clickstack.plans import cube
 
-BY = ["target_id"]
 
-
-def membership(registry: DataFrame, members: DataFrame, assignment: DataFrame) -> DataFrame:
-    """(target_id, target_type, property) for properties, groups and clients."""
+def membership(registry: DataFrame, members: DataFrame, assignment: DataFrame, dashboards: DataFrame) -> DataFrame:
+    """(target_id, target_type, property, dashboard_enabled) for properties, groups and clients. ``dashboards`` lists the
+    properties and groups whose dashboard is switched on; clients have none of their own."""
     props = registry.select(F.concat(F.lit("property:"), F.col("property_id")).alias("target_id"),
                             F.lit("property").alias("target_type"), F.col("site_url").alias("property"))
     groups = members.select(F.concat(F.lit("group:"), F.col("group_id")).alias("target_id"),
@@ -31,7 +27,9 @@ def membership(registry: DataFrame, members: DataFrame, assignment: DataFrame) -
     clients = assignment.join(registry.select("property_id", F.col("site_url").alias("property")), "property_id") \
         .select(F.concat(F.lit("client:"), F.col("client_id")).alias("target_id"), F.lit("client").alias("target_type"),
                 "property")
-    return props.unionByName(groups).unionByName(clients)
+    on = dashboards.select("target_id").distinct().withColumn("dashboard_enabled", F.lit(True))
+    every = props.unionByName(groups).unionByName(clients)
+    return every.join(on, "target_id", "left").withColumn("dashboard_enabled", F.coalesce("dashboard_enabled", F.lit(False)))
 
 
 def resolve_target(fact: DataFrame, members: DataFrame, target_id: str) -> DataFrame:
@@ -46,48 +44,19 @@ def default_view(as_of) -> Filters:
     return Filters(start=end - dt.timedelta(days=27), end=end, compare_mode="previous")
 
 
-def targeted(fact: DataFrame, members: DataFrame, f: Filters) -> DataFrame:
-    """Fact rows of the current and comparison windows, one copy per target of their property."""
-    win = f.compare() or f.movers()
-    rows = fact.where(flt.date_range(f.start, f.end) | flt.date_range(win[0], win[1]))
-    return rows.join(members.select("target_id", "property"), "property")
-
-
-PRECOMPUTE_REPORTS = ["kpis", "timeseries", "top-queries", "breakdown", "breakdown-country", "position-buckets",
-                      "ctr-scatter", "striking-distance", "movers"]
-
-
-def precompute(fact: DataFrame, members: DataFrame, report: str, as_of) -> DataFrame:
-    """One default report for every target (columns: target_id + the report's columns)."""
-    f = default_view(as_of)
-    t = targeted(fact, members, f)
-    if report == "kpis":
-        return R.report_kpis(t, f, BY)
-    if report == "timeseries":
-        return R.report_timeseries(t, f, "day", by=BY)
-    if report == "top-queries":
-        return R.report_top_queries(t, f, 200, BY)
-    if report == "breakdown":
-        return R.report_breakdown(t, f, "device", BY)
-    if report == "breakdown-country":
-        return R.report_breakdown(t, f, "country", BY)
-    if report == "position-buckets":
-        return R.report_position_buckets(t, f, BY)
-    if report == "ctr-scatter":
-        return R.report_ctr_scatter(t, f, 500, BY)
-    if report == "striking-distance":
-        return R.report_striking_distance(t, f, 100, BY)
-    if report == "movers":
-        return R.report_movers(t, f, "query", 50, BY)
-    raise ValueError(report)
-
-
-def write_precompute(spark: SparkSession, fact: DataFrame, members: DataFrame, as_of, root: str) -> dict[str, str]:
-    """R19 materialised: each report written once for all targets, partitioned by target."""
+def precompute(sums: DataFrame, report: str) -> DataFrame:
+    """One default report for every enabled target (columns: target_id + the report's columns), from the shared sums."""
+    return cube.REPORTS[report](sums)
+
+
+def write_precompute(spark: SparkSession, fact: DataFrame, targets: DataFrame, as_of, root: str) -> dict[str, str]:
+    """R19 materialised: the facts are read once for the sums; each report is written from these, partitioned by target."""
+    cube.write(cube.build(fact, targets, default_view(as_of)), f"{root}/sums")
+    sums = spark.read.parquet(f"{root}/sums")
     out = {}
-    for r in PRECOMPUTE_REPORTS:
+    for r in cube.REPORTS:
         path = f"{root}/{r}"
-        precompute(fact, members, r, as_of).write.mode("overwrite").partitionBy("target_id").parquet(path)
+        precompute(sums, r).write.mode("overwrite").partitionBy("target_id").parquet(path)
         out[r] = path
     return out
 
@@ -106,8 +75,9 @@ def write_materialized(df: DataFrame, path: str) -> None:
 
 
 def group_view(spark: SparkSession, fact: DataFrame, members: DataFrame, group_id: str) -> DataFrame:
-    """The live union of a group's members that have data (C12), as a temp view."""
-    live = ledger.existing_members(members.where(F.col("group_id") == group_id), fact)
+    """The live union of a group's members, as a temp view. Members without data add no rows, so they need no test of
+    their own (C12): the facts are read once."""
+    own = members.where(F.col("group_id") == group_id).select("property").distinct()
     name = f"group_{group_id}"
-    fact.join(live.select("property"), "property", "left_semi").createOrReplaceTempView(name)
+    fact.join(own, "property", "left_semi").createOrReplaceTempView(name)
     return spark.table(name)

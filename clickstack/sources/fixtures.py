@@ -108,6 +108,9 @@ GROUPS = [
     ("grp_c", "Group C", [0, 6], True),
 ]
 NATIVE_SITES = [5]        # site indexes read from a bulk export rather than collected
+NO_DASHBOARD_SITES = [4]  # tracked, but without a dashboard
+NO_DASHBOARD_GROUPS = ["grp_c"]
+REPORT_DAY = dt.date(1998, 12, 31)  # last day of the default reports
 UNTRACKED_SITES = [7]     # discovered but not tracked
 PROPERTY_CONFIG = {"types": ["web", "image", "news", "discover"],
                    "aggregations": ["byProperty", "byPage", "totals"],
@@ -170,6 +173,14 @@ SAVED_CONTENT_GROUPS = [
 ]
 
 
+def dashboards(registry_df: DataFrame, members: DataFrame) -> DataFrame:
+    """The targets whose dashboard is switched on: tracked properties and groups but for the ones named."""
+    own = registry_df.where(F.col("included") & ~site_index(F.col("property")).isin(NO_DASHBOARD_SITES))
+    groups = members.where(~F.col("group_id").isin(NO_DASHBOARD_GROUPS)).select("group_id").distinct()
+    return own.select(F.concat(F.lit("property:"), "property_id").alias("target_id")).unionByName(
+        groups.select(F.concat(F.lit("group:"), "group_id").alias("target_id")))
+
+
 def semantic_groups(spark: SparkSession, kind: str = "topic") -> DataFrame:
     """Saved semantic groups as data: one row per rule (group_id, name, priority, rule_pos,
     dimension, op, value)."""

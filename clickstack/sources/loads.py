@@ -1,7 +1,8 @@
 """A fact store that is only appended to (A9, S1): what replaces a slice is a newer load of its cell.
 
-A cell is one (property, day, type, aggregation). Rows lie in plain Parquet below ``rows``, in folders by aggregation, month
-and load; ``loads`` lists which load holds which version of a cell. A version is whole: the current one is the
+A cell is one (property, day, type, aggregation). Rows lie in plain Parquet below ``rows``, in folders by aggregation, part
+and load. A load is stored as it comes, in the part ``fresh`` of its aggregations, sorted by day; compaction moves rows
+into one part per month. ``loads`` lists which load holds which version of a cell. A version is whole: the current one is the
 one with the newest ``loaded_at`` (null oldest), of equal ones the one that was stored last.
 
 * Storing writes the rows of a batch, then its part of ``loads`` as one file. Rows whose load is not listed yet do
@@ -10,7 +11,7 @@ one with the newest ``loaded_at`` (null oldest), of equal ones the one that was
   stored together with that version's other rows, as a new version. Only such cells are read back.
 * Readers skip folders without a current version and, inside of the others, the versions that a newer one replaced. Both
   lists come from ``loads`` and are as small as what was restated since the last compaction; rows are not shuffled.
-* ``compact`` rewrites the folders of months in which versions were replaced as one load, ``vacuum`` deletes
+* ``compact`` rewrites the months that have fresh or replaced versions, each as one folder, ``vacuum`` deletes
   folders that no reader needs any more. Both can be started again after a failure.
 
 Storing is meant for one writer at a time (a stream, or the daily run); readers need no lock.
@@ -31,13 +32,16 @@ from clickstack.schema import FACT
 from clickstack.sources.files import delete, exists
 
 CELL = ["property", "data_date", "search_type", "aggregation"]
-PLACE = ["aggregation", "data_month", "load_id"]
+PLACE = ["aggregation", "part", "load_id"]
+FRESH = "fresh"
 
 #: Stored rows: the fact columns (missing ones of older files read as null), their storage columns, and the folders.
 ROWS = T.StructType([T.StructField(f.name, f.dataType, True) for f in FACT.fields if f.name != "aggregation"] + [
     T.StructField("property_key", T.StringType()), T.StructField("loaded_at", T.TimestampType()),
-    T.StructField("aggregation", T.StringType()), T.StructField("data_month", T.DateType()), T.StructField("load_id", T.StringType())])
-LOADS = "property string, data_date date, search_type string, aggregation string, loaded_at timestamp, seq long, load_id string, data_month date"
+    T.StructField("aggregation", T.StringType()), T.StructField("part", T.StringType()), T.StructField("load_id", T.StringType())])
+#: Columns of a row before it has a place.
+NAMES = [f.name for f in ROWS.fields if f.name not in ("part", "load_id")]
+LOADS = "property string, data_date date, search_type string, aggregation string, loaded_at timestamp, seq long, load_id string, part string"
 
 
 def _age(loaded_at: str = "loaded_at") -> Column:
@@ -68,21 +72,27 @@ class FactStore:
 
     def newest(self) -> DataFrame:
         """The current version of each cell."""
-        version = F.struct(_age().alias("age"), "seq", "load_id", "loaded_at", "data_month")
+        version = F.struct(_age().alias("age"), "seq", "load_id", "loaded_at", "part")
         return self.loads().groupBy(*CELL).agg(F.max(version).alias("v")).select(*CELL, "v.*")
 
     def _stored(self) -> DataFrame:
         return self.spark.read.schema(ROWS).parquet(self.rows_path)
 
-    def current(self) -> DataFrame:
-        """The rows of the current versions."""
+    def current(self, first=None, last=None) -> DataFrame:
+        """The rows of the current versions, of the days from ``first`` to ``last`` if given: other months are not read, and
+        files of fresh loads are sorted by day."""
+        month = F.trunc("data_date", "month").alias("data_month")
         if not exists(self.spark, self.rows_path):
-            return self.spark.createDataFrame([], ROWS).drop("load_id")
+            return self.spark.createDataFrame([], ROWS).select(*NAMES, month)
         versions = self.versions()
         live = versions.groupBy(*PLACE).agg(F.bool_or("current").alias("live")).where("live").drop("live")
         replaced = versions.where(~F.col("current")).join(live, PLACE, "left_semi").select(*CELL, "load_id")
-        rows = self._stored().join(live, PLACE, "left_semi")
-        return rows.join(replaced, _on(rows, replaced, [*CELL, "load_id"]), "left_anti").drop("load_id")
+        rows = self._stored()
+        for day, holds in ((first, lambda c, d: c >= d), (last, lambda c, d: c <= d)):
+            if day is not None:
+                rows = rows.where(holds(F.col("data_date"), F.lit(day)) & ((F.col("part") == FRESH) | holds(F.col("part"), F.lit(f"{day:%Y-%m}"))))
+        rows = rows.join(live, PLACE, "left_semi")
+        return rows.join(replaced, _on(rows, replaced, [*CELL, "load_id"]), "left_anti").select(*NAMES, month)
 
     # --- writing ----------------------------------------------------------------------------------
     def store(self, rows: DataFrame, cells: DataFrame | None = None) -> str | None:
@@ -96,7 +106,7 @@ class FactStore:
         told = (rows if cells is None else cells).select(*CELL, "loaded_at")
         told = told.groupBy(*CELL).agg(F.max(F.struct(_age().alias("age"), "loaded_at")).alias("n")).select(
             *CELL, F.col("n.age").alias("new_age"), F.col("n.loaded_at").alias("new_at"))
-        held = self.newest().withColumnsRenamed({c: f"held_{c}" for c in ("age", "seq", "load_id", "loaded_at", "data_month")})
+        held = self.newest().withColumnsRenamed({c: f"held_{c}" for c in ("age", "seq", "load_id", "loaded_at", "part")})
         plan = told.join(held, CELL, "left").where(F.col("held_age").isNull() | (F.col("new_age") >= F.col("held_age")))
         plan = plan.withColumn("goes_on", F.coalesce(F.col("held_age") == F.col("new_age"), F.lit(False))).persist()
         try:
@@ -107,46 +117,50 @@ class FactStore:
             # A restated row of the same load wins over the stored one; of equal hashes in one batch, the latest.
             fresh = rows.withColumn("_age", _age()).join(plan.select(*CELL, "new_age"), CELL).where("_age = new_age")
             again = Window.partitionBy(*CELL, "row_hash").orderBy(*[F.col(c).desc() for c in ("collected_at", "impressions", "clicks", "position")])
-            fresh = fresh.withColumn("_place", F.row_number().over(again)).where("_place = 1").withColumn("data_month", F.trunc("data_date", "month"))
-            names = [f.name for f in ROWS.fields if f.name != "load_id"]
-            fresh = fresh.select(*[F.col(c) if c in fresh.columns else F.lit(None).cast(ROWS[c].dataType).alias(c) for c in names])
+            fresh = fresh.withColumn("_place", F.row_number().over(again)).where("_place = 1")
+            fresh = fresh.select(*[F.col(c) if c in fresh.columns else F.lit(None).cast(ROWS[c].dataType).alias(c) for c in NAMES])
             whole = fresh
             if counts.again:
-                own = plan.where("goes_on").select(*CELL, F.col("held_load_id").alias("load_id"), F.col("held_data_month").alias("data_month"))
-                kept = self._stored().join(own, [*CELL, "data_month", "load_id"], "left_semi").drop("load_id").select(*names)
-                whole = kept.join(fresh.select(*CELL, "row_hash"), [*CELL, "row_hash"], "left_anti").select(*names).unionByName(fresh)
-            self._append(whole, load_id)
-            self._list(plan.select(*CELL, F.col("new_at").alias("loaded_at"), (F.coalesce("held_seq", F.lit(0)) + 1).alias("seq")), load_id)
+                own = plan.where("goes_on").select(*CELL, F.col("held_load_id").alias("load_id"), F.col("held_part").alias("part"))
+                kept = self._stored().join(own, [*CELL, "part", "load_id"], "left_semi").select(*NAMES)
+                whole = kept.join(fresh.select(*CELL, "row_hash"), [*CELL, "row_hash"], "left_anti").select(*NAMES).unionByName(fresh)
+            self._append(whole.withColumn("part", F.lit(FRESH)), load_id)
+            self._list(plan.select(*CELL, F.col("new_at").alias("loaded_at"), (F.coalesce("held_seq", F.lit(0)) + 1).alias("seq")), load_id, F.lit(FRESH))
             return load_id
         finally:
             plan.unpersist()
 
     def _append(self, rows: DataFrame, load_id: str) -> None:
-        order = ["aggregation", "data_month", "data_date", "property", "query"]
-        # Even tasks, a folder's rows together where they fit: no sampling pass over the rows.
+        """Even tasks, a folder's rows together where they fit: no sampling pass over the rows."""
+        order = ["aggregation", "part", "data_date", "property", "query"]
         (rows.withColumn("load_id", F.lit(load_id)).hint("rebalance", *order[:2]).sortWithinPartitions(*order)
          .write.mode("append").partitionBy(*PLACE).parquet(self.rows_path))
 
-    def _list(self, cells: DataFrame, load_id: str) -> None:
-        """List the load's cells: one file, so that it appears at once. Fewer rows than cells that the load holds."""
-        listed = cells.select(*CELL, "loaded_at", F.col("seq").cast("long").alias("seq"), F.lit(load_id).alias("load_id"),
-                              F.trunc("data_date", "month").alias("data_month"))
+    def _list(self, cells: DataFrame, load_id: str, part: Column) -> None:
+        """List the load's cells: one file, so that it appears at once. There are fewer cells than rows that the load holds."""
+        listed = cells.select(*CELL, "loaded_at", F.col("seq").cast("long").alias("seq"), F.lit(load_id).alias("load_id"), part.alias("part"))
         listed.coalesce(1).write.mode("append").parquet(self.loads_path)
 
     # --- keeping house ----------------------------------------------------------------------------
     def compact(self) -> int:
-        """Rewrite the (aggregation, month) parts that hold replaced versions next to current ones, or current versions in
-        several folders, as one load; how many parts. Readers see the old folders until the new load is listed."""
-        folders = self.versions().groupBy(*PLACE).agg(F.bool_or("current").alias("live"), F.count_if(~F.col("current")).alias("gone")).where("live")
-        parts = folders.groupBy("aggregation", "data_month").agg(F.sum("gone").alias("gone"), F.count(F.lit(1)).alias("folders"))
-        due = parts.where("gone > 0 or folders > 1").select("aggregation", "data_month").persist()
+        """Move the (aggregation, month) parts that have fresh versions, replaced ones next to current ones, or several folders into one
+        folder each; how many. Readers see the old folders until the new load is listed."""
+        month = F.date_format("data_date", "yyyy-MM")
+        versions = self.versions()
+        live = versions.groupBy(*PLACE).agg(F.bool_or("current").alias("live"))
+        told = versions.join(live, PLACE).withColumn("month", month)
+        fresh = F.col("part") == FRESH
+        parts = told.groupBy("aggregation", "month").agg(
+            F.count_if(F.col("current") & fresh).alias("fresh"), F.count_if(~F.col("current") & F.col("live") & ~fresh).alias("gone"),
+            F.count_distinct(F.when(F.col("current"), F.col("load_id"))).alias("folders"))
+        due = parts.where("fresh > 0 or gone > 0 or folders > 1").select("aggregation", "month").persist()
         try:
             n = due.count()
             if n:
                 load_id = uuid.uuid4().hex
-                self._append(self.current().join(due, ["aggregation", "data_month"], "left_semi"), load_id)
-                cells = self.newest().join(due, ["aggregation", "data_month"], "left_semi")
-                self._list(cells.withColumn("seq", F.col("seq") + 1), load_id)
+                of_due = lambda df: df.withColumn("month", month).join(due, ["aggregation", "month"], "left_semi").drop("month")
+                self._append(of_due(self.current()).select(*NAMES, month.alias("part")), load_id)
+                self._list(of_due(self.newest()).withColumn("seq", F.col("seq") + 1), load_id, month)
             return n
         finally:
             due.unpersist()

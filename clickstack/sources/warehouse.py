@@ -200,7 +200,7 @@ class Warehouse:
 
 def _control_builders():
     from clickstack.operators import ledger
-    from clickstack.plans import precompute
+    from clickstack.plans import cube, precompute
 
     def attempts(w):
         # The attempt log: range-partitioned (sized from the events bytes) and sorted on
@@ -217,8 +217,11 @@ def _control_builders():
         "accounts": (lambda w: ledger.accounts(w.control("attempts")), ("attempts",)),
         "members": (lambda w: fixtures.group_members(w.spark, w.sf_dir, w.control("registry")), ("registry",)),
         "assignment": (lambda w: ledger.client_assign(w.control("registry"), w.control("members")), ("members",)),
-        "targets": (lambda w: precompute.membership(w.control("registry"), w.control("members"), w.control("assignment")),
-                    ("assignment",)),
+        "targets": (lambda w: precompute.membership(
+            w.control("registry"), w.control("members"), w.control("assignment"),
+            fixtures.dashboards(w.control("registry"), w.control("members"))), ("assignment",)),
+        "report_sums": (lambda w: cube.build(w.table("by_property"), w.control("targets"),
+                                             precompute.default_view(fixtures.REPORT_DAY)), ("targets",)),
     }
 
 
@@ -235,7 +238,9 @@ def _control(self: Warehouse, name: str) -> DataFrame:
         path = self.path("control/" + name)
         if not exists(self.spark, path + "/_SUCCESS"):
             build, _deps = _control_builders()[name]
-            build(self).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
+            rows = build(self)
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(
+                *[c for c in ("part",) if c in rows.columns]).parquet(path)
         df = self.spark.read.parquet(path)
     with _GLOBAL:
         _READ[key] = df

@@ -80,7 +80,7 @@ def test_store_half_written_load_is_not_seen(spark, tmp_path, monkeypatch):
     store = FactStore(spark, str(tmp_path / "t"))
     store.store(_at(_rows(spark, "2026-06-14", [("a", 1)]), 1))
 
-    def crash(self, cells, load_id):
+    def crash(self, cells, load_id, part):
         assert _table(store) == {("2026-06-14", "a"): 1}
         raise RuntimeError("lost")
 
@@ -107,8 +107,12 @@ def test_store_writes_own_rows_only_and_compacts(spark, tmp_path):
     store.store(_at(_rows(spark, "2026-07-01", [("q0", 7)]), 2))
     want = _table(store)
     assert len(want) == 142
-    assert store.compact() == 1 and _table(store) == want
-    assert store.vacuum() == 9 and _table(store) == want and rows() == 142
+    july = store.current(dt.date(2026, 6, 30))
+    assert [r.data_date for r in july.collect()] == [dt.date(2026, 7, 1)]
+    assert store.compact() == 2 and _table(store) == want
+    assert store.vacuum() == 10 and _table(store) == want and rows() == 142
+    assert [r.data_date for r in store.current(dt.date(2026, 6, 30)).collect()] == [dt.date(2026, 7, 1)]
+    assert store.current(last=dt.date(2026, 6, 2)).count() == 21
     assert store.compact() == 0 and store.vacuum() == 0
     # a compacted cell is replaced, and goes on, like any other
     store.store(_at(_rows(spark, days[0], [("q1", 3)]), 2))
@@ -123,7 +127,7 @@ def test_store_reads_older_files_with_the_new_schema(spark, tmp_path):
     store.store(_at(_rows(spark, "2026-06-14", [("a", 1)]), 1))
     old = spark.read.parquet(store.rows_path).drop("search_appearance", "property_type")
     other = FactStore(spark, str(tmp_path / "old"))
-    old.write.partitionBy("aggregation", "data_month", "load_id").parquet(other.rows_path)
+    old.write.partitionBy("aggregation", "part", "load_id").parquet(other.rows_path)
     store.loads().write.parquet(other.loads_path)
     other.store(_at(_rows(spark, "2026-06-15", [("b", 2)]), 1))
     got = {r.query: r.property_type for r in other.current().collect()}
