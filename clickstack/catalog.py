@@ -291,6 +291,9 @@ def _ledger_queries():
             "property_id", "kind", "last_collected_date", "data_state", "last_error",
             _ts_text(F.col("last_error_at")).alias("last_error_at")),
         "client_assign": lambda s, d: L.client_assign(registry_df(s, d), members(s, d)),
+        # Assigned before the groups were made: those properties stay clients of their own.
+        "client_assign_kept": lambda s, d: L.client_assign(registry_df(s, d), members(s, d), L.client_assign(
+            registry_df(s, d).where(F.array_contains("account_ids", "acct1")), members(s, d).limit(0))),
         "client_kinds": lambda s, d: L.client_kinds(registry_df(s, d), assignment(s, d)),
         "reconcile": planned,
         "plan_missing": lambda s, d: L.missing_days(
@@ -346,14 +349,20 @@ def _ledger_queries():
             _ts_text(F.col("usage_start_time")).alias("usage_start_time")),
         "billing_by_service": lambda s, d: O.billing_by_service(billing(s, d), OPS_AS_OF),
         "billing_status": lambda s, d: O.billing_status(billing(s, d), OPS_AS_OF),
-        "table_name_collisions": lambda s, d: O.table_name_collisions(page_urls(s, d)),
+        # Every page once more by plain http: both URLs lead to one name.
+        "table_name_collisions": lambda s, d: O.table_name_collisions(page_urls(s, d).unionByName(
+            page_urls(s, d).select(F.regexp_replace("url", "^https:", "http:").alias("url")))),
         "ops_alerts": lambda s, d: O.ops_alerts(attempts(s, d), dedup(s, d), OPS_AS_OF),
-        "error_bursts": lambda s, d: O.error_bursts(attempts(s, d)).select(
+        "error_bursts": lambda s, d: O.error_bursts(attempts(s, d), 2).select(
             _ts_text(F.col("window_start")).alias("window_start"), "errors"),
+        "success_gaps": lambda s, d: O.success_gaps(attempts(s, d), OPS_AS_OF, ["property", "account_id"]).select(
+            "property", "account_id", _ts_text(F.col("gap_start")).alias("gap_start"), _ts_text(F.col("gap_end")).alias("gap_end"), "open"),
         "health_checks": lambda s, d: _health(s, d),
         "overview": lambda s, d: O.overview(accts(s, d), registry_df(s, d), pstatus(s, d), ledger_df(s, d),
-                                            [bp(s, d), pg(s, d), tot(s, d)], usage(s, d)),
+                                            storage(s, d), usage(s, d), O.collection_activity(attempts(s, d), OPS_AS_OF, 14)),
         "row_hash_invariant": dedup,
+        # The fresh days appended a second time: each of their rows is found.
+        "row_hash_repeated": lambda s, d: O.row_hash_invariant({"by_property": bp(s, d).unionByName(bp(s, d).where("data_state = 'fresh'"))}),
         # functions over the control data
         "property_key": url_keys,
         "valid_iso_date": iso_dates,
@@ -388,10 +397,20 @@ def _health(s, d):
 
 # Fact plane: scans, filters, aggregations, top-k, ingest, targets ---------------------------------
 WHOLE = Filters(start=dt.date(1995, 1, 1), end=dt.date(2001, 12, 31), brand_terms=fixtures.BRAND_TERMS)
-EXPORT_ACCOUNT = "export0"
+FIRST_PAGE = WHOLE.replace(position_max=10)  # rows among the first ten results
+EXPORT_ACCOUNT, OTHER_ACCOUNT = "export0", "export1"
+NEW_SITE = 3  # not in the registry before its export is found
 SITE0 = "https://www.site0.example.com/"
 
 
+def storage(s, d):
+    from clickstack.operators import ops
+    from clickstack.sources.warehouse import FACT_TABLES, Warehouse
+
+    w = Warehouse(s, d).ensure()
+    return ops.storage_summary(s, {t: w.path(t) for t in FACT_TABLES})
+
+
 def _fact_queries():
     from clickstack.functions import filters as flt
     from clickstack.functions import keys, status
@@ -511,26 +530,25 @@ def _fact_queries():
         cmp_ = R.report_timeseries(bp(s, d), DEFAULT, "day", series="compare")
         return R.trend_overlay(cur, cmp_)
 
-    def storage(s, d):
-        from clickstack.sources.warehouse import FACT_TABLES, Warehouse
-
-        w = Warehouse(s, d).ensure()
-        return O.storage_summary(s, {t: w.path(t) for t in FACT_TABLES})
-
     def discovered(s, d):
-        return L.discover_export(native.export_sites(native.site_export(s, d)), EXPORT_ACCOUNT, OPS_AS_OF, registry_df(s, d))
+        """The registry, one site not known yet, after the exports of two accounts were found: odd sites and even sites."""
+        site = fixtures.site_index(F.col("site_url"))
+        known = registry_df(s, d).where(site != NEW_SITE)
+        found = native.export_sites(native.site_export(s, d))
+        first = L.discover_export(found.where(site % 2 == 1), EXPORT_ACCOUNT, OPS_AS_OF, known)
+        return L.discover_export(found.where(site % 2 == 0), OTHER_ACCOUNT, OPS_AS_OF, first)
 
     def discover_export(s, d):
-        # Of the accounts only the one discovered: a native property may have others that see it.
-        own = F.array_intersect("account_ids", F.array(F.lit(EXPORT_ACCOUNT)))
-        return L.native_of_account(discovered(s, d), EXPORT_ACCOUNT).select(
-            "property_id", "site_url", "property_type", "source", F.array_join(own, ",").alias("account_ids"))
+        # Of the accounts only the two discovered: a native property may have others that see it.
+        own = F.array_intersect("account_ids", F.array(F.lit(EXPORT_ACCOUNT), F.lit(OTHER_ACCOUNT)))
+        return discovered(s, d).where(F.size(own) > 0).select(
+            "property_id", "site_url", "property_type", "source", "included", F.array_join(own, ",").alias("account_ids"))
 
     def purge_native(s, d):
-        before = discovered(s, d)
-        gone = L.native_of_account(before, EXPORT_ACCOUNT).select(F.col("site_url").alias("property"))
-        left = L.purge_native(before, EXPORT_ACCOUNT).where(F.col("source") == "native_export").select("site_url")
-        w = native.wildcard_all(bp(s, d), native.native_site_adapter(native.site_export(s, d), left), left)
+        left = L.purge_native(discovered(s, d), EXPORT_ACCOUNT)
+        gone = L.native_of_account(discovered(s, d), EXPORT_ACCOUNT).select(F.col("site_url").alias("property"))
+        sites = left.where(F.col("source") == "native_export").select("site_url")
+        w = native.wildcard_all(bp(s, d), native.native_site_adapter(native.site_export(s, d), sites), sites)
         return per_source(w.join(gone, "property", "left_anti"))
 
     def region_movers(s, d):
@@ -567,6 +585,7 @@ def _fact_queries():
         "purge_native_account": purge_native,
         "discover_export": discover_export,
         "storage_summary": storage,
+        "storage_rows": lambda s, d: storage(s, d).select("dataset", "n_rows"),
         # filters, one clause each (metrics per property over the whole table)
         "f_search_type": filt(bp, WHOLE.replace(search_type="image")),
         "f_date_range": filt(bp, Filters(start=dt.date(1998, 3, 1), end=dt.date(1998, 3, 31))),
@@ -598,7 +617,7 @@ def _fact_queries():
         "position_buckets": lambda s, d: M.position_buckets(bp(s, d).where(flt.to_column(WHOLE))),
         "ctr_scatter": lambda s, d: M.ctr_scatter(bp(s, d).where(flt.to_column(WHOLE, require_query=True))),
         "ctr_curve": lambda s, d: M.ctr_curve(bp(s, d).where(flt.to_column(WHOLE, require_query=True))),
-        "ctr_bench_rows": lambda s, d: M.ctr_bench_rows(bp(s, d).where(flt.to_column(WHOLE, require_query=True))),
+        "ctr_bench_rows": lambda s, d: M.ctr_bench_rows(bp(s, d).where(flt.to_column(FIRST_PAGE, require_query=True))),
         "query_page_pairs": lambda s, d: M.query_page_pairs(
             pg(s, d).where(flt.to_column(WHOLE, require_query=True, require_page=True))),
         "striking_distance": lambda s, d: M.striking_distance(bp(s, d).where(flt.to_column(WHOLE, require_query=True))),
@@ -619,7 +638,7 @@ def _fact_queries():
         "topk_entities": lambda s, d: K.topk_entities(
             M.top_entity(bp(s, d).where(flt.to_column(WHOLE, require_query=True)), "query"), 100),
         "topk_scatter": lambda s, d: K.topk_scatter(M.ctr_scatter(bp(s, d).where(flt.to_column(WHOLE, require_query=True))), 500),
-        "topk_bench": lambda s, d: K.topk_bench(M.ctr_bench_rows(bp(s, d).where(flt.to_column(WHOLE, require_query=True))), 200),
+        "topk_bench": lambda s, d: K.topk_bench(M.ctr_bench_rows(bp(s, d).where(flt.to_column(FIRST_PAGE, require_query=True))), 200),
         "topk_pairs": lambda s, d: K.topk_pairs(M.query_page_pairs(
             pg(s, d).where(flt.to_column(WHOLE, require_query=True, require_page=True))), 5000),
         "topk_striking": lambda s, d: K.topk_striking(
@@ -687,9 +706,15 @@ def _streaming_queries():
     def stream_ops(s, d):
         run = ingest.scratch(s, "stream-ops")
         out = ops_stream.run_available(s, attempt_files(s, d), run + "/sink", run + "/checkpoint")
-        return out.select(_ts_text(F.col("window_start")).alias("window_start"), "errors", "alert")
+        return out.select(_ts_text(F.col("window_start")).alias("window_start"), "errors", "alert", "late")
+
+    def stream_gaps(s, d):
+        run = ingest.scratch(s, "stream-gaps")
+        out = ops_stream.run_gaps(s, attempt_files(s, d), run + "/sink", run + "/checkpoint", OPS_AS_OF, ["property", "account_id"])
+        return out.select("property", "account_id", _ts_text(F.col("gap_start")).alias("gap_start"),
+                          _ts_text(F.col("gap_end")).alias("gap_end"), "open")
 
-    return {"stream_ingest": stream_ingest, "stream_ops": stream_ops}
+    return {"stream_ingest": stream_ingest, "stream_ops": stream_ops, "stream_gaps": stream_gaps}
 
 
 # Remaining inventory entries and names that stand for a part of a larger query --------------------

@@ -29,10 +29,11 @@ def registry_merge(observations: DataFrame, settings: DataFrame | None = None, e
 
     Accounts are unioned; the account of the first observation that has one is preferred; the first sighting is
     kept, the last refreshed. ``settings(property, source, included, config, brand_terms)`` says how a new
-    property starts; without a row there it is an API property, included, without configuration. Rows of
-    ``existing`` (a registry) keep their preferred account, source, inclusion, configuration and brand terms,
-    and stay when nothing new was observed of them. Of observations at the same time the smaller account
-    counts as first."""
+    property starts; without a row there it is an API property, excluded until someone tracks it, without configuration.
+    Rows of ``existing`` (a registry) keep their preferred account, inclusion, configuration and brand terms, and stay when
+    nothing new was observed of them. A source named by ``settings`` is newer than the one on record: a site found
+    in an export becomes native, and native properties are always included. Of observations at the same time the
+    smaller account counts as first."""
     obs = observations.select("property", "account_id", "logged_at")
     seen = obs.groupBy("property").agg(
         F.array_sort(F.collect_set("account_id")).alias("new_accounts"),
@@ -43,7 +44,7 @@ def registry_merge(observations: DataFrame, settings: DataFrame | None = None, e
     else:
         seen = seen.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (
             ("source", "string"), ("included", "boolean"), ("config", REGISTRY_CONFIG), ("brand_terms", "array<string>"))])
-    accounts_, kept = F.col("new_accounts"), lambda c: F.col(c)
+    accounts_, kept, source = F.col("new_accounts"), lambda c: F.col(c), F.col("source")
     preferred, discovered, last = F.col("first_account"), F.col("first_seen"), F.col("last_seen")
     if existing is not None:
         old = existing.select("property", *[F.col(c).alias(f"old_{c}") for c in (
@@ -51,15 +52,16 @@ def registry_merge(observations: DataFrame, settings: DataFrame | None = None, e
         seen = seen.join(old, "property", "full_outer")
         none = F.array().cast("array<string>")
         accounts_ = F.array_sort(F.array_union(F.coalesce("old_account_ids", none), F.coalesce("new_accounts", none)))
-        kept = lambda c: F.coalesce(f"old_{c}", c)
+        kept, source = (lambda c: F.coalesce(f"old_{c}", c)), F.coalesce("source", "old_source")
         preferred = F.coalesce("old_preferred_account_id", "first_account")
         discovered, last = F.least("old_discovered_at", "first_seen"), F.greatest("old_last_seen_at", "last_seen")
+    source = F.coalesce(source, F.lit("api"))
     return seen.select(
         keys.property_key(F.col("property")).alias("property_id"),
         F.col("property").alias("site_url"),
         keys.property_type(F.col("property")).alias("property_type"),
-        F.coalesce(kept("source"), F.lit("api")).alias("source"),
-        F.coalesce(kept("included"), F.lit(True)).alias("included"),
+        source.alias("source"),
+        F.when(source == "native_export", F.lit(True)).otherwise(F.coalesce(kept("included"), F.lit(False))).alias("included"),
         accounts_.alias("account_ids"), preferred.alias("preferred_account_id"),
         discovered.alias("discovered_at"), last.alias("last_seen_at"),
         kept("config").alias("config"), kept("brand_terms").alias("brand_terms"), F.col("property"))
@@ -68,7 +70,7 @@ def registry_merge(observations: DataFrame, settings: DataFrame | None = None, e
 # L5, L6 -----------------------------------------------------------------------------------------
 def discover_export(sites: DataFrame, account_id: str, seen_at, existing: DataFrame) -> DataFrame:
     """The registry with the sites (``site_url``) of an export account. A new site starts as an included native
-    property; a known one gains the account and keeps its settings, its source too."""
+    property; a known one gains the account, becomes native and included, and keeps its other settings."""
     found = sites.select(F.col("site_url").alias("property")).distinct()
     observations = found.select("property", F.lit(account_id).alias("account_id"), F.lit(seen_at).cast("timestamp").alias("logged_at"))
     settings = found.select("property", F.lit("native_export").alias("source"), F.lit(True).alias("included"),
@@ -128,20 +130,24 @@ def property_status(registry: DataFrame, attempts: DataFrame) -> DataFrame:
 
 
 # E4 ---------------------------------------------------------------------------------------------
-def client_assign(registry: DataFrame, members: DataFrame) -> DataFrame:
+def client_assign(registry: DataFrame, members: DataFrame, assigned: DataFrame | None = None) -> DataFrame:
     """Every group becomes a client 'g_<group>' (a property in several groups goes to the
     first, by group order then member order); every remaining tracked or native property
-    becomes its own client 'p_<property>' named from its URL. Returns (property_id, client_id,
-    client_name)."""
+    becomes its own client 'p_<property>' named from its URL. Properties that ``assigned`` (an earlier
+    result) lists keep their client and its name. Returns (property_id, client_id, client_name)."""
+    out = ["property_id", "client_id", "client_name"]
+    kept = registry.select("property_id").join(assigned.select(*out), "property_id") if assigned is not None else None
+    open_ = registry.join(assigned.select("property_id"), "property_id", "left_anti") if assigned is not None else registry
     order = Window.partitionBy("property").orderBy("group_pos", "member_pos")
     gm = members.withColumn("rn", F.row_number().over(order)).where(F.col("rn") == 1)
-    grouped = registry.join(gm.select(F.col("property").alias("site_url"), "group_id", "name"), "site_url") \
+    grouped = open_.join(gm.select(F.col("property").alias("site_url"), "group_id", "name"), "site_url") \
         .select("property_id", F.concat(F.lit("g_"), F.col("group_id")).alias("client_id"), F.col("name").alias("client_name"))
-    rest = (registry.join(grouped.select("property_id"), "property_id", "left_anti")
+    rest = (open_.join(grouped.select("property_id"), "property_id", "left_anti")
             .where(F.col("included") | (F.col("source") == "native_export"))
             .select("property_id", F.concat(F.lit("p_"), F.col("property_id")).alias("client_id"),
                     text.client_name(F.col("site_url")).alias("client_name")))
-    return grouped.unionByName(rest)
+    every = grouped.unionByName(rest)
+    return every if kept is None else every.unionByName(kept.select(*out))
 
 
 def client_kinds(registry: DataFrame, assignment: DataFrame) -> DataFrame:
@@ -268,11 +274,12 @@ def double_count(members: DataFrame) -> DataFrame:
     m = members.select("group_id", "property", keys.property_type(F.col("property")).alias("ptype"))
     dom = m.where(F.col("ptype") == "domain").select(
         "group_id", F.lower(F.regexp_replace("property", "^sc-domain:", "")).alias("d"))
-    hosts = m.where(F.col("ptype") == "url_prefix").select(
-        "group_id", F.lower(F.coalesce(F.try_parse_url(F.col("property"), F.lit("HOST")), F.lit(""))).alias("host"))
-    hit = (hosts.join(dom, "group_id")
-           .where((F.col("host") == F.col("d")) | F.col("host").endswith(F.concat(F.lit("."), F.col("d"))))
-           .select("group_id").distinct().withColumn("double_count", F.lit(True)))
+    host = F.lower(F.coalesce(F.try_parse_url(F.col("property"), F.lit("HOST")), F.lit("")))
+    # A host meets the domains that are one of its own endings, whole labels each: an equi-join on group and domain.
+    labels = F.split(host, "[.]")
+    endings = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    hosts = m.where(F.col("ptype") == "url_prefix").select("group_id", F.explode(endings).alias("d")).distinct()
+    hit = hosts.join(dom, ["group_id", "d"], "left_semi").select("group_id").distinct().withColumn("double_count", F.lit(True))
     return (members.select("group_id").distinct().join(hit, "group_id", "left")
             .select("group_id", F.coalesce("double_count", F.lit(False)).alias("double_count")))
 

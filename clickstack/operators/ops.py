@@ -9,7 +9,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickstack.functions import dates, keys
@@ -140,6 +140,17 @@ def anomaly_pct(totals: DataFrame, by: Sequence[str] = ("property",)) -> DataFra
     return totals.groupBy(*by).agg(F.try_divide(F.sum(F.when(F.col("is_anonymized"), i).otherwise(0)), F.sum(i)).alias("anomaly_pct"))
 
 
+def _repeated(rows: DataFrame) -> DataFrame:
+    """The row hashes stored more than once. A hash covers its day, so equal ones lie in one month: 64 bits of it and the
+    month go through the shuffle first, the hashes themselves only of the few rows whose bits are found again."""
+    place = [c for c in ("data_month",) if c in rows.columns]
+    bits = rows.select(*place, F.xxhash64("row_hash").alias("bits"))
+    again = bits.groupBy(*place, "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*[F.col(c).alias(f"_{c}") for c in (*place, "bits")])
+    own = rows.select(*place, F.xxhash64("row_hash").alias("bits"), "row_hash")
+    found = own.join(again, [own[c] == again[f"_{c}"] for c in (*place, "bits")], "left_semi")
+    return found.groupBy("row_hash").agg(F.count(F.lit(1)).alias("count")).where(F.col("count") > 1)
+
+
 def row_hash_invariant(tables: dict[str, DataFrame], as_of=None, since_days: int | None = None) -> DataFrame:
     """Per table the number of row hashes stored more than once (optionally over the last
     ``since_days`` days only), and whether all tables are clean."""
@@ -149,7 +160,7 @@ def row_hash_invariant(tables: dict[str, DataFrame], as_of=None, since_days: int
         if since_days and as_of is not None:
             lo = as_of - dt.timedelta(days=int(since_days))
             d = d.where((F.col("data_date") >= F.lit(lo)) & (F.col("data_month") >= F.lit(lo.replace(day=1))))
-        dup = d.groupBy("row_hash").count().where(F.col("count") > 1)
+        dup = _repeated(d)
         parts.append(dup.agg(F.count(F.lit(1)).alias("duplicates")).select(F.lit(name).alias("view"), "duplicates"))
     out = parts[0]
     for p in parts[1:]:
@@ -158,16 +169,18 @@ def row_hash_invariant(tables: dict[str, DataFrame], as_of=None, since_days: int
 
 
 def storage_summary(spark, paths: dict[str, str]) -> DataFrame:
-    """Files, rows and bytes per stored table, from the file metadata column."""
-    parts = []
+    """Files, rows and bytes per stored table. Rows come from the footers (the count is pushed down to the files), files
+    and bytes from the file listing: no data page is read."""
+    footers = spark.newSession()  # settings of its own: nothing else that runs is planned by them
+    footers.conf.set("spark.sql.sources.useV1SourceList", "")
+    footers.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    rows = []
     for name, path in paths.items():
-        df = spark.read.parquet(path).select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("b"))
-        files = df.groupBy("f").agg(F.first("b").alias("b"), F.count(F.lit(1)).alias("n"))
-        parts.append(files.agg(F.count(F.lit(1)).alias("files"), F.sum("n").alias("n_rows"), F.sum("b").alias("n_bytes"))
-                     .select(F.lit(name).alias("dataset"), "files", "n_rows", "n_bytes"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        n = footers.read.parquet(path).agg(F.count(F.lit(1)).alias("n")).first().n
+        files = (footers.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+                 .agg(F.count("path").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("n_bytes")).first())
+        rows.append((name, files.files, n, files.n_bytes))
+    out = spark.createDataFrame(rows, "dataset string, files long, n_rows long, n_bytes long")  # one row per table
     return out.withColumn("est_monthly_storage_usd",
                           F.round(F.col("n_bytes") / F.lit(1024 ** 3) * STORAGE_USD_PER_GIB_MONTH, 2))
 
@@ -218,22 +231,22 @@ def billing_status(billing: DataFrame, as_of, days: int = 45) -> DataFrame:
 
 # D25 --------------------------------------------------------------------------------------------
 def overview(accounts: DataFrame, registry: DataFrame, prop_status: DataFrame, ledger: DataFrame,
-             facts: Sequence[DataFrame], usage: DataFrame) -> DataFrame:
-    """One row of counts: accounts (all / healthy), properties (tracked / available),
-    fact rows, API calls today, open errors, newest final collected day."""
+             storage: DataFrame, usage: DataFrame, activity: DataFrame) -> DataFrame:
+    """One row: accounts (all / healthy), properties (tracked / available), fact rows and their estimated
+    monthly storage cost (D22), API calls today, open errors, newest final collected day, and the activity of the
+    last days (D19) as ``day:tasks:rows``, by day."""
     a = accounts.agg(F.count(F.lit(1)).alias("accounts"),
                      F.sum(F.when(F.col("token_health") == "valid", 1).otherwise(0)).alias("healthy_accounts"))
     p = registry.agg(F.sum(F.when(F.col("included"), 1).otherwise(0)).alias("tracking"),
                      F.count(F.lit(1)).alias("total_properties"))
-    rows = None
-    for f in facts:
-        c = f.agg(F.count(F.lit(1)).alias("n"))
-        rows = c if rows is None else rows.unionByName(c)
-    r = rows.agg(F.sum("n").alias("rows"))
+    r = storage.agg(F.sum("n_rows").alias("rows"),
+                    F.round(F.sum("n_bytes") / F.lit(1024 ** 3) * STORAGE_USD_PER_GIB_MONTH, 2).alias("est_monthly_storage_usd"))
+    line = F.concat_ws(":", "day", F.col("tasks").cast("string"), F.col("n_rows").cast("string"))
+    t = activity.agg(F.array_join(F.array_sort(F.collect_list(line)), ",").alias("activity"))  # one entry a day
     u = usage.agg(F.coalesce(F.sum("calls_today"), F.lit(0)).alias("api_calls_today"))
     e = ledger.agg(F.sum(F.when(F.col("status") == "error", 1).otherwise(0)).alias("open_errors"))
     lf = prop_status.agg(F.max(F.when(F.col("data_state") == "final", F.col("last_collected_date"))).alias("latest_final_date"))
-    out = one_row([a, p, r, u, e, lf])
+    out = one_row([a, p, r, u, e, lf, t])
     return out.withColumn("available", F.col("total_properties") - F.col("tracking"))
 
 
@@ -273,14 +286,33 @@ def health_checks(dedup: DataFrame, collisions: DataFrame, ceiling: DataFrame, r
     return c1.unionByName(c2).unionByName(c3).unionByName(c4).unionByName(c5).unionByName(c6)
 
 
-def error_bursts(attempts: DataFrame) -> DataFrame:
-    """Hourly collector-error counts above the alert threshold (tumbling 1-hour windows)."""
+def error_bursts(attempts: DataFrame, threshold: int = ERRORS_PER_HOUR_ALERT) -> DataFrame:
+    """Hourly collector-error counts above ``threshold`` (tumbling 1-hour windows)."""
     e = attempts.where(F.col("status") == "error")
     g = e.groupBy(F.window("logged_at", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("errors"))
-    return g.where(F.col("errors") > ERRORS_PER_HOUR_ALERT).select(
+    return g.where(F.col("errors") > threshold).select(
         F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "errors")
 
 
+def success_gaps(attempts: DataFrame, as_of, by: Sequence[str] = (), hours: int = NO_SUCCESS_HOURS) -> DataFrame:
+    """The times without a successful collection for at least ``hours`` (per ``by``), the one up to ``as_of`` included:
+    ``gap_start, gap_end, open``. Successes are first reduced to the first and last of an hour, so what is ordered per group
+    grows with time and not with the log."""
+    now = _ts(as_of)
+    ok = attempts.where(F.col("status").startswith("collected_") & (F.col("logged_at") <= now))
+    hour = ok.groupBy(*by, F.date_trunc("hour", "logged_at").alias("hour")).agg(F.min("logged_at").alias("first"), F.max("logged_at").alias("last"))
+    return gaps_between(hour, as_of, by, hours)
+
+
+def gaps_between(hourly: DataFrame, as_of, by: Sequence[str] = (), hours: int = NO_SUCCESS_HOURS) -> DataFrame:
+    """The gaps of ``success_gaps`` out of the ``first`` and ``last`` success of each hour."""
+    now = _ts(as_of)
+    w = Window.partitionBy(*by).orderBy("first")
+    then = hourly.select(*by, F.col("last").alias("gap_start"), F.lead("first").over(w).alias("next"))
+    out = then.select(*by, "gap_start", F.coalesce("next", now).alias("gap_end"), F.col("next").isNull().alias("open"))
+    return out.where(F.col("gap_end") >= F.col("gap_start") + F.expr(f"INTERVAL {hours} HOURS"))
+
+
 def ops_alerts(attempts: DataFrame, dedup: DataFrame, as_of) -> DataFrame:
     """The three alert conditions as rows (alert, firing, detail): error bursts, no successful
     collection within 23 hours of as_of, any duplicate row hash."""

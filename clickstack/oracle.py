@@ -543,9 +543,25 @@ CONTROL_SQL: dict[str, str] = {
   FROM billing WHERE usage_start_time >= {AS_OF} - INTERVAL 30 DAY GROUP BY 1, 2"""),
     "billing_status": with_control(f"""SELECT CAST(count(*) AS BIGINT) AS n_rows, max(CAST(usage_start_time AS DATE)) AS latest_day
   FROM billing WHERE usage_start_time >= {AS_OF} - INTERVAL 45 DAY"""),
-    "table_name_collisions": with_control("SELECT * FROM collisions"),
+    "table_name_collisions": with_control(f"""SELECT name, CAST(count(*) OVER (PARTITION BY name) AS BIGINT) AS urls, url
+  FROM (SELECT DISTINCT {pk('url')} AS name, url FROM (SELECT url FROM pages UNION ALL SELECT regexp_replace(url, '^https:', 'http:') FROM pages))
+  QUALIFY urls > 1"""),
     "error_bursts": with_control("""SELECT strftime(time_bucket(INTERVAL 1 HOUR, logged_at), '%Y-%m-%d %H:%M:%S') AS window_start,
-  CAST(count(*) AS BIGINT) AS errors FROM attempts WHERE status = 'error' GROUP BY 1 HAVING count(*) > 20"""),
+  CAST(count(*) AS BIGINT) AS errors FROM attempts WHERE status = 'error' GROUP BY 1 HAVING count(*) > 2"""),
+    "stream_ops": with_control("""SELECT strftime(time_bucket(INTERVAL 1 HOUR, logged_at), '%Y-%m-%d %H:%M:%S') AS window_start,
+  CAST(count(*) AS BIGINT) AS errors, count(*) > 20 AS alert, CAST(0 AS BIGINT) AS late FROM attempts WHERE status = 'error' GROUP BY 1"""),
+    "success_gaps": with_control(f"""SELECT property, account_id, strftime(logged_at, '%Y-%m-%d %H:%M:%S') AS gap_start,
+  strftime(coalesce(nxt, {AS_OF}), '%Y-%m-%d %H:%M:%S') AS gap_end, nxt IS NULL AS open
+  FROM (SELECT property, account_id, logged_at, lead(logged_at) OVER (PARTITION BY property, account_id ORDER BY logged_at) AS nxt
+        FROM attempts WHERE starts_with(status, 'collected_') AND logged_at <= {AS_OF})
+  WHERE coalesce(nxt, {AS_OF}) >= logged_at + INTERVAL 23 HOUR"""),
+    "row_hash_repeated": with_control("""SELECT 'by_property' AS "view", CAST(count(*) AS BIGINT) AS duplicates FROM by_property WHERE data_state = 'fresh'"""),
+    "storage_rows": with_control("""SELECT 'by_property' AS dataset, CAST(count(*) AS BIGINT) AS n_rows FROM by_property
+UNION ALL SELECT 'by_page', CAST(count(*) AS BIGINT) FROM by_page UNION ALL SELECT 'totals', CAST(count(*) AS BIGINT) FROM totals"""),
+    "client_assign_kept": with_control("SELECT * FROM held UNION ALL SELECT * FROM assign WHERE property_id NOT IN (SELECT property_id FROM held)",
+                                       """held AS (SELECT property_id, 'p_' || property_id AS client_id, regexp_replace(regexp_replace(regexp_replace(
+  regexp_replace(site_url, '^sc-domain:', ''), '^https?://', ''), '/+$', ''), '^www\\.', '') AS client_name FROM registry
+  WHERE (included OR source = 'native_export') AND list_contains(string_split(account_ids, ','), 'acct1'))"""),
     "ops_alerts": with_control(f"""
 SELECT 'collector_errors' AS alert, count(*) > 0 AS firing, CAST(count(*) AS VARCHAR) || ' hour(s) over threshold' AS detail
   FROM (SELECT time_bucket(INTERVAL 1 HOUR, logged_at) FROM attempts WHERE status = 'error' GROUP BY 1 HAVING count(*) > 20)
@@ -563,10 +579,14 @@ UNION ALL SELECT 'API row ceiling', true, CAST(count(*) AS VARCHAR) || ' propert
 UNION ALL SELECT 'Recent collection', count(*) > 0, CAST(count(*) AS VARCHAR) || ' attempts in 7d' FROM attempts WHERE logged_at > {AS_OF} - INTERVAL 7 DAY
 UNION ALL SELECT 'Export readable', true, 'latest export ' || coalesce(CAST(max(data_date) AS VARCHAR), 'none') FROM search_raw
 UNION ALL SELECT 'Accounts connected', SUM(CASE WHEN token_health = 'valid' THEN 1 ELSE 0 END) > 0, CAST(count(*) AS VARCHAR) || ' account(s)' FROM accounts"""),
-    "overview": with_control("""SELECT * , total_properties - tracking AS available FROM
+    "overview": with_control(f"""SELECT * , total_properties - tracking AS available FROM
   (SELECT CAST(count(*) AS BIGINT) AS accounts, CAST(SUM(CASE WHEN token_health = 'valid' THEN 1 ELSE 0 END) AS BIGINT) AS healthy_accounts FROM accounts),
   (SELECT CAST(SUM(CASE WHEN included THEN 1 ELSE 0 END) AS BIGINT) AS tracking, CAST(count(*) AS BIGINT) AS total_properties FROM registry),
   (SELECT CAST((SELECT count(*) FROM by_property) + (SELECT count(*) FROM by_page) + (SELECT count(*) FROM totals) AS BIGINT) AS rows),
+  (SELECT 0.0::DOUBLE AS est_monthly_storage_usd), -- the test tables are under a quarter of a GiB
+  (SELECT string_agg(day || ':' || tasks || ':' || n_rows, ',' ORDER BY day) AS activity FROM
+    (SELECT strftime({PT.format(c='logged_at')}, '%Y-%m-%d') AS day, count(DISTINCT task_id) AS tasks, CAST(coalesce(SUM(row_count), 0) AS BIGINT) AS n_rows
+     FROM attempts WHERE logged_at >= {AS_OF} - INTERVAL 14 DAY GROUP BY 1)),
   (SELECT CAST(coalesce(SUM(calls_today), 0) AS BIGINT) AS api_calls_today FROM usage),
   (SELECT CAST(SUM(CASE WHEN status = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS open_errors FROM ledger),
   (SELECT max(last_collected_date) FILTER (WHERE data_state = 'final') AS latest_final_date FROM pstatus)"""),
@@ -609,6 +629,7 @@ UNION ALL SELECT 'Accounts connected', SUM(CASE WHEN token_health = 'valid' THEN
     "task_id": with_control("SELECT event_id, task_id FROM attempts"),
     "distinct": with_control("SELECT DISTINCT account_id FROM attempts WHERE account_id IS NOT NULL"),
 }
+CONTROL_SQL["stream_gaps"] = CONTROL_SQL["success_gaps"]
 CONTROL_SQL["dims_for"] = CONTROL_SQL["valid_combo"]
 CONTROL_SQL["token_error_class"] = CONTROL_SQL["retryable_error"]
 CONTROL_SQL["dead_letter"] = CONTROL_SQL["retryable_error"]
@@ -697,6 +718,8 @@ def top_per_target(inner: str, order: str, n: int) -> str:
             f"FROM ({inner})) WHERE rn <= {n}")
 
 
+ACCOUNT_OF_SITE = "CASE WHEN CAST(regexp_extract(site_url, 'site([0-9]+)', 1) AS INT) % 2 = 1 THEN 'export0' ELSE 'export1' END"
+
 FACT_SQL: dict[str, str] = {
     "scan_property": with_fact(f"""SELECT data_date, property, search_type, query, country, device, clicks, impressions, position,
   {hash_sql('byProperty')} AS row_hash FROM by_property WHERE property = 'https://www.site0.example.com/'"""),
@@ -730,11 +753,11 @@ FACT_SQL: dict[str, str] = {
   WHERE property IN (SELECT property FROM members WHERE group_id = 'grp_b') GROUP BY property"""),
     "group_union_agg": with_fact(f"""SELECT data_date, query, country, device, {M4} FROM by_property
   WHERE property IN (SELECT property FROM members WHERE group_id = 'grp_b') GROUP BY 1, 2, 3, 4"""),
-    "purge_native_account": with_fact(f"""SELECT {pk('property')} AS source_table, CAST(count(*) AS BIGINT) AS n_rows,
-  CAST(SUM(clicks) AS BIGINT) AS clicks, CAST(SUM(impressions) AS BIGINT) AS impressions FROM wildcard
-  WHERE property <> '{SITE5}' GROUP BY 1"""),
-    "discover_export": with_fact(f"""SELECT {pk('site_url')} AS property_id, site_url, 'url_prefix' AS property_type,
-  'native_export' AS source, 'export0' AS account_ids FROM (SELECT DISTINCT site_url FROM site_export) WHERE site_url = '{SITE5}'"""),
+    "purge_native_account": with_fact(f"""SELECT {pk('site_url')} AS source_table, CAST(count(*) AS BIGINT) AS n_rows,
+  CAST(SUM(clicks) AS BIGINT) AS clicks, CAST(SUM(impressions) AS BIGINT) AS impressions FROM site_export
+  WHERE {ACCOUNT_OF_SITE} = 'export1' GROUP BY 1"""),
+    "discover_export": with_fact(f"""SELECT {pk('site_url')} AS property_id, site_url,
+  CASE WHEN starts_with(site_url, 'sc-domain:') THEN 'domain' ELSE 'url_prefix' END AS property_type, 'native_export' AS source, true AS included, {ACCOUNT_OF_SITE} AS account_ids FROM (SELECT DISTINCT site_url FROM site_export)"""),
     "f_search_type": per_prop("by_property", f"search_type = 'image' AND {WHOLE}"),
     "f_date_range": per_prop("by_property", f"{WEB} AND data_date BETWEEN DATE '1998-03-01' AND DATE '1998-03-31'"),
     "f_final_only": per_prop("by_property", f"{WEB} AND {WHOLE} AND data_state = 'final'"),
@@ -764,7 +787,7 @@ FACT_SQL: dict[str, str] = {
     "position_buckets": REPORTS["report_position_buckets"].replace(CUR, WHOLE),
     "ctr_scatter": with_fact(f"SELECT * FROM ({per_query(f'{WEB} AND {WHOLE} AND query IS NOT NULL')}) WHERE impressions > 0"),
     "ctr_curve": REPORTS["report_ctr_curve"].replace(CUR, WHOLE),
-    "ctr_bench_rows": with_fact(f"SELECT * FROM ({per_query(f'{WEB} AND {WHOLE} AND query IS NOT NULL')}) WHERE position <= 10 AND impressions > 0"),
+    "ctr_bench_rows": with_fact(f"SELECT * FROM ({per_query(f'{WEB} AND {WHOLE} AND position <= 10 AND query IS NOT NULL')}) WHERE position <= 10 AND impressions > 0"),
     "query_page_pairs": with_fact(f"""SELECT query AS q, page AS p, CAST(SUM(clicks) AS BIGINT) AS clicks, CAST(SUM(impressions) AS BIGINT) AS impressions,
   SUM(position * impressions) / NULLIF(SUM(impressions), 0) AS position FROM by_page
   WHERE {WEB} AND {WHOLE} AND query IS NOT NULL AND page IS NOT NULL GROUP BY query, page"""),
@@ -823,7 +846,7 @@ q AS (SELECT q AS key, CAST(count(*) AS BIGINT) AS pages, CAST(SUM(clicks) AS BI
     "topk_entities": with_fact(f"""SELECT query AS key, {M4} FROM by_property WHERE {WEB} AND {WHOLE} AND query IS NOT NULL GROUP BY query
   ORDER BY clicks DESC, impressions DESC, key ASC LIMIT 100"""),
     "topk_scatter": with_fact(f"SELECT * FROM ({per_query(f'{WEB} AND {WHOLE} AND query IS NOT NULL')}) WHERE impressions > 0 ORDER BY impressions DESC, key LIMIT 500"),
-    "topk_bench": with_fact(f"""SELECT * FROM ({per_query(f'{WEB} AND {WHOLE} AND query IS NOT NULL')}) WHERE position <= 10 AND impressions > 0
+    "topk_bench": with_fact(f"""SELECT * FROM ({per_query(f'{WEB} AND {WHOLE} AND position <= 10 AND query IS NOT NULL')}) WHERE position <= 10 AND impressions > 0
   ORDER BY impressions DESC, key LIMIT 200"""),
     "topk_pairs": with_fact(f"""SELECT query AS q, page AS p, CAST(SUM(clicks) AS BIGINT) AS clicks, CAST(SUM(impressions) AS BIGINT) AS impressions,
   SUM(position * impressions) / NULLIF(SUM(impressions), 0) AS position FROM by_page

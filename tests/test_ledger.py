@@ -83,48 +83,74 @@ def test_registry_merge_keeps_what_is_known(spark):
         [("https://www.acme.com/", None, day(1)), ("https://www.acme.com/", "b", day(2)), ("https://www.acme.com/", "a", day(2)),
          ("sc-domain:shop.org", "c", day(3))], cols))
     acme = first.where("property like '%acme%'").first()
-    assert (acme.preferred_account_id, acme.account_ids, acme.source, acme.included) == ("a", ["a", "b"], "api", True)
-    known = first.withColumn("included", F.lit(False)).withColumn("source", F.lit("native_export"))
+    assert (acme.preferred_account_id, acme.account_ids, acme.source, acme.included) == ("a", ["a", "b"], "api", False)
+    known = first.withColumn("included", F.lit(True))
     again = {r.property: r for r in L.registry_merge(spark.createDataFrame(
         [("https://www.acme.com/", "z", day(9)), ("https://new.net/", "z", day(9))], cols), None, known).collect()}
     acme = again["https://www.acme.com/"]
-    assert (acme.included, acme.source, acme.preferred_account_id, acme.account_ids) == (False, "native_export", "a", ["a", "b", "z"])
+    assert (acme.included, acme.source, acme.preferred_account_id, acme.account_ids) == (True, "api", "a", ["a", "b", "z"])
     assert (acme.discovered_at, acme.last_seen_at) == (day(1), day(9))
-    assert again["sc-domain:shop.org"].account_ids == ["c"] and again["https://new.net/"].included is True
+    assert again["sc-domain:shop.org"].account_ids == ["c"] and again["https://new.net/"].included is False
+    # A newer source wins, and native properties are always included.
+    native = L.registry_merge(spark.createDataFrame([("https://new.net/", "z", day(9))], cols), None,
+                              first.withColumns({"source": F.lit("native_export"), "property": F.lit("https://new.net/")}).limit(1)).first()
+    assert (native.source, native.included) == ("native_export", True)
 
 
 def test_export_discovery_and_purge(spark):
-    """Sites the registry lacks become native properties, known ones keep their source, and a purge takes one account's only."""
+    """Sites the registry lacks and sites known from the API become native properties, and a purge takes one account's only."""
     at = dt.datetime(2026, 1, 1)
     api = L.registry_merge(spark.createDataFrame([("https://api.com/", "a", at)], "property string, account_id string, logged_at timestamp"))
     sites = lambda *urls: spark.createDataFrame([(u,) for u in urls], "site_url string")
     one = L.discover_export(sites("https://new.net/", "https://api.com/"), "export0", at, api)
     both = L.discover_export(sites("https://other.org/", "https://other.org/"), "export1", at, one)
     got = {r.site_url: (r.source, r.account_ids, r.included) for r in both.collect()}
-    assert got == {"https://api.com/": ("api", ["a", "export0"], True), "https://new.net/": ("native_export", ["export0"], True),
+    assert got == {"https://api.com/": ("native_export", ["a", "export0"], True), "https://new.net/": ("native_export", ["export0"], True),
                    "https://other.org/": ("native_export", ["export1"], True)}
-    assert [r.site_url for r in L.native_of_account(both, "export0").collect()] == ["https://new.net/"]
-    assert sorted(r.site_url for r in L.purge_native(both, "export0").collect()) == ["https://api.com/", "https://other.org/"]
+    assert sorted(r.site_url for r in L.native_of_account(both, "export0").collect()) == ["https://api.com/", "https://new.net/"]
+    assert [r.site_url for r in L.purge_native(both, "export0").collect()] == ["https://other.org/"]
 
 
-def test_export_queries_use_the_registry(spark, monkeypatch):
-    """A site of the export that the registry lacks is found, and a purge leaves the native site of another account."""
+def test_export_queries_use_the_registry(spark):
+    """Both accounts' sites are found, the one that the registry lacks among them; a purge leaves the other account's."""
     from clickstack import catalog
-    from clickstack.sources import native
     from tests.conftest import SF_SMALL
 
-    site = lambda n: f"https://www.site{n}.example.com/"
-    registry, listed, q = catalog.registry_df, native.export_sites, catalog.queries()
-    monkeypatch.setattr(catalog, "registry_df", lambda s, d: registry(s, d).where(F.col("site_url") != site(1))
-                        .withColumn("source", F.when(F.col("site_url") == site(0), "native_export").otherwise(F.col("source"))))
-    found = {r.site_url: r.source for r in q["discover_export"](spark, SF_SMALL).collect()}
-    assert found == {site(n): "native_export" for n in (0, 1, 5)}
-    purged = {r.source_table for r in q["purge_native_account"](spark, SF_SMALL).collect()}
-    assert len(purged) == 5 and not any(f"site{n}_" in p and p.startswith("urlp") for p in purged for n in (0, 1, 5))
-    # Site 0 is exported by another account.
-    monkeypatch.setattr(native, "export_sites", lambda export: listed(export.where(F.col("site_url") != site(0))))
+    q = catalog.queries()
+    found = {r.site_url: (r.source, r.account_ids) for r in q["discover_export"](spark, SF_SMALL).collect()}
+    urls = {n: f"https://www.site{n}.example.com/" for n in range(6)} | {6: "sc-domain:site0.example.com", 7: "sc-domain:site1.example.com"}
+    assert found == {u: ("native_export", f"export{1 - n % 2}") for n, u in urls.items()}
     left = {r.source_table for r in q["purge_native_account"](spark, SF_SMALL).collect()}
-    assert len(left - purged) == 1 and "site0_" in min(left - purged)
+    assert left == {f"urlp_www_site{n}_example_com" for n in (0, 2, 4)} | {"domain_site0_example_com"}
+
+
+def test_assigned_clients_stay(spark):
+    from clickstack.sources.warehouse import control
+    from tests.conftest import SF_SMALL
+
+    reg, members = control(spark, SF_SMALL, "registry"), control(spark, SF_SMALL, "members")
+    held = spark.createDataFrame([("urlp_www_site2_example_com", "mine", "Mine"), ("gone", "x", "X")], "property_id string, client_id string, client_name string")
+    got = {r.property_id: r.client_id for r in L.client_assign(reg, members, held).collect()}
+    assert got["urlp_www_site2_example_com"] == "mine" and got["urlp_www_site1_example_com"] == "g_grp_a" and "gone" not in got
+    again = L.client_assign(reg, members, L.client_assign(reg, members, held))
+    assert {r.property_id: r.client_id for r in again.collect()} == got
+
+
+def test_double_count_by_whole_labels(spark):
+    rows = [("a", "sc-domain:shop.org"), ("a", "https://m.shop.org/x"), ("b", "sc-domain:shop.org"), ("b", "https://myshop.org/"),
+            ("c", "sc-domain:SHOP.org"), ("c", "http://shop.org"), ("d", "sc-domain:org"), ("d", "https://a.b.c.org:8080/"), ("e", "https://m.shop.org/"), ("f", "sc-domain:x.y")]
+    got = {r.group_id: r.double_count for r in L.double_count(spark.createDataFrame(rows, "group_id string, property string")).collect()}
+    assert got == {"a": True, "b": False, "c": True, "d": True, "e": False, "f": False}
+
+
+def test_repeated_hashes_are_found(spark):
+    from clickstack.operators import ops
+
+    rows = [(f"h{i}", dt.date(2026, 1 + i % 3, 1)) for i in range(300)] + [("h5", dt.date(2026, 3, 1)), ("h5", dt.date(2026, 3, 1)), ("h7", dt.date(2026, 2, 1))]
+    df = spark.createDataFrame(rows, "row_hash string, data_month date")
+    assert ops.row_hash_invariant({"t": df, "clean": df.limit(0)}).collect() == [("t", 2), ("clean", 0)]
+    plan = ops._repeated(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64" in plan
 
 
 def test_latest_state_of_equal_times(spark):

@@ -108,5 +108,27 @@ def test_error_windows_watermark(spark, tmp_path):
     spark.createDataFrame(rows[-1:], ATTEMPT).write.parquet(src + "/b")
     out = ops_stream.run_available(spark, src + "/*", str(tmp_path / "sink"), str(tmp_path / "ck"), max_files_per_trigger=1)
     got = {r.window_start: (r.errors, r.alert) for r in out.collect()}
-    # the 10:00 window (25 errors) closes once the watermark passes 11:00; the 13:00 one is still open
-    assert got == {dt.datetime(2024, 1, 1, 10, 0): (25, True)}
+    # every hour is there, the newest one too, and nothing came too late
+    assert got == {dt.datetime(2024, 1, 1, 10, 0): (25, True), dt.datetime(2024, 1, 1, 13, 0): (1, False)}
+    assert {r.late for r in out.collect()} == {0}
+
+
+def test_hours_follow_late_attempts(spark, tmp_path):
+    """A late attempt raises the hour that is on record already; the gap stays open until a success ends it."""
+    from clickstack.schema import ATTEMPT
+
+    def row(status, hour, minute=0, day=1):
+        return ("t", "p", "web", "byProperty", dt.date(2024, 1, 1), "a", status, 1, None, None, "x", dt.datetime(2024, 1, day, hour, minute))
+
+    src = str(tmp_path / "log")
+    arrive = lambda name, rows: spark.createDataFrame(rows, ATTEMPT).coalesce(1).write.parquet(f"{src}/{name}")
+    run = lambda: {r.window_start.hour: r.errors for r in ops_stream.run_available(
+        spark, src + "/*", str(tmp_path / "sink"), str(tmp_path / "ck"), max_files_per_trigger=1).collect()}
+    gaps = lambda day: [(r.gap_start.day, r.gap_end.day, r.open) for r in ops_stream.run_gaps(
+        spark, src + "/*", str(tmp_path / "sink2"), str(tmp_path / "ck2"), dt.datetime(2024, 1, day, 12), ["property"]).collect()]
+    arrive("a", [row("error", 10), row("error", 15), row("collected_fresh", 9)])
+    assert run() == {10: 1, 15: 1}
+    assert gaps(1) == [] and gaps(3) == [(1, 3, True)]
+    arrive("b", [row("error", 10, 5), row("collected_no_data", 8, day=4)])
+    assert run() == {10: 2, 15: 1}
+    assert gaps(4) == [(1, 4, False)]
