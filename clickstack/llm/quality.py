@@ -32,7 +32,7 @@ DIM = 8
 #: Lengths of the character n-grams, in UTF-8 bytes.
 NGRAMS = (2, 3)
 #: Words a task remembers before it starts afresh (it holds 500 texts' words besides).
-MEMORY = 400_000
+MEMORY = 200_000
 END, SAME = "\x00end", "\x00same"
 
 
