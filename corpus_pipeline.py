@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from clickstack.llm import exact_dedup, mixing, packing, quality, simhash_dedup
 from clickstack.llm.base import ASCII_SPACE, stash, text_of
+from clickstack.llm.suspects import may_hold
 
 #: Names for helper columns that no table is expected to have.
 ID, HASH, COPIES = "__pipeline_id", "__pipeline_hash", "__pipeline_copies"
@@ -25,17 +26,21 @@ def _without(docs: DataFrame, key, dropped: DataFrame, repeated: DataFrame) -> D
     """``docs`` without the rows listed in ``dropped`` and with one row for each listed in ``repeated``; both are
     (id, hash) tables, ``key`` is the hash of a row. Of repeated rows the longest text stays."""
     columns = docs.columns
+    dropped, repeated = stash(dropped, "pipeline-dropped"), stash(repeated, "pipeline-repeated")
+    listed = dropped.select("hash").unionByName(repeated.select("hash")).select(F.xxhash64("hash").alias("bits"))
+    suspect = may_hold(listed, "bits")(F.xxhash64(HASH))
     keyed = docs.withColumn(HASH, key)
+    # Texts move only where their hash may be on a list; the others stay in place.
+    clear, keyed = keyed.where(~suspect).select(*columns), keyed.where(suspect)
     same = lambda t: keyed["doc_id"].eqNullSafe(t["id"]) & (keyed[HASH] == t["hash"])
-    dropped, repeated = stash(dropped, "pipeline-dropped"), stash(repeated, "pipeline-repeated")
     left = keyed.join(dropped, same(dropped), "left_anti")
     if repeated.isEmpty():
-        return left.select(*columns)
+        return clear.unionByName(left.select(*columns))
     keyed = left
     many = left.join(repeated, same(repeated), "left_semi")
     one = many.groupBy("doc_id", HASH).agg(F.max_by(
         F.struct(*[F.col(f"`{c}`") for c in columns]), F.struct(F.length(text_of("text")), text_of("text"))).alias("row"))
-    return left.join(repeated, same(repeated), "left_anti").select(*columns).unionByName(one.select("row.*"))
+    return clear.unionByName(left.join(repeated, same(repeated), "left_anti").select(*columns)).unionByName(one.select("row.*"))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
