@@ -11,10 +11,12 @@ is unclaimed. The first choice of a pass always stands, most often all of them d
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -109,3 +111,7 @@ def _one_pass(sets: DataFrame, keys: list[str], limit: int, width: int, done: Da
         return sums.groupBy(one).cogroup(told.groupBy(one)).applyInPandas(run, schema)
     told = told.select(*[F.col(k).alias(f"_{k}") for k in keys], "first", "closed", "chosen")  # both sides come from ``sets``
     return sums.groupBy(*keys).cogroup(told.groupBy(*[f"_{k}" for k in keys])).applyInPandas(run, schema)
+
+
+# Python workers get this module's functions by value: they need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
