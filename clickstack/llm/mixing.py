@@ -8,8 +8,9 @@ whole numbers, so reruns agree bit for bit whatever the order of the rows.
 
 Rates are rounded into whole copies by order sampling: a document's rate is first cut to its whole part,
 then documents get one more copy in ascending order of a hashed draw divided by the cut-off part, up to
-the words still missing; last, the largest document that fits into what is left. A hot source is cut into
-as many order bins as its rows need: a window runs over bins, and inside one bin only where the cut falls.
+the words still missing; what is left then is filled with documents that fit into it, the largest first, until
+none does, and with one more where that ends nearer to the target. A hot source is cut into as many order bins as its rows need: a window runs over bins, and inside one
+bin only where the cut falls.
 """
 
 from __future__ import annotations
@@ -102,13 +103,42 @@ def solve_duals(counts: DataFrame, goals: DataFrame, most: int = MOST, rounds: i
     return state.select("source", "dual", "mean")
 
 
+def fill_sizes(fitting: DataFrame) -> DataFrame:
+    """``source, f_size, n, take`` from ``fitting(source, size, n, rest)``: how many of the ``n`` documents of a size
+    are taken when sizes are gone through once, the largest first, and each takes what still fits. A document left over
+    was larger than the rest in its turn, so none fits in the end; the smallest of them comes in addition where that
+    ends nearer to the target.
+
+    One row of distinct sizes per source is gone through, all below twice the rest, which is less than one document."""
+    one = fitting.groupBy("source", "rest").agg(F.sort_array(F.collect_list(F.struct("size", "n")), asc=False).alias("sizes"))
+    entry = "struct<f_size: bigint, n: bigint, take: bigint>"
+
+    def step(state, it):
+        take = F.least(it["n"], F.floor(state["rest"] / it["size"]))
+        took = F.struct(it["size"].alias("f_size"), it["n"].alias("n"), take.alias("take"))
+        return F.struct((state["rest"] - take * it["size"]).alias("rest"),
+                        F.when(take > 0, F.concat(state["takes"], F.array(took))).otherwise(state["takes"]).alias("takes"),
+                        F.when(take < it["n"], took).otherwise(state["least"]).alias("least"))
+
+    def finish(state):
+        least = state["least"]
+        one_more = F.struct(least["f_size"].alias("f_size"), least["n"].alias("n"), (least["take"] + 1).alias("take"))
+        others = F.filter(state["takes"], lambda t: t["f_size"] != least["f_size"])
+        return F.when(least["f_size"] < 2 * state["rest"], F.concat(others, F.array(one_more))).otherwise(state["takes"])
+
+    start = F.struct(F.col("rest").cast("double").alias("rest"), F.expr(f"cast(array() as array<{entry}>)").alias("takes"),
+                     F.expr(f"cast(null as {entry})").alias("least"))
+    return one.select("source", F.inline(F.aggregate("sizes", start, step, finish)))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """One row per input row: ``doc_id, source, size, source_size, target, rate, copies, taken, row_hash``.
 
     ``copies`` (0 to ``most``) says how often the mix takes the document, ``taken`` is copies times size.
     Sources are ordered by code point, null last, and get ``weights`` in turn; targets above ``most`` times
-    a source's size are cut there and the rest is shared anew by weight.
+    a source's size are cut there and the rest is shared anew by weight. No document whose rate is above its
+    copies fits into what a source misses in the end.
 
     Null and wordless texts have size 0 and are never taken. Repeated rows are rounded one by one. An empty
     table gives an empty result. Only id, text and source are read."""
@@ -155,18 +185,32 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     dealt = stash(clear.unionByName(cut).select(
         "doc_id", "source", "size", "source_size", "target", "units", "row_hash", "part", (F.col("base") + F.col("more")).alias("copies")),
         "mixing-dealt")
-    # The largest document that still fits into the rest of its source's target.
-    rest = dealt.groupBy("source").agg(F.first("target").alias("goal"), F.sum(F.col("copies") * F.col("size")).alias("got"))
-    rest = rest.select("source", (F.col("goal") - F.col("got")).alias("rest"))
-    free = dealt.alias("d").join(rest.alias("x"), F.col("d.source").eqNullSafe(F.col("x.source"))).where(
-        (F.col("part") > 0) & (F.col("size") > 0) & (F.col("size") <= F.col("rest")) & (F.col("copies") * UNIT < F.col("units")))
-    last = free.groupBy("d.source").agg(F.max(F.struct(F.col("size"), -F.xxhash64("doc_id"), "doc_id", "row_hash")).alias("pick")).select(
-        F.col("source").alias("l_source"), F.col("pick.doc_id").alias("l_id"), F.col("pick.row_hash").alias("l_hash"))
-    last = stash(last, "mixing-last")
-    twice = dealt.join(last, F.col("source").eqNullSafe(F.col("l_source")) & F.col("doc_id").eqNullSafe(F.col("l_id"))
-                       & (F.col("row_hash") == F.col("l_hash")), "left")
-    lucky = F.col("l_hash").isNotNull() & (F.col("copies") * UNIT < F.col("units"))
-    copies = F.col("copies") + lucky.cast("long")
-    return twice.select(
+    # What is left of a target, less than the document at the cut, goes to documents that fit, the largest first.
+    free = (F.col("part") > 0) & (F.col("size") > 0) & (F.col("copies") * UNIT < F.col("units"))
+    rest = dealt.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("rest"))
+    fitting = (
+        dealt.where(free).groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")).alias("f")
+        .join(rest.alias("x"), F.col("f.source").eqNullSafe(F.col("x.source"))).where(F.col("size") < 2 * F.col("rest"))
+        .select("f.source", "size", "n", "rest"))
+    fill = stash(fill_sizes(fitting), "mixing-fill")
+    filled = dealt.withColumn("draw", F.shiftrightunsigned(F.xxhash64(F.lit("fill"), "doc_id", "row_hash"), 33) / F.lit(float(1 << 31)))
+    filled = filled.alias("d").join(
+        fill.alias("f"), free & F.col("d.source").eqNullSafe(F.col("f.source")) & (F.col("d.size") == F.col("f.f_size")), "left").select(
+        "d.*", "n", "take")
+    # Of a size that is taken in part, bins of rows by draw: again only the bin with the cut is put in order.
+    filled = filled.withColumn("bin", F.when(F.col("take") < F.col("n"), F.floor(F.col("draw") * F.ceil(F.col("n") / BIN_ROWS))))
+    bins = filled.where("bin is not null").groupBy("source", "size", "bin").agg(F.count(F.lit(1)).alias("rows"))
+    upto = F.sum("rows").over(Window.partitionBy("source", "size").orderBy("bin"))
+    bins = stash(bins.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("rows")), "mixing-fill-bins")
+    filled = filled.alias("d").join(bins.alias("b"), F.col("d.source").eqNullSafe(F.col("b.source")) & (F.col("d.size") == F.col("b.size"))
+                                    & (F.col("d.bin") == F.col("b.bin")), "left").select("d.*", "upto", "before")
+    at_cut = F.coalesce((F.col("before") < F.col("take")) & (F.col("upto") > F.col("take")), F.lit(False))
+    whole = F.coalesce((F.col("take") == F.col("n")) | (F.col("upto") <= F.col("take")), F.lit(False))
+    place = F.row_number().over(Window.partitionBy("source", "size", "bin").orderBy("draw", "doc_id", "row_hash"))
+    clear = filled.where(~at_cut).withColumn("more", whole.cast("long"))
+    cut = filled.where(at_cut).withColumn("place", place).withColumn(
+        "more", (F.col("before") + F.col("place") <= F.col("take")).cast("long")).drop("place")
+    copies = F.col("copies") + F.col("more")
+    return clear.unionByName(cut).select(
         "doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), "target",
         (F.col("units") / float(UNIT)).alias("rate"), copies.alias("copies"), (copies * F.col("size")).alias("taken"), "row_hash")

@@ -7,7 +7,7 @@ import pytest
 
 import corpus_pipeline
 from clickstack.llm import chat, mixing, packing
-from tests.conftest import SF_SMALL
+from tests.conftest import SF_MID, SF_SMALL
 
 
 def brute_targets(sizes):
@@ -44,6 +44,30 @@ def test_mix_meets_targets(docs, odd, nothing):
     assert mixing.mix(nothing).count() == 0
 
 
+def test_mix_leaves_no_room(spark, docs, odd):
+    """No document whose rate is above its copies fits into what its source misses."""
+    mid = spark.read.parquet(f"{SF_MID}/documents.parquet")
+    alike = spark.range(60).selectExpr("id % 50 as doc_id", "repeat('word ', cast(if(id < 40, 7, if(id < 59, 11, 400)) as int)) as text",
+                                       "if(id % 3 = 0, null, 'a') as source")
+    for table in (docs, odd, mid, alike):
+        rows = mixing.mix(table).toPandas()
+        assert len(rows) == table.count() and rows.copies.between(0, 2).all()
+        for _, part in rows.groupby("source", dropna=False):
+            missing = part.target.iloc[0] - part.taken.sum()
+            open_rows = part[(part.rate > part.copies) & (part.rate % 1 > 0) & (part["size"] > 0)]
+            assert not (open_rows["size"] <= missing).any()
+        if table is mid:
+            off = rows.groupby("source").agg(target=("target", "first"), taken=("taken", "sum"))
+            assert (abs(off.taken / off.target - 1) < 0.01).all()
+
+
+def test_fill_sizes(spark):
+    rows = spark.createDataFrame([("a", 9, 5, 30.5), ("a", 4, 2, 30.5), ("a", 3, 1, 30.5), ("a", 1, 1, 30.5), (None, 5, 9, 4.0)],
+                                 "source string, size long, n long, rest double")
+    got = {(r.source, r.f_size): (r.n, r["take"]) for r in mixing.fill_sizes(rows).collect()}
+    assert got == {("a", 9): (5, 3), ("a", 3): (1, 1), (None, 5): (9, 1)}
+
+
 def test_duals_balance_tokens(docs):
     rows = mixing.mix(docs).toPandas()
     for _, part in rows.groupby("source"):
