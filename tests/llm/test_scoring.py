@@ -1,10 +1,12 @@
 """Classifiers on held-out rows, the field's passes against enumeration, HTML extraction."""
 
 import itertools
+import zlib
 
 import numpy as np
 
 from clickstack.llm import html_extract, labelled_pages, quality, toxicity
+from clickstack.llm.labelled import training_sample
 from tests.conftest import SF_MID
 
 
@@ -33,6 +35,19 @@ def test_models_without_labels(odd, nothing, spark):
     assert toxicity.score_toxicity(nothing, toxicity.fit_toxicity(nothing, labels)).count() == 0
 
 
+def test_sample_is_bounded_under_repeated_ids(spark):
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5][:2]
+    docs = spark.range(5000).selectExpr(f"if(id < 4000, {ids[0]}, {ids[1]}) as doc_id", "repeat('x', cast(1 + id % 50 as int)) as text")
+    labels = spark.createDataFrame([(ids[0], 1)] * 30 + [(ids[1], 0), (ids[1], 1), (None, 1)], "doc_id long, toxic int")
+    for max_rows, max_chars in ((10, 100), (200, 10**6)):
+        got = training_sample(docs, labels, "toxic", max_rows, max_chars)
+        assert 0 < len(got) <= max_rows and sum(len(t) for t, _ in got) <= max_chars
+    assert sorted(t for t, y in got if y == 1)[:50] and {y for _, y in got} == {0, 1}
+    # All distinct (text, label) pairs fit into the larger bound: 50 under the first id, 50 twice under the other.
+    assert len(got) == 150
+    assert training_sample(docs, labels.limit(0), "toxic", 10, 100) == []
+
+
 def test_toxicity_held_out(spark, odd):
     docs, labels = (spark.read.parquet(f"{SF_MID}/{t}.parquet") for t in ("documents", "labels"))
     field = toxicity.fit_toxicity(docs, labels)
