@@ -5,7 +5,7 @@ learned from labelled pages, per tag name and for words by whether they stand in
 finds the contiguous run of tokens with the greatest sum. The run is widened to the element that holds it,
 so that a short last paragraph is not lost to the tags around it, and its text is read block by block,
 leaving out what lies inside elements that never hold content. A class or id that is a name of such parts
-leaves its element out as well, but never an article or main element nor one with most of the page's words;
+leaves its element out as well, but never an article or main element nor one beside which next to no text stands;
 a name that is only a part of it lowers the scores, and leaves out lists of links.
 
 Extraction is one pass over the pages without a shuffle; a task holds one page at a time.
@@ -52,16 +52,18 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*))?")
 #: Marks by names: none, by a part of a name, by a whole name.
 PART, WHOLE = 1, 2
+#: An element with a whole name is kept when it has more than so many times the words of plain text beside it.
+BESIDE = 10
 
 
 class Element:
-    __slots__ = ("name", "parent", "start", "end", "outside", "main", "doubt", "link", "words", "link_words")
+    __slots__ = ("name", "parent", "start", "end", "outside", "main", "doubt", "link", "words", "link_words", "clean", "beside")
 
     def __init__(self, name, parent, start, outside, main, doubt=0):
         self.name, self.parent, self.start, self.end = name, parent, start, None
         self.outside, self.main, self.doubt = outside, main, doubt
         self.link = name == "a" or parent is not None and parent.link
-        self.words = self.link_words = 0
+        self.words = self.link_words = self.clean = self.beside = 0
 
 
 def _doubt(one: str, parts: list[str]) -> int:
@@ -100,20 +102,29 @@ def _marks(name: str, rest: str) -> tuple[bool, bool, int]:
 
 
 def _settle(elements: list[Element], tokens: list[tuple[str, str, Element]]) -> None:
-    """Judge marks by names, where the words of each element are known. An element with most of the page's words has
-    none; a whole name, or a part of one on what is mostly links, puts other elements outside."""
+    """Judge marks by names, where the words of each element are known. A part of a name counts for nothing on an
+    element with most of the page's words, and puts other elements outside that are mostly links. A whole name puts its
+    element outside, unless next to nothing stands beside it (see ``BESIDE``): comments longer than the article are
+    left out, a page that stands in a misnamed element is not."""
     for kind, value, element in tokens:
         if kind == "text" and not element.outside:
             n = len(value.split())
             element.words += n
             element.link_words += n * element.link
+            element.clean += n * (not element.link)
     for e in reversed(elements[1:]):
         e.parent.words += e.words
         e.parent.link_words += e.link_words
+        e.parent.clean += e.clean * (e.doubt != WHOLE)
     total = elements[0].words
+    elements[0].beside = elements[0].clean
     for e in elements[1:]:
-        if 2 * e.words > total:
+        e.beside = e.parent.beside
+        if e.doubt == PART and 2 * e.words > total:
             e.doubt = 0
+        elif e.doubt == WHOLE and BESIDE * e.beside < e.words:
+            e.doubt = 0
+            e.beside += e.clean
         if e.doubt == WHOLE or e.doubt == PART and not e.main and 2 * e.link_words > e.words:
             e.outside, e.main = True, False
         e.outside |= e.parent.outside

@@ -126,3 +126,24 @@ def test_names_do_not_lose_content():
                  "<p hidden>Not yet</p>", "<p class=x HIDDEN=''>Not yet</p>", "<p title='>' aria-hidden=true>Not yet</p>",
                  "<p style='color:red; display: none'>Not yet</p>", "<section class='cookie-notice'><p>We use cookies.</p></section>"):
         assert text(around % (article % lost)) == f"{prose} {prose}", lost
+
+
+def test_long_parts_that_are_no_content():
+    """Comments, notices and adverts are left out even where they have most of the page's words; a page in a misnamed
+    element is kept; very long and deeply nested pages come whole."""
+    weights = html_extract.fit_weights(labelled_pages.PAGES)
+    text = lambda h: html_extract.main_text(h, weights)
+    prose = "The longest of the rivers rises in the hills and crosses three plains before it meets the sea. " * 3
+    prose = prose.strip()
+    remarks = "".join(f"<p>I like this article a lot, said reader {i}, and would read it again any day.</p>" for i in range(12))
+    for page in ("<body><main><h1>Rivers</h1><p>%s</p>%s</main></body>", "<body><div><h1>Rivers</h1><p>%s</p></div>%s</body>",
+                 "<body><div class=content><h1>Rivers</h1><p>%s</p></div>%s<footer>All rights</footer></body>"):
+        for opening in ("<div id='comments'>", "<section class='cookie-banner'>", "<div class='ad'>", "<ul class='x sidebar'>"):
+            for inner in (remarks, f"<div class='replies'>{remarks}</div>"):
+                close = "</" + opening[1:].split()[0] + ">"
+                assert text(page % (prose, opening + inner + close)) == f"Rivers {prose}", (page, opening)
+    wrapped = "<body><div class='social'><h1>Rivers</h1><p>%s</p><div class='comments'>%s</div></div><p>Imprint</p></body>"
+    assert text(wrapped % (prose, remarks)).startswith(f"Rivers {prose}") and "reader" not in text(wrapped % (prose, remarks))
+    long = " ".join(f"word{i}" for i in range(200_000))
+    assert text(f"<body><nav><a>x</a></nav><article><p>{long}</p></article><footer>f</footer></body>") == long
+    assert text("<body><article>" + "<div>" * 5000 + prose + "</div>" * 5000 + "</article></body>") == prose
