@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from clickstack.llm.base import text_of
 
 SAMPLES = 32
+#: Draws worked out at once: a word's row is repeated for every so many, which keeps the compiled code short.
+DRAWS = 8
 #: Documents per range on average, and ranges at most (their bounds are held on the driver).
 RANGE_ROWS = 2000
 RANGES = 10_000
@@ -81,8 +83,8 @@ def _unit(bits: Column) -> Column:
 
 
 def _values(k: int) -> list[Column]:
-    """Of draw ``k`` for the hashed word ``term``: r, the shift b, ln c, and the word's mark."""
-    one = F.xxhash64(F.col("term"), F.lit(k))
+    """Of draw ``k`` of a chunk for the hashed word ``term``: r, the shift b, ln c, and the word's mark."""
+    one = F.xxhash64(F.col("term"), F.col("chunk") * F.lit(DRAWS) + F.lit(k))
     two, three = F.xxhash64(one), F.xxhash64(one, F.lit(1))
     low = lambda h: _unit(h.bitwiseAND(F.lit(LOW31)))
     high = lambda h: _unit(F.shiftrightunsigned(h, 33))
@@ -109,12 +111,16 @@ def sampled(words: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFr
     as arrays of marks; an array of nulls where no word has a count."""
     logs = words.withColumn("l0", F.log(F.greatest("w0", F.lit(1)).cast("double"))).withColumn(
         "l1", F.log(F.greatest("w1", F.lit(1)).cast("double")))
-    drawn = logs.select(*keys, "w0", "w1", "l0", "l1", *[v for k in range(samples) for v in _values(k)])
-    least = drawn.groupBy(*keys).agg(
-        *[F.min(_sample(k, "w0", "l0")).alias(f"x{k}") for k in range(samples)],
-        *[F.min(_sample(k, "w1", "l1")).alias(f"y{k}") for k in range(samples)])
-    marks = lambda p: F.array(*[F.col(f"{p}{k}").bitwiseAND(F.lit(LOW32)) for k in range(samples)])
-    return least.select(*keys, marks("x").alias("own"), marks("y").alias("edited"))
+    chunks = logs.withColumn("chunk", F.explode(F.array(*[F.lit(c) for c in range(-(-samples // DRAWS))])))
+    drawn = chunks.select(*keys, "chunk", "w0", "w1", "l0", "l1", *[v for k in range(DRAWS) for v in _values(k)])
+    least = drawn.groupBy(*keys, "chunk").agg(
+        *[F.min(_sample(k, "w0", "l0")).alias(f"x{k}") for k in range(DRAWS)],
+        *[F.min(_sample(k, "w1", "l1")).alias(f"y{k}") for k in range(DRAWS)])
+    marks = lambda p: F.array(*[F.col(f"{p}{k}").bitwiseAND(F.lit(LOW32)) for k in range(DRAWS)])
+    parts = least.select(*keys, F.struct("chunk", marks("x").alias("own"), marks("y").alias("edited")).alias("one")).groupBy(*keys).agg(
+        F.sort_array(F.collect_list("one")).alias("parts"))
+    whole = lambda side: F.slice(F.flatten(F.col(f"parts.{side}")), 1, samples)
+    return parts.select(*keys, whole("own").alias("own"), whole("edited").alias("edited"))
 
 
 def weighted_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
