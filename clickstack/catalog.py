@@ -420,7 +420,9 @@ def _fact_queries():
     from clickstack.operators import ops as O
     from clickstack.operators import topk as K
     from clickstack.plans import precompute as P
-    from clickstack.sources import ingest, native
+    from clickstack.schema import SEARCH_TYPES
+    from clickstack.sources import catalog_tables as ct
+    from clickstack.sources import collect, ingest, native
     from clickstack.sources.loads import FactStore
 
     def per_property(rows):
@@ -507,6 +509,56 @@ def _fact_queries():
         return cells.groupBy("search_type").agg(F.count(F.lit(1)).alias("cells"), F.sum("n").alias("n_rows"),
                                                 F.sum(F.col("hit").cast("long")).alias("hit_cells"))
 
+    def collected(s, d):
+        """Every (property, day) in all search types, from pages of two rows, with a ceiling of four."""
+        rows = bp(s, d)
+        types = F.explode(F.array(*map(F.lit, SEARCH_TYPES))).alias("search_type")
+        day = F.date_format("data_date", "yyyy-MM-dd")
+        cells = rows.groupBy("property", "data_date").agg(F.max("data_state").alias("state")).select(
+            F.col("property").alias("site_url"), day.alias("data_date"), types, F.lit("byProperty").alias("aggregation"),
+            F.when(F.col("state") == "fresh", day).alias("first_incomplete_date"))
+        pages = collect.reached_pages(cells, ingest.to_responses(rows, 2), 2, 4)
+        return collect.attempts_of(pages, 1, OPS_AS_OF)
+
+    def database(s, d):
+        """The stored tables of ``d`` as catalog tables."""
+        from clickstack.sources.warehouse import Warehouse
+
+        w = Warehouse(s, d).ensure()
+        for name in ("members", "registry"):
+            w.control(name)
+        name = ct.ensure_database(s, "clickstack_" + w.root.rsplit("wh-", 1)[1].replace("-", "_"), w.path("catalog"))
+        ct.register_files(s, f"{name}.by_property", w.path("by_property"), ["data_month"])
+        ct.register_files(s, f"{name}.members", w.path("control/members"))
+        return name
+
+    def evolved(s, d):
+        # A table made before two columns were known gains them and takes newer rows.
+        path = ingest.scratch(s, "evolved")
+        name = f"{database(s, d)}.{path.rsplit('/', 1)[1].replace('-', '_')}"
+        old = bp(s, d).drop("search_appearance", "row_hash")
+        ct.ensure_table(s, name, old.schema, path, ["data_month"])
+        ct.append_rows(s, name, old)
+        ct.ensure_table(s, name, pg(s, d).schema, path, ["data_month"])
+        ct.append_rows(s, name, pg(s, d))
+        return s.table(name).groupBy("aggregation").agg(F.count(F.lit(1)).alias("n_rows"),
+                                                        F.sum(F.col("row_hash").isNull().cast("long")).alias("missing_hash"),
+                                                        F.sum(F.col("page").isNull().cast("long")).alias("missing_page"))
+
+    def saved_group(s, d):
+        name = database(s, d)
+        return per_property(s.table(ct.save_group_view(s, name, "grp_b", f"{name}.by_property", f"{name}.members")))
+
+    def discovered_views(s, d):
+        # Two discoveries: the odd export sites, then all; the view has both. Names are of this run.
+        path = ingest.scratch(s, "discovered")
+        name = ct.ensure_database(s, path.rsplit("/", 1)[1].replace("-", "_"), path)
+        api = f"{database(s, d)}.by_property"
+        sites, export = native_sites(s, d), native.site_export(s, d)
+        for found in (sites.where(fixtures.site_index(F.col("site_url")) % 2 == 1), sites):
+            ct.discover_native(s, name, found, lambda new: native.native_site_adapter(export, new), path, api)
+        return per_source(s.table(f"{name}.all_by_property"))
+
     def movers_all(s, d):
         return R.report_movers(bp(s, d), DEFAULT, "query", ends=50)
 
@@ -578,6 +630,11 @@ def _fact_queries():
         "append_attempt": appended,
         "reconcile_columns": old_new,
         "pagination_ceiling": ceiling,
+        "collect_cells": lambda s, d: collected(s, d).groupBy("search_type", "status").agg(
+            F.count(F.lit(1)).alias("cells"), F.sum("api_calls").alias("api_calls"), F.sum("row_count").alias("n_rows")),
+        "ensure_table": evolved,
+        "group_view_saved": saved_group,
+        "wildcard_view": discovered_views,
         "materialize_group": lambda s, d: P.materialize_groups(bp(s, d), members(s, d)),
         "group_view": lambda s, d: per_property(P.group_view(s, bp(s, d), members(s, d), "grp_b")),
         "group_union_agg": lambda s, d: M.group_union_agg(bp(s, d).join(

@@ -909,6 +909,17 @@ m AS (SELECT coalesce(c.target_id, p.target_id) AS target_id, coalesce(c.key, p.
   (c.key IS NOT NULL AND p.key IS NULL) AS is_new FROM c FULL OUTER JOIN p ON c.target_id = p.target_id AND c.key = p.key)"""),
 }
 FACT_SQL["union_all"] = FACT_SQL["wildcard_all"]
+FACT_SQL["wildcard_view"] = FACT_SQL["wildcard_all"]
+FACT_SQL["group_view_saved"] = FACT_SQL["group_view"]
+FACT_SQL["ensure_table"] = FACT_SQL["reconcile_columns"]
+FACT_SQL["collect_cells"] = with_fact("""SELECT t AS search_type, status, CAST(count(*) AS BIGINT) AS cells,
+  CAST(SUM(CASE n WHEN 0 THEN 1 ELSE 2 END) AS BIGINT) AS api_calls, CAST(SUM(least(n, 4)) AS BIGINT) AS n_rows
+  FROM (SELECT t, n, CASE WHEN state = 'fresh' THEN 'collected_fresh' WHEN n > 0 THEN 'collected_with_data' ELSE 'collected_no_data' END AS status
+    FROM (SELECT c.property, c.data_date, t, c.state, count(b.property) AS n
+      FROM (SELECT property, data_date, max(data_state) AS state FROM by_property GROUP BY 1, 2) c
+      CROSS JOIN (VALUES ('web'), ('image'), ('video'), ('news'), ('discover'), ('googleNews')) v(t)
+      LEFT JOIN by_property b ON b.property = c.property AND b.data_date = c.data_date AND b.search_type = t
+      GROUP BY 1, 2, 3, 4)) GROUP BY t, status""")
 FACT_SQL["stream_ingest"] = FACT_SQL["ingest_response_rows"]
 FACT_SQL["new_suggestions"] = with_fact("""SELECT * FROM (""" + content_groups_sql(seed_sql("by_page", "page", f"{WEB} AND {CUR}"))
                                         + """) WHERE lower(name) NOT IN ('economy', 'small')""")

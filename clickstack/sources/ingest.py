@@ -84,7 +84,7 @@ def pagination_ceiling(rows: DataFrame, slice_keys=("property", "data_date", "se
     return joined.select("r.*", F.col("f._n").isNotNull().alias("hit_ceiling"))
 
 
-def to_responses(fact: DataFrame) -> DataFrame:
+def to_responses(fact: DataFrame, rows_per_page: int = ROWS_PER_PAGE) -> DataFrame:
     """The API responses that would have produced ``fact`` (byProperty rows): one object per
     (cell, page of 25,000). A cell holds at most 50,000 rows (the API ceiling), so the per-page
     collect is bounded."""
@@ -94,7 +94,7 @@ def to_responses(fact: DataFrame) -> DataFrame:
     dims = status.dims_for(F.col("aggregation"), F.col("search_type"))
     key_arr = F.transform(dims, lambda d: F.when(d == "query", F.col("query")).when(d == "page", F.col("page"))
                           .when(d == "country", F.col("country")).otherwise(F.col("device")))
-    rows = fact.select(*cell, "data_state", F.floor((F.row_number().over(w) - 1) / ROWS_PER_PAGE).alias("page_no"),
+    rows = fact.select(*cell, "data_state", F.floor((F.row_number().over(w) - 1) / rows_per_page).alias("page_no"),
                        F.struct(key_arr.alias("keys"), F.col("clicks").cast("double").alias("clicks"),
                                 F.col("impressions").cast("double").alias("impressions"), F.col("ctr"),
                                 F.col("position")).alias("row"))
@@ -102,7 +102,7 @@ def to_responses(fact: DataFrame) -> DataFrame:
     return g.select(F.col("property").alias("site_url"), F.date_format("data_date", "yyyy-MM-dd").alias("data_date"),
                     "search_type", "aggregation",
                     F.when(F.col("state") == "fresh", F.date_format("data_date", "yyyy-MM-dd")).alias("first_incomplete_date"),
-                    "rows")
+                    "rows", (F.col("page_no") * rows_per_page).alias("start_row"))
 
 
 def stage_ndjson(rows: DataFrame, path: str) -> None:
