@@ -27,6 +27,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -338,6 +339,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             elif entry[0] != doc_id:
                 entry[0], entry[1] = min(entry[0], doc_id), True
         items = sorted(seen.items())
+        pack = zstandard.ZstdCompressor(level=1)
         found = np.array([k for (k, _, _), _ in items], np.uint64)
         out = []
         for bucket, x, y in by_bucket(found):
@@ -345,7 +347,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out.append((bucket, int(left["block"].iloc[0]), Keys.pack(found[x:y]),
                         np.array([(len(w), at) for (_, w, at), _ in part], size_kind).tobytes(),
                         np.array([e[0] for _, e in part], "<i8").tobytes(),
-                        np.packbits([e[1] for _, e in part]).tobytes(), b"".join(w for (_, w, _), _ in part), b""))
+                        np.packbits([e[1] for _, e in part]).tobytes(), pack.compress(b"".join(w for (_, w, _), _ in part)), b""))
         # Hot anchors come back with the answers: the last pass has to cut the same strings.
         for bucket, hot in zip(known["bucket"], known["hot"]):
             if len(hot):
@@ -356,7 +358,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         bucket = int(key[0])
         groups: dict[int, dict[bytes, list[int]]] = {}
         senders = []  # per block: its keys, windows, ids and whether two documents hold them
-        out = []
+        out, unpack = [], zstandard.ZstdDecompressor()
         for row in pdf.itertuples():
             if row.hot:
                 out.append((int(row.block), bucket, b"", b"", b"", b"", b"", row.hot))
@@ -364,7 +366,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             keys = Keys.unpack(row.keys, bucket).tolist()
             sizes, places = np.frombuffer(row.sizes, size_kind).astype(np.int64).reshape(-1, 2).T
             ends = np.cumsum(sizes).tolist()
-            windows = [row.windows[e - s : e] for e, s in zip(ends, sizes.tolist())]
+            joined = unpack.decompress(row.windows)
+            windows = [joined[e - s : e] for e, s in zip(ends, sizes.tolist())]
             ids = np.frombuffer(row.ids, "<i8").tolist()
             twice = np.unpackbits(np.frombuffer(row.twice, np.uint8), count=len(keys)).tolist()
             senders.append((int(row.block), keys, windows, ids, twice))
