@@ -27,6 +27,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -160,7 +161,7 @@ def by_bucket(keys: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 def text_hash(window: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little")
+    return xxhash.xxh3_64_intdigest(window)
 
 
 def windows_of(block: Block, found: Anchors, length: int, hot: np.ndarray, keys_of: Keys):
@@ -338,15 +339,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 seen[one] = [doc_id, False]
             elif entry[0] != doc_id:
                 entry[0], entry[1] = min(entry[0], doc_id), True
-        items = sorted(seen.items())
-        pack = zstandard.ZstdCompressor(level=1)
-        found = np.array([k for (k, _, _), _ in items], np.uint64)
+        items, pack = list(seen.items()), zstandard.ZstdCompressor(level=3)
+        found = np.array([k for k, _, _ in seen], np.uint64)
+        order = np.argsort(found, kind="stable")
+        items, found = [items[i] for i in order.tolist()], found[order]
         out = []
         for bucket, x, y in by_bucket(found):
             part = items[x:y]
             out.append((bucket, int(left["block"].iloc[0]), Keys.pack(found[x:y]),
                         np.array([(len(w), at) for (_, w, at), _ in part], size_kind).tobytes(),
-                        np.array([e[0] for _, e in part], "<i8").tobytes(),
+                        pack.compress(np.array([e[0] for _, e in part], "<i8").tobytes()),
                         np.packbits([e[1] for _, e in part]).tobytes(), pack.compress(b"".join(w for (_, w, _), _ in part)), b""))
         # Hot anchors come back with the answers: the last pass has to cut the same strings.
         for bucket, hot in zip(known["bucket"], known["hot"]):
@@ -368,7 +370,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             ends = np.cumsum(sizes).tolist()
             joined = unpack.decompress(row.windows)
             windows = [joined[e - s : e] for e, s in zip(ends, sizes.tolist())]
-            ids = np.frombuffer(row.ids, "<i8").tolist()
+            ids = np.frombuffer(unpack.decompress(row.ids), "<i8").tolist()
             twice = np.unpackbits(np.frombuffer(row.twice, np.uint8), count=len(keys)).tolist()
             senders.append((int(row.block), keys, windows, ids, twice))
             for k, w, i, at in zip(keys, windows, ids, places.tolist()):
@@ -415,7 +417,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         told.append((k, text_hash(w), a, n, least))
             if told:
                 ks, hs, a, n, least = zip(*told)
-                out.append((block, bucket, Keys.pack(np.array(ks, np.uint64)), np.array(hs, "<u8").astype("<u4").tobytes(),
+                out.append((block, bucket, Keys.pack(np.array(ks, np.uint64)), np.array(hs, "<u8").tobytes(),
                             np.array(a, "<u2").tobytes(), np.array(n, "<u2").tobytes(), np.array(least, "<i8").tobytes(), b""))
         return pd.DataFrame(out, columns=["block", "bucket", "keys", "hashes", "at", "n", "least", "hot"])
 
@@ -431,17 +433,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             known: dict[tuple[int, int], list] = {}
             cols = [told["keys"], told["hashes"], told["at"], told["n"], told["least"]]
             for bucket, ks, hs, at, n, least in zip(told["bucket"], *cols):
-                for k, h, *run in zip(Keys.unpack(ks, bucket).tolist(), np.frombuffer(hs, "<u4").tolist(), np.frombuffer(at, "<u2").tolist(),
+                for k, h, *run in zip(Keys.unpack(ks, bucket).tolist(), np.frombuffer(hs, "<u8").tolist(), np.frombuffer(at, "<u2").tolist(),
                                       np.frombuffer(n, "<u2").tolist(), np.frombuffer(least, "<i8").tolist()):
                     known.setdefault((k, h), []).append(run)
             hot = all_keys(told, "hot")
             keys = np.concatenate([np.array([k for k, _ in known], np.uint64), hot])
             for key, a, b, d, _ in windows_at(block, keys, hot):
-                for o, n, least in known.get((key, text_hash(raw[a:b]) & 0xFFFFFFFF), ()):
+                for o, n, least in known.get((key, text_hash(raw[a:b])), ()):
                     if least < ids[d]:
                         change[a + o] += 1
                         change[a + o + n - 1 + length] -= 1
-        gone = np.cumsum(change[:-1]) > 0
+        gone = np.cumsum(change[:-1], dtype=np.int32) > 0
         flat = np.frombuffer(raw, np.uint8)
         out = []
         for (no_id, n, doc_id), a, b in zip(zip(left["no_id"], left["n"], ids), block.starts.tolist(), block.ends.tolist()):

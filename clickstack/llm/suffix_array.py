@@ -10,6 +10,8 @@ one's pointers, at the next free place of their groups.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from clickstack.llm.base import ship_by_value
 
 
@@ -61,21 +63,25 @@ def lyndon_groups(text: list[int]) -> tuple[Group, list[Group], list[int]]:
                     _behind(old, [j], home)
             group = group.before
             continue
-        for s in members:
-            hop[s] = -2
-        counts: dict[int, int] = {}
+        # Members ascend, so their previous smaller suffixes do too.
+        pointed = []
         for s in members:
             j = s - 1
-            trail = []
-            while j >= 0 and hop[j] != j:
-                trail.append(j)
-                j = hop[j]
+            if j >= 0 and hop[j] != j:
+                trail = []
+                while j >= 0 and hop[j] != j:
+                    trail.append(j)
+                    j = hop[j]
+                for t in trail:
+                    hop[t] = j
             previous[s] = hop[s] = j
-            for t in trail:
-                hop[t] = j
             if j >= 0:
-                counts[j] = counts.get(j, 0) + 1
-        _split(counts, home)
+                pointed.append(j)
+        counts = Counter(pointed)
+        if len(counts) == len(pointed):
+            _step_back(pointed, home)
+        else:
+            _split(counts, home)
         group = group.before
     return lowest, home, previous
 
@@ -90,6 +96,23 @@ def _behind(old: Group, moved: list[int], home: list[Group]) -> None:
         home[m] = new
 
 
+def _step_back(pointed: list[int], home: list[Group]) -> None:
+    """Suffixes with one pointer each, ascending, leave their groups."""
+    moved: dict[Group, list[int]] = {}
+    for j in pointed:
+        old = home[j]
+        if old in moved:
+            moved[old].append(j)
+        else:
+            moved[old] = [j]
+    for old, leaving in moved.items():
+        if len(leaving) < old.size:
+            old.size -= len(leaving)
+            _behind(old, leaving, home)
+        else:
+            old.members = leaving
+
+
 def _split(counts: dict[int, int], home: list[Group]) -> None:
     """Pointed-at suffixes leave their group: those with most pointers first, so that they end up furthest behind."""
     levels: dict[int, dict[int, list[int]]] = {}
