@@ -15,6 +15,6 @@ def test_bench_rows_weigh_all_positions_of_a_query(spark, monkeypatch):
         row("deep", 1, 10, 5.0), row("deep", 1, 90, 40.0),   # 36.5 on the whole, 5 among the first ten
     ], ROWS)
     monkeypatch.setattr(catalog, "bp", lambda s, d: fact)
-    for name in ("ctr_bench_rows",):
+    for name in ("ctr_bench_rows", "topk_bench"):
         got = {r.key: (r.clicks, r.impressions, r.position) for r in catalog.queries()[name](spark, "unused").collect()}
         assert got == {"both": (4, 40, 6.0)}, name
