@@ -67,3 +67,14 @@ def test_rows_that_come_twice_count_once(spark, tmp_path, monkeypatch, stage, fe
     got = [(r.row_hash, r.clicks) for r in store.current().collect()]
     assert set(got) == want and len(got) == len(want)
     assert again.count() > 0
+
+
+def test_pages_are_stored_where_they_are(spark, tmp_path, monkeypatch):
+    page = lambda at, clicks: ("https://a/", "1998-01-05", "web", "byProperty", None, [(["q", "fr", "MOBILE"], clicks, 9.0, 0.1, 2.0)], 0, at)
+    cells = spark.createDataFrame([page(None, 1.0), page(dt.datetime(2001, 1, 1), 2.0), page(dt.datetime(2001, 1, 2), 3.0)],
+                                  "site_url string, data_date string, search_type string, aggregation string, first_incomplete_date string, "
+                                  "rows array<struct<keys array<string>, clicks double, impressions double, ctr double, position double>>, "
+                                  "start_row long, loaded_at timestamp")
+    monkeypatch.setattr(ingest, "newest_loads", None)  # its join would shuffle whole pages
+    assert ingest.store_responses(spark, cells, str(tmp_path / "store"), dt.datetime(2001, 11, 5))
+    assert [r.clicks for r in loads.FactStore(spark, str(tmp_path / "store")).current().collect()] == [3]
