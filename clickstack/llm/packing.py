@@ -13,6 +13,7 @@ by a hash of the piece and so spreads evenly.
 
 from __future__ import annotations
 
+import json
 import re
 from itertools import chain
 from zlib import crc32
@@ -37,6 +38,15 @@ MEMORY = 1_000_000
 PARTS = "~^_=+;:?#*@%&$!"
 #: Python's split() also parts at these four, which the tokenizer takes for symbols.
 SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: How the tokenizer parts what it has lower-cased: contractions, letters, single digits, signs.
+PARTING = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+LOWERING = ["NFC", "Replace", "Lowercase"]
+#: Characters that can be parted here with the same result: Latin letters, which lower-case one to one and compose
+#: with nothing, digits and signs, but not the apostrophe of contractions and the "<" of special tokens.
+PLAIN_SET = r"0-9A-Za-zÀ-ÖØ-öø-ÿ!-&(-/:;=-@\[-`{-~"
+PLAIN = re.compile(f"[{PLAIN_SET}]+")
+PLAIN_TEXT = re.compile(rf"[{PLAIN_SET} \t\n\r\x0b\x0c]*")
+RUNS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^0-9a-zß-öø-ÿ \t\n\r\x0b\x0c]+")
 
 
 def split_words(text: str) -> list[str]:
@@ -46,9 +56,20 @@ def split_words(text: str) -> list[str]:
     return text.split()
 
 
+def parts_words(tokenizer) -> bool:
+    """Whether the tokenizer lower-cases and parts words as ``RUNS`` does."""
+    kind = lambda part: json.loads(part.__getstate__()) if part else {}
+    lowering, parting = kind(tokenizer.normalizer), kind(tokenizer.pre_tokenizer)
+    first, *rest = parting.get("pretokenizers") or [{}]
+    return ([n["type"] for n in lowering.get("normalizers", [])] == LOWERING
+            and first.get("pattern") == {"Regex": PARTING} and first.get("behavior") == "Removed" and first.get("invert") is True
+            and [(r["type"], r.get("add_prefix_space"), r.get("use_regex")) for r in rest] == [("ByteLevel", False, False)])
+
+
 class WordIds:
     """Ids of words, as bytes. The tokenizer never joins across white space, so the ids of a text are those
-    of its words in order. Fresh words go to the tokenizer together, parted by a mark that none holds."""
+    of its words in order, and those of a plain word are those of its runs of letters, digits and signs. Fresh
+    ones go to the tokenizer together, parted by a mark that none holds."""
 
     def __init__(self, tokenizer: str):
         import public_tokenizers
@@ -56,26 +77,42 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(tokenizer))
         self.known: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def learn(self, words: set[str]) -> None:
+        self.letters = None
+        if parts_words(self.tokenizer):
+            # Lower-cased letters need no normalizer and hold no special token.
+            self.letters = Tokenizer(self.tokenizer.model)
+            self.letters.pre_tokenizer = self.tokenizer.pre_tokenizer
+
+    def split(self, text: str) -> list[str]:
+        """What the ids of a text are remembered by: plain words as lower-cased runs, others whole."""
+        if self.letters is None:
+            return split_words(text)
+        if PLAIN_TEXT.fullmatch(text):
+            return RUNS.findall(text.lower())
+        out: list[str] = []
+        for w in split_words(text):
+            if PLAIN.fullmatch(w):
+                out += RUNS.findall(w.lower())
+            else:
+                out.append(w)
+        return out
+
+    @staticmethod
+    def _ids(tokenizer, text: str) -> list[int]:
+        return tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _encode(self, tokenizer, fresh: list[str]) -> None:
         known = self.known
-        fresh = [w for w in words if w not in known]
-        if len(known) + len(fresh) > MEMORY:
-            known.clear()
-            fresh = list(words)
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
+        for at in range(0, len(fresh), 512):
+            part = fresh[at : at + 512]
             joined = "".join(part)
-            mark = next((c for c in PARTS if c not in joined and len(self._ids(c)) == 1), None)
+            mark = next((c for c in PARTS if c not in joined and len(self._ids(tokenizer, c)) == 1), None)
             if mark is None:
                 for w in part:
-                    known[w] = np.array(self._ids(w), "<u4").tobytes()
+                    known[w] = np.array(self._ids(tokenizer, w), "<u4").tobytes()
                 continue
-            code = self._ids(mark)[0]
-            ids = np.array(self._ids(f" {mark} ".join(part)), "<u4")
+            code = self._ids(tokenizer, mark)[0]
+            ids = np.array(self._ids(tokenizer, f" {mark} ".join(part)), "<u4")
             cuts = np.flatnonzero(ids == code)
             if len(cuts) != len(part) - 1:
                 raise ValueError("the tokenizer joined words across white space")
@@ -83,6 +120,18 @@ class WordIds:
             raw = ids.tobytes()
             known.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(part, starts, ends))
 
+    def learn(self, words: set[str]) -> None:
+        known = self.known
+        fresh = [w for w in words if w not in known]
+        if len(known) + len(fresh) > MEMORY:
+            known.clear()
+            fresh = list(words)
+        if self.letters is not None:
+            plain = [w for w in fresh if w.isalpha() and PLAIN.fullmatch(w)]
+            self._encode(self.letters, plain)
+            fresh = [w for w in fresh if w not in known]
+        self._encode(self.tokenizer, fresh)
+
     def of(self, texts: list[list[str]]) -> list[bytes]:
         self.learn(set(chain.from_iterable(texts)))
         look = self.known.__getitem__
@@ -104,7 +153,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
             ids = batch.column(0).to_pylist()
             rows = []
             for at in range(0, len(ids), 500):
-                texts = [split_words(t.as_py() or "") for t in batch.column(1)[at : at + 500]]
+                texts = [cache["ids"].split(t or "") for t in batch.column(1)[at : at + 500].to_pylist()]
                 for doc, raw in zip(ids[at : at + 500], cache["ids"].of(texts)):
                     raw += end
                     for k, a in enumerate(range(0, len(raw), step)):

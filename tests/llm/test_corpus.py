@@ -135,6 +135,23 @@ def test_words_are_those_of_the_tokenizer(spark):
     assert sorted(map(tuple, got)) == sorted(brute_pieces(list(enumerate(texts)), 8))
 
 
+def test_plain_words_are_parted_as_the_tokenizer_does():
+    """Plain words are remembered by their runs, so case and signs make no fresh words; the ids are those of the text."""
+    from clickstack.llm.packing import WordIds
+
+    rng = np.random.default_rng(10)
+    words = WordIds(packing.TOKENIZER)
+    plain = [*map(chr, range(33, 127)), *map(chr, range(0xBF, 0x100)), *"  \t\n\r\x0b\x0c", "don't", "<|ENDOFTEXT|>", "<|endoftext|>", "\u0301"]
+    texts = ["".join(rng.choice(plain, rng.integers(0, 25))) for _ in range(4000)]
+    want = [np.array(words.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert words.of([words.split(t) for t in texts]) == want
+    words.known.clear()
+    stems = ["".join(rng.choice([*"abcdefgé"], 9)) for _ in range(50)]
+    texts = [" ".join(f"{a}{w}{z} {w.upper()}{z}" for w in stems) for a in ("", "(", "--", '"') for z in ("", ".", ",", ")!", "1")]
+    words.of([words.split(t) for t in texts])
+    assert len(words.known) <= len(stems) + 20
+
+
 def test_lower_bound_is_sound():
     rng = np.random.default_rng(4)
 
