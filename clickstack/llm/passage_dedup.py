@@ -8,8 +8,9 @@ Documents are dealt over blocks by a hash. Which strings can repeat is narrowed
 equal stretches have equal anchors. The window of an anchor is all stretches it stands for. (1) Blocks report the hashes of their anchors; hashes found in
 two blocks, or twice in one, come back. (2) Blocks send the windows around such anchors, each distinct one
 once with its least id. Windows of one anchor meet in one group; those that differ too near the anchor from
-all others to share a string are settled. The suffix array of the others' concatenation, built by linear
-grouping, brings equal strings together, and the least id of each class goes back to the blocks. (3) Blocks remove what a smaller id has.
+all others to share a string are settled, and of the others the stretches in which they agree with another are
+taken, each distinct one once. The suffix array of these laid end to end, built by linear grouping, brings equal
+strings together, and the least id of each class goes back to the blocks. (3) Blocks remove what a smaller id has.
 
 A string of ``length`` bytes lies whole in the window of its anchor, and its equals in windows of the same, so no
 repeat is missed and none across documents arises. The text is shuffled once; the three passes share it.
@@ -27,7 +28,6 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +48,8 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Base of the window hash and its inverse, modulo 2^64.
 BASE = 0xD1342543DE82EF95
 INVERSE = pow(BASE, -1, 1 << 64)
+#: Masks for the first 0 to 8 of eight bytes.
+BYTES_LEFT = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 class Block:
@@ -160,20 +162,82 @@ def by_bucket(keys: np.ndarray) -> list[tuple[int, int, int]]:
     return [(int(buckets[a]), int(a), int(b)) for a, b in zip(cuts, [*cuts[1:], len(keys)])]
 
 
-def text_hash(window: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(window)
+class Windows:
+    """Stretches of ``raw``, from ``lo`` on and ``size`` bytes long, read eight bytes at a time."""
+
+    def __init__(self, raw: bytes, lo: np.ndarray, size: np.ndarray):
+        self.raw, self.lo, self.size = raw, lo, size
+        self.columns = -(-int(size.max()) // 8) if len(size) else 0
+        padded = raw + bytes(8)
+        self.words = np.ndarray((len(raw) + 1,), "<u8", padded, 0, (1,))
+
+    def where(self, at) -> "Windows":
+        out = Windows.__new__(Windows)
+        out.raw, out.words, out.columns, out.lo, out.size = self.raw, self.words, self.columns, self.lo[at], self.size[at]
+        return out
+
+    def column(self, k: int) -> np.ndarray:
+        """The ``k``-th eight bytes of each window, zeros behind its end."""
+        left = np.clip(self.size - 8 * k, 0, 8)
+        return self.words[np.minimum(self.lo + 8 * k, len(self.raw))] & BYTES_LEFT[left]
+
+    def names(self) -> np.ndarray:
+        """A hash of 64 bits of each window, whatever windows stand beside it: zeros add nothing."""
+        h = self.size.astype(np.uint64) * MIX
+        for k in range(self.columns):
+            c = self.column(k)
+            c = (c ^ (c >> np.uint64(32))) * np.uint64(pow(BASE, k + 1, 1 << 64))
+            h += (c ^ (c >> np.uint64(29))) * np.uint64(0xFF51AFD7ED558CCD)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
+        return h ^ (h >> np.uint64(32))
+
+    def change(self) -> np.ndarray:
+        """Whether a window differs from the one before it; the first does."""
+        out = np.ones(len(self.lo), bool)
+        out[1:] = self.size[1:] != self.size[:-1]
+        for k in range(self.columns):
+            c = self.column(k)
+            out[1:] |= c[1:] != c[:-1]
+        return out
+
+    def joined(self) -> bytes:
+        parts = []
+        for x in range(0, len(self.lo), 1 << 14):
+            part = self.where(slice(x, x + (1 << 14)))
+            laid = np.stack([part.column(k) for k in range(self.columns)], axis=1).view(np.uint8)
+            parts.append(laid[np.arange(8 * self.columns) < part.size[:, None]].tobytes())
+        return b"".join(parts)
+
+
+def copies(keys: np.ndarray, windows: Windows, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the windows by key in which those equal in key and bytes are neighbours, and where others begin."""
+    order = np.lexsort((names, keys))
+    new = windows.where(order).change()
+    new[1:] |= keys[order][1:] != keys[order][:-1]
+    return order, np.flatnonzero(new)
+
+
+def spread(number: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For items that each belong to the group ``number`` of ``counts`` rows that lie group by group: every pair
+    (item, row)."""
+    each = counts[number]
+    item = np.repeat(np.arange(len(number)), each)
+    first = (np.cumsum(counts) - counts)[number]
+    return item, np.arange(len(item)) - np.repeat(np.cumsum(each) - each, each) + np.repeat(first, each)
 
 
 def windows_of(block: Block, found: Anchors, length: int, hot: np.ndarray, keys_of: Keys):
-    """(key, window start, window end, document, anchor's place) of anchors; hot ones as their single strings."""
+    """Keys, windows, their hashes, documents and anchors' places of anchors; hot ones as their single strings."""
     keys = keys_of.of(found.hashes)
     cold = ~np.isin(keys, hot) if len(hot) else np.ones(len(keys), bool)
     c, h = found.where(cold), found.where(~cold)
-    out = list(zip(keys[cold].tolist(), c.lo.tolist(), (c.hi + length).tolist(), c.doc.tolist(), (c.at - c.lo).tolist()))
-    shift, raw = int(keys_of.shift), block.raw
-    for lo, hi, d, at in zip(h.lo.tolist(), h.hi.tolist(), h.doc.tolist(), h.at.tolist()):
-        out.extend((text_hash(raw[p : p + length]) >> shift, p, p + length, d, at - p) for p in range(lo, hi + 1))
-    return out
+    each = h.hi - h.lo + 1
+    item = np.repeat(np.arange(len(each)), each)
+    lo = h.lo[item] + np.arange(len(item)) - (np.cumsum(each) - each)[item]
+    windows = Windows(block.raw, np.r_[c.lo, lo], np.r_[c.hi + length - c.lo, np.full(len(lo), length, np.int64)])
+    names = windows.names()
+    keys = np.r_[keys[cold], keys_of.of(names[len(c.lo) :])]
+    return keys, windows, names, np.r_[c.doc, h.doc[item]], np.r_[c.at, h.at[item]] - windows.lo
 
 
 def shared_start(a: bytes, b: bytes) -> int:
@@ -181,9 +245,9 @@ def shared_start(a: bytes, b: bytes) -> int:
     return n - ((int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")).bit_length() + 7) // 8
 
 
-def may_repeat(group: list[tuple[int, bytes]], length: int, gram: int) -> list[bool]:
-    """Which windows (anchor's place, bytes) of one anchor can have a string in common with another: those
-    that agree with some other one far enough before and behind the anchor."""
+def may_repeat(group: list[tuple[int, bytes]], length: int, gram: int) -> list[tuple[int, int] | None]:
+    """The stretch of each window (anchor's place, bytes) of one anchor in which it can have strings in common with
+    another: as far as it agrees with some other one before and behind the anchor. None if that holds no string."""
     before, behind = [0] * len(group), [0] * len(group)
     ways = ((before, [w[:at][::-1] for at, w in group]), (behind, [w[at + gram :] for at, w in group]))
     for far, texts in ways:
@@ -191,8 +255,8 @@ def may_repeat(group: list[tuple[int, bytes]], length: int, gram: int) -> list[b
         for i, j in zip(order, order[1:]):
             n = shared_start(texts[i], texts[j])
             far[i], far[j] = max(far[i], n), max(far[j], n)
-    spare = length - gram
-    return [max(at + length - len(w), spare - r, 0) <= min(at, b) for (at, w), b, r in zip(group, before, behind)]
+    spans = [(at - min(at, b), min(len(w), at + gram + r)) for (at, w), b, r in zip(group, before, behind)]
+    return [(x, y) if y - x >= length else None for x, y in spans]
 
 
 def classes(windows: list[bytes], ids: list[int], length: int):
@@ -331,25 +395,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         left = folded(left)
         block = Block(left["doc_id"], left["text"])
         seen: dict[tuple[int, bytes, int], list] = {}
-        raw, ids = block.raw, block.ids.tolist()
-        for key, a, b, d, place in windows_at(block, all_keys(known, "keys"), all_keys(known, "hot")):
-            one, doc_id = (key, raw[a:b], place), ids[d]
-            entry = seen.get(one)
-            if entry is None:
-                seen[one] = [doc_id, False]
-            elif entry[0] != doc_id:
-                entry[0], entry[1] = min(entry[0], doc_id), True
-        items, pack = list(seen.items()), zstandard.ZstdCompressor(level=3)
-        found = np.array([k for k, _, _ in seen], np.uint64)
-        order = np.argsort(found, kind="stable")
-        items, found = [items[i] for i in order.tolist()], found[order]
-        out = []
-        for bucket, x, y in by_bucket(found):
-            part = items[x:y]
-            out.append((bucket, int(left["block"].iloc[0]), Keys.pack(found[x:y]),
-                        np.array([(len(w), at) for (_, w, at), _ in part], size_kind).tobytes(),
-                        pack.compress(np.array([e[0] for _, e in part], "<i8").tobytes()),
-                        np.packbits([e[1] for _, e in part]).tobytes(), pack.compress(b"".join(w for (_, w, _), _ in part)), b""))
+        keys, windows, names, doc, place = windows_at(block, all_keys(known, "keys"), all_keys(known, "hot"))
+        out, pack = [], zstandard.ZstdCompressor(level=3)
+        if len(keys):
+            order, first = copies(keys, windows, names)
+            ids = block.ids[doc[order]]
+            least, most = np.minimum.reduceat(ids, first), np.maximum.reduceat(ids, first)
+            one = order[first]
+            keys, windows, place = keys[one], windows.where(one), place[one]
+            sizes = np.stack([windows.size, place], axis=1).astype(size_kind)
+        for bucket, x, y in by_bucket(keys):
+            out.append((bucket, int(left["block"].iloc[0]), Keys.pack(keys[x:y]), sizes[x:y].tobytes(),
+                        pack.compress(least[x:y].astype("<i8").tobytes()), np.packbits(least[x:y] != most[x:y]).tobytes(),
+                        pack.compress(windows.where(slice(x, y)).joined()), b""))
         # Hot anchors come back with the answers: the last pass has to cut the same strings.
         for bucket, hot in zip(known["bucket"], known["hot"]):
             if len(hot):
@@ -358,68 +416,88 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def compare(key, pdf: pd.DataFrame) -> pd.DataFrame:
         bucket = int(key[0])
-        groups: dict[int, dict[bytes, list[int]]] = {}
-        senders = []  # per block: its keys, windows, ids and whether two documents hold them
-        out, unpack = [], zstandard.ZstdDecompressor()
+        columns = ["block", "bucket", "keys", "hashes", "at", "n", "least", "hot"]
+        # Per block: its keys, window sizes and anchors' places, ids, whether two documents hold a window, windows.
+        out, senders, unpack = [], [], zstandard.ZstdDecompressor()
         for row in pdf.itertuples():
             if row.hot:
                 out.append((int(row.block), bucket, b"", b"", b"", b"", b"", row.hot))
                 continue
-            keys = Keys.unpack(row.keys, bucket).tolist()
-            sizes, places = np.frombuffer(row.sizes, size_kind).astype(np.int64).reshape(-1, 2).T
-            ends = np.cumsum(sizes).tolist()
-            joined = unpack.decompress(row.windows)
-            windows = [joined[e - s : e] for e, s in zip(ends, sizes.tolist())]
-            ids = np.frombuffer(unpack.decompress(row.ids), "<i8").tolist()
-            twice = np.unpackbits(np.frombuffer(row.twice, np.uint8), count=len(keys)).tolist()
-            senders.append((int(row.block), keys, windows, ids, twice))
-            for k, w, i, at in zip(keys, windows, ids, places.tolist()):
-                entry = groups.setdefault(k, {}).setdefault(w, [i, at])
-                entry[0] = min(i, entry[0])
-        runs: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
+            own = Keys.unpack(row.keys, bucket)
+            senders.append((np.full(len(own), row.block), own, np.frombuffer(row.sizes, size_kind).astype(np.int64).reshape(-1, 2),
+                            np.frombuffer(unpack.decompress(row.ids), "<i8"),
+                            np.unpackbits(np.frombuffer(row.twice, np.uint8), count=len(own)).astype(bool), unpack.decompress(row.windows)))
+        if not senders:
+            return pd.DataFrame(out, columns=columns)
+        *arrays, parts = zip(*senders)
+        sender, keys, sizes, ids, twice = (np.concatenate(x) for x in arrays)
+        raw, (size, place) = b"".join(parts), sizes.T
+        windows = Windows(raw, np.cumsum(size) - size, size)
+        names = windows.names()
+        order, first = copies(keys, windows, names)
+        # From here on windows are distinct; number: that of each one sent.
+        number = np.empty(len(order), np.int64)
+        number[order] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(order)]))
+        least = np.minimum.reduceat(ids[order], first)
+        one = order[first]
+        lows, ends, places = windows.lo[one], windows.lo[one] + size[one], place[one]
+        starts = np.flatnonzero(np.r_[True, keys[one][1:] != keys[one][:-1]])
+        group_ends = np.r_[starts[1:], len(one)]
+        # (window, first offset, number of strings, least id) as arrays; strings outside of the stretches that may
+        # repeat stand nowhere else but in copies of the window.
+        runs, own = [], []
+        alone = np.ones(len(one), bool)
 
         def settle(batch):
-            who, offset, least = classes([w for _, w, _ in batch], [i for *_, i in batch], length)
-            # Runs of neighbouring offsets of a window with one least id.
-            order = np.lexsort((offset, who))
-            who, offset, least = who[order], offset[order], least[order]
-            cut = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (least[1:] != least[:-1])]) if len(who) else []
-            for a, b in zip(cut, [*cut[1:], len(who)]):
-                k, w, _ = batch[who[a]]
-                runs.setdefault((k, w), []).append((int(offset[a]), int(b - a), int(least[a])))
+            texts, members = [t for t, _ in batch], [m for _, m in batch]
+            who, offset, low = classes(texts, [int(least[[w for w, _ in m]].min()) for m in members], length)
+            # Runs of neighbouring offsets of a text with one least id, for every window that has the text.
+            by = np.lexsort((offset, who))
+            who, offset, low = who[by], offset[by], low[by]
+            cut = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (low[1:] != low[:-1])])
+            n = np.diff(np.r_[cut, len(who)])
+            run, member = spread(who[cut], np.array([len(m) for m in members]))
+            window, ahead = np.array([m for ms in members for m in ms], np.int64)[member].T
+            runs.append((window, offset[cut][run] + ahead, n[run], low[cut][run]))
 
         batch, held = [], 0
-        for k, group in groups.items():
-            if len(group) == 1:  # copies of one window: a single class per string
-                (w, (i, _)), = group.items()
-                runs[k, w] = [(0, len(w) - length + 1, i)]
-                continue
-            alike = may_repeat([(at, w) for w, (_, at) in group.items()], length, gram)
-            part = []
-            for (w, (i, _)), may in zip(group.items(), alike):
-                if may:
-                    part.append((k, w, i))
-                else:  # its strings stand nowhere else but in copies of this window
-                    runs[k, w] = [(0, len(w) - length + 1, i)]
-            size = sum(len(w) for _, w, _ in part)
-            if held and held + size > BATCH_BYTES:
+        many = group_ends - starts > 1
+        for a, b in zip(starts[many].tolist(), group_ends[many].tolist()):
+            texts = [raw[x:y] for x, y in zip(lows[a:b].tolist(), ends[a:b].tolist())]
+            part: dict[bytes, list[tuple[int, int]]] = {}
+            for w, (t, span) in enumerate(zip(texts, may_repeat(list(zip(places[a:b].tolist(), texts)), length, gram)), a):
+                if span:
+                    x, y = span
+                    part.setdefault(t[x:y], []).append((w, x))
+                    alone[w] = False
+                    own += [(w, 0, x)] if x else []
+                    own += [(w, y - length + 1, len(t) - y)] if y < len(t) else []
+            size_of = sum(map(len, part))
+            if held and held + size_of > BATCH_BYTES:
                 settle(batch)
                 batch, held = [], 0
-            batch.extend(part)
-            held += size
+            batch.extend(part.items())
+            held += size_of
         if batch:
             settle(batch)
-        for block, keys, windows, ids, twice in senders:
-            told = []
-            for k, w, i, t in zip(keys, windows, ids, twice):
-                for a, n, least in runs.get((k, w), ()):
-                    if least < i or t:
-                        told.append((k, text_hash(w), a, n, least))
-            if told:
-                ks, hs, a, n, least = zip(*told)
-                out.append((block, bucket, Keys.pack(np.array(ks, np.uint64)), np.array(hs, "<u8").tobytes(),
-                            np.array(a, "<u2").tobytes(), np.array(n, "<u2").tobytes(), np.array(least, "<i8").tobytes(), b""))
-        return pd.DataFrame(out, columns=["block", "bucket", "keys", "hashes", "at", "n", "least", "hot"])
+        alone = np.flatnonzero(alone)
+        runs.append((alone, np.zeros(len(alone), np.int64), ends[alone] - lows[alone] - length + 1, least[alone]))
+        w, at, n = np.array(own, np.int64).reshape(-1, 3).T
+        runs.append((w, at, n, least[w]))
+        window, at, n, low = (np.concatenate(x) for x in zip(*runs))
+        by = np.lexsort((at, window))
+        window, at, n, low = window[by], at[by], n[by], low[by]
+        cut = np.flatnonzero(np.r_[True, (window[1:] != window[:-1]) | (low[1:] != low[:-1])])
+        window, at, n, low = window[cut], at[cut], np.add.reduceat(n, cut), low[cut]
+        sent, run = spread(number, np.bincount(window, minlength=len(one)))
+        told = (low[run] < ids[sent]) | twice[sent]
+        sent, run = sent[told], run[told]
+        cuts = np.flatnonzero(np.r_[True, sender[sent][1:] != sender[sent][:-1]]) if len(sent) else []
+        for a, b in zip(cuts, [*cuts[1:], len(sent)]):
+            e, r = sent[a:b], run[a:b]
+            out.append((int(sender[e[0]]), bucket, Keys.pack(keys[e]), names[e].astype("<u8").tobytes(), at[r].astype("<u2").tobytes(),
+                        n[r].astype("<u2").tobytes(), low[r].astype("<i8").tobytes(), b""))
+        return pd.DataFrame(out, columns=columns)
 
     def take_out(left: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         columns = ["doc_id", "no_id", "n", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
@@ -427,30 +505,36 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             return pd.DataFrame([], columns=columns)
         left = folded(left)
         block = Block(left["doc_id"], left["text"])
-        raw, ids = block.raw, block.ids.tolist()
-        change = np.zeros(len(raw) + 1, np.int32)
+        raw, gone = block.raw, np.zeros(len(block.raw), bool)
         if len(told):
-            known: dict[tuple[int, int], list] = {}
-            cols = [told["keys"], told["hashes"], told["at"], told["n"], told["least"]]
-            for bucket, ks, hs, at, n, least in zip(told["bucket"], *cols):
-                for k, h, *run in zip(Keys.unpack(ks, bucket).tolist(), np.frombuffer(hs, "<u8").tolist(), np.frombuffer(at, "<u2").tolist(),
-                                      np.frombuffer(n, "<u2").tolist(), np.frombuffer(least, "<i8").tolist()):
-                    known.setdefault((k, h), []).append(run)
             hot = all_keys(told, "hot")
-            keys = np.concatenate([np.array([k for k, _ in known], np.uint64), hot])
-            for key, a, b, d, _ in windows_at(block, keys, hot):
-                for o, n, least in known.get((key, text_hash(raw[a:b])), ()):
-                    if least < ids[d]:
-                        change[a + o] += 1
-                        change[a + o + n - 1 + length] -= 1
-        gone = np.cumsum(change[:-1], dtype=np.int32) > 0
+            known_keys = all_keys(told, "keys")
+            names, at, n, least = (np.frombuffer(b"".join(told[c]), t) for c, t in (("hashes", "<u8"), ("at", "<u2"), ("n", "<u2"), ("least", "<i8")))
+            keys, windows, own, doc, _ = windows_at(block, np.r_[known_keys, hot], hot)
+            # Equal (key, hash) pairs get one number; answers lie by number.
+            both, hashes = np.r_[known_keys, keys], np.r_[names, own]
+            order = np.lexsort((hashes, both))
+            both, hashes = both[order], hashes[order]
+            number = np.empty(len(order), np.int64)
+            number[order] = np.cumsum(np.r_[False, (both[1:] != both[:-1]) | (hashes[1:] != hashes[:-1])]) if len(order) else 0
+            by = np.argsort(number[: len(names)], kind="stable")
+            window, run = spread(number[len(names) :], np.bincount(number[: len(names)], minlength=len(order)))
+            run = by[run]
+            take = least[run] < block.ids[doc[window]]
+            window, run = window[take], run[take]
+            start = windows.lo[window] + at[run]
+            change = np.bincount(start, minlength=len(raw) + 1) - np.bincount(start + n[run] - 1 + length, minlength=len(raw) + 1)
+            gone = np.cumsum(change[:-1]) > 0
         flat = np.frombuffer(raw, np.uint8)
+        begins = gone.copy()
+        begins[1:] &= ~gone[:-1]
+        heads = block.starts[block.sizes > 0]
+        begins[heads] = gone[heads]
+        removed, spans = (np.diff(np.r_[0, np.cumsum(x)][np.r_[block.starts, len(raw)]]).tolist() for x in (gone, begins))
         out = []
-        for (no_id, n, doc_id), a, b in zip(zip(left["no_id"], left["n"], ids), block.starts.tolist(), block.ends.tolist()):
-            g = gone[a:b]
-            kept = flat[a:b][~g].tobytes() if g.any() else raw[a:b]
-            spans = int(g[:1].sum() + (g[1:] & ~g[:-1]).sum())
-            out.append((doc_id, no_id, n, b - a, int(g.sum()), spans, hashlib.sha256(kept).hexdigest(), kept if with_kept else None))
+        for no_id, n, doc_id, a, b, r, s in zip(left["no_id"], left["n"], block.ids.tolist(), block.starts.tolist(), block.ends.tolist(), removed, spans):
+            kept = flat[a:b][~gone[a:b]].tobytes() if r else raw[a:b]
+            out.append((doc_id, no_id, n, b - a, r, s, hashlib.sha256(kept).hexdigest(), kept if with_kept else None))
         return pd.DataFrame(out, columns=columns)
 
     by_block = rows.groupBy("block")

@@ -173,6 +173,47 @@ def test_passages_bounded_groups(spark, monkeypatch):
                       for r in got) == brute_passages(rows)
 
 
+def test_passages_narrowed_windows(spark, monkeypatch):
+    """Of windows that agree around their anchor only the common stretch goes into suffix arrays, once for all of them."""
+    rng = np.random.default_rng(6)
+    own = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 120))
+    line = own()
+    rows = [(i, f"{own()}{chr(32 + i)}{line}{chr(32 + i)}{own()}") for i in range(60)] + [(300, "a" * 70 + line[:60] + "\0" * 80), (301, line[30:90] + "\0" * 75)]
+    classes = passage_dedup.classes
+
+    def bounded(windows, ids, length):
+        assert sum(map(len, windows)) <= 2000, sum(map(len, windows))
+        return classes(windows, ids, length)
+
+    monkeypatch.setattr(passage_dedup, "classes", bounded)
+    for size in (4 << 20, 8000):
+        monkeypatch.setattr(passage_dedup, "BLOCK_BYTES", size)
+        got = passage_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+        assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_passages(rows)
+
+
+def test_windows_are_told_apart():
+    """Windows are grouped by their bytes, also where they end in zeros, and named whatever stands beside them."""
+    rng = np.random.default_rng(7)
+    raw = bytes(rng.choice([0, 0, 0, 1], 4000).astype(np.uint8))
+    size = rng.integers(1, 30, 3000)
+    lo = rng.integers(0, len(raw) - size + 1)
+    keys = rng.integers(0, 3, len(lo)).astype(np.uint64)
+    windows = passage_dedup.Windows(raw, lo, size)
+    names = windows.names()
+    texts = [raw[a : a + n] for a, n in zip(lo.tolist(), size.tolist())]
+    assert windows.joined() == b"".join(texts)
+    order, first = passage_dedup.copies(keys, windows, names)
+    groups = [frozenset(x.tolist()) for x in np.split(order, first[1:])]
+    want: dict = {}
+    for i, one in enumerate(zip(keys.tolist(), texts)):
+        want.setdefault(one, set()).add(i)
+    assert set(groups) == set(map(frozenset, want.values())) and len(groups) == len(want)
+    assert len(set(names.tolist())) == len(set(texts))
+    for i in range(0, 3000, 97):
+        assert passage_dedup.Windows(texts[i], np.array([0]), np.array([len(texts[i])])).names()[0] == names[i]
+
+
 def test_passages_odd_rows(odd, nothing, spark):
     rows = [(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()]
     low = -(2**63)
