@@ -13,22 +13,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clickstack.schema import API_RESPONSE
 from clickstack.sources import ingest
 from clickstack.sources.loads import FactStore
 
 
 def start(spark: SparkSession, source_dir: str, target_path: str, checkpoint: str, collected_at,
           available_now: bool = True, max_files_per_trigger: int | None = None):
-    reader = spark.readStream.schema(API_RESPONSE)
+    reader = spark.readStream
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    responses = reader.json(source_dir)
+    lines = reader.text(source_dir)  # parsed in the batch, by all cores
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        ingest.store_responses(batch.sparkSession, batch, target_path, collected_at)
+        ingest.store_responses(batch.sparkSession, ingest.parse_lines(batch.select("value")), target_path, collected_at)
 
-    w = responses.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    w = lines.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
 

@@ -1,6 +1,7 @@
 """What large jobs shuffle, spill and write: small cases of the rules that keep it in proportion."""
 
 import datetime as dt
+import gzip
 from pathlib import Path
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from clickstack.operators import ops
 from clickstack.sources import ingest, loads, warehouse
+from clickstack.streaming import ingest_stream
 
 STAGE = ("data_date date, property string, search_type string, query string, page string, country string, device string, "
          "clicks long, impressions long, position double, is_anonymized boolean")
@@ -78,3 +80,66 @@ def test_pages_are_stored_where_they_are(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(ingest, "newest_loads", None)  # its join would shuffle whole pages
     assert ingest.store_responses(spark, cells, str(tmp_path / "store"), dt.datetime(2001, 11, 5))
     assert [r.clicks for r in loads.FactStore(spark, str(tmp_path / "store")).current().collect()] == [3]
+
+
+PAGE = ('{"site_url": "https://a/", "data_date": "1998-01-%02d", "search_type": "web", "aggregation": "byProperty", '
+        '"rows": [{"keys": ["q%d", "fr", "MOBILE"], "clicks": %d.0, "impressions": 9.0, "ctr": 0.1, "position": 2.0}]}')
+
+
+def test_one_gzipped_file_is_stored_by_several_tasks(spark, tmp_path):
+    """A batch of one file that can't be split: all cores work on it, and each line counts once."""
+    src = tmp_path / "in"
+    src.mkdir()
+    lines = [PAGE % (i % 28 + 1, i, i) for i in range(200)]
+    (src / "a.json.gz").write_bytes(gzip.compress("\n".join(lines).encode()))
+    out = ingest_stream.run_available(spark, str(src), str(tmp_path / "table"), str(tmp_path / "ck"), dt.datetime(2001, 11, 5), 1)
+    assert sorted((r["query"], r.clicks) for r in out.collect()) == sorted((f"q{i}", i) for i in range(200))
+    assert len(list((tmp_path / "table" / "rows").rglob("part-*"))) > 1 or spark.sparkContext.defaultParallelism == 1
+
+
+def test_lines_parse_as_files_do(spark, tmp_path):
+    """Blank, cut off, foreign and wrongly encoded lines, and several pages in a line."""
+    odd = [PAGE % (1, 1, 1), "", "  ", PAGE[:60], "7", "null", "{}", '{"rows": 3, "site_url": "https://b/"}', f"[{PAGE % (2, 2, 2)}, {PAGE % (3, 3, 3)}]",
+           PAGE % (4, 4, 4) + "\r", (PAGE % (5, 5, 5)).replace("fr", "côte"), '{"site_url": "https://c/", "rows": []}']
+    bad = (PAGE % (6, 6, 6)).encode().replace(b"fr", b"\xff\xfe")
+    path = tmp_path / "a.json.gz"
+    path.write_bytes(gzip.compress("\n".join(odd).encode() + b"\n" + bad + b"\n"))
+    rows = lambda df: sorted(map(str, df.where(F.size("rows") > 0).collect()))
+    got = ingest.parse_lines(spark.read.text(str(path)))
+    assert rows(got) == rows(ingest.read_responses(spark, str(path))) and len(rows(got)) == 5
+
+
+def test_response_files_grow_with_the_input(spark, tmp_path, monkeypatch, stage):
+    fact = warehouse.build_by_property(stage)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for per_file, most in ((1_000_000, 8), (3, fact.count() // 3 + 1)):
+            monkeypatch.setattr(ingest, "ROWS_PER_FILE", per_file)
+            ingest.write_responses(fact, path := str(tmp_path / str(per_file)))
+            assert 1 < len(list(Path(path).glob("part-*.json.gz"))) <= most
+            back = ingest.map_response_rows(ingest.read_responses(spark, path), dt.datetime(2001, 11, 5))
+            cols = ["property", "data_date", "search_type", "query", "country", "device", "clicks", "impressions"]
+            assert sorted(map(str, back.select(*cols).collect())) == sorted(map(str, fact.select(*cols).collect()))
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def test_only_asked_for_tables_are_built(spark, tmp_path, monkeypatch, stage):
+    monkeypatch.setattr(warehouse.fixtures, "search_raw", lambda s, d: stage)
+    w = warehouse.Warehouse(spark, str(tmp_path))
+    w.root = str(tmp_path / "wh")
+    there = lambda: {t for t in warehouse.FACT_TABLES if (tmp_path / "wh" / t).exists()}
+    assert w.ensure("by_property").table("by_property").count() and there() == {"by_property"}
+    assert w.ensure("totals").ready(("totals",)) and there() == {"by_property", "totals"}
+    assert w.ensure().ready() and there() == set(warehouse.FACT_TABLES)
+
+
+def test_cells_without_a_day_stay_out(spark, tmp_path, stage):
+    """One load whose cells are all told is stored without a join; a cell that is not whole is left out as before."""
+    rows = warehouse.build_by_property(stage)
+    store = loads.FactStore(spark, str(tmp_path / "store"))
+    store.store(rows.unionByName(rows.limit(1).withColumn("data_date", F.lit(None).cast("date"))))
+    assert sorted(r.row_hash for r in store.current().collect()) == sorted(r.row_hash for r in rows.collect())
